@@ -50,6 +50,11 @@ WORTH = frozenset("point points mark marks pt pts punkt punkte punkten puntos po
 _ENUMERATED = re.compile(r"^\W{0,4}\d{1,3}\s*[.)．）]\s")
 
 
+#: A remark in brackets at either end that holds a word and a number ("(contest round 6)", "[5 points]").
+_HEAD, _END = re.compile(r"^[\s*#>]*[(\[（][^()\[\]（）$\\]{1,40}[)\]）]"), re.compile(r"[(\[（][^()\[\]（）$\\]{1,40}[)\]）]\W*$")
+_NUMBERED = re.compile(r"[^\W\d_]{3,}\W*\d|\d\W*[^\W\d_]{3,}")
+
+
 @cache
 def _folded() -> tuple[frozenset[str], frozenset[str]]:
     from marginalia.llm.wordfold import words
@@ -62,6 +67,9 @@ def exercise_words(text: str) -> list[str]:
     from marginalia.llm.wordfold import words
 
     labels, worth = _folded()
+    for p in (_HEAD, _END):
+        if (m := p.search(text)) and _NUMBERED.search(m[0]):
+            text = text[: m.start()] + text[m.end() :]
     ws = words(text)
     if len(ws) > 2 and ws[0] in labels and ws[1][0].isdigit():
         ws = ws[2:]
