@@ -259,9 +259,10 @@ _SEEDS = [
 
 
 def _question_side(question: str | None, options) -> tuple[frozenset[str], str, list[str]]:
+    from marginalia.llm.unify import unified
     from marginalia.llm.wordfold import words
 
-    text = question or ""
+    text = unified(question or "")
     ws = words(text)
     extra = {"question", "options"}
     for i, o in enumerate(options if options is not None else ()):
@@ -341,6 +342,8 @@ def pair_defects(questions: DataFrame, outputs: DataFrame) -> DataFrame:
     field = spark.sparkContext.broadcast(fit_field(sample))
 
     def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from marginalia.llm.unify import unified
+
         f = field.value
         for b in batches:
             found: list[tuple[int, str]] = []
@@ -350,6 +353,7 @@ def pair_defects(questions: DataFrame, outputs: DataFrame) -> DataFrame:
                 if is_empty(text):
                     found.append((line, "empty"))
                     continue
+                text = unified(text)
                 side = sides.get(i)
                 if side is None:
                     side = sides[i] = _question_side(question, options)

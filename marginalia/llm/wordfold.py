@@ -27,8 +27,9 @@ def words(text: str) -> list[str]:
     """The folded words of a text, in order; null and blank give none."""
     if not text:
         return []
-    s = text if text.isascii() else skeleton(text)
-    s = s.casefold()
+    s = text.casefold()
+    if not s.isascii():
+        s = skeleton(s).casefold()
     if not s.isascii():
         s = "".join(c for c in s if not unicodedata.combining(c)).replace("’", "'")
     s = _ANSWER_BLANK.sub(" ", s)
