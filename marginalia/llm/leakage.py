@@ -42,14 +42,14 @@ ITEM_GAP, DOC_GAP = 8, 25
 class FMIndex:
     """Counts and locates phrases in a sequence of small integers (0 ends it and stands nowhere else)."""
 
-    def __init__(self, text: np.ndarray):
-        n = len(text)
+    def __init__(self, text: np.ndarray, symbols: int | None = None):
+        n, symbols = len(text), max(symbols or 0, int(text.max()) + 1)
         sa = _suffixes(text)
         self.n = n
         self.bwt = text[sa - 1]  # sa 0 takes the end mark
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=int(text.max()) + 2))]).astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))]).astype(np.int64)
         self.levels: list[tuple[np.ndarray, int]] = []
-        self.bits = max(1, int(text.max()).bit_length())
+        self.bits = max(1, (symbols - 1).bit_length())
         seq = self.bwt.astype(np.int64)
         for k in range(self.bits - 1, -1, -1):
             bit = (seq >> k) & 1
@@ -191,7 +191,7 @@ def _search(items: list[tuple[int, list[str]]]):
                 ids.append(1)
                 at += len(ws) + 1
             ids.append(0)
-            index = FMIndex(np.array(ids, dtype=np.int32))
+            index = FMIndex(np.array(ids, dtype=np.int32), len(vocabulary) + 3)
             lo, hi = index.search(phrases)
             n = hi - lo
             which = np.repeat(np.arange(len(n)), n)
