@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.boxed import balanced
+from marginalia.llm.endings import body as end_of
+from marginalia.llm.endings import is_finished
 from marginalia.session import ship, spread
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
@@ -59,10 +61,6 @@ _DECLINE = re.compile(
 _FIRST_PERSON = re.compile(r"\b(?:i|i'm|my|ich|je|yo|no puedo|я)\b|我", re.I)
 _CLAUSE = re.compile(r"(?<=[.!?。！？;；])\s*(?=\S)|\n+")
 _MATH = re.compile(r"\$[^$]*\$|\\\([^)]*\\\)|\\boxed\s*\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}|\\[a-zA-Z]+|\d+")
-_TAIL = re.compile(r"(?:\s|<\|[^|<>]{0,40}\|>)+$")
-_NOTICE = re.compile(r"(?:[\[<(]\s*(?:\.\.\.|…)?\s*(?:output |text |response )?(?:truncated|cut|cut off|more|continued|continues|snip|omitted)\s*(?:\.\.\.|…)?\s*[\]>)]|…|\.\.\.|�)$", re.I)
-_SENTENCE_END = re.compile(r"[.?!。？！][\"'”»)\]}|_*\s]*$|\}[\s|$*]*$|_{2,}\W*$")
-_SHORT_ANSWER = re.compile(r"(?:(?:answer|result|antwort|lösung|ergebnis|respuesta|réponse|ответ|答案|solución|solution)\s{0,2}(?::|is|ist|es|est|равен|是|=)|\([A-J]\))[\s*]{0,4}(?:[A-J]|[-+]?\d[\d.,/%°²]*\s?[^\W\d_]{0,7})[\s*]{0,4}$", re.I)
 _BOX_ONLY = r"^\s*\\boxed\{(?=[\s\S]*\S)" + balanced(6) + r"\}\s*$"
 
 
@@ -101,16 +99,6 @@ def main_language(v: dict[str, float], least: float = 1.0) -> str:
     return k if v[k] >= least else ""
 
 
-def is_closed(text: str) -> bool:
-    """Whether a text ends as a finished one."""
-    t = _TAIL.sub("", text)
-    if not t or _NOTICE.search(t[-60:]) or t.count("<think>") > t.count("</think>"):
-        return False
-    if t.count("{") != t.count("}") or t.count("$") % 2:
-        return False
-    return bool(_SENTENCE_END.search(t[-40:]) or _SHORT_ANSWER.search(t[-80:]))
-
-
 N_FEATURES = 14
 
 
@@ -118,9 +106,8 @@ def clauses_of(text: str, question: str, q_words: frozenset[str], q_language: st
     """Features of each clause, its number of words, and its language."""
     from marginalia.llm.wordfold import words
 
-    body = _TAIL.sub("", text)
-    parts = [p for p in _CLAUSE.split(body) if p and p.strip()]
-    closed = is_closed(text)
+    parts = [p for p in _CLAUSE.split(end_of(text)) if p and p.strip()]
+    closed = is_finished(end_of(text))
     rows, sizes, languages = [], [], []
     kept = []
     for p in parts:
@@ -275,14 +262,14 @@ def visible(text: str) -> str:
     if "</think>" not in text:
         return text
     shown = text.rsplit("</think>", 1)[-1]
-    return shown if re.search(r"[^\W\d_]{2}", _MATH.sub(" ", _TAIL.sub("", shown))) or not shown.strip() else text
+    return shown if re.search(r"[^\W\d_]{2}", _MATH.sub(" ", end_of(shown))) or not shown.strip() else text
 
 
 def is_empty(text: str | None) -> bool:
     """Null, blank, a placeholder, or an empty box as the answer."""
     if text is None:
         return True
-    t = visible(_TAIL.sub("", text)).strip("​‌‍⁠﻿­ \t\r\n\u00a0")
+    t = visible(end_of(text)).strip("​‌‍⁠﻿­ \t\r\n\u00a0")
     if not t or t.lower().strip(" .!") in PLACEHOLDERS or t.lower() in PLACEHOLDERS:
         return True
     boxes = re.findall(r"\\boxed\s*\{((?:[^{}]|\{[^{}]*\})*)\}", t)
@@ -300,7 +287,7 @@ def decide(text: str, x: np.ndarray, tags: np.ndarray, sizes: list[int], q_words
             return "refusal"
         if cover[ECHO] and not solved and q_words and bool(((tags == ECHO) | (x[:, 3] >= 0.8)).all()):
             return "copy"
-    if not is_closed(text):
+    if not is_finished(end_of(text)):
         return "truncated"
     if len(x):
         known = (x[:, 6] + x[:, 7]) > 0

@@ -25,13 +25,16 @@ stands; extra columns are not read; empty tables give no row.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.llm.endings import BROKEN, body, has_notice, is_finished, is_open
 from marginalia.session import ship, spread
 
 #: Lengths of the contexts, each a multiple of the first.
@@ -46,64 +49,61 @@ LOWEST, HIGHEST, GROUP = -2.75, -1.0, 400
 #: Python state of a counting task is merged whenever it holds so many hits.
 FLUSH = 1_500_000
 
-NOTICE = r"(?i)(?:[\[<(]\s*(?:\.\.\.|…)?\s*(?:output |text |response )?(?:truncated|cut|cut off|more|continued|continues|snip|omitted)\s*(?:\.\.\.|…)?\s*[\]>)]|…|\.\.\.)$"
-_TAIL = r"(?:\s|<\|[^|<>]{0,40}\|>)+$"
+_DIGITS = re.compile("[0-9]+")
+_HAN, _CYRILLIC = re.compile("[一-鿿]"), re.compile("[Ѐ-ӿ]{3}")
+# Common words of the languages told apart.
+_COMMON = {
+    "en": (" the ", " and ", " that ", " of ", " is ", " we ", " to "),
+    "de": (" der ", " die ", " das ", " und ", " wir ", " ist ", " wird ", " durch "),
+    "fr": (" le ", " la ", " les ", " et ", " est ", " une ", " dans ", " par "),
+    "es": (" el ", " los ", " las ", " y ", " es ", " que ", " por ", " una ", " para "),
+}
+
+
+def language(t: str) -> str:
+    """A coarse language of a text: by script, then by its commonest words; English in doubt."""
+    if not t.isascii():
+        if _HAN.search(t):
+            return "zh"
+        if _CYRILLIC.search(t):
+            return "ru"
+    best, most = "en", sum(map(t.count, _COMMON["en"]))
+    if most * 40 > len(t):
+        return best
+    for k in ("de", "fr", "es"):
+        n = sum(map(t.count, _COMMON[k]))
+        if n > most:
+            best, most = k, n
+    return best
 
 
-def language(c: Column) -> Column:
-    """A coarse language of a text: by script, then by the commonest function words."""
-    words = {
-        "en": r"\b(?:the|and|that|of|is|we|to)\b",
-        "de": r"\b(?:der|die|das|und|wir|ist|wird|durch)\b",
-        "fr": r"\b(?:le|la|les|et|est|une|dans|pour|par)\b",
-        "es": r"\b(?:el|los|las|y|es|que|por|una|para)\b",
-    }
-    n = {k: F.regexp_count(c, F.lit("(?i)" + p)) for k, p in words.items()}
-    return (
-        F.when(c.rlike("[一-鿿]"), "zh")
-        .when(c.rlike("[Ѐ-ӿ]{3}"), "ru")
-        .when(n["en"] >= F.greatest(n["de"], n["fr"], n["es"]), "en")
-        .when(n["de"] >= F.greatest(n["fr"], n["es"]), "de")
-        .when(n["fr"] >= n["es"], "fr")
-        .otherwise("es")
-    )
+def texts_of(outputs: DataFrame) -> DataFrame:
+    """line_no, raw, other: meta.raw as other, where it differs."""
+    raw, meta = F.col("raw"), F.col("meta.raw")
+    return outputs.select("line_no", "raw", F.when(~raw.eqNullSafe(meta), meta).alias("other")).where("raw is not null or other is not null")
 
 
-def _whole(c: Column) -> Column:
-    """Whether a text ends like a finished one: sentence mark or closed box, all braces closed, dollars in pairs."""
-    closed = (F.regexp_count(c, F.lit(r"\{")) == F.regexp_count(c, F.lit(r"\}"))) & (F.regexp_count(c, F.lit(r"\$")) % 2 == 0)
-    end = F.right(c, F.lit(40))
-    return (end.rlike(r"[.?!。？！][\"'”»)\]}|_\s]*$") | (end.rlike(r"\}[\s|$]*$") & c.contains("\\boxed{"))) & closed
+def _bodies(b: pd.DataFrame) -> Iterator[tuple[int, str, str]]:
+    """(line_no, column, body) of the texts of a batch that are not blank."""
+    for line, raw, other in zip(b["line_no"], b["raw"], b["other"]):
+        if raw is not None and (t := body(raw)):
+            yield line, "raw", t
+        if other is not None and (t := body(other)):
+            yield line, "meta_raw", t
 
 
-def texts_of(outputs: DataFrame) -> DataFrame:
-    """line_no, col, text: raw, and meta.raw where it differs."""
-    raw, meta = F.col("raw"), F.col("meta.raw")
-    return outputs.select(
-        "line_no",
-        F.explode(
-            F.array(
-                F.struct(F.lit("raw").alias("col"), raw.alias("text")),
-                F.struct(F.lit("meta_raw").alias("col"), F.when(~raw.eqNullSafe(meta), meta).alias("text")),
-            )
-        ).alias("x"),
-    ).select("line_no", "x.col", "x.text").where("text is not null")
-
-
-def bodies(texts: DataFrame) -> DataFrame:
-    """Adds body (without white space and special tokens at its end, numbers as one digit), tail, lang and hash."""
-    body = F.regexp_replace(F.regexp_replace("text", _TAIL, ""), "[0-9]+", "0")
-    pad = F.lit("\x01" * ORDERS[-1])
-    return (
-        texts.withColumn("body", body)
-        .where("body <> ''")
-        .withColumn("lang", language(F.col("body")))
-        .withColumn("tail", F.substring(F.concat(pad, F.right("body", F.lit(ORDERS[-1]))), -ORDERS[-1], ORDERS[-1]))
-        .withColumn("notice", F.right("body", F.lit(60)).rlike(NOTICE))
-        .withColumn("broken", F.col("body").endswith("\ufffd"))
-        .withColumn("whole", _whole(F.col("body")))
-        .withColumn("open", (F.regexp_count("body", F.lit("<think>")) > F.regexp_count("body", F.lit("</think>"))))
-    )
+_PAD = "\x01" * ORDERS[-1]
+
+
+def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per text: language, final context, a hash of the body, whether a cut is certain, whether it ends as finished texts do."""
+    for b in batches:
+        rows = []
+        for line, col, t in _bodies(b):
+            s = _DIGITS.sub("0", t)
+            h = int.from_bytes(blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+            rows.append((line, col, language(t), (_PAD + s[-ORDERS[-1] :])[-ORDERS[-1] :], h, t.endswith(BROKEN) or has_notice(t) or is_open(t), is_finished(t)))
+        yield pd.DataFrame(rows, columns=["line_no", "col", "lang", "tail", "h", "sure", "whole"])
 
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -152,7 +152,6 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _counter(words: np.ndarray):
     """Counts the continuations of contexts in the bit set, over one task."""
-    pad = "\x01" * ORDERS[-1]
 
     def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -169,10 +168,13 @@ def _counter(words: np.ndarray):
                 yield pd.DataFrame({"lang": lang, "col": col, "ord": np.full(len(u), o, np.int32), "h": u.view(np.int64), "n": n})
 
         for b in batches:
-            for (lang, col), g in b.groupby(["lang", "col"]):
-                lens = g["body"].str.len().to_numpy()
-                code = np.frombuffer((pad + pad.join(g["body"])).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                ends = np.cumsum(lens + len(pad)) - 1
+            groups: dict[tuple[str, str], list[str]] = {}
+            for _, col, t in _bodies(b):
+                groups.setdefault((language(t), col), []).append(_DIGITS.sub("0", t))
+            for (lang, col), texts in groups.items():
+                lens = np.array([len(t) for t in texts])
+                code = np.frombuffer((_PAD + _PAD.join(texts)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                ends = np.cumsum(lens + len(_PAD)) - 1
                 on = code != 1
                 on[ends] = False
                 for o, h in zip(ORDERS, _hashes(code)):
@@ -192,18 +194,15 @@ def _counter(words: np.ndarray):
     return count
 
 
-def scores(b: DataFrame) -> DataFrame:
+def scores(texts: DataFrame, marks: DataFrame) -> DataFrame:
     """For each language, column and tail: score (log-odds of the end against continuation) and order."""
-    spark = b.sparkSession
-    ship(spark)
-    tails = b.groupBy("lang", "col", "tail").agg(F.count_distinct(F.xxhash64("body")).alias("n_end"))
+    tails = marks.groupBy("lang", "col", "tail").agg(F.count_distinct("h").alias("n_end"))
     ctx = tails.mapInPandas(_contexts, "lang string, col string, tail string, n_end long, ord int, h long, bit long").persist()
     bits = ctx.select("bit").distinct().groupBy(F.shiftright("bit", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("v"))
     words = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
     for w, v in bits.collect():  # at most FILTER_BITS / 64 rows
         words[w] = np.uint64(v & 0xFFFFFFFFFFFFFFFF)
-    distinct = b.select("lang", "col", "body")
-    go_on = spread(distinct).mapInPandas(_counter(words), "lang string, col string, ord int, h long, n long").groupBy("lang", "col", "ord", "h").agg(F.sum("n").alias("n_go"))
+    go_on = texts.mapInPandas(_counter(words), "lang string, col string, ord int, h long, n long").groupBy("lang", "col", "ord", "h").agg(F.sum("n").alias("n_go"))
     ends = ctx.groupBy("lang", "col", "ord", "h").agg(F.sum("n_end").alias("n_all"))
     known = ends.join(go_on, ["lang", "col", "ord", "h"], "left").select("lang", "col", "ord", "h", "n_all", F.coalesce("n_go", F.lit(0)).alias("n_go"))
     others = F.col("n_all") - 1
@@ -235,22 +234,18 @@ def thresholds(scored: DataFrame) -> dict[tuple[str, str], float]:
 
 def cut_texts(outputs: DataFrame) -> DataFrame:
     """line_no, col, lang, score, cut for each text of raw and meta.raw (where it differs)."""
-    b = bodies(texts_of(outputs))
-    s = scores(b).persist()
-    marked = b.select("line_no", "col", "lang", "tail", "notice", "open", "broken", "whole").join(s, ["lang", "col", "tail"], "left")
+    ship(outputs.sparkSession)
+    texts = spread(texts_of(outputs))
+    marks = texts.mapInPandas(_marks, "line_no long, col string, lang string, tail string, h long, sure boolean, whole boolean").persist()
+    marked = marks.select("line_no", "col", "lang", "tail", "sure", "whole").join(scores(texts, marks), ["lang", "col", "tail"], "left").persist()
     limit = thresholds(marked.groupBy("lang", "col", "score").agg(F.count("*").alias("n")))
-    spark = outputs.sparkSession
-    if not limit:
-        return marked.select("line_no", "col", "lang", "score", F.lit(False).alias("cut"))
-    pooled = {c: v for (k, c), v in limit.items() if k == "*"}
-    bound = F.lit(None).cast("double")
+    bound, rest = F.lit(None).cast("double"), F.lit(None).cast("double")
     for (k, c), v in limit.items():
-        if k != "*":
+        if k == "*":
+            rest = F.when(F.col("col") == c, v).otherwise(rest)
+        else:
             bound = F.when((F.col("lang") == k) & (F.col("col") == c), v).otherwise(bound)
-    rest = F.lit(None).cast("double")
-    for c, v in pooled.items():
-        rest = F.when(F.col("col") == c, v).otherwise(rest)
-    cut = F.col("notice") | F.col("open") | F.col("broken") | (~F.col("whole") & (F.col("score") < F.coalesce(bound, rest)))
+    cut = F.col("sure") | (~F.col("whole") & (F.col("score") < F.coalesce(bound, rest)))
     return marked.select("line_no", "col", "lang", "score", cut.alias("cut"))
 
 
