@@ -6,6 +6,8 @@ nested deeper than DEPTH go to an Arrow UDF, so that the result holds at any dep
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -88,3 +90,44 @@ _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("en
 @F.pandas_udf(T.ArrayType(_SPAN))
 def boxed_spans(s: pd.Series) -> pd.Series:
     return s.map(lambda t: [] if t is None else [{"start": a, "end": b, "inner": x.strip()} for a, b, x in scan_boxes(t)])
+
+
+# Fixed value: what may stand between two boxes of one group.
+_BETWEEN = re.compile(r"^[\s,\$\.\;\:\-\&\\]*$")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def last_group(s: pd.Series) -> pd.Series:
+    """The stripped contents of the last boxes that only punctuation separates, empty ones dropped."""
+
+    def group(t: str | None) -> list[str]:
+        spans = [x for x in scan_boxes(t or "") if x[2].strip()]
+        k = len(spans) - 1
+        while k > 0 and _BETWEEN.match(t[spans[k - 1][1] : spans[k][0]]):
+            k -= 1
+        return [x.strip() for _, _, x in spans[max(k, 0) :]]
+
+    return s.map(group)
+
+
+@F.pandas_udf(T.StringType())
+def last_boxed_string(s: pd.Series) -> pd.Series:
+    """The last boxed expression with its command (fbox if there is no box), braces balanced; null where it is not closed."""
+
+    def last(t: str | None) -> str | None:
+        t = t or ""
+        at = max(t.rfind("\\boxed"), -1)
+        at = at if at >= 0 else t.rfind("\\fbox")
+        if at < 0:
+            return None
+        depth, opened = 0, False
+        for i in range(at, len(t)):
+            if t[i] == "{":
+                depth, opened = depth + 1, True
+            elif t[i] == "}":
+                depth -= 1
+                if opened and depth == 0:
+                    return t[at : i + 1]
+        return None
+
+    return s.map(last)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.plans import values
+from marginalia.plans import relational, texts, values
 
-_MODULES = [values]
+_MODULES = [relational, texts, values]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
