@@ -61,7 +61,7 @@ _DECLINE = re.compile(
 _FIRST_PERSON = re.compile(r"\b(?:i|i'm|my|ich|je|yo|no puedo|я)\b|我", re.I)
 _CLAUSE = re.compile(r"(?<=[.!?。！？;；])\s*(?=\S)|\n+")
 _MATH = re.compile(r"\$[^$]*\$|\\\([^)]*\\\)|\\boxed\s*\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}|\\[a-zA-Z]+|\d+")
-_BOX_ONLY = r"^\s*\\boxed\{(?=[\s\S]*\S)" + balanced(6) + r"\}\s*$"
+_BOX_ONLY = r"^\s*\\boxed\{(?![\s\u200b-\u200d\u2060\ufeff\u00ad\u00a0]*\}\s*$)" + balanced(6) + r"\}\s*$"
 
 
 def script_language(text: str) -> str:
