@@ -107,7 +107,7 @@ def option_phrase_letter(text: Column, valid: Column) -> Column:
     for k, p in enumerate(OPTION_PHRASES):
         at, letter = _last_hit(up, p, valid)
         best.append(F.when(letter != "", F.struct(at.alias("at"), F.lit(k).alias("k"), letter.alias("letter"))))
-    return F.coalesce(F.greatest(*best)["letter"], F.lit(""))
+    return F.when(up.rlike("OPTION|ANSWER|CHOICE|CHOOSE|PICK|CORRECT"), F.coalesce(F.greatest(*best)["letter"], F.lit(""))).otherwise("")
 
 
 def _last_hit(up: Column, pattern: str, valid: Column) -> tuple[Column, Column]:

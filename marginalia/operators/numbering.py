@@ -1,7 +1,8 @@
 """Row numbers over a whole table, without bringing it into one task.
 
-Rows fall into ranges of the order key (or of a hash of it); ranges are counted,
-their offsets summed over the few counts, and rows numbered within their range.
+Rows fall into cells of equal width of the order key (an id, or a hash of one);
+cells are counted, their offsets summed over the counts, and rows numbered within
+their cell. Keys should be nearly unique: rows of one key lie in one cell.
 """
 
 from __future__ import annotations
@@ -9,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of one range, about. Smaller tables are numbered in one task.
+#: Rows of one cell, about. Smaller tables are numbered in one task. Uneven keys make uneven cells, so there are SPARE times as many as needed.
 RANGE_ROWS = 200_000
+SPARE = 8
 
 
 def hash_key(seed: int, *keys: str) -> Column:
@@ -21,20 +23,17 @@ def hash_key(seed: int, *keys: str) -> Column:
 def numbered(df: DataFrame, key: str, ties: list[str] | None = None, by: list[str] | None = None, name: str = "rn", rows: int = RANGE_ROWS) -> DataFrame:
     """Adds `name`: the row number from 1 by key (a long that isn't null) and ties, within each value of `by`."""
     by, order = by or [], [key, *(ties or [])]
-    n = df.count()
-    parts = -(-n // rows)
-    if parts <= 1:
+    n, low, high = df.agg(F.count("*"), F.min(key), F.max(key)).first()
+    cells = -(-n // rows)
+    if cells <= 1:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
-    cuts = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000)).first()[0]  # one number per range
-    at = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(key)))
-    ranged = df.withColumn("__range", at)
+    width = max(1, -(-(high - low + 1) // (cells * SPARE)))
+    ranged = df.withColumn("__range", F.floor((F.col(key) - F.lit(low)) / F.lit(width).cast("decimal(20,0)")).cast("long"))
     sums = ranged.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sums.select(*by, "__range", before.alias("__before"))
+    offsets = sums.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__range").alias("__of"), before.alias("__before"))
     within = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(*order))
-    same = [ranged[c].eqNullSafe(offsets[c]) for c in by]
-    on = ranged["__range"] == offsets["__range"]
-    for s in same:
-        on = on & s
-    joined = ranged.join(offsets, on).select(*[ranged[c] for c in ranged.columns], offsets["__before"])
-    return joined.withColumn(name, (within + F.col("__before")).cast("long")).drop("__range", "__before")
+    on = F.col("__range") == F.col("__of")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    return ranged.join(offsets, on).withColumn(name, (within + F.col("__before")).cast("long")).drop("__range", "__of", "__before", *[f"__by_{c}" for c in by])

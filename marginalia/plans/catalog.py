@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.plans import relational, texts, values
+from marginalia.plans import curation, judging, metrics, relational, streams, texts, values
 
-_MODULES = [relational, texts, values]
+_MODULES = [relational, texts, judging, metrics, curation, streams, values]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

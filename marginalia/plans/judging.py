@@ -25,7 +25,6 @@ def answered(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ANSWERED = f"(SELECT q.id, q.options, {'coalesce(len(q.options), 0) > 0'} AS mcq, q.answer, coalesce(r.response, '') AS response, r.raw, r.meta, coalesce(({duck.boxes(chr(99) + 'oalesce(r.response, ' + chr(39) * 2 + ')')})[-1], '') AS box FROM public_questions q JOIN {LAST} r ON q.id = r.id WHERE q.answer IS NOT NULL)"
-_G, _B = strip(F.lower("answer")), F.lower("box")
 
 
 def q_judge_exact(spark, d):

@@ -13,7 +13,7 @@ from marginalia.plans.duck import LAST, QUESTIONS, lit
 from marginalia.plans.relational import is_mcq, outputs, questions, records
 from marginalia.session import table
 
-RAW, RESPONSE, SEP = F.col("raw"), F.col("response"), "¦"
+SEP = "¦"
 R, P = "private_outputs WHERE raw IS NOT NULL", "private_outputs WHERE response IS NOT NULL"
 
 
@@ -36,60 +36,60 @@ _MCQ_LINES = f"(SELECT o.line_no, o.id, o.raw, o.response, o.meta, q.options, {d
 
 
 def q_all_boxed(spark, d):
-    b = boxed.extract_all_boxed(RAW)
+    b = boxed.extract_all_boxed(F.col("raw"))
     return raws(spark, d).select("line_no", F.size(b).cast("long").alias("n_boxes"), F.array_join(b, SEP).alias("boxes"))
 
 
 def q_last_boxed(spark, d):
-    return responses(spark, d).select("line_no", boxed.extract_boxed(RESPONSE).alias("box"), boxed.has_complete_boxed(RESPONSE).alias("has_box"))
+    return responses(spark, d).select("line_no", boxed.extract_boxed(F.col("response")).alias("box"), boxed.has_complete_boxed(F.col("response")).alias("has_box"))
 
 
 def q_boxed_spans(spark, d):
     """Offsets need a scan of each text: an Arrow function."""
-    return raws(spark, d).select("line_no", F.explode(boxed.boxed_spans(RAW)).alias("s")).select("line_no", "s.start", "s.end", "s.inner")
+    return raws(spark, d).select("line_no", F.explode(boxed.boxed_spans(F.col("raw"))).alias("s")).select("line_no", "s.start", "s.end", "s.inner")
 
 
 def q_last_group(spark, d):
     """The boxes of the last group that only punctuation separates, empty ones dropped."""
-    return raws(spark, d).select("line_no", F.array_join(boxed.last_group(RAW), SEP).alias("boxes"))
+    return raws(spark, d).select("line_no", F.array_join(boxed.last_group(F.col("raw")), SEP).alias("boxes"))
 
 
 def q_last_boxed_string(spark, d):
-    return raws(spark, d).select("line_no", boxed.last_boxed_string(RAW).alias("box"))
+    return raws(spark, d).select("line_no", boxed.last_boxed_string(F.col("raw")).alias("box"))
 
 
 def q_baseline_letter(spark, d):
     """Simple readings: a box of one letter or the last letter that stands alone; a marked final letter, a box, the first that stands alone."""
-    up = F.upper(RESPONSE)
-    first = F.nullif(F.upper(F.regexp_extract(RESPONSE, r"\\boxed\{([A-Za-z])\}", 1)), F.lit(""))
+    up = F.upper(F.col("response"))
+    first = F.nullif(F.upper(F.regexp_extract(F.col("response"), r"\\boxed\{([A-Za-z])\}", 1)), F.lit(""))
     alone = last_of(F.regexp_extract_all(up, F.lit(r"\b([A-Z])\b"), F.lit(1)))
-    marked = [F.nullif(F.upper(F.regexp_extract(RESPONSE, p, 1)), F.lit("")) for p in (r"(?i)FINAL\s*:\s*([A-J])\b", r"(?i)\\boxed\{\s*([A-J])\s*\}")]
-    return responses(spark, d).where(~RESPONSE.rlike(r"[^\x00-\x7f]")).select(
+    marked = [F.nullif(F.upper(F.regexp_extract(F.col("response"), p, 1)), F.lit("")) for p in (r"(?i)FINAL\s*:\s*([A-J])\b", r"(?i)\\boxed\{\s*([A-J])\s*\}")]
+    return responses(spark, d).where(~F.col("response").rlike(r"[^\x00-\x7f]")).select(
         "line_no",
         F.coalesce(first, alone, F.lit("")).alias("letter"),
         F.coalesce(*marked, F.regexp_extract(up, r"\b([A-J])\b", 1)).alias("marked_letter"),
-        F.coalesce(strip(last_of(F.regexp_extract_all(RESPONSE, F.lit(r"\\boxed\{([^{}]+)\}"), F.lit(1)))), F.lit("")).alias("flat_box"),
+        F.coalesce(strip(last_of(F.regexp_extract_all(F.col("response"), F.lit(r"\\boxed\{([^{}]+)\}"), F.lit(1)))), F.lit("")).alias("flat_box"),
     )
 
 
 def q_visible_answer(spark, d):
-    return raws(spark, d).select("line_no", think.visible_answer(RAW).alias("visible"))
+    return raws(spark, d).select("line_no", think.visible_answer(F.col("raw")).alias("visible"))
 
 
 def q_strip_thinking_v1(spark, d):
-    return raws(spark, d).select("line_no", think.strip_thinking_first(RAW).alias("text"))
+    return raws(spark, d).select("line_no", think.strip_thinking_first(F.col("raw")).alias("text"))
 
 
 def q_strip_thinking_v2(spark, d):
-    return raws(spark, d).select("line_no", think.strip_thinking_last(RAW).alias("text"))
+    return raws(spark, d).select("line_no", think.strip_thinking_last(F.col("raw")).alias("text"))
 
 
 def q_clean_tokens(spark, d):
-    return raws(spark, d).select("line_no", think.clean_special_tokens(RAW).alias("text"))
+    return raws(spark, d).select("line_no", think.clean_special_tokens(F.col("raw")).alias("text"))
 
 
 def q_clean_visible(spark, d):
-    return raws(spark, d).select("line_no", think.clean_visible(RAW).alias("text"))
+    return raws(spark, d).select("line_no", think.clean_visible(F.col("raw")).alias("text"))
 
 
 def _letter(f, c="raw"):
@@ -114,37 +114,37 @@ def q_primary_pass(spark, d):
 
 def q_best_guess(spark, d):
     """The fallback cascade over the response as second text and raw as first one."""
-    x = mcq_lines(spark, d).select("line_no", "valid", *[F.coalesce(c, F.lit("")).alias(n) for c, n in ((RAW, "primary"), (F.col("meta.raw"), "before"), (RESPONSE, "final"))])
+    x = mcq_lines(spark, d).select("line_no", "valid", *[F.coalesce(c, F.lit("")).alias(n) for c, n in ((F.col("raw"), "primary"), (F.col("meta.raw"), "before"), (F.col("response"), "final"))])
     g = guess.best_guess(F.col("primary"), F.col("before"), F.col("final"), F.col("valid"))
     return x.select("line_no", g["letter"].alias("letter"), g["path"].alias("path"), g["tier"].alias("tier"))
 
 
 def q_risk_score(spark, d):
-    s = letters.risk_signal(RAW, F.col("valid"))
+    s = letters.risk_signal(F.col("raw"), F.col("valid"))
     return mcq_lines(spark, d).where("raw is not null").select("line_no", s["score"].alias("score"), F.array_join(s["reasons"], ",").alias("reasons"))
 
 
 def q_training_echo(spark, d):
-    return raws(spark, d).select("line_no", letters.has_training_echo(RAW).alias("echo"))
+    return raws(spark, d).select("line_no", letters.has_training_echo(F.col("raw")).alias("echo"))
 
 
 def q_valid_box_form(spark, d):
     """Whether the raw text holds exactly one box and it is a valid letter."""
-    b = boxed.extract_boxed_inner(RAW)
+    b = boxed.extract_boxed_inner(F.col("raw"))
     ok = (F.size(b) == 1) & (F.coalesce(letters.letter_of_inner(F.try_element_at(b, F.lit(1)), F.col("valid")), F.lit("")) != "")
     return mcq_lines(spark, d).where("raw is not null").select("line_no", ok.alias("strict_valid"))
 
 
 def q_last_latex(spark, d):
-    return raws(spark, d).select("line_no", free.last_latex_block(RAW).alias("block"))
+    return raws(spark, d).select("line_no", free.last_latex_block(F.col("raw")).alias("block"))
 
 
 def q_answer_phrase(spark, d):
-    return responses(spark, d).select("line_no", free.last_answer_phrase(RESPONSE).alias("phrase"))
+    return responses(spark, d).select("line_no", free.last_answer_phrase(F.col("response")).alias("phrase"))
 
 
 def q_ensure_boxed(spark, d):
-    return responses(spark, d).select("line_no", free.ensure_boxed(RESPONSE).alias("text"))
+    return responses(spark, d).select("line_no", free.ensure_boxed(F.col("response")).alias("text"))
 
 
 def q_ans_slots(spark, d):
@@ -161,27 +161,27 @@ def frq_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_multi_values(spark, d):
-    v = free.multi_values(think.visible_answer(RAW), free.ans_slots(F.col("question")))
+    v = free.multi_values(think.visible_answer(F.col("raw")), free.ans_slots(F.col("question")))
     return frq_lines(spark, d).where("raw is not null").select("line_no", F.array_join(v, SEP).alias("parts"), F.size(v).cast("long").alias("n_values"))
 
 
 def q_free_canonical(spark, d):
-    c = free.canonical_free(RAW, F.col("question"))
+    c = free.canonical_free(F.col("raw"), F.col("question"))
     return frq_lines(spark, d).where("raw is not null").select("line_no", c["response"].alias("response"), c["path"].alias("path"), F.array_join(c["values"], SEP).alias("parts"))
 
 
 def q_mcq_canonical(spark, d):
-    l = letters.last_valid_letter(RAW, F.col("valid"))
-    return mcq_lines(spark, d).where("raw is not null").select("line_no", free.canonical_mcq(RAW, l).alias("text"), free.box(l).alias("short"))
+    l = letters.last_valid_letter(F.col("raw"), F.col("valid"))
+    return mcq_lines(spark, d).where("raw is not null").select("line_no", free.canonical_mcq(F.col("raw"), l).alias("text"), free.box(l).alias("short"))
 
 
 def q_box_cuts(spark, d):
-    return raws(spark, d).select("line_no", free.rstrip(free.after_first_box_cut(RAW)).alias("first_cut"), free.rstrip(free.after_last_box_cut(RAW)).alias("last_cut"))
+    return raws(spark, d).select("line_no", free.rstrip(free.after_first_box_cut(F.col("raw"))).alias("first_cut"), free.rstrip(free.after_last_box_cut(F.col("raw"))).alias("last_cut"))
 
 
 def q_smart_truncate(spark, d):
     """Cut behind the box that is most likely final; tokens counted as words of letters, digits or single signs."""
-    return mcq_lines(spark, d).where("raw is not null").select("line_no", guess.smart_cut(RAW, F.col("valid")).alias("text"))
+    return mcq_lines(spark, d).where("raw is not null").select("line_no", guess.smart_cut(F.col("raw"), F.col("valid")).alias("text"))
 
 
 def q_normalize_answer(spark, d):
@@ -189,12 +189,12 @@ def q_normalize_answer(spark, d):
 
 
 def q_single_final_box(spark, d):
-    return responses(spark, d).select("line_no", free.single_final_box(RESPONSE, F.col("meta.boxed")).alias("text"))
+    return responses(spark, d).select("line_no", free.single_final_box(F.col("response"), F.col("meta.boxed")).alias("text"))
 
 
 def q_submission_format(spark, d):
-    raw = F.coalesce(F.nullif(RAW, F.lit("")), F.nullif(F.col("meta.raw"), F.lit("")), F.lit(""))
-    return outputs(spark, d).select("line_no", free.submission_format(raw, RESPONSE).alias("text"))
+    raw = F.coalesce(F.nullif(F.col("raw"), F.lit("")), F.nullif(F.col("meta.raw"), F.lit("")), F.lit(""))
+    return outputs(spark, d).select("line_no", free.submission_format(raw, F.col("response")).alias("text"))
 
 
 def q_prompts(spark, d):
@@ -212,9 +212,9 @@ def q_chat_template(spark, d):
 
 def q_early_stop(spark, d):
     """Whether generation could have stopped: a marked or boxed letter, or a closed box behind the first thought."""
-    after = F.regexp_replace(RAW, "(?s)^.*?</think>", "")
-    letter = RAW.rlike(r"(?i)FINAL\s*:\s*[A-J]\b|\\boxed\{\s*[A-J]\s*\}")
-    return raws(spark, d).select("line_no", letter.alias("letter_stop"), (RAW.contains("</think>") & boxed.has_complete_boxed(after)).alias("box_stop"))
+    after = F.regexp_replace(F.col("raw"), "(?s)^.*?</think>", "")
+    letter = F.col("raw").rlike(r"(?i)FINAL\s*:\s*[A-J]\b|\\boxed\{\s*[A-J]\s*\}")
+    return raws(spark, d).select("line_no", letter.alias("letter_stop"), (F.col("raw").contains("</think>") & boxed.has_complete_boxed(after)).alias("box_stop"))
 
 
 def _rx(e: str, p: str, to: str = "", flags: str = "g") -> str:
