@@ -27,9 +27,12 @@ def has_notice(t: str) -> bool:
     return t[-1:] in "]>)….…" and bool(NOTICE.search(t[-60:]))
 
 
+_TAG_CUT = re.compile(r"<[/|]?[a-z_|]{0,20}$")
+
+
 def is_open(t: str) -> bool:
-    """A thought is opened and never closed."""
-    return "<think>" in t and t.count("<think>") > t.count("</think>")
+    """A thought is opened and never closed, or a tag is cut."""
+    return "<think>" in t and t.count("<think>") > t.count("</think>") or bool(_TAG_CUT.search(t[-24:]))
 
 
 def in_pairs(t: str) -> bool:

@@ -9,7 +9,7 @@ how often a text goes on after it:
 at the longest order with enough support, backing off to shorter ones. Contexts
 are counted per language and column. A text is cut where its score lies below the
 threshold of its language and column, which is the emptiest place between the two
-groups of scores. An exact check follows: a notice that more followed, half a
+groups of scores of texts that the exact check leaves open. That check: a notice that more followed, half a
 character or a thought that is never closed always means a cut; a text that ends
 with the mark of a sentence or with a closed box, with braces and dollars in
 pairs, counts as finished.
@@ -45,7 +45,7 @@ SMOOTH = 0.5
 #: Size of the bit set of contexts, in bits (512 kB).
 FILTER_BITS = 1 << 22
 #: The threshold is sought in this range of log-odds; a group of fewer texts than GROUP takes that of all texts of its column.
-LOWEST, HIGHEST, GROUP = -2.75, -1.0, 400
+LOWEST, HIGHEST, GROUP = -2.5, -0.25, 100
 #: Python state of a counting task is merged whenever it holds so many hits.
 FLUSH = 1_500_000
 
@@ -227,7 +227,7 @@ def thresholds(scored: DataFrame) -> dict[tuple[str, str], float]:
             continue
         places = [c for c in range(int(LOWEST / step), int(HIGHEST / step))]
         width = 3
-        load = [(sum(h.get(c + d, 0) for d in range(-width, width + 1)), abs((c + 0.5) * step + 2.0), c) for c in places]
+        load = [(sum(h.get(c + d, 0) for d in range(-width, width + 1)), abs((c + 0.5) * step + 1.0), c) for c in places]
         out[key] = (min(load)[2] + 0.5) * step
     return out
 
@@ -238,14 +238,14 @@ def cut_texts(outputs: DataFrame) -> DataFrame:
     texts = spread(texts_of(outputs))
     marks = texts.mapInPandas(_marks, "line_no long, col string, lang string, tail string, h long, sure boolean, whole boolean").persist()
     marked = marks.select("line_no", "col", "lang", "tail", "sure", "whole").join(scores(texts, marks), ["lang", "col", "tail"], "left").persist()
-    limit = thresholds(marked.groupBy("lang", "col", "score").agg(F.count("*").alias("n")))
+    limit = thresholds(marked.where("not sure and not whole").groupBy("lang", "col", "score").agg(F.count("*").alias("n")))
     bound, rest = F.lit(None).cast("double"), F.lit(None).cast("double")
     for (k, c), v in limit.items():
         if k == "*":
             rest = F.when(F.col("col") == c, v).otherwise(rest)
         else:
             bound = F.when((F.col("lang") == k) & (F.col("col") == c), v).otherwise(bound)
-    cut = F.col("sure") | (~F.col("whole") & (F.col("score") < F.coalesce(bound, rest)))
+    cut = F.col("sure") | (~F.col("whole") & (F.col("score") < F.coalesce(bound, rest, F.lit((LOWEST + HIGHEST) / 2))))
     return marked.select("line_no", "col", "lang", "score", cut.alias("cut"))
 
 
