@@ -33,7 +33,7 @@ from marginalia.session import ship, spread
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
-FIT_LINES, FIT_CHARS, STEPS = 3_000, 5_000, 150
+FIT_LINES, FIT_CHARS, FIT_CLAUSES, STEPS = 3_000, 5_000, 6, 120
 #: Share of an answer's words under a tag from which it has that defect.
 COVER = 0.5
 
@@ -76,22 +76,50 @@ def script_language(text: str) -> str:
     return "ru" if cyr >= 3 else ""
 
 
-def votes(text: str) -> dict[str, float]:
-    """How much each language shows in a text without its formulas."""
+def votes(text: str, learned: dict[str, str] | None = None) -> dict[str, float]:
+    """How much each language shows in a text without its formulas: by script, function words, and learned words."""
     plain = _MATH.sub(" ", text)
     s = "" if plain.isascii() else script_language(plain)
     out: dict[str, float] = {}
     if s:
         out[s] = len(plain) / 6 if s == "ru" else float(len(plain))
     for w in re.findall(r"[^\W\d_]+", plain.lower()):
-        if w in _LANGUAGE:
-            out[_LANGUAGE[w]] = out.get(_LANGUAGE[w], 0) + 1
+        k = _LANGUAGE.get(w) or (learned.get(w) if learned else None)
+        if k:
+            out[k] = out.get(k, 0) + 1
         elif w in _SHARED:
             for k in _SHARED[w]:
                 out[k] = out.get(k, 0) + 0.4
     return out
 
 
+#: Words learned as signs of a language: at most so many, seen so often, and so surely in one language.
+LEARNED, SEEN, SURE = 20_000, 3, 0.95
+
+
+def learn_words(texts: list[str]) -> dict[str, str]:
+    """Words that stand in texts of one language only, by the function words of whole texts."""
+    from collections import Counter
+
+    seen: dict[str, Counter] = {}
+    for t in texts:
+        v = sorted(votes(t).items(), key=lambda x: -x[1])
+        if v and v[0][0] not in ("zh", "ru") and v[0][1] >= 4 and (len(v) == 1 or v[0][1] >= 2 * v[1][1]):
+            for w in set(re.findall(r"[^\W\d_]{2,}", _MATH.sub(" ", t).lower())):
+                seen.setdefault(w, Counter())[v[0][0]] += 1
+    texts_of: Counter = Counter()
+    for c in seen.values():
+        for k, n in c.items():
+            texts_of[k] = max(texts_of[k], n)
+    out = {}
+    for w, c in seen.items():
+        share = {k: n / texts_of[k] for k, n in c.items()}
+        k = max(sorted(share), key=share.__getitem__)
+        if c[k] >= SEEN and share[k] >= SURE * sum(share.values()):
+            out[w] = (c[k], k)
+    return {w: k for w, (_, k) in sorted(out.items(), key=lambda x: (-x[1][0], x[0]))[:LEARNED]}
+
+
 def main_language(v: dict[str, float], least: float = 1.0) -> str:
     if not v:
         return ""
@@ -102,13 +130,13 @@ def main_language(v: dict[str, float], least: float = 1.0) -> str:
 N_FEATURES = 14
 
 
-def clauses_of(text: str, question: str, q_words: frozenset[str], q_language: str, alphabetic: bool = True) -> tuple[np.ndarray, list[int], list[str]]:
-    """Features of each clause, its number of words, and its language."""
+def clauses_of(text: str, q_words: frozenset[str], q_language: str, learned: dict[str, str] | None = None) -> tuple[np.ndarray, list[int], dict[str, float]]:
+    """Features of each clause, its number of words, and the votes of all clauses for languages."""
     from marginalia.llm.wordfold import words
 
     parts = [p for p in _CLAUSE.split(end_of(text)) if p and p.strip()]
     closed = is_finished(end_of(text))
-    rows, sizes, languages = [], [], []
+    rows, sizes, total = [], [], {}
     kept = []
     for p in parts:
         ws = words(p)
@@ -116,7 +144,9 @@ def clauses_of(text: str, question: str, q_words: frozenset[str], q_language: st
             kept.append((p, ws))
     n = len(kept)
     for k, (p, ws) in enumerate(kept):
-        v = votes(p)
+        v = votes(p, learned)
+        for lang, x in v.items():
+            total[lang] = total.get(lang, 0.0) + x
         lang = main_language(v)
         shared = sum(w in q_words for w in ws) / len(ws) if ws and q_words else 0.0
         decline = bool(_DECLINE.search(p))
@@ -141,8 +171,7 @@ def clauses_of(text: str, question: str, q_words: frozenset[str], q_language: st
             ]
         )
         sizes.append(max(1, len(ws)))
-        languages.append(lang)
-    return np.array(rows, dtype=np.float64).reshape(-1, N_FEATURES), sizes, languages
+    return np.array(rows, dtype=np.float64).reshape(-1, N_FEATURES), sizes, total
 
 
 def weak_tags(x: np.ndarray) -> np.ndarray:
@@ -245,7 +274,7 @@ _SEEDS = [
 ]
 
 
-def _question_side(question: str | None, options) -> tuple[frozenset[str], str, list[str]]:
+def _question_side(question: str | None, options, learned: dict[str, str] | None = None) -> tuple[frozenset[str], str, list[str]]:
     from marginalia.llm.unify import unified
     from marginalia.llm.wordfold import words
 
@@ -254,7 +283,7 @@ def _question_side(question: str | None, options) -> tuple[frozenset[str], str,
     extra = {"question", "options"}
     for i, o in enumerate(options if options is not None else ()):
         extra |= {chr(97 + i % 26), *words(o or "")}
-    return frozenset(ws) | extra if ws else frozenset(), main_language(votes(text), 0.4), ws
+    return frozenset(ws) | extra if ws else frozenset(), main_language(votes(text, learned), 0.4), ws
 
 
 def visible(text: str) -> str:
@@ -276,7 +305,7 @@ def is_empty(text: str | None) -> bool:
     return bool(boxes) and not boxes[-1].strip("​‌‍⁠﻿­ \t\r\n\u00a0")
 
 
-def decide(text: str, x: np.ndarray, tags: np.ndarray, sizes: list[int], q_words: frozenset[str]) -> str | None:
+def decide(text: str, x: np.ndarray, tags: np.ndarray, sizes: list[int], q_words: frozenset[str], q_language: str, spoken: dict[str, float]) -> str | None:
     """The defect of a pair that is not empty, by the words each tag covers."""
     if len(x):
         cover = np.bincount(tags, weights=sizes, minlength=len(TAGS))
@@ -290,26 +319,27 @@ def decide(text: str, x: np.ndarray, tags: np.ndarray, sizes: list[int], q_words
     if not is_finished(end_of(text)):
         return "truncated"
     if len(x):
-        known = (x[:, 6] + x[:, 7]) > 0
-        foreign = sum(s for s, f in zip(sizes, x[:, 6]) if f)
-        own = sum(s for s, f in zip(sizes, x[:, 7]) if f)
-        if known.any() and foreign > own and (cover[FOREIGN] > 0 or foreign >= COVER * total):
+        mostly = main_language(spoken)
+        if q_language and mostly and mostly != q_language and spoken[mostly] > spoken.get(q_language, 0.0) and cover[FOREIGN] + cover[UNFINISHED] + cover[ECHO] > 0:
             return "other_language"
     return None
 
 
-def fit_field(rows) -> ClauseField:
-    """rows: (question, options, text)."""
+def fit_field(rows) -> tuple[ClauseField, dict[str, str]]:
+    """rows: (question, options, text). The field, and the words learned as signs of a language."""
+    learned = learn_words([t for _, _, t in rows if t] + [q for q, _, _ in rows if q])
     xs, ys = [], []
     for q, o, t in [*rows, *[(q, None, t) for q, t in _SEEDS] * 3]:
         if is_empty(t):
             continue
-        qw, ql, _ = _question_side(q, o)
-        x, _, _ = clauses_of(visible(t)[-FIT_CHARS:], q or "", qw, ql)
+        qw, ql, _ = _question_side(q, o, learned)
+        x, _, _ = clauses_of(visible(t)[-FIT_CHARS:], qw, ql, learned)
         if len(x):
-            xs.append(x[-40:])
-            ys.append(weak_tags(x)[-40:])
-    return ClauseField().fit(xs, ys)
+            if len(x) > 2 * FIT_CLAUSES:
+                x = np.concatenate([x[:FIT_CLAUSES], x[-FIT_CLAUSES:]])
+            xs.append(x)
+            ys.append(weak_tags(x))
+    return ClauseField().fit(xs, ys), learned
 
 
 def judged(outputs: DataFrame) -> DataFrame:
@@ -331,10 +361,10 @@ def pair_defects(questions: DataFrame, outputs: DataFrame) -> DataFrame:
     def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from marginalia.llm.unify import unified
 
-        f = field.value
+        f, learned = field.value
         for b in batches:
             found: list[tuple[int, str]] = []
-            held: list[tuple[int, str, np.ndarray, list[int], frozenset[str]]] = []
+            held = []
             sides: dict = {}
             for line, i, text, question, options in zip(b["line_no"], b["id"], b["text"], b["question"], b["options"]):
                 if is_empty(text):
@@ -343,11 +373,11 @@ def pair_defects(questions: DataFrame, outputs: DataFrame) -> DataFrame:
                 text = unified(text)
                 side = sides.get(i)
                 if side is None:
-                    side = sides[i] = _question_side(question, options)
-                x, sizes, _ = clauses_of(visible(text), question or "", side[0], side[1])
-                held.append((line, text, x, sizes, side[0]))
-            for (line, text, x, sizes, qw), tags in zip(held, f.tag([h[2] for h in held])):
-                d = decide(text, x, tags, sizes, qw)
+                    side = sides[i] = _question_side(question, options, learned)
+                x, sizes, spoken = clauses_of(visible(text), side[0], side[1], learned)
+                held.append((line, text, x, sizes, side[0], side[1], spoken))
+            for (line, text, x, sizes, qw, ql, spoken), tags in zip(held, f.tag([h[2] for h in held])):
+                d = decide(text, x, tags, sizes, qw, ql, spoken)
                 if d:
                     found.append((line, d))
             yield pd.DataFrame(found, columns=["line_no", "defect"])
