@@ -32,6 +32,8 @@ PASSAGE = 3
 COVERED = 0.2
 #: Share of the shorter text's words that must stand in the longer one in order, and of the longer one's (a remark may be added).
 SAME, EXTRA = 0.72, 0.45
+#: A short exercise that stands whole in the other text may have this many words of remarks beside it.
+WHOLE, REMARK = 0.9, 16
 #: Different texts of one block of quantities, by side.
 EVAL_BLOCK, TRAIN_BLOCK = 2_000, 20_000
 #: Evaluation texts that one automaton is built for, about; it scans about five times as many training texts.
@@ -64,14 +66,14 @@ def _folded() -> tuple[frozenset[str], frozenset[str]]:
 
 def exercise_words(text: str) -> list[str]:
     """The folded words of an exercise without its label and worth."""
-    from marginalia.llm.wordfold import words
+    from marginalia.llm.wordfold import alike, words
 
     labels, worth = _folded()
     for p in (_HEAD, _END):
         if (m := p.search(text)) and _NUMBERED.search(m[0]):
             text = text[: m.start()] + text[m.end() :]
     ws = words(text)
-    if len(ws) > 2 and ws[0] in labels and ws[1][0].isdigit():
+    if len(ws) > 2 and ws[1][0].isdigit() and (ws[0] in labels or len(ws[0]) > 4 and any(alike(ws[0], x) for x in labels if len(x) > 4)):
         ws = ws[2:]
     elif len(ws) > 2 and ws[0][0].isdigit() and _ENUMERATED.match(text):
         ws = ws[1:]
@@ -123,7 +125,8 @@ def same_exercise(a: list[str], b: list[str]) -> bool:
     if a == b:
         return True
     short, long = similar(a, b)
-    return short >= SAME and long >= EXTRA and same_quantities(a, b)
+    added = abs(len(a) - len(b))
+    return short >= SAME and (long >= EXTRA or short >= WHOLE and added <= REMARK) and same_quantities(a, b)
 
 
 def _passages(ws: list[str]) -> list[tuple[int, str]]:
@@ -145,14 +148,18 @@ def scan(shard: pd.DataFrame) -> pd.DataFrame:
         for e, (ws, key) in enumerate(zip(texts, zip(evals["key"], evals["block"]))):
             for i, p in _passages(ws):
                 owners.setdefault(p, {}).setdefault(key, []).append((e, i))
-        for p, o in owners.items():
-            auto.add_word(p, o)
+        for n, (p, o) in enumerate(owners.items()):
+            auto.add_word(p, (n, o))
         auto.make_automaton()
         size = PASSAGE
         hashes = evals["h"].tolist()
         for h, text, key, block in zip(trains["h"], trains["folded"], trains["key"], trains["block"]):
             spans: dict[int, set[int]] = {}
-            for _, o in auto.iter(f" {text} "):
+            met: set[int] = set()
+            for _, (n, o) in auto.iter(f" {text} "):
+                if n in met:  # a passage again says nothing new
+                    continue
+                met.add(n)
                 for e, i in o.get((key, block), ()):
                     spans.setdefault(e, set()).add(i)
             ws = None
