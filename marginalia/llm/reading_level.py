@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.session import ship, spread
@@ -55,11 +55,16 @@ _SEGMENT = re.compile(r"[.!?;:]+(?=\s|$)|\n+|\s+and (?:so|then)\s+|\s+and undern
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+")
 
 
-def is_english(c: Column) -> Column:
-    """By script and function words, whatever the language column says."""
-    n = {k: F.regexp_count(c, F.lit(r"(?i)\b(?:" + v.replace(" ", "|") + r")\b")) for k, v in _LANGUAGES.items()}
-    foreign = F.regexp_count(c, F.lit(r"[Ѐ-ӿ一-鿿]"))
-    return (n["en"] >= F.greatest(n["de"], n["fr"], n["es"])) & (foreign * 4 < F.length(c)) & c.rlike(r"\p{L}")
+_SETS = {k: frozenset(v.split()) for k, v in _LANGUAGES.items()}
+_FOREIGN = re.compile("[Ѐ-ӿ一-鿿]")
+
+
+def is_english(text: str, segs: list[list[str]]) -> bool:
+    """By script and function words, whatever the language column says; words of no language count as English."""
+    if not text.isascii() and len(_FOREIGN.findall(text)) * 4 >= len(text):
+        return False
+    n = {k: sum(w in v for s in segs for w in s) for k, v in _SETS.items()}
+    return n["en"] >= max(n["de"], n["fr"], n["es"])
 
 
 def segments(text: str) -> list[list[str]]:
@@ -102,16 +107,22 @@ class WordGrades:
         a = 0.02 * max(1.0, float(mass.mean()))
         self.logp = np.log((m + a * share) / (mass + a)) - np.log(share) if len(keep) else m
 
-    def segment(self, ws: list[str]) -> np.ndarray:
-        """Mean log-odds of each band against all, over the known terms of a segment, weighted towards many terms."""
-        ix = [i for t in _terms(ws) if (i := self.index.get(t)) is not None]
-        if not ix:
-            return np.zeros(self.n_bands)
-        return self.logp[:, ix].clip(-3, 3).sum(axis=1) / math.sqrt(len(ix))
+    def score(self, d: list[list[str]]) -> np.ndarray:
+        """For each segment and band: log-odds of its known words and pairs against all bands, over the root of their number."""
+        ix, at, get = [], [0], self.index.get
+        for ws in d:
+            for t in _terms(ws):
+                i = get(t)
+                if i is not None:
+                    ix.append(i)
+            at.append(len(ix))
+        total = np.concatenate([np.zeros((self.n_bands, 1)), np.cumsum(self.logp[:, ix].clip(-3, 3), axis=1)], axis=1)
+        at = np.array(at)
+        return ((total[:, at[1:]] - total[:, at[:-1]]) / np.sqrt(np.maximum(1, np.diff(at)))).T
 
 
 def features(d: list[list[str]], grades: WordGrades, rarity: np.ndarray) -> np.ndarray:
-    s = np.array([grades.segment(ws) for ws in d])
+    s = grades.score(d)
     band = s[:, :3]
     if s.shape[1] == 4:
         plain = s[:, 3] <= band.max(axis=1) + 0.5
@@ -219,8 +230,9 @@ class LevelModel:
         return self
 
     def predict(self, texts: list[str]) -> list[str | None]:
+        """The band of each English text with words, else None."""
         docs = [segments(t) for t in texts]
-        rows = [i for i, d in enumerate(docs) if d]
+        rows = [i for i, d in enumerate(docs) if d and is_english(texts[i], d)]
         out: list[str | None] = [None] * len(texts)
         if rows:
             for i, b in zip(rows, self.regression.predict(np.array([features(docs[i], self.grades, self.rarity) for i in rows]))):
@@ -228,32 +240,27 @@ class LevelModel:
         return out
 
 
-def word_rarity(english: DataFrame) -> np.ndarray:
+def word_rarity(documents: DataFrame) -> np.ndarray:
     """For each bucket of hashed words, minus the log of its share among all words of the corpus."""
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
-    rows = english.select(word.alias("w")).groupBy((F.crc32("w") % BUCKETS).alias("b")).count().collect()  # at most BUCKETS rows
+    rows = documents.where("text is not null").select(word.alias("w")).groupBy((F.crc32("w") % BUCKETS).alias("b")).count().collect()  # at most BUCKETS rows
     n = np.full(BUCKETS, 0.5)
     for b, c in rows:
         n[b] += c
     return -np.log(n / n.sum())
 
 
-def english_documents(documents: DataFrame) -> DataFrame:
-    return documents.where("trim(coalesce(text, '')) <> ''").where(is_english(F.col("text"))).select("doc_id", "text", F.col("source").alias("source"))
-
-
 def fit(documents: DataFrame, labels: DataFrame, exercises: DataFrame | None = None) -> LevelModel | None:
-    english = english_documents(documents)
     graded = labels.where(F.col("band").isin(*BANDS)).groupBy("doc_id").agg(*[F.count_if(F.col("band") == b).alias(b) for b in BANDS])
-    sample = graded.join(english, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
+    sample = graded.join(documents.where("text is not null").select("doc_id", "text"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
     room = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    rows = sample.withColumn("room", room).where(F.col("room") <= LABELLED_CHARS).collect()
+    rows = [r for r in sample.withColumn("room", room).where(F.col("room") <= LABELLED_CHARS).collect() if is_english(r["text"], segments(r["text"]))]
     if not rows:
         return None
     w = np.array([[r[b] for b in BANDS] for r in rows], dtype=float)
     w /= w.sum(axis=1, keepdims=True)
     ex = [r[0] for r in exercises.select("item_text").where("item_text is not null").orderBy(F.xxhash64("item_text")).limit(LABELLED).collect()] if exercises is not None else []
-    return LevelModel().fit([r["text"] for r in rows], w, ex, word_rarity(english))
+    return LevelModel().fit([r["text"] for r in rows], w, ex, word_rarity(documents))
 
 
 def levels(documents: DataFrame, labels: DataFrame, exercises: DataFrame | None = None) -> DataFrame:
@@ -271,7 +278,7 @@ def levels(documents: DataFrame, labels: DataFrame, exercises: DataFrame | None
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "band": m.predict(b["text"].tolist())})
 
-    return spread(english_documents(documents)).mapInPandas(grade, schema).where("band is not null")
+    return spread(documents.where("text is not null").select("doc_id", "text", "source")).mapInPandas(grade, schema).where("band is not null")
 
 
 def profile(documents: DataFrame, labels: DataFrame, exercises: DataFrame | None = None) -> DataFrame:
