@@ -33,8 +33,8 @@ SAMPLE = 8
 ITEM_BLOCK = 2_000
 #: Share of an item's phrases that must be found before its words are aligned.
 CANDIDATE = 0.14
-#: Share of its words that the run must span (half, less what an edit may take off the ends), and of the run that must be found.
-RUN, FOUND, NUMBERS = 0.46, 0.55, 0.6
+#: Share of its words that the run must span (half, less what an edit may take off the ends), of the run and of the item that must be found, and of the run's numbers.
+RUN, FOUND, HELD, NUMBERS = 0.46, 0.62, 0.4, 0.6
 #: Longest gap within a run, in words of the item and of the document.
 ITEM_GAP, DOC_GAP = 8, 25
 
@@ -168,7 +168,7 @@ def held_run(item: list[str], passage: list[str]) -> tuple[int, int, int, int] |
     span = b - a + 1
     numbers = [i for i in range(a, b + 1) if item[i][0].isdigit()]
     found = {i for i, _ in best}
-    if span < RUN * len(item) or len(best) < FOUND * span or (numbers and sum(i in found for i in numbers) < NUMBERS * len(numbers)):
+    if span < RUN * len(item) or len(best) < max(FOUND * span, HELD * len(item)) or (numbers and sum(i in found for i in numbers) < NUMBERS * len(numbers)):
         return None
     return a, b, best[0][1], best[-1][1]
 

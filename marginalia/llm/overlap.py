@@ -183,9 +183,10 @@ def overlaps(questions: DataFrame) -> DataFrame:
     ship(spark)
     q = questions.where("split is not null and trim(coalesce(question, '')) <> ''").select("id", (F.col("split") == "train").alias("train"), "question")
     folded = spread(q).mapInPandas(_fold, "id long, train boolean, folded string, key string").where("folded <> ''").withColumn("h", F.xxhash64("folded", F.lit(11))).persist()
-    classes = folded.groupBy("h", "train").agg(F.first("folded").alias("folded"), F.first("key").alias("key"))
     sizes = (
-        classes.groupBy("key")
+        folded.select("h", "train", "key")
+        .distinct()
+        .groupBy("key")
         .agg(F.count_if("train").alias("nt"), F.count_if(~F.col("train")).alias("ne"))
         .where("nt > 0 and ne > 0")
         .select("key", F.ceil(F.col("ne") / EVAL_BLOCK).cast("int").alias("be"), F.ceil(F.col("nt") / TRAIN_BLOCK).cast("int").alias("bt"), "ne", "nt")
@@ -193,7 +194,8 @@ def overlaps(questions: DataFrame) -> DataFrame:
     )
     ne, nt = sizes.agg(F.coalesce(F.sum("ne"), F.lit(0)), F.coalesce(F.sum("nt"), F.lit(0))).first()
     shards = max(spark.sparkContext.defaultParallelism, -(-ne // SHARD), -(-nt // (5 * SHARD)))
-    x = classes.join(sizes, "key")
+    # only texts whose quantities stand on both sides move on, one of each class
+    x = folded.join(sizes, "key").groupBy("h", "train", "key", "be", "bt").agg(F.first("folded").alias("folded"))
     own_e, own_t = F.pmod(F.col("h"), F.col("be")), F.pmod(F.col("h"), F.col("bt"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     block = lambda e, t: F.struct(e.cast("int").alias("e"), t.cast("int").alias("t"))

@@ -51,7 +51,7 @@ _LANGUAGES = {
     "fr": "le les des est une dans pour et du on il la en",
     "es": "el los las que por una para del se con la es en",
 }
-_SEGMENT = re.compile(r"[.!?;:]+(?=\s|$)|\n+|\s+and (?:so|then)\s+|\s+and underneath\s+")
+_SEGMENT = re.compile(r"[.!?;:]+(?=\s|$)|[。！？；]+|\n+|\s+and (?:so|then)\s+|\s+and underneath\s+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+")
 
 
@@ -59,9 +59,10 @@ _SETS = {k: frozenset(v.split()) for k, v in _LANGUAGES.items()}
 _FOREIGN = re.compile("[Ѐ-ӿ一-鿿]")
 
 
-def is_english(text: str, segs: list[list[str]]) -> bool:
+def is_english(segs: list[list[str]]) -> bool:
     """By script and function words, whatever the language column says; words of no language count as English."""
-    if not text.isascii() and len(_FOREIGN.findall(text)) * 4 >= len(text):
+    foreign = sum(any(_FOREIGN.search(w) for w in s) for s in segs)
+    if 2 * foreign >= len(segs):
         return False
     n = {k: sum(w in v for s in segs for w in s) for k, v in _SETS.items()}
     return n["en"] >= max(n["de"], n["fr"], n["es"])
@@ -121,32 +122,36 @@ class WordGrades:
         return ((total[:, at[1:]] - total[:, at[:-1]]) / np.sqrt(np.maximum(1, np.diff(at)))).T
 
 
-def features(d: list[list[str]], grades: WordGrades, rarity: np.ndarray) -> np.ndarray:
+def main_text(d: list[list[str]], grades: WordGrades) -> tuple[list[list[str]], np.ndarray]:
+    """The segments that don't read like an exercise (all, if none is left), and their scores by band."""
     s = grades.score(d)
-    band = s[:, :3]
-    if s.shape[1] == 4:
-        plain = s[:, 3] <= band.max(axis=1) + 0.5
-        if not plain.any():
-            plain[:] = True
-    else:
-        plain = np.ones(len(d), dtype=bool)
-    kept = [w for w, p in zip(d, plain) if p]
-    band = band[plain]
+    if s.shape[1] == 3:
+        return d, s
+    plain = s[:, 3] <= s[:, :3].max(axis=1) + 0.5
+    if not plain.any():
+        plain[:] = True
+    return [w for w, p in zip(d, plain) if p], s[plain, :3]
+
+
+def features(kept: list[list[str]], band: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     z = np.exp(band - band.max(axis=1, keepdims=True))
     z /= z.sum(axis=1, keepdims=True)
     grade = z @ np.array([-1.0, 0.0, 1.0])
+    # headings and stock sentences speak for no band, and so weigh little
+    weight = (z.max(axis=1) - 1 / 3 + 1e-3) * np.sqrt([len(ws) for ws in kept])
+    weight /= weight.sum()
     flat = [w for ws in kept for w in ws]
     letters = [w for w in flat if w != "0"]
     windows = [len(set(flat[i : i + 40])) / len(flat[i : i + 40]) for i in range(0, max(1, len(flat) - 20), 20)]
     rare = np.array([rarity[zlib.crc32(w.encode()) % BUCKETS] for w in letters])
     return np.array(
         [
-            grade.mean(),
-            np.median(grade),
-            z[:, 0].mean(),
-            z[:, 2].mean(),
-            float(np.tanh(band[:, 0].mean() - band[:, 1].mean())),
-            float(np.tanh(band[:, 2].mean() - band[:, 1].mean())),
+            float(weight @ grade),
+            float(grade[np.argsort(grade)][np.searchsorted(np.cumsum(weight[np.argsort(grade)]), 0.5).clip(max=len(grade) - 1)]),
+            float(weight @ z[:, 0]),
+            float(weight @ z[:, 2]),
+            float(np.tanh(weight @ (band[:, 0] - band[:, 1]))),
+            float(np.tanh(weight @ (band[:, 2] - band[:, 1]))),
             float(np.mean(windows)),
             float(rare.mean()),
             float(np.quantile(rare, 0.9)),
@@ -218,7 +223,7 @@ class LevelModel:
                 else:
                     g = WordGrades([d for d, p in zip(docs, part) if not p], weights[~part], ex)
                 for i in np.flatnonzero(part):
-                    x[i] = features(docs[i], g, rarity)
+                    x[i] = features(*main_text(docs[i], g), rarity)
             y = np.tile(np.arange(3), len(docs))
             self.regression = OrdinalRegression().fit(np.repeat(x, 3, axis=0), y, weights.ravel())
             if not again and len(docs) >= 10 * FOLDS:
@@ -232,10 +237,16 @@ class LevelModel:
     def predict(self, texts: list[str]) -> list[str | None]:
         """The band of each English text with words, else None."""
         docs = [segments(t) for t in texts]
-        rows = [i for i, d in enumerate(docs) if d and is_english(texts[i], d)]
         out: list[str | None] = [None] * len(texts)
+        rows, x = [], []
+        for i, d in enumerate(docs):
+            if d:
+                kept, band = main_text(d, self.grades)
+                if is_english(kept):
+                    rows.append(i)
+                    x.append(features(kept, band, self.rarity))
         if rows:
-            for i, b in zip(rows, self.regression.predict(np.array([features(docs[i], self.grades, self.rarity) for i in rows]))):
+            for i, b in zip(rows, self.regression.predict(np.array(x))):
                 out[i] = BANDS[b]
         return out
 
@@ -254,7 +265,7 @@ def fit(documents: DataFrame, labels: DataFrame, exercises: DataFrame | None = N
     graded = labels.where(F.col("band").isin(*BANDS)).groupBy("doc_id").agg(*[F.count_if(F.col("band") == b).alias(b) for b in BANDS])
     sample = graded.join(documents.where("text is not null").select("doc_id", "text"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
     room = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    rows = [r for r in sample.withColumn("room", room).where(F.col("room") <= LABELLED_CHARS).collect() if is_english(r["text"], segments(r["text"]))]
+    rows = [r for r in sample.withColumn("room", room).where(F.col("room") <= LABELLED_CHARS).collect() if is_english(segments(r["text"]))]
     if not rows:
         return None
     w = np.array([[r[b] for b in BANDS] for r in rows], dtype=float)
