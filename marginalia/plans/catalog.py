@@ -16,4 +16,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in _MODULES for k, s in m.SQL.items()}
+    return {k: s for m in _MODULES for k, s in m.SQL.items()} | {"q_verify_budget": relational._budget()}

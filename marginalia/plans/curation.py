@@ -93,5 +93,36 @@ def _adapt() -> str:
     return SQL["q_adapt_examples"].replace("{mcq}", texts._mcq(prompts.MCQ_TRAIN_TASK)).replace("{frq}", frq).replace("{{", "{").replace("}}", "}")
 
 
+def _more() -> dict[str, str]:
+    from marginalia.functions import prompts
+    from marginalia.plans import texts
+
+    gold = lambda o: f"CASE WHEN g = '' THEN '' WHEN gl <> '' THEN gl WHEN len(gh) > 0 THEN chr(65 + gh[1]::INT) WHEN list_contains(gv, upper(g)) THEN upper(g) ELSE '' END"
+    clean = f"list_filter(list_transform(coalesce(options, []::VARCHAR[]), lambda x: {duck.strip('x')}), lambda x: x IS NOT NULL AND x <> '')"
+    boxed = lambda e: f"coalesce(({duck.boxes(e)})[-1], '')"
+    flag = f"WITH x AS (SELECT *, {_FLAG} AS flag FROM {_REASON}), y AS (SELECT *, CASE WHEN flag IS NULL THEN {texts.single_final_box_sql('s', duck.strip('f'))} END AS t FROM x), z AS (SELECT id, question, t, coalesce(flag, CASE WHEN length({duck.strip('t')}) < {curate.LEAST_TARGET} THEN 'target_too_short_after_canonicalize' END) AS reason FROM y)"
+    reasoning = f"{flag} SELECT id, reason, CASE WHEN reason IS NULL THEN question || {texts._NL2} || {lit(prompts.REASONING_TASK)} END AS prompt, CASE WHEN reason IS NULL THEN t END AS target FROM z"
+    meta = lambda c: f"coalesce(meta.{c}, false)"
+    replay = (
+        f"WITH a AS (SELECT r.id, r.meta, r.is_mcq, q.question, q.options, q.answer, b.correct, {duck.strip('coalesce(r.response, ' + lit('') + ')')} AS response, {duck.strip('coalesce(nullif(r.raw, ' + lit('') + '), r.meta.raw, ' + lit('') + ')')} AS trace FROM {LAST} r LEFT JOIN {QUESTIONS} q ON r.id = q.id LEFT JOIN (SELECT id, bool_and(correct) AS correct FROM baseline_results WHERE correct IS NOT NULL GROUP BY id) b ON r.id = b.id), "
+        f"c AS (SELECT *, {_SOL('trace')} AS canon, {duck.boxes('response')} AS b, {clean} AS o, {duck.strip('coalesce(answer, ' + lit('') + ')')} AS g, {duck.labels('options')} AS gv FROM a), "
+        f"d AS (SELECT *, {duck.labels('o')} AS v, coalesce(is_mcq, len(o) > 0) AS mcq, {duck.valid_letter('g', 'gv')} AS gl, list_filter(range(coalesce(len(options), 0)), lambda i: lower({duck.strip('options[i + 1]')}) = lower(g)) AS gh, CASE WHEN canon <> '' THEN canon ELSE response END AS shown FROM c), "
+        f"e AS (SELECT *, {gold('')} AS gold, {duck.valid_letter('shown', 'v')} AS found FROM d), f AS (SELECT *, CASE WHEN found <> '' THEN found ELSE gold END AS letter FROM e), "
+        f"h AS (SELECT *, CASE WHEN response = '' AND trace = '' THEN 'missing_response' WHEN correct IS NOT NULL AND NOT correct THEN 'marked_incorrect' WHEN correct IS NULL AND len(b) = 0 THEN 'clean_filter_missing_box' WHEN correct IS NULL AND list_contains(b, '') THEN 'clean_filter_empty_boxed' WHEN correct IS NULL AND len(b) > 1 THEN 'clean_filter_multiple_boxed' WHEN correct IS NULL AND {meta('malformed_output')} THEN 'clean_filter_malformed' "
+        f"WHEN correct IS NULL AND {meta('generation_hit_max')} THEN 'clean_filter_truncated' WHEN correct IS NULL AND {meta('guessed_letter_used')} THEN 'clean_filter_guessed_letter' WHEN correct IS NULL AND {meta('fallback_used')} THEN 'clean_filter_fallback' WHEN {duck.strip('coalesce(question, ' + lit('') + ')')} = '' THEN 'missing_question_for_replay' "
+        "WHEN mcq AND len(o) < 2 THEN 'missing_options_for_replay_mcq' WHEN mcq AND letter = '' THEN 'invalid_replay_mcq_letter' WHEN mcq AND gold <> '' AND letter <> gold THEN 'replay_letter_mismatch_gold' "
+        f"WHEN NOT mcq AND {boxed('response')} = '' THEN 'invalid_replay_frq_boxed' END AS reason FROM f) SELECT id, CASE WHEN mcq THEN 'mcq' ELSE 'frq' END AS kind, reason, CASE WHEN reason IS NULL THEN '\\boxed{{' || CASE WHEN mcq THEN letter ELSE {boxed('response')} END || '}}' END AS target FROM h"
+    )
+    some = ", ".join(f"nullif({duck.strip(c)}, '')" for c in ("r.meta.raw", "r.raw", "r.response"))
+    reject = (
+        f"WITH a AS (SELECT r.id, coalesce(r.meta.n_tokens, 0) >= {curate.LEAST_TOKENS} AS passed, q.question, q.options, coalesce({some}) AS raw FROM {LAST} r LEFT JOIN {QUESTIONS} q ON r.id = q.id), c AS (SELECT *, {_SOL('raw')} AS s, {clean} AS o FROM a), d AS (SELECT *, {duck.boxes('s')} AS b, {duck.labels('o')} AS v, len(o) > 0 AS mcq, {_FLAG} AS flag FROM c), "
+        f"e AS (SELECT *, {duck.valid_letter('s', 'v')} AS l FROM d), f AS (SELECT *, CASE WHEN NOT passed THEN 'filter_not_passed' WHEN {duck.strip('coalesce(question, ' + lit('') + ')')} = '' THEN 'missing_question' WHEN raw IS NULL THEN 'missing_accepted_raw' WHEN s = '' THEN 'empty_after_normalize' WHEN len(b) <> 1 OR b[1] = '' THEN 'invalid_boxed_shape' "
+        "WHEN flag IS NOT NULL AND NOT (mcq AND flag = 'multiple_boxed_in_solution') THEN flag WHEN mcq AND len(o) < 2 THEN 'missing_options_for_mcq' WHEN mcq AND l = '' THEN 'missing_or_invalid_mcq_letter' END AS reason FROM e) "
+        f"SELECT id, CASE WHEN mcq THEN 'mcq' ELSE 'frq' END AS kind, reason, CASE WHEN reason IS NULL THEN {texts.single_final_box_sql('s', lit(''))} END AS target FROM f"
+    )
+    return {"q_reasoning_examples": reasoning, "q_base_replay": replay, "q_rejection_replay": reject}
+
+
 SQL["q_adapt_examples"] = _adapt()
+SQL |= _more()
 QUERIES = {k: f for k, f in globals().items() if k.startswith("q_")}

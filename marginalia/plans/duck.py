@@ -78,3 +78,41 @@ def quality_flag(p: str, s: str) -> str:
 #: Both question tables; the last line of each id; the pair of both.
 QUESTIONS = "(SELECT id, question, options, answer, split, source, 'public' AS origin FROM public_questions UNION ALL SELECT id, question, options, NULL, NULL, source, 'private' FROM private_questions)"
 LAST = "(SELECT * FROM private_outputs WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY line_no DESC) = 1)"
+
+
+def option_phrase(e: str, valid: str) -> str:
+    """The valid letter of the phrase that starts last."""
+    up = f"upper({e})"
+    all_ = []
+    for k, p in enumerate(letters.OPTION_PHRASES):
+        hit, letter, gap = (f"regexp_extract_all({up}, {lit(p)}, 0)", f"regexp_extract_all({up}, {lit(p)}, 1)", f"regexp_split_to_array({up}, {lit(p)})")
+        total = lambda l, to: f"coalesce(list_sum(list_transform({l}[1:{to}], lambda x: length(x))), 0)::BIGINT"
+        all_.append(f"list_transform(list_filter(range(1, len({hit}) + 1), lambda i: list_contains({valid}, ({letter})[i])), lambda i: {{'at': {total(gap, 'i')} + {total(hit, 'i - 1')}, 'k': {k}, 'l': ({letter})[i]}})")
+    every = all_[0]
+    for a in all_[1:]:
+        every = f"list_concat({every}, {a})"
+    return f"coalesce((list_max({every})).l, '')"
+
+
+_THOUGHTS = lit("(?s)^.*(?:</think>|</redacted_reasoning>)")
+
+
+def visible(e: str) -> str:
+    after = strip(f"regexp_replace({e}, {_THOUGHTS}, '')")
+    return f"CASE WHEN contains({e}, '</think>') OR contains({e}, '</redacted_reasoning>') THEN {after} ELSE {e} END"
+
+
+def last_letter(e: str, valid: str) -> str:
+    return f"coalesce(({box_letters(e, valid)})[-1], '')"
+
+
+def echo(e: str) -> str:
+    return "(" + " OR ".join(f"contains(left({e}, {letters.ECHO_HEAD}), {lit(p)})" for p in letters.TRAINING_ECHO) + ")"
+
+
+def first_step(steps: list[tuple[str, ...]], none: tuple[str, ...]) -> list[str]:
+    """CASE expressions over steps (condition, letter column, constants...): the letter and the constants of the first step with a letter."""
+    out = [f"CASE {' '.join(f'WHEN {c} AND {x[0]} <> {lit(str())} THEN {x[0]}' for c, *x in steps)} ELSE {none[0]} END"]
+    for k in range(1, len(none)):
+        out.append(f"CASE {' '.join(f'WHEN {c} AND {x[0]} <> {lit(str())} THEN {lit(x[k])}' for c, *x in steps)} ELSE {none[k]} END")
+    return out

@@ -270,4 +270,18 @@ SQL = {
     "q_zip_options": f"SELECT id, chr(64 + i::INT) AS label, options[i] AS option FROM (SELECT id, options, unnest(range(1, len(options) + 1)) AS i FROM {QUESTIONS} WHERE {_DUCK_MCQ})",
     "q_shuffled": f"SELECT id, row_number() OVER (ORDER BY {_DUCK_HASH}, id) AS pos FROM public_questions",
 }
+
+
+def _budget() -> str:
+    """Needs the SQL of texts, which needs this module's helpers: built when asked for."""
+    from marginalia.plans import texts
+
+    risk = texts.SQL["q_risk_score"]
+    first = texts.primary_sql("coalesce(raw, '')")
+    return (
+        f"WITH m AS (SELECT q.id, r.line_no FROM {QUESTIONS} q JOIN {LAST} r ON q.id = r.id WHERE len(q.options) > 0), p AS (SELECT m.id, p.letter, coalesce(s.score, 4) AS score, ((row_number() OVER (ORDER BY m.id) - 1) // 12)::BIGINT AS batch_id FROM m JOIN {first} p ON m.line_no = p.line_no LEFT JOIN ({risk}) s ON m.line_no = s.line_no), "
+        "b AS (SELECT *, letter <> '' AND score >= 2 AS risky, ceil(count(*) OVER (PARTITION BY batch_id) * 0.25) AS budget FROM p) SELECT id, batch_id, letter, score, letter = '' OR (risky AND sum(risky::INT) OVER (PARTITION BY batch_id ORDER BY id ROWS UNBOUNDED PRECEDING) <= budget) AS forced FROM b"
+    )
+
+
 QUERIES = {k: f for k, f in globals().items() if k.startswith("q_")}

@@ -313,8 +313,72 @@ def _sql() -> dict[str, str]:
         f"WITH x AS (SELECT line_no, {t} AS t, {duck.strip(chr(99) + 'oalesce(meta.boxed, ' + chr(39) * 2 + ')')} AS f FROM {P}), y AS (SELECT *, coalesce(nullif(({duck.boxes('t')})[-1], ''), f) AS v, {_ensure('t')} AS e FROM x), z AS (SELECT line_no, CASE WHEN v <> '' THEN v ELSE coalesce(({duck.boxes('e')})[-1], '') END AS v, CASE WHEN v <> '' THEN {flat('t')} ELSE {flat('e')} END AS b FROM y) "
         f"SELECT line_no, CASE WHEN b = '' THEN '\\boxed{{' || v || '}}' ELSE b || {_NL2} || '\\boxed{{' || v || '}}' END AS text FROM z"
     )
+    first = f"regexp_extract(raw, {lit('(?s)^(.*?' + duck.ONE_BOX + ')')}, 1)"
+    gap = f"(regexp_split_to_array(raw, {one}))[-1]"
+    out["q_box_cuts"] = f"SELECT line_no, {duck.rstrip(f'CASE WHEN {first} = {lit(str())} THEN raw ELSE {first} END')} AS first_cut, {duck.rstrip(f'CASE WHEN len({duck.inners(chr(114) + chr(97) + chr(119))}) > 0 THEN left(raw, length(raw) - length({gap})) ELSE raw END')} AS last_cut FROM {R}"
+    visible = f"CASE WHEN contains(raw, '</think>') OR contains(raw, '</redacted_reasoning>') THEN {duck.strip(_rx('raw', '(?s)^.*(?:</think>|</redacted_reasoning>)'))} ELSE raw END"
+    m1 = duck.strip(f"coalesce({', '.join(f'(regexp_extract_all(v, {lit(p)}, 1))[-1]' for p in free.MULTI_PHRASES)}, '')", _POINTS)
+    m2 = duck.strip(_rx(_rx(_rx(_rx("a", r"^\\\[\s*", "", ""), r"\s*\\\]$", "", ""), r"(?s)^\$\$(.*)\$\$$", "\\1", ""), r"(?s)^\$(.*)\$$", "\\1", ""), _POINTS)
+    m3 = duck.strip(f"coalesce(({duck.boxes('b')})[-1], b)", _POINTS)
+    parts = f"list_filter(list_transform(string_split(c, ','), lambda x: {duck.strip('x', _POINTS)}), lambda x: x <> '')"
+    out["q_multi_values"] = (
+        f"WITH l AS (SELECT o.line_no, {_SLOTS} AS slots, {visible} AS v FROM private_outputs o JOIN {QUESTIONS} q ON o.id = q.id WHERE coalesce(len(q.options), 0) = 0 AND o.raw IS NOT NULL), x AS (SELECT *, {m1} AS a FROM l), y AS (SELECT *, {m2} AS b FROM x), z AS (SELECT *, {m3} AS c FROM y), w AS (SELECT *, {parts} AS p FROM z) "
+        f"SELECT line_no, CASE WHEN slots >= 2 AND len(p) = slots THEN array_to_string(p, '{SEP}') ELSE '' END AS parts, CASE WHEN slots >= 2 AND len(p) = slots THEN len(p) ELSE 0 END AS n_values FROM w"
+    )
+    out["q_option_phrase"] = f"SELECT line_no, {duck.option_phrase('raw', _V)} AS letter FROM {_MCQ_LINES} WHERE raw IS NOT NULL"
+    out["q_primary_pass"] = f"SELECT line_no, letter, path FROM {primary_sql()}"
+    out["q_best_guess"] = best_guess_sql()
     return out
 
 
+def primary_sql(before: str = "coalesce(meta.raw, raw, '')") -> str:
+    """(line_no, id, raw, valid, letter, path) of the first pass."""
+    texts = {"r": "raw", "v": "v", "b": "before", "w": "w"}
+    cols = ", ".join(f"{duck.last_letter(t, _V)} AS {k}_box, {duck.option_phrase(t, _V)} AS {k}_opt, {duck.valid_letter(t, _V)} AS {k}_any" for k, t in texts.items())
+    steps = [("true", "r_box", "mcq_last_valid_letter")]
+    for k in "vr":
+        steps += [("true", f"{k}_opt", "mcq_raw_option_phrase"), ("true", f"{k}_any", "mcq_primary_phrase_fulltext")]
+    steps += [("changed", "b_box", "mcq_primary_pre_trunc_last_valid_letter")]
+    for k in "wb":
+        steps += [("changed", f"{k}_opt", "mcq_primary_pre_trunc_raw_option_phrase"), ("changed", f"{k}_any", "mcq_primary_pre_trunc_phrase")]
+    letter, path = duck.first_step([(f"NOT echo AND {c}", *x) for c, *x in steps], ("''", "'mcq_last_valid_letter'"))
+    return (
+        f"(WITH a AS (SELECT line_no, id, valid, coalesce(raw, '') AS raw, {before} AS before FROM {_MCQ_LINES}), c AS (SELECT *, {duck.visible('raw')} AS v, {duck.visible('before')} AS w, {duck.strip('before')} <> {duck.strip('raw')} AS changed, {duck.echo('raw')} AS echo FROM a), "
+        f"d AS (SELECT *, {cols} FROM c) SELECT *, {letter} AS letter, {path} AS path FROM d)"
+    )
+
+
+def best_guess_sql() -> str:
+    texts = {"f": "f", "fv": duck.visible("f"), "p": "p", "pv": duck.visible("p"), "b": "b", "bv": duck.visible("b"), "c": "c", "cv": duck.visible("c"), "l": "l", "lv": duck.visible("l")}
+    box = lambda k, path: (f"{k}_box", path, guess.BOX)
+    medium = lambda col, path: (col, path, guess.PHRASE)
+    steps = []
+    for c, k, first, stem, option in (("true", "f", "mcq_finalizer_last_valid_letter", "mcq_finalizer", "mcq_finalizer_raw_option_phrase"), ("NOT echo", "p", "mcq_last_valid_letter", "mcq_primary", "mcq_raw_option_phrase")):
+        steps += [(c, *box(k, first)), (c, *medium(f"{k}_tail", f"{stem}_tail_phrase")), (c, *medium(f"{k}_opt", option)), (c, *medium(f"{k}v_any", f"{stem}_phrase_fulltext")), (c, *medium(f"{k}_any", f"{stem}_phrase_fulltext"))]
+    n, m = "NOT echo AND changed", "NOT echo"
+    steps += [(n, *box("b", "mcq_pre_trunc_last_valid_letter")), (n, *medium("b_opt", "mcq_pre_trunc_raw_option_phrase")), (n, *medium("bv_any", "mcq_pre_trunc_phrase_fulltext")), (n, *medium("b_any", "mcq_pre_trunc_phrase_fulltext")), (m, *medium("c_opt", "mcq_combined_raw_option_phrase"))]
+    for k in ("cv", "c"):
+        steps += [(m, *medium(f"{k}_any", "mcq_combined_phrase_fulltext")), (m, *medium(f"{k}_tail", "mcq_combined_tail_phrase"))]
+    steps += [(n, *medium("lv_any", "mcq_combined_pre_trunc_phrase")), (n, *medium("l_any", "mcq_combined_pre_trunc_phrase"))]
+    used = {x[1] for x in steps}
+    make = {"box": duck.last_letter, "tail": duck.tail_letter, "opt": duck.option_phrase, "any": duck.valid_letter}
+    cols = ", ".join(f"{make[u.split('_')[1]](u.split('_')[0] + '_t', _V)} AS {u}" for u in sorted(used))
+    letter, path, tier = duck.first_step(steps, ("''", "'mcq_abstain_no_signal'", lit(guess.NO_TIER)))
+    return (
+        f"WITH a AS (SELECT line_no, valid, coalesce(raw, '') AS p, coalesce(meta.raw, '') AS b, coalesce(response, '') AS f FROM {_MCQ_LINES}), a2 AS (SELECT *, p || {_NL2} || f AS c, b || {_NL2} || f AS l, {duck.strip('b')} <> {duck.strip('p')} AS changed, {duck.echo('p')} AS echo FROM a), "
+        f"a3 AS (SELECT *, {', '.join(f'{t} AS {k}_t' for k, t in texts.items())} FROM a2), d AS (SELECT *, {cols} FROM a3) SELECT line_no, {letter} AS letter, {path} AS path, {tier} AS tier FROM d"
+    )
+
+
+def single_final_box_sql(t: str, f: str) -> str:
+    """One box at the end, for texts t (stripped) and fallbacks f (stripped)."""
+    flat = lambda e: duck.strip(_rx(e, r"\\boxed\s*\{[^{}]*\}"))
+    v = f"coalesce(nullif(({duck.boxes(t)})[-1], ''), {f})"
+    e = _ensure(t)
+    last = f"coalesce(({duck.boxes(f'({e})')})[-1], '')"
+    put = lambda b, x: f"CASE WHEN {b} = '' THEN '\\boxed{{' || {x} || '}}' ELSE {b} || {_NL2} || '\\boxed{{' || {x} || '}}' END"
+    return f"CASE WHEN {v} <> '' THEN {put(flat(t), v)} ELSE {put(flat(f'({e})'), last)} END"
+
+
 SQL = _sql()
 QUERIES = {k: f for k, f in globals().items() if k.startswith("q_")}
