@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.boxed import balanced
 from marginalia.llm.endings import body as end_of
 from marginalia.llm.endings import is_finished
-from marginalia.session import ship, spread
+from marginalia.session import ship
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
@@ -383,7 +383,7 @@ def pair_defects(questions: DataFrame, outputs: DataFrame) -> DataFrame:
             yield pd.DataFrame(found, columns=["line_no", "defect"])
 
     pairs = j.where("not sound").drop("sound").join(q, "id").select("line_no", "id", "text", "question", "options")
-    return spread(pairs).mapInPandas(tag, "line_no long, defect string")
+    return pairs.mapInPandas(tag, "line_no long, defect string")
 
 
 def questions_of(public: DataFrame, private: DataFrame) -> DataFrame:
