@@ -46,7 +46,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when the input has fewer splits than half the cores (small files only; large inputs keep their splits and are not shuffled)."""
+    """Give every core work when a scan has fewer splits than half the cores (small files only; large inputs keep their splits and are not shuffled).
+
+    For scans, projections and filters: asking a plan with a shuffle for its partitions would run that shuffle.
+    """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() * 2 <= cores:
