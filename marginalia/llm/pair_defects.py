@@ -58,6 +58,15 @@ _DECLINE = re.compile(
     r"|к сожалению|извините|не могу (?:помочь|ответить|решить)|抱歉|对不起|无法(?:回答|提供|帮助)|不能(?:回答|帮助)",
     re.I,
 )
+# Parts of words without which nothing above can match: a cheap look first.
+_DECLINE_HINTS = ("sorry", "unfortunately", "apolog", "model", "honest", "thank", "cannot", "can not", "can't", "can’t", "cant", "able to", "won't", "won’t", "wont", "will not", "decline", "rather not", "refuse", "something i can", "guidelines", "against my", "understand", "teacher", "textbook", "talk about", "nicht", "tut mir", "je ", "désol", "siento", "puedo", "posible", "сожалению", "извините", "не могу", "抱歉", "对不起", "无法", "不能")
+
+
+def declines(clause: str) -> bool:
+    low = clause.lower()
+    return any(h in low for h in _DECLINE_HINTS) and bool(_DECLINE.search(clause))
+
+
 _FIRST_PERSON = re.compile(r"\b(?:i|i'm|my|ich|je|yo|no puedo|я)\b|我", re.I)
 _CLAUSE = re.compile(r"(?<=[.!?。！？;；])\s*(?=\S)|\n+")
 _MATH = re.compile(r"\$[^$]*\$|\\\([^)]*\\\)|\\boxed\s*\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}|\\[a-zA-Z]+|\d+")
@@ -149,14 +158,14 @@ def clauses_of(text: str, q_words: frozenset[str], q_language: str, learned: dic
             total[lang] = total.get(lang, 0.0) + x
         lang = main_language(v)
         shared = sum(w in q_words for w in ws) / len(ws) if ws and q_words else 0.0
-        decline = bool(_DECLINE.search(p))
         box = "\\boxed" in p
+        decline = not box and declines(p)
         last = k == n - 1
         rows.append(
             [
                 1.0,
-                float(decline and not box),
-                float(decline and bool(_FIRST_PERSON.search(p)) and not box),
+                float(decline),
+                float(decline and bool(_FIRST_PERSON.search(p))),
                 shared,
                 float(shared >= 0.85),
                 float(shared >= 0.99),

@@ -155,11 +155,22 @@ def _homoglyphs(text: str) -> str:
     return "".join(out) + text[last:] if out else text
 
 
+#: Without any of these characters a text only needs its accents composed.
+_SUSPECT = re.compile("[\u00a0\u00ad\u034f\u0370-\u03ff\u0400-\u052f\u061c\u180e\u2000-\u200f\u2028-\u202f\u2060-\u206f\u2100-\u214f\u3000\ufb00-\ufb29\ufe10-\ufe6f\ufeff-\uffee\U0001d400-\U0001d7ff\U0001ee00-\U0001eeff\U0001fbf0-\U0001fbf9]")
+
+
 def unified(text: str) -> str:
     """The consistent form; the same for the consistent form itself."""
     if text.isascii():
         return text
-    return unicodedata.normalize("NFC", _homoglyphs(_plain_text(text)))
+    if not _SUSPECT.search(text):
+        return unicodedata.normalize("NFC", text)
+    for _ in range(4):  # a letter put right may decide its neighbours
+        u = unicodedata.normalize("NFC", _homoglyphs(_plain_text(text)))
+        if u == text:
+            break
+        text = u
+    return text
 
 
 def fields_of(questions: DataFrame, outputs: DataFrame) -> DataFrame:
