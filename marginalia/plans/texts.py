@@ -325,6 +325,14 @@ def _sql() -> dict[str, str]:
         f"WITH l AS (SELECT o.line_no, {_SLOTS} AS slots, {visible} AS v FROM private_outputs o JOIN {QUESTIONS} q ON o.id = q.id WHERE coalesce(len(q.options), 0) = 0 AND o.raw IS NOT NULL), x AS (SELECT *, {m1} AS a FROM l), y AS (SELECT *, {m2} AS b FROM x), z AS (SELECT *, {m3} AS c FROM y), w AS (SELECT *, {parts} AS p FROM z) "
         f"SELECT line_no, CASE WHEN slots >= 2 AND len(p) = slots THEN array_to_string(p, '{SEP}') ELSE '' END AS parts, CASE WHEN slots >= 2 AND len(p) = slots THEN len(p) ELSE 0 END AS n_values FROM w"
     )
+    values = lambda e: f"list_filter(list_transform(string_split({e}, ','), lambda x: {duck.strip('x', _POINTS)}), lambda x: x <> '')"
+    seen = f"right(array_to_string(list_transform(range(1, i + 1), lambda j: gaps[j] || CASE WHEN j < i THEN '\\boxed{{' || inn[j] || '}}' ELSE '' END), ''), {free.CUE_WINDOW})"
+    out["q_free_canonical"] = (
+        f"WITH l AS (SELECT o.line_no, o.raw, {_SLOTS} AS slots, {visible} AS v FROM private_outputs o JOIN {QUESTIONS} q ON o.id = q.id WHERE coalesce(len(q.options), 0) = 0 AND o.raw IS NOT NULL), x AS (SELECT *, {m1} AS a, {_ensure('raw')} AS e FROM l), y AS (SELECT *, {m2} AS b, {duck.inners('e')} AS inn, regexp_split_to_array(e, {one}) AS gaps FROM x), z AS (SELECT *, {m3} AS c FROM y), "
+        f"w AS (SELECT line_no, slots, {values('c')} AS p, {values(duck.strip('inn[-1]'))} AS lastp, inn, list_filter(range(1, len(inn) + 1), lambda i: regexp_matches({seen}, {lit(free.CUE)})) AS cued FROM z), "
+        "k AS (SELECT *, CASE WHEN slots >= 2 AND len(p) = slots THEN 'free_multi_ans_phrase' WHEN slots >= 2 AND len(lastp) = slots THEN 'free_multi_ans_last_box' WHEN len(cued) > 0 THEN 'free_cue_last' ELSE 'free_last_boxed' END AS path FROM w) "
+        f"SELECT line_no, path, '\\boxed{{' || CASE path WHEN 'free_multi_ans_phrase' THEN array_to_string(p, ', ') WHEN 'free_multi_ans_last_box' THEN array_to_string(lastp, ', ') WHEN 'free_cue_last' THEN {duck.strip('inn[cued[-1]]')} ELSE coalesce({duck.strip('inn[-1]')}, '') END || '}}' AS response, CASE path WHEN 'free_multi_ans_phrase' THEN array_to_string(p, '{SEP}') WHEN 'free_multi_ans_last_box' THEN array_to_string(lastp, '{SEP}') ELSE '' END AS parts FROM k"
+    )
     out["q_option_phrase"] = f"SELECT line_no, {duck.option_phrase('raw', _V)} AS letter FROM {_MCQ_LINES} WHERE raw IS NOT NULL"
     out["q_primary_pass"] = f"SELECT line_no, letter, path FROM {primary_sql()}"
     out["q_best_guess"] = best_guess_sql()
