@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marginalia.functions.boxed import balanced, extract_all_boxed, extract_boxed_inner, has_complete_boxed
-from marginalia.functions.text import last_of, normal_newlines, rstrip, strip
+from marginalia.functions.text import last_of, let, normal_newlines, rstrip, strip
 from marginalia.functions.think import CLOSE, visible_answer
 
 # What encloses a formula, the phrases that introduce an answer, and the punctuation cut from its ends.
@@ -38,10 +38,12 @@ def last_answer_phrase(c: Column) -> Column:
 
 def ensure_boxed(c: Column) -> Column:
     """The text itself if it has a box; else with the best value it shows in a box at its end."""
-    after = strip(F.substring_index(c, CLOSE, -1))
-    shown = F.when(c.contains(CLOSE) & (after != ""), after).otherwise(c)
-    block = last_latex_block(shown)
-    value = F.when(block != "", block).otherwise(last_answer_phrase(shown))
+
+    def shown_in(t: Column) -> Column:
+        after = strip(F.substring_index(t, CLOSE, -1))
+        return F.when(t.contains(CLOSE) & (after != ""), after).otherwise(t)
+
+    value = let(shown_in(c), lambda t: F.when(last_latex_block(t) != "", last_latex_block(t)).otherwise(last_answer_phrase(t)))
     return F.when(has_complete_boxed(c), c).otherwise(F.concat(rstrip(c), F.lit("\n\n\\boxed{"), value, F.lit("}")))
 
 
@@ -85,21 +87,23 @@ def boxes_with_context(c: Column) -> Column:
 
 def canonical_free(response: Column, question: Column) -> Column:
     """struct(response, path, slots, values, cue_matched): the one box that stands for a free answer."""
-    ensured = ensure_boxed(response)
     slots = ans_slots(question)
-    phrase = multi_values(visible_answer(response), slots)
-    boxes = extract_all_boxed(ensured)
-    last = last_of(boxes)
-    boxed = comma_values(last)
-    cued = last_of(F.filter(boxes_with_context(ensured), lambda x: x["before"].rlike(CUE)))
     none = F.array().cast("array<string>")
     result = lambda value, path, values, cue: F.struct(value.alias("response"), F.lit(path).alias("path"), slots.alias("slots"), values.alias("values"), F.lit(cue).alias("cue_matched"))
-    return (
-        F.when(F.size(phrase) > 0, result(box(F.array_join(phrase, ", ")), "free_multi_ans_phrase", phrase, False))
-        .when((slots >= 2) & (F.size(boxed) == slots), result(box(F.array_join(boxed, ", ")), "free_multi_ans_last_box", boxed, False))
-        .when(cued.isNotNull(), result(box(strip(cued["inner"])), "free_cue_last", none, True))
-        .otherwise(result(box(F.coalesce(last, F.lit(""))), "free_last_boxed", none, False))
-    )
+
+    def choose(ensured: Column) -> Column:
+        last = last_of(extract_all_boxed(ensured))
+        listed = comma_values(last)
+        cued = let(last_of(F.filter(boxes_with_context(ensured), lambda x: x["before"].rlike(CUE))), lambda x: F.when(x.isNotNull(), result(box(strip(x["inner"])), "free_cue_last", none, True)))
+        return (
+            F.when((slots >= 2) & (F.size(listed) == slots), result(box(F.array_join(listed, ", ")), "free_multi_ans_last_box", listed, False))
+            .otherwise(F.coalesce(cued, result(box(F.coalesce(last, F.lit(""))), "free_last_boxed", none, False)))
+        )
+
+    def phrased(values: Column) -> Column:
+        return F.when(F.size(values) > 0, result(box(F.array_join(values, ", ")), "free_multi_ans_phrase", values, False))
+
+    return F.coalesce(let(multi_values(visible_answer(response), slots), phrased), let(ensure_boxed(response), choose))
 
 
 def without_boxes(c: Column) -> Column:
@@ -127,11 +131,17 @@ def after_last_box_cut(c: Column) -> Column:
 def single_final_box(response: Column, fallback: Column) -> Column:
     """One box at the end: the last one of the text, else the fallback, else what the text shows. Only flat boxes are taken out of the text."""
     flat = lambda c: strip(F.regexp_replace(c, r"\\boxed\s*\{[^{}]*\}", ""))
-    t = strip(F.coalesce(response, F.lit("")))
-    final = F.coalesce(F.nullif(last_of(extract_all_boxed(t)), F.lit("")), strip(F.coalesce(fallback, F.lit(""))))
-    put = lambda body, value: F.when(body == "", box(value)).otherwise(F.concat(body, F.lit("\n\n"), box(value)))
-    e = ensure_boxed(t)
-    return F.when(final != "", put(flat(t), final)).otherwise(put(flat(e), F.coalesce(last_of(extract_all_boxed(e)), F.lit(""))))
+    given = strip(F.coalesce(fallback, F.lit("")))
+
+    def put(body: Column, value: Column) -> Column:
+        return F.when(body == "", box(value)).otherwise(F.concat(body, F.lit("\n\n"), box(value)))
+
+    def ended(t: Column) -> Column:
+        final = F.coalesce(F.nullif(last_of(extract_all_boxed(t)), F.lit("")), given)
+        shown = let(ensure_boxed(t), lambda e: put(flat(e), F.coalesce(last_of(extract_all_boxed(e)), F.lit(""))))
+        return let(final, lambda v: F.when(v != "", put(flat(t), v)).otherwise(shown))
+
+    return let(strip(F.coalesce(response, F.lit(""))), ended)
 
 
 def submission_format(raw: Column, response: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marginalia.functions.boxed import extract_boxed_inner
-from marginalia.functions.text import last_of, strip
+from marginalia.functions.text import last_of, let, strip
 from marginalia.functions.think import visible_answer
 
 # Wrappers around a letter in a box, and the phrases that name a letter (upper-case text), in order of priority.
@@ -82,8 +82,7 @@ def last_valid_letter(text: Column, valid: Column) -> Column:
 
 def extract_valid_letter(text: Column, valid: Column) -> Column:
     """The last valid letter in a box, else the last hit of the first phrase that names a valid one."""
-    up = F.upper(text)
-    return F.coalesce(last_of(boxed_letters(text, valid)), *[last_of(_valid_hits(up, p, valid)) for p in PHRASES], F.lit(""))
+    return let(F.upper(text), lambda up: F.coalesce(last_of(boxed_letters(text, valid)), *[last_of(_valid_hits(up, p, valid)) for p in PHRASES], F.lit("")))
 
 
 def extract_first_valid_letter(text: Column, valid: Column) -> Column:
@@ -102,22 +101,23 @@ def option_phrase_letter(text: Column, valid: Column) -> Column:
 
     The lengths of the hits of a phrase and of the gaps between them tell where each starts.
     """
-    up = F.upper(text)
-    best = []
-    for k, p in enumerate(OPTION_PHRASES):
-        at, letter = _last_hit(up, p, valid)
-        best.append(F.when(letter != "", F.struct(at.alias("at"), F.lit(k).alias("k"), letter.alias("letter"))))
-    return F.when(up.rlike("OPTION|ANSWER|CHOICE|CHOOSE|PICK|CORRECT"), F.coalesce(F.greatest(*best)["letter"], F.lit(""))).otherwise("")
+    def latest(up: Column) -> Column:
+        best = []
+        for k, p in enumerate(OPTION_PHRASES):
+            best.append(let(_last_hit(up, p, valid), lambda s, k=k: F.when(s["letter"] != "", F.struct(s["best"].alias("at"), F.lit(k).alias("k"), s["letter"].alias("letter")))))
+        return F.when(up.rlike("OPTION|ANSWER|CHOICE|CHOOSE|PICK|CORRECT"), F.coalesce(F.greatest(*best)["letter"], F.lit(""))).otherwise("")
 
+    return let(F.upper(text), latest)
 
-def _last_hit(up: Column, pattern: str, valid: Column) -> tuple[Column, Column]:
-    """Where the last hit of a pattern with a valid letter starts, and the letter."""
+
+def _last_hit(up: Column, pattern: str, valid: Column) -> Column:
+    """struct(best, letter): where the last hit of a pattern with a valid letter starts, and the letter."""
     bare = pattern.replace("([A-Z])", "[A-Z]")
     whole = F.regexp_extract_all(up, F.lit(f"({bare})"), F.lit(1))
     letter = F.regexp_extract_all(up, F.lit(pattern), F.lit(1))
     gaps = F.slice(F.split(up, bare, -1), F.lit(1), F.size(whole))
     zipped = F.zip_with(F.zip_with(gaps, whole, lambda g, w: F.struct(F.length(g).alias("gap"), F.length(w).alias("hit"))), letter, lambda x, l: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), l.alias("letter")))
-    state = F.aggregate(
+    return F.aggregate(
         zipped,
         F.struct(F.lit(0).alias("at"), F.lit(-1).alias("best"), F.lit("").alias("letter")),
         lambda s, x: F.struct(
@@ -126,22 +126,23 @@ def _last_hit(up: Column, pattern: str, valid: Column) -> tuple[Column, Column]:
             F.when(F.array_contains(valid, x["letter"]), x["letter"]).otherwise(s["letter"]).alias("letter"),
         ),
     )
-    return state["best"], state["letter"]
 
 
 def primary_letter(raw: Column, before: Column, valid: Column) -> Column:
     """struct(letter, path): the first pass over a generated text (see PRIMARY_PATHS for the order)."""
-    echo = has_training_echo(raw)
-    changed = strip(before) != strip(raw)
-    pick = lambda letter, path: F.when(letter != "", F.struct(letter.alias("letter"), F.lit(path).alias("path")))
-    steps = [pick(last_valid_letter(raw, valid), "mcq_last_valid_letter")]
-    for t in (visible_answer(raw), raw):
-        steps += [pick(option_phrase_letter(t, valid), "mcq_raw_option_phrase"), pick(extract_valid_letter(t, valid), "mcq_primary_phrase_fulltext")]
-    late = [pick(last_valid_letter(before, valid), "mcq_primary_pre_trunc_last_valid_letter")]
-    for t in (visible_answer(before), before):
-        late += [pick(option_phrase_letter(t, valid), "mcq_primary_pre_trunc_raw_option_phrase"), pick(extract_valid_letter(t, valid), "mcq_primary_pre_trunc_phrase")]
     none = F.struct(F.lit("").alias("letter"), F.lit("mcq_last_valid_letter").alias("path"))
-    return F.when(echo, none).otherwise(F.coalesce(*steps, *[F.when(changed, s) for s in late], none))
+
+    def pick(letter: Column, path: str) -> Column:
+        return let(letter, lambda l: F.when(l != "", F.struct(l.alias("letter"), F.lit(path).alias("path"))))
+
+    def phrases(c: Column, option: str, phrase: str) -> list[Column]:
+        each = lambda t: F.coalesce(pick(option_phrase_letter(t, valid), option), pick(extract_valid_letter(t, valid), phrase))
+        return [let(visible_answer(c), each), each(c)]
+
+    early = [pick(last_valid_letter(raw, valid), "mcq_last_valid_letter"), *phrases(raw, "mcq_raw_option_phrase", "mcq_primary_phrase_fulltext")]
+    late = [pick(last_valid_letter(before, valid), "mcq_primary_pre_trunc_last_valid_letter"), *phrases(before, "mcq_primary_pre_trunc_raw_option_phrase", "mcq_primary_pre_trunc_phrase")]
+    changed = strip(before) != strip(raw)
+    return F.when(has_training_echo(raw), none).otherwise(F.coalesce(*early, F.when(changed, F.coalesce(*late)), none))
 
 
 # Openings of a memorised training text, sought in the first ECHO_HEAD characters; phrases of doubt.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.boxed import extract_all_boxed, extract_boxed_inner
 from marginalia.functions.free import after_first_box_cut
 from marginalia.functions.letters import extract_first_valid_letter, extract_valid_letter, letter_of_inner
-from marginalia.functions.text import last_of, strip
+from marginalia.functions.text import last_of, let, strip
 
 # Patterns of the signals.
 STEP = r"(?i)\bstep\s+\d+\b"
@@ -43,16 +43,20 @@ def normalize_solution(c: Column) -> Column:
 
 def quality_flag(problem: Column, solution: Column) -> Column:
     """The first reason against a solution as a training text, or null."""
-    p, s = strip(F.coalesce(problem, F.lit(""))), strip(F.coalesce(solution, F.lit("")))
-    math = _count(s, MATH)
-    return (
-        F.when((p == "") | (s == ""), "missing_problem_or_solution")
-        .when(s.rlike(TOOL), "tool_trace_or_environment_artifact")
-        .when(F.length(s) < 80, "solution_too_short")
-        .when((_count(s, STEP) >= 3) & (math < 2) & (_count(s, r"\d") < 3), "template_steps_without_math")
-        .when((_count(s, GENERIC) >= 4) & (math < 3), "generic_surface_reasoning")
-        .when(F.size(extract_boxed_inner(s)) > 1, "multiple_boxed_in_solution")
-    )
+    p = strip(F.coalesce(problem, F.lit("")))
+
+    def flag(s: Column) -> Column:
+        math = _count(s, MATH)
+        return (
+            F.when((p == "") | (s == ""), "missing_problem_or_solution")
+            .when(s.rlike(TOOL), "tool_trace_or_environment_artifact")
+            .when(F.length(s) < 80, "solution_too_short")
+            .when((_count(s, STEP) >= 3) & (math < 2) & (_count(s, r"\d") < 3), "template_steps_without_math")
+            .when((_count(s, GENERIC) >= 4) & (math < 3), "generic_surface_reasoning")
+            .when(F.size(extract_boxed_inner(s)) > 1, "multiple_boxed_in_solution")
+        )
+
+    return let(strip(F.coalesce(solution, F.lit(""))), flag)
 
 
 def diagnostics(raw: Column, response: Column, is_mcq: Column, valid: Column, hit_max: Column) -> Column:

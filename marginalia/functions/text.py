@@ -33,3 +33,8 @@ def last_of(hits: Column) -> Column:
 
 def normal_newlines(c: Column) -> Column:
     return F.regexp_replace(c, "\r\n?", "\n")
+
+
+def let(c: Column, body) -> Column:
+    """body of c, with c computed once however often the body uses it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))

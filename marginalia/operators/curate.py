@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import free, letters, prompts, quality
-from marginalia.functions.boxed import extract_all_boxed, extract_boxed
+from marginalia.functions.boxed import extract_all_boxed
 from marginalia.functions.text import first_filled, last_of, strip
 
 # What the parts of a training text are told, by example.
@@ -65,16 +65,16 @@ def base_replay(df: DataFrame) -> DataFrame:
     A known verdict decides first; without one the form of the response must be clean. Letters must agree with the gold one.
     """
     m = F.col("meta")
-    response = strip(F.coalesce("response", F.lit("")))
-    trace = strip(F.coalesce(F.nullif("raw", F.lit("")), m["raw"], F.lit("")))
-    canon = quality.normalize_solution(trace)
-    b = extract_all_boxed(response)
-    options = clean_options(F.col("options"))
-    valid = letters.labels(options)
+    df = df.withColumn("__r", strip(F.coalesce("response", F.lit("")))).withColumn("__t", strip(F.coalesce(F.nullif("raw", F.lit("")), m["raw"], F.lit("")))).withColumn("__o", clean_options(F.col("options")))
+    response, trace, options = F.col("__r"), F.col("__t"), F.col("__o")
+    df = df.withColumn("__canon", quality.normalize_solution(trace)).withColumn("__b", extract_all_boxed(response)).withColumn("__v", letters.labels(options))
+    canon, b, valid = F.col("__canon"), F.col("__b"), F.col("__v")
     mcq = F.coalesce("is_mcq", F.size(options) > 0)
     gold = F.when(F.coalesce("answer", F.lit("")) != "", gold_letter(F.col("answer"), F.col("options"), letters.labels(F.col("options")))).otherwise("")
     found = letters.extract_valid_letter(F.when(canon != "", canon).otherwise(response), valid)
-    letter = F.when(found != "", found).otherwise(gold)
+    df = df.withColumn("__gold", gold).withColumn("__found", found)
+    gold = F.col("__gold")
+    letter = F.when(F.col("__found") != "", F.col("__found")).otherwise(gold)
     yes = lambda c: F.coalesce(m[c], F.lit(False))
     form = (
         F.when(F.size(b) == 0, "clean_filter_missing_box")
@@ -89,20 +89,20 @@ def base_replay(df: DataFrame) -> DataFrame:
         F.when((response == "") & (trace == ""), "missing_response"),
         F.when(F.col("correct").isNotNull(), F.when(~F.col("correct"), "marked_incorrect")).otherwise(form),
         F.when(strip(F.coalesce("question", F.lit(""))) == "", "missing_question_for_replay"),
-        F.when(mcq, F.when(F.size(options) < 2, "missing_options_for_replay_mcq").when(letter == "", "invalid_replay_mcq_letter").when((gold != "") & (letter != gold), "replay_letter_mismatch_gold")).otherwise(F.when(extract_boxed(response) == "", "invalid_replay_frq_boxed")),
+        F.when(mcq, F.when(F.size(options) < 2, "missing_options_for_replay_mcq").when(letter == "", "invalid_replay_mcq_letter").when((gold != "") & (letter != gold), "replay_letter_mismatch_gold")).otherwise(F.when(F.coalesce(last_of(b), F.lit("")) == "", "invalid_replay_frq_boxed")),
     )
-    target = free.box(F.when(mcq, letter).otherwise(extract_boxed(response)))
-    return df.withColumn("kind", F.when(mcq, "mcq").otherwise("frq")).withColumn("reason", reason).withColumn("target", F.when(reason.isNull(), target))
+    target = free.box(F.when(mcq, letter).otherwise(F.coalesce(last_of(b), F.lit(""))))
+    return df.withColumn("kind", F.when(mcq, "mcq").otherwise("frq")).withColumn("reason", reason).withColumn("target", F.when(F.col("reason").isNull(), target)).drop("__r", "__t", "__o", "__canon", "__b", "__v", "__gold", "__found")
 
 
 def rejection_replay(df: DataFrame) -> DataFrame:
     """df: filter_passed, question, options, and the trace as accepted_raw, raw or response. Adds kind, reason, target."""
-    raw = first_filled(F.col("accepted_raw"), F.col("raw"), F.col("response"))
-    canon = quality.normalize_solution(raw)
-    b = extract_all_boxed(canon)
+    df = df.withColumn("__raw", first_filled(F.col("accepted_raw"), F.col("raw"), F.col("response"))).withColumn("__canon", quality.normalize_solution(F.col("__raw")))
+    raw, canon = F.col("__raw"), F.col("__canon")
+    df = df.withColumn("__b", extract_all_boxed(canon)).withColumn("__flag", quality.quality_flag(F.col("question"), canon))
+    b, flag = F.col("__b"), F.col("__flag")
     options = clean_options(F.col("options"))
     mcq = F.size(options) > 0
-    flag = quality.quality_flag(F.col("question"), canon)
     letter = letters.extract_valid_letter(canon, letters.labels(options))
     reason = (
         F.when(~F.coalesce("filter_passed", F.lit(False)), "filter_not_passed")
@@ -114,7 +114,7 @@ def rejection_replay(df: DataFrame) -> DataFrame:
         .when(mcq & (F.size(options) < 2), "missing_options_for_mcq")
         .when(mcq & (letter == ""), "missing_or_invalid_mcq_letter")
     )
-    return df.withColumn("kind", F.when(mcq, "mcq").otherwise("frq")).withColumn("reason", reason).withColumn("target", F.when(reason.isNull(), free.single_final_box(canon, F.lit(""))))
+    return df.withColumn("kind", F.when(mcq, "mcq").otherwise("frq")).withColumn("reason", reason).withColumn("target", F.when(F.col("reason").isNull(), free.single_final_box(canon, F.lit("")))).drop("__raw", "__canon", "__b", "__flag")
 
 
 def adapt_examples(df: DataFrame) -> DataFrame:

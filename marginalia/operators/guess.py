@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from marginalia.functions import letters as L
 from marginalia.functions.boxed import scan_boxes
-from marginalia.functions.text import strip
+from marginalia.functions.text import let, strip
 from marginalia.functions.think import visible_answer
 
 BOX, PHRASE, NO_TIER = "boxed_high", "answer_phrase_medium", "none"
@@ -25,10 +25,11 @@ def best_guess(primary: Column, before: Column, final: Column, valid: Column) ->
     """
 
     def step(letter: Column, path: str, tier: str) -> Column:
-        return F.when(letter != "", F.struct(letter.alias("letter"), F.lit(path).alias("path"), F.lit(tier).alias("tier")))
+        return let(letter, lambda l: F.when(l != "", F.struct(l.alias("letter"), F.lit(path).alias("path"), F.lit(tier).alias("tier"))))
 
     def phrase(c: Column, path: str) -> list[Column]:
-        return [step(L.extract_valid_letter(t, valid), path, PHRASE) for t in (visible_answer(c), c)]
+        each = lambda t: step(L.extract_valid_letter(t, valid), path, PHRASE)
+        return [let(visible_answer(c), each), each(c)]
 
     def four(c: Column, box: str, stem: str, option: str) -> list[Column]:
         return [step(L.last_valid_letter(c, valid), box, BOX), step(L.tail_letter(c, valid), f"{stem}_tail_phrase", PHRASE), step(L.option_phrase_letter(c, valid), option, PHRASE), *phrase(c, f"{stem}_phrase_fulltext")]
@@ -39,8 +40,8 @@ def best_guess(primary: Column, before: Column, final: Column, valid: Column) ->
     third = [step(L.last_valid_letter(before, valid), "mcq_pre_trunc_last_valid_letter", BOX), step(L.option_phrase_letter(before, valid), "mcq_pre_trunc_raw_option_phrase", PHRASE), *phrase(before, "mcq_pre_trunc_phrase_fulltext")]
     both, late = F.concat(primary, F.lit("\n\n"), final), F.concat(before, F.lit("\n\n"), final)
     fourth = [step(L.option_phrase_letter(both, valid), "mcq_combined_raw_option_phrase", PHRASE)]
-    for t in (visible_answer(both), both):
-        fourth += [step(L.extract_valid_letter(t, valid), "mcq_combined_phrase_fulltext", PHRASE), step(L.tail_letter(t, valid), "mcq_combined_tail_phrase", PHRASE)]
+    each = lambda t: F.coalesce(step(L.extract_valid_letter(t, valid), "mcq_combined_phrase_fulltext", PHRASE), step(L.tail_letter(t, valid), "mcq_combined_tail_phrase", PHRASE))
+    fourth += [let(visible_answer(both), each), each(both)]
     fifth = phrase(late, "mcq_combined_pre_trunc_phrase")
     heard = ~L.has_training_echo(primary)
     rest = [F.when(heard, s) for s in second] + [F.when(heard & changed, s) for s in third] + [F.when(heard, s) for s in fourth] + [F.when(heard & changed, s) for s in fifth]
