@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marginalia.functions.boxed import extract_boxed_inner
-from marginalia.functions.text import last_of, let, strip
+from marginalia.functions.text import SPACE, WORD, alone, last_of, let, strip
 from marginalia.functions.think import visible_answer
 
 # Wrappers around a letter in a box, and the phrases that name a letter (upper-case text), in order of priority.
@@ -128,6 +128,18 @@ def _last_hit(up: Column, pattern: str, valid: Column) -> Column:
     )
 
 
+def simple_letter(text: Column) -> Column:
+    """A box of one letter, else the last letter that stands alone, or ''."""
+    first = F.nullif(F.upper(F.regexp_extract(text, r"\\boxed\{([A-Za-z])\}", 1)), F.lit(""))
+    return F.coalesce(first, last_of(F.regexp_extract_all(F.upper(text), F.lit(alone("A-Z")), F.lit(1))), F.lit(""))
+
+
+def marked_letter(text: Column) -> Column:
+    """A letter marked as final, else a box of one, else the first that stands alone, or ''."""
+    marks = [rf"(?iu)FINAL[{SPACE}]*:[{SPACE}]*([A-J])(?![{WORD}])", rf"(?iu)\\boxed\{{[{SPACE}]*([A-J])[{SPACE}]*\}}"]
+    return F.coalesce(*[F.nullif(F.upper(F.regexp_extract(text, p, 1)), F.lit("")) for p in marks], F.regexp_extract(F.upper(text), alone("A-J"), 1))
+
+
 def primary_letter(raw: Column, before: Column, valid: Column) -> Column:
     """struct(letter, path): the first pass over a generated text (see PRIMARY_PATHS for the order)."""
     none = F.struct(F.lit("").alias("letter"), F.lit("mcq_last_valid_letter").alias("path"))

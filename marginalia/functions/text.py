@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 #: The characters that count as white space, for use within a character class.
 SPACE = " \t\n\x0b\x0c\r\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+#: The characters that make a word, for use within a character class: letters and numbers of every script (the JVM's \b and \w know ASCII only). The last one, a letter beyond 16 bits, is named so that a look-behind steps back over both halves of such letters.
+WORD = "\\p{L}\\p{N}_\U00010000"
+
+
+def alone(letters: str) -> str:
+    """Pattern of one of the letters (of a class) that is no part of a word in any script."""
+    return f"(?<![{WORD}])([{letters}])(?![{WORD}])"
+
 
 def strip(c: Column, also: str = "") -> Column:
     """Without white space (and the characters `also`, escaped for a class) at both ends."""

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.boxed import extract_boxed
-from marginalia.functions.letters import labels
-from marginalia.functions.text import last_of, strip
+from marginalia.functions.letters import labels, simple_letter
+from marginalia.functions.text import strip
 from marginalia.judge.methods import FALSE, TRUE, WEEKDAYS, option_match
 from marginalia.judge.plan import judged
 from marginalia.operators.curate import answer_to_letter
@@ -82,9 +82,7 @@ def q_plus_minus(spark, d):
 
 def q_score_mcq(spark, d):
     """The simple score: a box of one letter, or the last letter that stands alone, against the gold letter."""
-    up = F.upper("response")
-    l = F.coalesce(F.nullif(F.upper(F.regexp_extract("response", r"\\boxed\{([A-Za-z])\}", 1)), F.lit("")), last_of(F.regexp_extract_all(up, F.lit(r"\b([A-Z])\b"), F.lit(1))), F.lit(""))
-    return answered(spark, d).where("mcq").where(~F.col("response").rlike(r"[^\x00-\x7f]")).select("id", (l == F.upper(strip(F.col("answer")))).alias("ok"))
+    return answered(spark, d).where("mcq").select("id", (simple_letter(F.col("response")) == F.upper(strip(F.col("answer")))).alias("ok"))
 
 
 def with_verdict(df: DataFrame) -> DataFrame:

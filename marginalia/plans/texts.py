@@ -60,16 +60,9 @@ def q_last_boxed_string(spark, d):
 
 def q_baseline_letter(spark, d):
     """Simple readings: a box of one letter or the last letter that stands alone; a marked final letter, a box, the first that stands alone."""
-    up = F.upper(F.col("response"))
-    first = F.nullif(F.upper(F.regexp_extract(F.col("response"), r"\\boxed\{([A-Za-z])\}", 1)), F.lit(""))
-    alone = last_of(F.regexp_extract_all(up, F.lit(r"\b([A-Z])\b"), F.lit(1)))
-    marked = [F.nullif(F.upper(F.regexp_extract(F.col("response"), p, 1)), F.lit("")) for p in (r"(?i)FINAL\s*:\s*([A-J])\b", r"(?i)\\boxed\{\s*([A-J])\s*\}")]
-    return responses(spark, d).where(~F.col("response").rlike(r"[^\x00-\x7f]")).select(
-        "line_no",
-        F.coalesce(first, alone, F.lit("")).alias("letter"),
-        F.coalesce(*marked, F.regexp_extract(up, r"\b([A-J])\b", 1)).alias("marked_letter"),
-        F.coalesce(strip(last_of(F.regexp_extract_all(F.col("response"), F.lit(r"\\boxed\{([^{}]+)\}"), F.lit(1)))), F.lit("")).alias("flat_box"),
-    )
+    r = F.col("response")
+    flat = strip(last_of(F.regexp_extract_all(r, F.lit(r"\\boxed\{([^{}]+)\}"), F.lit(1))))
+    return responses(spark, d).select("line_no", letters.simple_letter(r).alias("letter"), letters.marked_letter(r).alias("marked_letter"), F.coalesce(flat, F.lit("")).alias("flat_box"))
 
 
 def q_visible_answer(spark, d):

@@ -133,3 +133,30 @@ def test_smart_cut():
     assert guess.cut_text("\\boxed{A} tail ", {"A"}) == "\\boxed{A} tail"
     assert guess.cut_text("x \\boxed{} y \\boxed{2} z", None, first=True) == "x \\boxed{} y \\boxed{2}"
     assert guess.cut_text("x \\boxed{1} z", None) == "x \\boxed{1}"
+
+
+def test_simple_letters_of_every_script(spark):
+    import re
+
+    def simple(t):
+        m = re.search(r"\\boxed\{([A-Za-z])\}", t)
+        hits = re.findall(r"\b([A-Z])\b", t.upper())
+        return m.group(1).upper() if m else hits[-1] if hits else ""
+
+    def marked(t):
+        m = re.search(r"FINAL\s*:\s*([A-J])\b", t, flags=re.I) or re.search(r"\\boxed\{\s*([A-J])\s*\}", t, flags=re.I) or re.search(r"\b([A-J])\b", t.upper())
+        return m.group(1).upper() if m else ""
+
+    rng = random.Random(8)
+    parts = ["A", "b", "J", "z", "é", "ß", "ſ", "答案", "是", "Б", "°", "ｃ", "²", "½", "_", "3", " ", "\u00a0", "\u3000", ".", "，", "FINAL", "fınal", ":", "\\boxed{", "}", "{", "𝔸", "😀", "\n"]
+    texts = ["答案是B。", "答案是 B。", "El resultado é A", "90° D", "éA B", "FINAL\u3000:\u00a0c。", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(4000))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", letters.simple_letter(F.col("t")).alias("a"), letters.marked_letter(F.col("t")).alias("b")).collect()
+    assert [(r.t, r.a, r.b) for r in rows] == [(t, simple(t), marked(t)) for t in texts]
+
+
+def test_lines_of_every_script_are_read(spark, sf):
+    from marginalia.plans.judging import answered, q_score_mcq
+    from marginalia.plans.texts import q_baseline_letter, responses
+
+    assert q_baseline_letter(spark, sf).count() == responses(spark, sf).count()
+    assert q_score_mcq(spark, sf).count() == answered(spark, sf).where("mcq").count()
