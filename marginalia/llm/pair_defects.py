@@ -189,7 +189,7 @@ def weak_tags(x: np.ndarray) -> np.ndarray:
     y[(x[:, 6] > 0) & (x[:, 4] < 1)] = FOREIGN
     y[(x[:, 4] > 0) & (x[:, 10] < 1)] = ECHO
     y[x[:, 1] > 0] = REFUSAL
-    y[(x[:, 8] > 0) & (x[:, 4] < 1)] = UNFINISHED
+    y[(x[:, 8] > 0) & ~(y == ECHO).all()] = UNFINISHED
     return y
 
 
@@ -315,7 +315,7 @@ def is_empty(text: str | None) -> bool:
 
 
 def decide(text: str, x: np.ndarray, tags: np.ndarray, sizes: list[int], q_words: frozenset[str], q_language: str, spoken: dict[str, float]) -> str | None:
-    """The defect of a pair that is not empty, by the words each tag covers."""
+    """The defect of a pair that is not empty, by the words each tag covers, and the tag of the last clause. The exact check only takes back: a closed text is not truncated, and a text that speaks most in the question's language is not in another."""
     if len(x):
         cover = np.bincount(tags, weights=sizes, minlength=len(TAGS))
         total = cover.sum()
@@ -325,11 +325,14 @@ def decide(text: str, x: np.ndarray, tags: np.ndarray, sizes: list[int], q_words
             return "refusal"
         if cover[ECHO] and not solved and q_words and bool(((tags == ECHO) | (x[:, 3] >= 0.8)).all()):
             return "copy"
-    if not is_finished(end_of(text)):
+    closed = is_finished(end_of(text))
+    if not len(x):  # no clause to tag: symbols only
+        return None if closed else "truncated"
+    if tags[-1] == UNFINISHED and not closed:
         return "truncated"
-    if len(x):
+    if cover[FOREIGN] and cover[FOREIGN] >= COVER * max(1.0, rest - cover[UNFINISHED]):
         mostly = main_language(spoken)
-        if q_language and mostly and mostly != q_language and spoken[mostly] > spoken.get(q_language, 0.0) and cover[FOREIGN] + cover[UNFINISHED] + cover[ECHO] > 0:
+        if q_language and mostly and mostly != q_language and spoken[mostly] > spoken.get(q_language, 0.0):
             return "other_language"
     return None
 

@@ -60,3 +60,15 @@ def test_field_learns_and_viterbi_is_best():
 @pytest.mark.parametrize("text,lang", [("The sum of the two is", "en"), ("Wie viele Tage sind es für alle", "de"), ("¿Cuántas manzanas quedan en la tienda?", "es"), ("Combien de litres reste-t-il à la fin ?", "fr"), ("Сколько всего", "ru"), ("还有多少", "zh"), ("$x^2$", "")])
 def test_languages(text, lang):
     assert P.main_language(P.votes(text), 0.4) == lang
+
+
+def test_tags_decide_and_checks_only_take_back():
+    x = np.zeros((2, P.N_FEATURES))
+    decide = lambda text, tags, spoken: P.decide(text, x, np.array(tags), [10, 10], frozenset({"row"}), "en", spoken)
+    cut, whole, german, english = "We add. Then we subt", "We add. Then we stop.", {"de": 5.0, "en": 1.0}, {"en": 5.0, "de": 1.0}
+    assert decide(cut, [P.ANSWER, P.UNFINISHED], english) == "truncated"
+    assert decide(cut, [P.ANSWER, P.ANSWER], english) is None
+    assert decide(whole, [P.ANSWER, P.UNFINISHED], english) is None
+    assert decide(whole, [P.FOREIGN, P.ANSWER], german) == "other_language"
+    assert decide(whole, [P.ECHO, P.ANSWER], german) is None
+    assert decide(whole, [P.FOREIGN, P.FOREIGN], english) is None
