@@ -8,7 +8,8 @@ check settles what needs no model: emptiness, and whether the text is closed.
 
 The field is fitted on the driver from at most FIT_LINES lines (those first by a
 hash of their number) with weak labels, and a few seed answers; it is a few hundred
-bytes. All lines are tagged. Lines meet their question by a shuffled join on its id,
+bytes. The words by which languages show are counted over all distinct questions and
+answers. All lines are tagged. Lines meet their question by a shuffled join on its id,
 of the judged text only; a hot id is split by the engine's skew handling.
 
 Defined results: null and blank answers are `empty`; lines without a question are
@@ -19,6 +20,7 @@ each; extra columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,27 +108,31 @@ def votes(text: str, learned: dict[str, str] | None = None) -> dict[str, float]:
 LEARNED, SEEN, SURE = 20_000, 3, 0.95
 
 
-def learn_words(texts: list[str]) -> dict[str, str]:
-    """Words that stand in texts of one language only, by the function words of whole texts."""
-    from collections import Counter
-
-    seen: dict[str, Counter] = {}
-    for t in texts:
-        v = sorted(votes(t).items(), key=lambda x: -x[1])
-        if v and v[0][0] not in ("zh", "ru") and v[0][1] >= 4 and (len(v) == 1 or v[0][1] >= 2 * v[1][1]):
-            for w in set(re.findall(r"[^\W\d_]{2,}", _MATH.sub(" ", t).lower())):
-                seen.setdefault(w, Counter())[v[0][0]] += 1
-    texts_of: Counter = Counter()
-    for c in seen.values():
-        for k, n in c.items():
-            texts_of[k] = max(texts_of[k], n)
-    out = {}
-    for w, c in seen.items():
-        share = {k: n / texts_of[k] for k, n in c.items()}
-        k = max(sorted(share), key=share.__getitem__)
-        if c[k] >= SEEN and share[k] >= SURE * sum(share.values()):
-            out[w] = (c[k], k)
-    return {w: k for w, (_, k) in sorted(out.items(), key=lambda x: (-x[1][0], x[0]))[:LEARNED]}
+def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In how many texts of a batch each word stands, by the language of the whole text as its function words tell it."""
+    for b in batches:
+        seen: Counter = Counter()
+        for t in b["text"]:
+            v = sorted(votes(t).items(), key=lambda x: -x[1])
+            if v and v[0][0] not in ("zh", "ru") and v[0][1] >= 4 and (len(v) == 1 or v[0][1] >= 2 * v[1][1]):
+                seen.update((w, v[0][0]) for w in set(re.findall(r"[^\W\d_]{2,}", _MATH.sub(" ", t).lower())))
+        if seen:
+            yield pd.DataFrame([(w, k, n) for (w, k), n in seen.items()], columns=["word", "lang", "n"])
+
+
+def learn_words(texts: DataFrame) -> dict[str, str]:
+    """Words that stand in texts of one language only, counted over all distinct texts; at most LEARNED come to the driver."""
+    counts = texts.where("text is not null").distinct().mapInPandas(_word_counts, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")).persist()
+    most = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.max("n").alias("n")).collect()}  # languages
+    if not most:
+        counts.unpersist()
+        return {}
+    share = F.col("n") / F.element_at(F.create_map(*[F.lit(x) for k in sorted(most) for x in (k, float(most[k]))]), F.col("lang"))
+    best = counts.withColumn("share", share).groupBy("word").agg(F.sum("share").alias("all"), F.max_by(F.struct("lang", "n", "share"), F.struct("share", "lang")).alias("b"))
+    sure = best.where((F.col("b.n") >= SEEN) & (F.col("b.share") >= SURE * F.col("all")))
+    out = {r["word"]: r["lang"] for r in sure.select("word", "b.lang", "b.n").orderBy(F.desc("n"), "word").limit(LEARNED).collect()}
+    counts.unpersist()
+    return out
 
 
 def main_language(v: dict[str, float], least: float = 1.0) -> str:
@@ -337,9 +343,8 @@ def decide(text: str, x: np.ndarray, tags: np.ndarray, sizes: list[int], q_words
     return None
 
 
-def fit_field(rows) -> tuple[ClauseField, dict[str, str]]:
-    """rows: (question, options, text). The field, and the words learned as signs of a language."""
-    learned = learn_words([t for _, _, t in rows if t] + [q for q, _, _ in rows if q])
+def fit_field(rows, learned: dict[str, str]) -> ClauseField:
+    """rows: (question, options, text)."""
     xs, ys = [], []
     for q, o, t in [*rows, *[(q, None, t) for q, t in _SEEDS] * 3]:
         if is_empty(t):
@@ -351,7 +356,7 @@ def fit_field(rows) -> tuple[ClauseField, dict[str, str]]:
                 x = np.concatenate([x[:FIT_CLAUSES], x[-FIT_CLAUSES:]])
             xs.append(x)
             ys.append(weak_tags(x))
-    return ClauseField().fit(xs, ys), learned
+    return ClauseField().fit(xs, ys)
 
 
 def judged(outputs: DataFrame) -> DataFrame:
@@ -368,7 +373,8 @@ def pair_defects(questions: DataFrame, outputs: DataFrame) -> DataFrame:
     q = questions.where("id is not null").groupBy("id").agg(F.min_by("question", F.struct(F.col("question").isNull(), "question")).alias("question"), F.min_by("options", F.struct(F.col("options").isNull(), F.size("options"))).alias("options"))
     some = j.where("not sound and text is not null").orderBy(F.xxhash64("line_no"), "line_no").limit(FIT_LINES)
     sample = [(r["question"], r["options"], r["text"][-2 * FIT_CHARS :]) for r in some.join(q, "id").select("question", "options", "text").collect()]
-    field = spark.sparkContext.broadcast(fit_field(sample))
+    learned = learn_words(j.where("not sound").select("text").union(questions.select("question")))
+    field = spark.sparkContext.broadcast((fit_field(sample, learned), learned))
 
     def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from marginalia.llm.unify import unified

@@ -72,3 +72,19 @@ def test_tags_decide_and_checks_only_take_back():
     assert decide(whole, [P.FOREIGN, P.ANSWER], german) == "other_language"
     assert decide(whole, [P.ECHO, P.ANSWER], german) is None
     assert decide(whole, [P.FOREIGN, P.FOREIGN], english) is None
+
+
+def test_words_of_languages_are_counted_over_all_texts(spark, monkeypatch):
+    english = ["First we add the numbers of the boxes and then we stop at the end."] * 5 + [f"First we add the numbers of box {w} and then we stop at the end." for w in ("alpha", "beta", "gamma")]
+    german = [f"Zuerst addieren wir die Zahlen und das Ergebnis ist mit dem {w} quitten." for w in ("alpha", "beta", "gamma", "delta")]
+    texts = spark.createDataFrame([(t,) for t in [*english, *german, None, "", "我们"]], "text string")
+    learned = P.learn_words(texts)
+    assert learned["quitten"] == "de" and learned["stop"] == "en" and "alpha" not in learned
+    assert "boxes" not in learned  # five copies of one text
+    assert P.learn_words(texts.limit(0)) == {}
+    seen = {}
+    monkeypatch.setattr(P, "FIT_LINES", 1)
+    monkeypatch.setattr(P, "learn_words", lambda t: seen.update(n=t.count()) or {})
+    q, o = frames(spark)
+    P.pair_defects(q, o)
+    assert seen["n"] == q.count() + o.count() - 1  # one line has no text to judge
