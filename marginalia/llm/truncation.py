@@ -95,17 +95,30 @@ def _bodies(b: pd.DataFrame) -> Iterator[tuple[int, str, str]]:
 _PAD = "\x01" * ORDERS[-1]
 
 
+def _reduced(t: str) -> tuple[int, str]:
+    """A hash of the body with numbers reduced, and that body."""
+    s = _DIGITS.sub("0", t)
+    return int.from_bytes(blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True), s
+
+
 def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per text: language, final context, a hash of the body, whether a cut is certain, whether it ends as finished texts do."""
     for b in batches:
         rows = []
         for line, col, t in _bodies(b):
-            s = _DIGITS.sub("0", t)
-            h = int.from_bytes(blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+            h, s = _reduced(t)
             rows.append((line, col, language(t), (_PAD + s[-ORDERS[-1] :])[-ORDERS[-1] :], h, t.endswith(BROKEN) or has_notice(t) or is_open(t), is_finished(t)))
         yield pd.DataFrame(rows, columns=["line_no", "col", "lang", "tail", "h", "sure", "whole"])
 
 
+def _distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Language, column, hash and body (numbers reduced) of each text, as `_marks` tells them."""
+    for b in batches:
+        rows = [(language(t), col, *_reduced(t)) for _, col, t in _bodies(b)]
+        if rows:
+            yield pd.DataFrame(rows, columns=["lang", "col", "h", "s"])
+
+
 _M = np.uint64(0x9E3779B97F4A7C15)
 _X = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -169,8 +182,8 @@ def _counter(words: np.ndarray):
 
         for b in batches:
             groups: dict[tuple[str, str], list[str]] = {}
-            for _, col, t in _bodies(b):
-                groups.setdefault((language(t), col), []).append(_DIGITS.sub("0", t))
+            for lang, col, t in zip(b["lang"], b["col"], b["s"]):
+                groups.setdefault((lang, col), []).append(t)
             for (lang, col), texts in groups.items():
                 lens = np.array([len(t) for t in texts])
                 code = np.frombuffer((_PAD + _PAD.join(texts)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -202,7 +215,8 @@ def scores(texts: DataFrame, marks: DataFrame) -> DataFrame:
     words = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
     for w, v in bits.collect():  # at most FILTER_BITS / 64 rows
         words[w] = np.uint64(v & 0xFFFFFFFFFFFFFFFF)
-    go_on = texts.mapInPandas(_counter(words), "lang string, col string, ord int, h long, n long").groupBy("lang", "col", "ord", "h").agg(F.sum("n").alias("n_go"))
+    once = texts.mapInPandas(_distinct, "lang string, col string, h long, s string").dropDuplicates(["lang", "col", "h"]).select("lang", "col", "s")
+    go_on = once.mapInPandas(_counter(words), "lang string, col string, ord int, h long, n long").groupBy("lang", "col", "ord", "h").agg(F.sum("n").alias("n_go"))
     ends = ctx.groupBy("lang", "col", "ord", "h").agg(F.sum("n_end").alias("n_all"))
     known = ends.join(go_on, ["lang", "col", "ord", "h"], "left").select("lang", "col", "ord", "h", "n_all", F.coalesce("n_go", F.lit(0)).alias("n_go"))
     others = F.col("n_all") - 1

@@ -66,3 +66,19 @@ def test_endings():
         assert is_finished(body(t + " <|im_end|>\n")), t
     for t in ("It is s", "\\boxed", "\\boxed{5", "Using $x", "gives 35", "the result is", "so ... [more]", "is \\boxed{49.", "<think>a.", ""):
         assert not is_finished(body(t)), t
+
+
+def test_copies_of_a_text_do_not_count_as_continuations(spark):
+    rng = random.Random(4)
+    rows = [(i, "r", text(rng), None, None) for i in range(40)]
+    rows += [(50 + i, "r", f"We count {w} and so the total is 17", None, None) for i, w in enumerate(("pears", "plums"))]
+    hot = (60, "r", "Some say the total is 19 but we go on from there.", ("Some say the total is 19 but go on.", 1), None)
+
+    def scores(rows):
+        t = truncation.texts_of(outputs(spark, rows))
+        marks = t.mapInPandas(truncation._marks, "line_no long, col string, lang string, tail string, h long, sure boolean, whole boolean")
+        return sorted((r.lang, r.col, r.tail, r.score, r.order) for r in truncation.scores(t, marks).collect())
+
+    once = scores([*rows, hot])
+    assert any("total is 0" in r[2] for r in once)
+    assert scores([*rows, *[hot] * 3, *[(70 + i, *hot[1:]) for i in range(20)]]) == once
