@@ -173,6 +173,18 @@ def held_run(item: list[str], passage: list[str]) -> tuple[int, int, int, int] |
     return a, b, best[0][1], best[-1][1]
 
 
+def held_runs(item: list[str], passage: list[str], hits: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """All runs of the passage, by place: what lies before and behind a run is searched again where it holds a hit (places of phrases), until no run is left."""
+    out, todo = [], [(0, len(passage))]
+    while todo:
+        a, b = todo.pop()
+        r = held_run(item, passage[a:b]) if b - a >= HELD * len(item) and ((hits >= a) & (hits < b)).any() else None
+        if r:
+            out.append((r[0], r[1], a + r[2], a + r[3]))
+            todo += [(a, a + r[2]), (a + r[3] + 1, b)]
+    return sorted(out, key=lambda r: r[2])
+
+
 def _search(items: list[tuple[int, list[str]]]):
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from marginalia.llm.wordfold import words
@@ -218,8 +230,7 @@ def _search(items: list[tuple[int, list[str]]]):
                     # clusters of hits that lie close enough to be one passage
                     for part in np.split(w, np.flatnonzero(np.diff(w) > len(item) + DOC_GAP) + 1):
                         a, b = max(0, part[0] - len(item)), min(len(ws), part[-1] + len(item) + PHRASE)
-                        r = held_run(item, ws[a:b])
-                        if r:
+                        for r in held_runs(item, ws[a:b], part - a):
                             out.append((held[d][0], items[i][0], int(a + r[2]), int(a + r[3]) + 1, r[1] - r[0] + 1, len(item)))
             return pd.DataFrame(out, columns=["doc_id", "item_id", "first_word", "end_word", "n_run", "n_item"])
 

@@ -63,3 +63,14 @@ def test_shards_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(leakage, "ITEM_BLOCK", 1)
     got = {(r.doc_id, r.item_id) for r in leakage.leaked_items(docs(spark, texts), items).collect()}
     assert got == {(i, 7) for i in range(0, 60, 4)} | {(i, 8) for i in range(1, 60, 4)}
+
+
+def test_every_copy_in_a_document_gets_a_span(spark):
+    gap = " and here is how we go about it with some care "
+    texts = ["Intro. " + ITEM + gap + ITEM + gap + ITEM, ITEM + " " + ITEM, ITEM + gap + OTHER]
+    items = spark.createDataFrame([(7, ITEM)], "item_id long, item_text string")
+    n = len(ITEM.split())
+    got = {(r.doc_id, r.first_word, r.end_word) for r in leakage.leaks(docs(spark, texts), items).collect()}
+    step = n + len(gap.split())
+    assert got == {(0, 1, 1 + n), (0, 1 + step, 1 + step + n), (0, 1 + 2 * step, 1 + 2 * step + n), (1, 0, n), (1, n, 2 * n), (2, 0, n)}
+    assert leakage.leaked_items(docs(spark, texts), items).count() == 3
