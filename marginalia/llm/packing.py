@@ -37,7 +37,7 @@ GROUP_DOCS = 25_000
 WEIGHTS = (1.0, 0.02, 0.05)
 #: Token residuals compared, from the smallest that fits.
 LOOK = 4
-#: A sequence holds at most one document per so many tokens of capacity (and 8 at least), and at most ATTENTION times the attention cost of one full document.
+#: A sequence holds at most one document per so many tokens of capacity (and 8 at least), and at most ATTENTION times the attention cost of one full document (at 1.0 tokens always bind first, and the cost only steers the choice).
 TOKENS_PER_DOC, ATTENTION = 8, 1.0
 #: A stretch without white space beyond this many characters is encoded in parts of that length.
 STRETCH = 20_000
