@@ -1,17 +1,20 @@
 """Reading level of documents: regularised ordinal regression over text features.
 
-Features of a document: lexical diversity, word rarity (in the whole corpus, and
-against the words of each graded band), connectives, a proxy of clause depth, and
-lengths of words and segments. They are calibrated to the graded documents by a
-proportional-odds model with an L2 penalty, fitted on the driver from a bounded
-sample of labelled documents; band word lists are cross-fitted, so that the
-regression sees honest values.
-
-Features are averaged over segments. Segments that read like an exercise rather
-than like any band (judged by the held-out items) carry no weight, unless the whole
-text is made of them: an exercise put into a text doesn't change its band.
-
-Corpus counts cover all documents, in a table of fixed size (BUCKETS hashed words).
+Features of a document, from its segments: word rarity (in the whole corpus, and one
+bounded rarity against graded text: how far a word stands in demanding rather than in
+easy graded documents), lengths of words and segments, connectives, a proxy of clause
+depth (subordinators per word), each as mean and quartiles over the segments, and
+lexical diversity. A proportional-odds model with an L2 penalty, fitted on the driver
+from a bounded sample of labelled documents, weighs them; the rarity against graded
+text is cross-fitted, so that the regression sees honest values.
+
+Segments that stand in the held-out items (half of their word triples) carry no
+weight, unless the whole text is made of them, and quartiles bear a few odd segments:
+an exercise put into a text doesn't change its band.
+
+Corpus counts cover all documents. Words are hashed to BUCKETS, so what goes to the
+tasks has a fixed size. Texts are read by one pattern; all else is arithmetic on
+arrays of a batch.
 
 Defined results: null, blank and wordless texts and texts in other languages have no
 band; repeated documents come out each; a document of two bands counts half for
@@ -23,7 +26,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +36,17 @@ from pyspark.sql import functions as F
 from marginalia.session import ship, spread
 
 BANDS = ("primary", "secondary", "university")
-#: The regression is fitted on at most so many labelled documents (those first by a hash of their id) and characters of text in all.
-LABELLED, LABELLED_CHARS = 20_000, 60_000_000
-#: Hashed words of the corpus counts (1 MB as 64-bit counts).
+#: The regression is fitted on at most so many labelled documents, those first by a hash of their id.
+LABELLED = 12_000
+#: Hashed words: two tables of 64-bit numbers, 1 MB each.
 BUCKETS = 1 << 17
-#: Words and word pairs kept per model, the most frequent of the labelled sample.
-TERMS = 120_000
+#: A stretch without a mark is cut into segments of at most so many words; a word is new if it didn't stand among so many before it.
+SEGMENT, RECENT = 24, 40
+#: Share of a segment's word triples that stand in held-out items from which it counts as an exercise.
+EXERCISE = 0.5
 FOLDS, PENALTY, ROUNDS = 5, 1.0, 300
+#: A worker forgets its words beyond so many (they are looked up anew; results don't change).
+REMEMBERED = 400_000
 
 # Words that join or subordinate clauses.
 CONNECTIVES = frozenset("because since although therefore hence thus however whenever provided unless whereas while consequently moreover furthermore notwithstanding whose which that if when so then but or as than".split())
@@ -51,126 +57,170 @@ _LANGUAGES = {
     "fr": "le les des est une dans pour et du on il la en",
     "es": "el los las que por una para del se con la es en",
 }
-_SEGMENT = re.compile(r"[.!?;:]+(?=\s|$)|[。！？；]+|\n+|\s+and (?:so|then)\s+|\s+and underneath\s+")
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+")
+_SETS = [frozenset(v.split()) for v in _LANGUAGES.values()]
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|[.!?;:]+(?=\s|$)|[。！？；\n]+")
+_FOREIGN = re.compile("[Ѐ-ӿ一-鿿]")
+#: Columns of a word's properties.
+LETTERS, WORD, LONG, JOINS, SUBORDINATES, EN, DE, FR, ES, FOREIGN = range(10)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Words:
+    """Properties of words, kept between the batches of a worker. Word 0 is a break."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {"\n": 0, "0": 1}
+        self._rows, self._codes = [[0.0] * 10, [0.0] * 10], [0, zlib.crc32(b"0")]
+        self._seen = 0
+
+    def _add(self, t: str) -> int:
+        if t[0].isdigit():
+            k = 1
+        elif not t[0].isalpha():
+            k = 0
+        else:
+            k = len(self._rows)
+            self._rows.append([len(t), 1.0, len(t) > 8, t in CONNECTIVES, t in SUBORDINATORS, *(t in v for v in _SETS), bool(_FOREIGN.search(t))])
+            self._codes.append(zlib.crc32(t.encode("utf-8", "surrogatepass")))
+        self.index[t] = k
+        return k
+
+    def encode(self, texts: list[str]) -> "Encoded":
+        if len(self.index) > REMEMBERED:
+            self.clear()
+        get, add = self.index.get, self._add
+        parts, lens = [], []
+        for t in texts:
+            ids = [k if (k := get(w)) is not None else add(w) for w in _TOKEN.findall(t.lower())]
+            ids.append(0)
+            parts += ids
+            lens.append(len(ids))
+        if self._seen != len(self._rows):
+            self.rows, self.codes, self._seen = np.array(self._rows, dtype=np.float64), np.array(self._codes, dtype=np.uint64), len(self._rows)
+        return Encoded(np.array(parts, dtype=np.int64), np.array(lens, dtype=np.int64), self)
+
+
+class Encoded:
+    """The words of many documents in segments: flat arrays, and the place of each segment and document in them."""
+
+    def __init__(self, ids: np.ndarray, lens: np.ndarray, words: Words):
+        self.n_docs = len(lens)
+        doc = np.repeat(np.arange(len(lens)), lens)
+        seg = np.cumsum(ids == 0) - (ids == 0)
+        on = ids > 0
+        ids, doc, seg = ids[on], doc[on], seg[on]
+        if len(ids):
+            # long stretches into equal parts
+            first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
+            size = np.diff(np.append(first, len(seg)))
+            parts = -(-size // SEGMENT)
+            place = np.arange(len(seg)) - np.repeat(first, size)
+            part = place * np.repeat(parts, size) // np.repeat(size, size)
+            new = np.concatenate([[True], (seg[1:] != seg[:-1]) | (part[1:] != part[:-1])])
+            seg = np.cumsum(new) - 1
+            letters = np.bincount(seg, weights=words.rows[ids, WORD])
+            keep = letters[seg] > 0  # segments of numbers only say nothing
+            ids, doc, seg = ids[keep], doc[keep], seg[keep]
+        self.props, code = words.rows[ids], words.codes[ids]
+        self.ids, self.doc, self.code, self.bucket = ids, doc, code, (code % BUCKETS).astype(np.int64)
+        self.start = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]])) if len(ids) else np.zeros(0, dtype=np.int64)
+        self.size = np.diff(np.append(self.start, len(ids)))
+        self.seg_doc = doc[self.start]
+
+    def triples(self) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of each three words in a row, and the segment of each."""
+        seg = np.repeat(np.arange(len(self.start)), self.size)
+        c = self.code
+        if len(c) < 3:
+            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        h = ((c[:-2] * _MIX + c[1:-1]) * _MIX + c[2:]) * _MIX
+        same = seg[2:] == seg[:-2]
+        return h[same], seg[2:][same]
+
+    def main(self, exercises: np.ndarray) -> np.ndarray:
+        """Which segments are no exercise (all of a document that has no other)."""
+        keep = np.ones(len(self.start), dtype=bool)
+        if len(exercises) and len(keep):
+            h, seg = self.triples()
+            hit = np.bincount(seg, weights=exercises[np.minimum(np.searchsorted(exercises, h), len(exercises) - 1)] == h, minlength=len(keep))
+            keep = hit < EXERCISE * np.maximum(1, self.size - 2)
+            alive = np.bincount(self.seg_doc[keep], minlength=self.n_docs) > 0
+            keep |= ~alive[self.seg_doc]
+        return keep
+
+    def english(self, keep: np.ndarray) -> np.ndarray:
+        """By script and function words, whatever the language column says; words of no language count as English."""
+        of = lambda k: np.add.reduceat(self.props[:, k], self.start) if len(self.start) else np.zeros(0)
+        per_doc = lambda v: np.bincount(self.seg_doc[keep], weights=v[keep], minlength=self.n_docs)
+        n, foreign = per_doc(np.ones(len(keep))), per_doc((of(FOREIGN) > 0).astype(float))
+        en, de, fr, es = (per_doc(of(k)) for k in (EN, DE, FR, ES))
+        return (n > 0) & (2 * foreign < n) & (en >= np.maximum(np.maximum(de, fr), es))
+
+    def features(self, keep: np.ndarray, rarity: np.ndarray, grade: np.ndarray) -> np.ndarray:
+        """One row per document (zeros where it has no segment)."""
+        out = np.zeros((self.n_docs, N_FEATURES))
+        if not keep.any():
+            return out
+        word = self.props[:, WORD]
+        add = lambda v: np.add.reduceat(v, self.start)
+        n = add(word)
+        rare, letters = rarity[self.bucket] * word, self.props[:, LETTERS]
+        cols = [
+            add(rare) / n,
+            np.maximum.reduceat(rare, self.start),
+            add(letters) / n,
+            np.maximum.reduceat(letters, self.start),
+            add(self.props[:, LONG]) / n,
+            add(self.props[:, JOINS]) / self.size,
+            add(self.props[:, SUBORDINATES]) / self.size,
+            np.log(self.size),
+            add(grade[self.bucket] * word) / n,
+        ]
+        doc = self.seg_doc[keep]
+        count = np.bincount(doc, minlength=self.n_docs)
+        first = np.concatenate([[0], np.cumsum(count)[:-1]])
+        some = count > 0
+        for k, v in enumerate(cols):
+            v = v[keep]
+            out[some, 4 * k] = (np.bincount(doc, weights=v, minlength=self.n_docs) / np.maximum(1, count))[some]
+            v = v[np.lexsort((v, doc))]
+            for j, q in enumerate((0.25, 0.5, 0.75), 1):
+                at = q * (count - 1)
+                lo = np.floor(at).astype(np.int64)
+                a, b = first + np.maximum(0, lo), first + np.minimum(np.maximum(0, lo + 1), np.maximum(0, count - 1))
+                out[some, 4 * k + j] = (v[a[some]] * (1 - (at - lo)[some])) + v[b[some]] * (at - lo)[some]
+        # diversity: words that didn't stand among the last ones of their document
+        words = np.repeat(keep, self.size)
+        ids, d = self.ids[words], self.doc[words]
+        place = np.arange(len(ids))
+        order = np.lexsort((place, ids, d))
+        near = (np.diff(ids[order]) == 0) & (np.diff(d[order]) == 0) & (np.diff(place[order]) <= RECENT)
+        again = np.bincount(d[order][1:][near], minlength=self.n_docs)
+        out[some, -1] = (1 - again / np.maximum(1, np.bincount(d, minlength=self.n_docs)))[some]
+        return out
 
 
-_SETS = {k: frozenset(v.split()) for k, v in _LANGUAGES.items()}
-_FOREIGN = re.compile("[Ѐ-ӿ一-鿿]")
+N_FEATURES = 37
 
 
-def is_english(segs: list[list[str]]) -> bool:
-    """By script and function words, whatever the language column says; words of no language count as English."""
-    foreign = sum(any(_FOREIGN.search(w) for w in s) for s in segs)
-    if 2 * foreign >= len(segs):
-        return False
-    n = {k: sum(w in v for s in segs for w in s) for k, v in _SETS.items()}
-    return n["en"] >= max(n["de"], n["fr"], n["es"])
-
-
-def segments(text: str) -> list[list[str]]:
-    out = []
-    for s in _SEGMENT.split(text):
-        ws = ["0" if w[0].isdigit() else w for w in _WORD.findall(s.lower())]
-        if any(w != "0" for w in ws):
-            out.append(ws)
-    return out
-
-
-def _terms(ws: list[str]) -> list[str]:
-    return ws + [f"{a} {b}" for a, b in zip(ws, ws[1:])]
-
-
-class WordGrades:
-    """Log-probabilities of words and word pairs by band, and among exercises."""
-
-    def __init__(self, docs: list[list[list[str]]], weights: np.ndarray, exercises: list[list[list[str]]]):
-        counts: list[Counter] = [Counter() for _ in range(4)]
-        for d, w in zip(docs, weights):
-            seen = Counter(t for s in d for t in _terms(s))
-            for t, n in seen.items():
-                m = math.log1p(n)
-                for b in range(3):
-                    if w[b]:
-                        counts[b][t] += w[b] * m
-        for d in exercises:
-            for t, n in Counter(t for s in d for t in _terms(s)).items():
-                counts[3][t] += math.log1p(n)
-        total = Counter()
-        for c in counts:
-            total.update(c)
-        keep = [t for t, n in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:TERMS] if n > 0.5]
-        self.index = {t: i for i, t in enumerate(keep)}
-        self.n_bands = 4 if exercises else 3
-        m = np.array([[c[t] for t in keep] for c in counts[: self.n_bands]]).reshape(self.n_bands, -1)
-        mass = m.sum(axis=1, keepdims=True)
-        share = np.array([total[t] for t in keep]) / max(1e-9, sum(total[t] for t in keep))
-        a = 0.02 * max(1.0, float(mass.mean()))
-        self.logp = np.log((m + a * share) / (mass + a)) - np.log(share) if len(keep) else m
-
-    def score(self, d: list[list[str]]) -> np.ndarray:
-        """For each segment and band: log-odds of its known words and pairs against all bands, over the root of their number."""
-        ix, at, get = [], [0], self.index.get
-        for ws in d:
-            for t in _terms(ws):
-                i = get(t)
-                if i is not None:
-                    ix.append(i)
-            at.append(len(ix))
-        total = np.concatenate([np.zeros((self.n_bands, 1)), np.cumsum(self.logp[:, ix].clip(-3, 3), axis=1)], axis=1)
-        at = np.array(at)
-        return ((total[:, at[1:]] - total[:, at[:-1]]) / np.sqrt(np.maximum(1, np.diff(at)))).T
-
-
-def main_text(d: list[list[str]], grades: WordGrades) -> tuple[list[list[str]], np.ndarray]:
-    """The segments that don't read like an exercise (all, if none is left), and their scores by band."""
-    s = grades.score(d)
-    if s.shape[1] == 3:
-        return d, s
-    plain = s[:, 3] <= s[:, :3].max(axis=1) + 0.5
-    if not plain.any():
-        plain[:] = True
-    return [w for w, p in zip(d, plain) if p], s[plain, :3]
-
-
-def features(kept: list[list[str]], band: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    z = np.exp(band - band.max(axis=1, keepdims=True))
-    z /= z.sum(axis=1, keepdims=True)
-    grade = z @ np.array([-1.0, 0.0, 1.0])
-    # headings and stock sentences speak for no band, and so weigh little
-    weight = (z.max(axis=1) - 1 / 3 + 1e-3) * np.sqrt([len(ws) for ws in kept])
-    weight /= weight.sum()
-    flat = [w for ws in kept for w in ws]
-    letters = [w for w in flat if w != "0"]
-    windows = [len(set(flat[i : i + 40])) / len(flat[i : i + 40]) for i in range(0, max(1, len(flat) - 20), 20)]
-    rare = np.array([rarity[zlib.crc32(w.encode()) % BUCKETS] for w in letters])
-    return np.array(
-        [
-            float(weight @ grade),
-            float(grade[np.argsort(grade)][np.searchsorted(np.cumsum(weight[np.argsort(grade)]), 0.5).clip(max=len(grade) - 1)]),
-            float(weight @ z[:, 0]),
-            float(weight @ z[:, 2]),
-            float(np.tanh(weight @ (band[:, 0] - band[:, 1]))),
-            float(np.tanh(weight @ (band[:, 2] - band[:, 1]))),
-            float(np.mean(windows)),
-            float(rare.mean()),
-            float(np.quantile(rare, 0.9)),
-            sum(w in CONNECTIVES for w in flat) / len(flat),
-            sum(w in SUBORDINATORS for w in flat) / len(kept),
-            float(np.mean([len(w) for w in letters])),
-            float(np.mean([len(w) > 8 for w in letters])),
-            math.log(len(flat) / len(kept)),
-        ]
-    )
+def graded_rarity(pairs: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each bucket, how far its words stand in demanding (1) rather than easy (-1) graded documents. pairs: (document, bucket), each once; weights: documents by band."""
+    doc, bucket = pairs
+    level = weights @ np.array([-1.0, 0.0, 1.0])
+    return np.bincount(bucket, weights=level[doc], minlength=BUCKETS) / (np.bincount(bucket, weights=weights.sum(axis=1)[doc], minlength=BUCKETS) + 1.0)
 
 
 class OrdinalRegression:
     """Proportional odds: P(band <= k) = logistic(cut_k - w x), fitted with an L2 penalty by gradient steps (Adam)."""
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> "OrdinalRegression":
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+        on = weight > 0
+        self.mean, self.scale = x[on].mean(axis=0), x[on].std(axis=0) + 1e-6
         z = (x - self.mean) / self.scale
-        n, k = z.shape
+        n, k = float(on.sum()), z.shape[1]
         p = np.concatenate([np.zeros(k), [-1.0, 0.5]])  # weights, first cut, log of the step to the second
         m, v = np.zeros_like(p), np.zeros_like(p)
         sig = lambda t: 1 / (1 + np.exp(-np.clip(t, -30, 30)))
@@ -205,72 +255,71 @@ class OrdinalRegression:
 
 
 class LevelModel:
-    """Word grades and regression together."""
+    """Rarity against graded text and regression together."""
 
     def fit(self, texts: list[str], weights: np.ndarray, exercises: list[str], rarity: np.ndarray) -> "LevelModel":
-        docs = [segments(t) for t in texts]
-        keep = [i for i, d in enumerate(docs) if d]
-        docs, weights = [docs[i] for i in keep], weights[keep]
-        ex = [segments(t) for t in exercises]
-        self.rarity = rarity
-        fold = np.arange(len(docs)) % FOLDS
+        words = Words()
+        self.exercises, self.rarity = np.unique(words.encode(exercises).triples()[0]), rarity
+        enc = words.encode(texts)
+        keep = enc.main(self.exercises)
+        use = enc.english(keep)
+        weights = weights * use[:, None]
+        self.fitted = bool(weights.any())
+        if not self.fitted:
+            return self
+        pairs = np.unique(enc.doc * BUCKETS + enc.bucket)
+        pairs = np.stack([pairs // BUCKETS, pairs % BUCKETS])
+        fold, y = np.arange(len(texts)) % FOLDS, np.tile(np.arange(3), len(texts))
         for again in (False, True):
-            x = np.zeros((len(docs), 14))
-            for f in range(FOLDS):
-                part = fold == f
-                if len(docs) < 2 * FOLDS:
-                    g = WordGrades(docs, weights, ex)
-                else:
-                    g = WordGrades([d for d, p in zip(docs, part) if not p], weights[~part], ex)
-                for i in np.flatnonzero(part):
-                    x[i] = features(*main_text(docs[i], g), rarity)
-            y = np.tile(np.arange(3), len(docs))
+            x = np.zeros((len(texts), N_FEATURES))
+            for f in range(FOLDS) if len(texts) >= 2 * FOLDS else (-1,):
+                x_f = enc.features(keep, rarity, graded_rarity(pairs, weights * (fold != f)[:, None]))
+                x = np.where((fold == f)[:, None] | (f < 0), x_f, x)
             self.regression = OrdinalRegression().fit(np.repeat(x, 3, axis=0), y, weights.ravel())
-            if not again and len(docs) >= 10 * FOLDS:
+            if not again and len(texts) >= 10 * FOLDS:
                 # a grade that the cross-fitted model finds next to impossible is taken for a slip of the rater
-                p = self.regression.probability(x)
-                ok = (p * weights).sum(axis=1) >= 0.03
-                weights = weights * ok[:, None]
-        self.grades = WordGrades(docs, weights, ex)
+                weights = weights * ((self.regression.probability(x) * weights).sum(axis=1) >= 0.03)[:, None]
+        self.grade = graded_rarity(pairs, weights)
         return self
 
-    def predict(self, texts: list[str]) -> list[str | None]:
+    def predict(self, texts: list[str], words: Words | None = None) -> list[str | None]:
         """The band of each English text with words, else None."""
-        docs = [segments(t) for t in texts]
-        out: list[str | None] = [None] * len(texts)
-        rows, x = [], []
-        for i, d in enumerate(docs):
-            if d:
-                kept, band = main_text(d, self.grades)
-                if is_english(kept):
-                    rows.append(i)
-                    x.append(features(kept, band, self.rarity))
-        if rows:
-            for i, b in zip(rows, self.regression.predict(np.array(x))):
-                out[i] = BANDS[b]
-        return out
+        if not self.fitted or not texts:
+            return [None] * len(texts)
+        enc = (words or Words()).encode(texts)
+        keep = enc.main(self.exercises)
+        bands = self.regression.predict(enc.features(keep, self.rarity, self.grade))
+        return [BANDS[b] if e else None for b, e in zip(bands, enc.english(keep))]
+
+
+def _bucket_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    words, n = Words(), np.zeros(BUCKETS)
+    for b in batches:
+        e = words.encode(b["text"].tolist())
+        n += np.bincount(e.bucket, weights=e.props[:, WORD], minlength=BUCKETS)
+    at = np.flatnonzero(n)
+    yield pd.DataFrame({"b": at, "n": n[at].astype(np.int64)})
 
 
 def word_rarity(documents: DataFrame) -> np.ndarray:
     """For each bucket of hashed words, minus the log of its share among all words of the corpus."""
-    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
-    rows = documents.where("text is not null").select(word.alias("w")).groupBy((F.crc32("w") % BUCKETS).alias("b")).count().collect()  # at most BUCKETS rows
     n = np.full(BUCKETS, 0.5)
-    for b, c in rows:
+    counts = spread(documents.where("text is not null").select("text")).mapInPandas(_bucket_counts, "b long, n long")
+    for b, c in counts.groupBy("b").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
         n[b] += c
     return -np.log(n / n.sum())
 
 
 def fit(documents: DataFrame, labels: DataFrame, exercises: DataFrame | None = None) -> LevelModel | None:
+    ship(documents.sparkSession)
     graded = labels.where(F.col("band").isin(*BANDS)).groupBy("doc_id").agg(*[F.count_if(F.col("band") == b).alias(b) for b in BANDS])
     sample = graded.join(documents.where("text is not null").select("doc_id", "text"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    room = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    rows = [r for r in sample.withColumn("room", room).where(F.col("room") <= LABELLED_CHARS).collect() if is_english(segments(r["text"]))]
+    rows = sample.collect()
     if not rows:
         return None
     w = np.array([[r[b] for b in BANDS] for r in rows], dtype=float)
     w /= w.sum(axis=1, keepdims=True)
-    ex = [r[0] for r in exercises.select("item_text").where("item_text is not null").orderBy(F.xxhash64("item_text")).limit(LABELLED).collect()] if exercises is not None else []
+    ex = [r[0] for r in exercises.select("item_text").where("item_text is not null").collect()] if exercises is not None else []  # held-out items: a table that doesn't grow
     return LevelModel().fit([r["text"] for r in rows], w, ex, word_rarity(documents))
 
 
@@ -280,14 +329,14 @@ def levels(documents: DataFrame, labels: DataFrame, exercises: DataFrame | None
     ship(spark)
     schema = "doc_id long, source string, band string"
     model = fit(documents, labels, exercises)
-    if model is None:
+    if model is None or not model.fitted:
         return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(model)
 
     def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        m, words = shared.value, Words()
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "band": m.predict(b["text"].tolist())})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "band": m.predict(b["text"].tolist(), words)})
 
     return spread(documents.where("text is not null").select("doc_id", "text", "source")).mapInPandas(grade, schema).where("band is not null")
 

@@ -53,9 +53,70 @@ def test_regression_recovers_an_order():
     assert np.allclose(p.sum(axis=1), 1) and (p > -1e-9).all() and m.cuts[0] < m.cuts[1]
 
 
-@pytest.mark.parametrize("text,n", [("", 0), ("One. Two! Three?", 3), ("a and so b and then c", 3), ("12 34", 0)])
+@pytest.mark.parametrize("text,n", [("", 0), ("One. Two! Three?", 3), ("a 3.5 b", 1), ("12 34", 0), ("一。二", 2), (" ".join(["word"] * 100), 5)])
 def test_segments(text, n):
-    assert len(R.segments(text)) == n
+    e = R.Words().encode([text, "x"])
+    assert len(e.start) == n + 1 and e.n_docs == 2
+
+
+def test_features_match_plain_loops():
+    texts = ["Since the sum is 12, which holds, we stop. Go on\nthen stop", "", "One two one", "1 2"]
+    rng = np.random.default_rng(3)
+    rarity, grade = rng.random(R.BUCKETS), rng.random(R.BUCKETS)
+    words = R.Words()
+    e = words.encode(texts)
+    keep = np.ones(len(e.start), dtype=bool)
+    x = e.features(keep, rarity, grade)
+    import re
+    import zlib
+
+    bucket = lambda w: zlib.crc32(w.encode()) % R.BUCKETS
+    for i, t in enumerate(texts):
+        segs = [[w for w in re.findall(r"[a-z]+|\d+", s)] for s in re.split(r"[.\n]", t.lower())]
+        segs = [s for s in segs if any(w.isalpha() for w in s)]
+        if not segs:
+            assert not x[i].any()
+            continue
+        only = [[w for w in s if w.isalpha()] for s in segs]
+        want = [
+            [np.mean([rarity[bucket(w)] for w in s]) for s in only],
+            [max(rarity[bucket(w)] for w in s) for s in only],
+            [np.mean([len(w) for w in s]) for s in only],
+            [max(len(w) for w in s) for s in only],
+            [np.mean([len(w) > 8 for w in s]) for s in only],
+            [sum(w in R.CONNECTIVES for w in s) / len(s) for s in segs],
+            [sum(w in R.SUBORDINATORS for w in s) / len(s) for s in segs],
+            [np.log(len(s)) for s in segs],
+            [np.mean([grade[bucket(w)] for w in s]) for s in only],
+        ]
+        for k, v in enumerate(want):
+            assert np.allclose(x[i, 4 * k : 4 * k + 4], [np.mean(v), *np.quantile(v, [0.25, 0.5, 0.75])])
+        flat = ["0" if w.isdigit() else w for s in segs for w in s]
+        assert np.isclose(x[i, -1], np.mean([w not in flat[max(0, j - R.RECENT) : j] for j, w in enumerate(flat)]))
+
+
+def test_every_family_of_features_counts(spark):
+    """The rarity against graded text alone doesn't settle the bands, nor do they all need it."""
+    rng = random.Random(5)
+    texts = [doc(rng, (LOW, MID, HIGH)[i % 3]) for i in range(240)]
+    y = np.arange(240) % 3
+    rarity = -np.log(np.bincount(R.Words().encode(texts).bucket, minlength=R.BUCKETS) + 0.5)
+    m = R.LevelModel().fit(texts[:120], np.eye(3)[y[:120]], [], rarity)
+    right = lambda: np.mean([b == R.BANDS[k] for b, k in zip(m.predict(texts[120:]), y[120:])])
+    assert right() >= 0.95
+    m.regression.w[32:36] = 0
+    assert right() >= 0.6
+    m.regression.w[:] = 0
+    assert right() < 0.5
+
+
+def test_an_exercise_does_not_change_the_band():
+    rng = random.Random(6)
+    texts = [doc(rng, (LOW, MID, HIGH)[i % 3]) for i in range(90)]
+    m = R.LevelModel().fit(texts, np.eye(3)[np.arange(90) % 3], EXERCISE, np.ones(R.BUCKETS))
+    one = EXERCISE[0].replace("{}", "7")
+    assert m.predict([t + "\n" + one for t in texts]) == m.predict(texts)
+    assert m.predict([one])[0] in R.BANDS
 
 
 def test_corpus_counts_cover_all_documents(spark):
