@@ -39,6 +39,14 @@ def in_pairs(t: str) -> bool:
     return t.count("{") == t.count("}") and t.count("$") % 2 == 0
 
 
+_MARK = re.compile(r"[.?!。？！][\"'”»)\]|_*\s]*$|\}[\s|$*]*$")
+
+
+def ends_sentence(t: str) -> bool:
+    """Whether a body ends with the mark of a sentence or a closed box, braces and dollars in pairs."""
+    return in_pairs(t) and bool(_MARK.search(t[-40:]))
+
+
 def is_finished(t: str) -> bool:
     """Whether a body ends as a finished one does: with the mark of a sentence, a closed box or a short answer, braces and dollars in pairs."""
     if not t or t.endswith(BROKEN) or has_notice(t) or is_open(t) or not in_pairs(t):

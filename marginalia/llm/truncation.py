@@ -4,19 +4,19 @@ For the final context of a text (its last characters, read backwards, numbers
 reduced to one digit) the model compares how often that context ends a text with
 how often a text goes on after it:
 
-    score = log(ends of other texts + a) - log(continuations + a)
+    p = (ends of other texts + w * p of the next shorter context) / (those + continuations + w)
 
-at the longest order with enough support, backing off to shorter ones. Contexts
-are counted per language and column. A text is cut where its score lies below the
-threshold of its language and column, which is the emptiest place between the two
-groups of scores of texts that the exact check leaves open. That check: a notice that more followed, half a
-character or a thought that is never closed always means a cut; a text that ends
-with the mark of a sentence or with a closed box, with braces and dollars in
-pairs, counts as finished.
+and the score is the log-odds of p for the longest context (orders 4, 8, 12). Contexts
+are counted per language and column. Every text is scored, and those whose score lies
+below the threshold of their language and column are cut: the emptiest place between
+the two groups of scores. A text that ends with a notice that more followed, half a
+character or a thought that is never closed has been marked as cut and needs no score.
+The exact check behind the model only takes back: a text that ends with the mark of a
+sentence, braces and dollars in pairs, is finished although its last words are rare.
 
 Counting covers every position of every text. Only contexts that end some text can
-be asked for, so a bit set of their hashes (FILTER_BITS, a fixed size) lets the
-tasks drop other positions before the shuffle; it never loses a context.
+be asked for, so a bit set of their hashes, sized by their number, lets the tasks drop
+other positions before the shuffle; it never loses a context.
 
 Defined results: null and blank texts are finished; a repeated line counts once in
 the model (contexts are counted over distinct texts) and comes out as often as it
@@ -34,18 +34,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.endings import BROKEN, body, has_notice, is_finished, is_open
+from marginalia.llm.endings import BROKEN, body, ends_sentence, has_notice, is_open
 from marginalia.session import ship, spread
 
 #: Lengths of the contexts, each a multiple of the first.
 ORDERS = (4, 8, 12)
-#: Other texts and positions that must share a context before its odds count.
-SUPPORT = 6
-SMOOTH = 0.5
-#: Size of the bit set of contexts, in bits (512 kB).
-FILTER_BITS = 1 << 22
-#: The threshold is sought in this range of log-odds; a group of fewer texts than GROUP takes that of all texts of its column.
-LOWEST, HIGHEST, GROUP = -2.5, -0.25, 100
+#: The odds of a shorter context count like so many texts with the longer one.
+SHORTER = 2.0
+#: The bit set has BITS_EACH bits for each context, and at most 2 to the power of MOST_BITS (32 MB); beyond that it drops less, and loses nothing.
+BITS_EACH, MOST_BITS = 24, 28
+#: The threshold is sought in this range of log-odds; the histogram of all languages counts for a language like so many texts of its own.
+LOWEST, HIGHEST, PRIOR = -5.0, -1.0, 50
 #: Python state of a counting task is merged whenever it holds so many hits.
 FLUSH = 1_500_000
 
@@ -102,13 +101,13 @@ def _reduced(t: str) -> tuple[int, str]:
 
 
 def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per text: language, final context, a hash of the body, whether a cut is certain, whether it ends as finished texts do."""
+    """Per text: language, final context, a hash of the body, whether it is marked as cut, whether it ends as a sentence does."""
     for b in batches:
         rows = []
         for line, col, t in _bodies(b):
             h, s = _reduced(t)
-            rows.append((line, col, language(t), (_PAD + s[-ORDERS[-1] :])[-ORDERS[-1] :], h, t.endswith(BROKEN) or has_notice(t) or is_open(t), is_finished(t)))
-        yield pd.DataFrame(rows, columns=["line_no", "col", "lang", "tail", "h", "sure", "whole"])
+            rows.append((line, col, language(t), (_PAD + s[-ORDERS[-1] :])[-ORDERS[-1] :], h, t.endswith(BROKEN) or has_notice(t) or is_open(t), ends_sentence(t)))
+        yield pd.DataFrame(rows, columns=["line_no", "col", "lang", "tail", "h", "sure", "closed"])
 
 
 def _distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,8 +146,8 @@ def _hashes(code: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _bits(h: np.ndarray, order: int) -> np.ndarray:
-    return ((h ^ np.uint64(order * 0x5BD1E995)) % np.uint64(FILTER_BITS)).astype(np.int64)
+def _bits(h: np.ndarray, order: int, size: int) -> np.ndarray:
+    return ((h ^ np.uint64(order * 0x5BD1E995)) & np.uint64(size - 1)).astype(np.int64)
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,7 +159,7 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = np.arange(1, len(b) + 1) * ORDERS[-1] - 1
         hs = _hashes(code)
         for o, h in zip(ORDERS, hs):
-            yield pd.DataFrame({"lang": b["lang"], "col": b["col"], "tail": b["tail"], "n_end": b["n_end"], "ord": np.full(len(b), o, np.int32), "h": h[last].view(np.int64), "bit": _bits(h[last], o)})
+            yield pd.DataFrame({"lang": b["lang"], "col": b["col"], "tail": b["tail"], "n_end": b["n_end"], "ord": np.full(len(b), o, np.int32), "h": h[last].view(np.int64), "bit": _bits(h[last], o, 1 << MOST_BITS)})
 
 
 def _counter(words: np.ndarray):
@@ -191,7 +190,7 @@ def _counter(words: np.ndarray):
                 on = code != 1
                 on[ends] = False
                 for o, h in zip(ORDERS, _hashes(code)):
-                    bit = _bits(h, o)
+                    bit = _bits(h, o, 64 * len(words))
                     hit = on & ((words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
                     u, n = np.unique(h[hit], return_counts=True)
                     held.setdefault((lang, col, o), []).append((u, n))
@@ -208,41 +207,43 @@ def _counter(words: np.ndarray):
 
 
 def scores(texts: DataFrame, marks: DataFrame) -> DataFrame:
-    """For each language, column and tail: score (log-odds of the end against continuation) and order."""
+    """For each language, column and tail: score, the log-odds of the end against continuation."""
     tails = marks.groupBy("lang", "col", "tail").agg(F.count_distinct("h").alias("n_end"))
     ctx = tails.mapInPandas(_contexts, "lang string, col string, tail string, n_end long, ord int, h long, bit long").persist()
-    bits = ctx.select("bit").distinct().groupBy(F.shiftright("bit", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("v"))
-    words = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    for w, v in bits.collect():  # at most FILTER_BITS / 64 rows
-        words[w] = np.uint64(v & 0xFFFFFFFFFFFFFFFF)
+    size = 1 << min(MOST_BITS, max(16, (BITS_EACH * ctx.count()).bit_length()))
+    bit = F.col("bit") % size
+    bits = ctx.select(bit.alias("bit")).distinct().groupBy(F.shiftright("bit", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("v"))
+    words = np.zeros(size // 64, dtype=np.uint64)
+    for part in bits.toLocalIterator():  # at most 2 ** MOST_BITS / 64 rows
+        words[part[0]] = np.uint64(part[1] & 0xFFFFFFFFFFFFFFFF)
     once = texts.mapInPandas(_distinct, "lang string, col string, h long, s string").dropDuplicates(["lang", "col", "h"]).select("lang", "col", "s")
     go_on = once.mapInPandas(_counter(words), "lang string, col string, ord int, h long, n long").groupBy("lang", "col", "ord", "h").agg(F.sum("n").alias("n_go"))
     ends = ctx.groupBy("lang", "col", "ord", "h").agg(F.sum("n_end").alias("n_all"))
     known = ends.join(go_on, ["lang", "col", "ord", "h"], "left").select("lang", "col", "ord", "h", "n_all", F.coalesce("n_go", F.lit(0)).alias("n_go"))
-    others = F.col("n_all") - 1
-    odds = F.log(others + SMOOTH) - F.log(F.col("n_go") + SMOOTH)
-    best = F.max_by(F.struct(F.col("odds"), F.col("ord")), F.when((F.col("others") + F.col("n_go") >= SUPPORT) | (F.col("ord") == ORDERS[0]), F.col("ord")).otherwise(-F.col("ord"))).alias("best")
-    return ctx.join(known, ["lang", "col", "ord", "h"]).select("lang", "col", "tail", "ord", odds.alias("odds"), others.alias("others"), "n_go").groupBy("lang", "col", "tail").agg(best).select("lang", "col", "tail", F.col("best.odds").alias("score"), F.col("best.ord").alias("order"))
+    at = lambda c, o: F.max(F.when(F.col("ord") == o, F.col(c)))
+    counts = ctx.join(known, ["lang", "col", "ord", "h"]).groupBy("lang", "col", "tail").agg(*(at(c, o).alias(f"{c}{o}") for o in ORDERS for c in ("n_all", "n_go")))
+    p = F.lit(0.5)
+    for o, weight in zip(ORDERS, (1.0, *[SHORTER] * (len(ORDERS) - 1))):
+        others, go = F.col(f"n_all{o}") - 1, F.col(f"n_go{o}")
+        p = (others + weight * p) / (others + go + weight)
+    return counts.select("lang", "col", "tail", (F.log(p) - F.log1p(-p)).alias("score"))
 
 
 def thresholds(scored: DataFrame) -> dict[tuple[str, str], float]:
-    """For each language and column the middle of the emptiest place of the histogram of scores; ("*", col) for all languages."""
-    step = 0.25
+    """For each language and column the middle of the emptiest place of its histogram of scores, to which that of all languages is added in small."""
+    step, width = 0.25, 3
     cells = scored.groupBy("lang", "col", F.floor(F.col("score") / step).alias("cell")).agg(F.sum("n").alias("n"))
-    out: dict[tuple[str, str], float] = {}
-    hist: dict[tuple[str, str], dict[int, int]] = {}
+    own: dict[tuple[str, str], dict[int, int]] = {}
+    every: dict[str, dict[int, int]] = {}
     for r in cells.collect():  # languages x columns x some hundred cells
-        for key in ((r["lang"], r["col"]), ("*", r["col"])):
-            hist.setdefault(key, {}).setdefault(r["cell"], 0)
-            hist[key][r["cell"]] += r["n"]
-    for key, h in hist.items():
-        total = sum(h.values())
-        if key[0] != "*" and total < GROUP:
-            continue
-        places = [c for c in range(int(LOWEST / step), int(HIGHEST / step))]
-        width = 3
-        load = [(sum(h.get(c + d, 0) for d in range(-width, width + 1)), abs((c + 0.5) * step + 1.0), c) for c in places]
-        out[key] = (min(load)[2] + 0.5) * step
+        for h in (own.setdefault((r["lang"], r["col"]), {}), every.setdefault(r["col"], {})):
+            h[r["cell"]] = h.get(r["cell"], 0) + r["n"]
+    out = {}
+    for (lang, col), h in own.items():
+        share = PRIOR / sum(every[col].values())
+        load = lambda c: sum(h.get(k, 0) + share * every[col].get(k, 0) for k in range(c - width, c + width + 1))  # noqa: B023, E731
+        places = range(int(LOWEST / step), int(HIGHEST / step))
+        out[lang, col] = (min((round(load(c), 6), abs(c + 0.5 - (LOWEST + HIGHEST) / 2 / step), c) for c in places)[2] + 0.5) * step
     return out
 
 
@@ -250,16 +251,13 @@ def cut_texts(outputs: DataFrame) -> DataFrame:
     """line_no, col, lang, score, cut for each text of raw and meta.raw (where it differs)."""
     ship(outputs.sparkSession)
     texts = spread(texts_of(outputs))
-    marks = texts.mapInPandas(_marks, "line_no long, col string, lang string, tail string, h long, sure boolean, whole boolean").persist()
-    marked = marks.select("line_no", "col", "lang", "tail", "sure", "whole").join(scores(texts, marks), ["lang", "col", "tail"], "left").persist()
-    limit = thresholds(marked.where("not sure and not whole").groupBy("lang", "col", "score").agg(F.count("*").alias("n")))
-    bound, rest = F.lit(None).cast("double"), F.lit(None).cast("double")
+    marks = texts.mapInPandas(_marks, "line_no long, col string, lang string, tail string, h long, sure boolean, closed boolean").persist()
+    marked = marks.select("line_no", "col", "lang", "tail", "sure", "closed").join(scores(texts, marks), ["lang", "col", "tail"], "left").persist()
+    limit = thresholds(marked.where("not sure").groupBy("lang", "col", "score").agg(F.count("*").alias("n")))
+    bound = F.lit(None).cast("double")
     for (k, c), v in limit.items():
-        if k == "*":
-            rest = F.when(F.col("col") == c, v).otherwise(rest)
-        else:
-            bound = F.when((F.col("lang") == k) & (F.col("col") == c), v).otherwise(bound)
-    cut = F.col("sure") | (~F.col("whole") & (F.col("score") < F.coalesce(bound, rest, F.lit((LOWEST + HIGHEST) / 2))))
+        bound = F.when((F.col("lang") == k) & (F.col("col") == c), v).otherwise(bound)
+    cut = F.col("sure") | (F.coalesce(F.col("score") < bound, F.lit(False)) & ~F.col("closed"))
     return marked.select("line_no", "col", "lang", "score", cut.alias("cut"))
 
 

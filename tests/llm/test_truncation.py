@@ -38,18 +38,33 @@ def test_counts_of_contexts_equal_brute_force(spark):
     rows = [(i, "r", text(rng), None, None) for i in range(60)]
     rows += [(100 + i, "r", rows[0][2], None, None) for i in range(5)]
     t = truncation.texts_of(outputs(spark, rows))
-    marks = t.mapInPandas(truncation._marks, "line_no long, col string, lang string, tail string, h long, sure boolean, whole boolean")
-    got = {(r.tail): r.score for r in truncation.scores(t, marks).where("order = 12").collect()}
+    marks = t.mapInPandas(truncation._marks, "line_no long, col string, lang string, tail string, h long, sure boolean, closed boolean")
+    got = {r.tail: r.score for r in truncation.scores(t, marks).collect()}
     import math
 
     texts = [truncation._DIGITS.sub("0", body(r[2])) for r in rows]
     pad = truncation._PAD
+    assert len(got) == len({(pad + x)[-12:] for x in texts})
     for tail, score in got.items():
-        ends = len({x for x in texts if (pad + x).endswith(tail)}) - 1
-        go = sum((pad + x)[:-1].count(tail) if len(tail.strip("\x01")) == 12 else 0 for x in texts)
-        overlap = sum(1 for x in texts for k in range(12, len(pad + x)) if (pad + x)[k - 12 : k] == tail)
-        assert abs(score - (math.log(ends + 0.5) - math.log(overlap + 0.5))) < 1e-9, (tail, ends, go)
-    assert got
+        p = 0.5
+        for n, weight in ((4, 1.0), (8, 2.0), (12, 2.0)):
+            end = len({x for x in texts if (pad + x).endswith(tail[-n:])}) - 1
+            go = sum(1 for x in set(texts) for k in range(12 + 1, 12 + len(x)) if (pad + x)[k - n : k] == tail[-n:])
+            p = (end + weight * p) / (end + go + weight)
+        assert abs(score - (math.log(p) - math.log(1 - p))) < 1e-9, tail
+
+
+def test_the_model_decides(spark, monkeypatch):
+    """Without its scores only marked texts come out, and it acquits texts that end like no sentence."""
+    rng = random.Random(1)
+    rows = [(i, "r", text(rng), None, None) for i in range(400)]
+    rows += [(1000 + i, "r", text(rng)[:57].rstrip(" .}"), None, None) for i in range(20)] + [(2000, "r", "So it is ... [truncated]", None, None)]
+    df = outputs(spark, rows)
+    got = {r.line_no for r in truncation.cut_lines(df).collect()}
+    answers = {r[0] for r in rows if r[2].endswith("Answer: D")}
+    assert len(got & set(range(1000, 1020))) >= 18 and not got & answers and 2000 in got and len(answers) > 50
+    monkeypatch.setattr(truncation, "thresholds", lambda scored: {("en", "raw"): -1e9})
+    assert {r.line_no for r in truncation.cut_lines(df).collect()} == {2000}
 
 
 def test_edges(spark):
@@ -76,8 +91,8 @@ def test_copies_of_a_text_do_not_count_as_continuations(spark):
 
     def scores(rows):
         t = truncation.texts_of(outputs(spark, rows))
-        marks = t.mapInPandas(truncation._marks, "line_no long, col string, lang string, tail string, h long, sure boolean, whole boolean")
-        return sorted((r.lang, r.col, r.tail, r.score, r.order) for r in truncation.scores(t, marks).collect())
+        marks = t.mapInPandas(truncation._marks, "line_no long, col string, lang string, tail string, h long, sure boolean, closed boolean")
+        return sorted((r.lang, r.col, r.tail, round(r.score, 9)) for r in truncation.scores(t, marks).collect())
 
     once = scores([*rows, hot])
     assert any("total is 0" in r[2] for r in once)
