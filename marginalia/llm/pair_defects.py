@@ -1,16 +1,22 @@
 """Defective pairs of prompt and response: clauses tagged by a conditional random field.
 
-The judged answer is cut into clauses; each clause gets features against its
-question (shared words, language, signs of refusal, how it ends). A linear-chain
-conditional random field tags clauses as answer, refusal, echo, foreign or
-unfinished; the words covered by each tag decide the defect of the pair. An exact
-check settles what needs no model: emptiness, and whether the text is closed.
-
-The field is fitted on the driver from at most FIT_LINES lines (those first by a
-hash of their number) with weak labels, and a few seed answers; it is a few hundred
-bytes. The words by which languages show are counted over all distinct questions and
-answers. All lines are tagged. Lines meet their question by a shuffled join on its id,
-of the judged text only; a hot id is split by the engine's skew handling.
+The judged answer is cut into clauses; a linear-chain conditional random field tags
+each as answer, refusal, echo, foreign or unfinished. Its features are the clause's
+words and last characters (hashed), and how it stands to its question and its text:
+shared words, languages, open braces, place. The words covered by each tag, and the
+tag of the last clause, decide the defect of the pair. Emptiness needs no model. The
+exact check behind it only takes back: a closed text is not truncated, and a text that
+speaks most in its question's language is not in another.
+
+The field is fitted on the driver. Its labels don't come from its features: they are
+planted into sound texts of a bounded sample (FIT_LINES lines with a box and as many
+without, of at most FIT_LENGTH characters, those first by a hash of their number), which are cut at a random place,
+given a question of another language, replaced by their question, or by one of a few
+seed refusals. Texts of the sample that the field then finds refusing teach it their
+other sentences in further rounds. The words by which languages show are counted over
+all distinct questions and answers. All lines are tagged. Lines meet their question by
+a shuffled join on its id, of the judged text only; a hot id is split by the engine's
+skew handling.
 
 Defined results: null and blank answers are `empty`; lines without a question are
 left out; a blank question has no copies and no language; repeated lines come out
@@ -19,7 +25,9 @@ each; extra columns are not read.
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,14 +38,18 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.boxed import balanced
 from marginalia.llm.endings import body as end_of
-from marginalia.llm.endings import is_finished
+from marginalia.llm.endings import BROKEN, has_notice, is_finished, is_open
 from marginalia.session import ship
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
-FIT_LINES, FIT_CHARS, FIT_CLAUSES, STEPS = 3_000, 5_000, 6, 120
-#: Share of an answer's words under a tag from which it has that defect.
-COVER = 0.5
+FIT_LINES, FIT_LENGTH, STEPS = 3_000, 4_000, 70
+#: Rounds in which refusing texts teach the field, and the share of words under refusal that makes a text one.
+ROUNDS, LEAD = 3, 0.4
+#: Hashed words and endings.
+BUCKETS = 1 << 13
+#: Share of an answer's words under a tag from which it has that defect; a copy holds next to nothing else. A last clause of a closed text is an echo if so many of its words are the question's.
+COVER, WHOLE, ECHOED = 0.5, 0.9, 0.8
 
 # Answers that only hold the place of one.
 PLACEHOLDERS = frozenset("n/a na none null nil nan - -- --- – — . .. ... … ? tbd todo empty [ans] [answer] <answer> ___ (none) (empty) no answer".split()) | {"no answer", "not available"}
@@ -50,26 +62,13 @@ FUNCTION_WORDS = {
 }
 _LANGUAGE = {w: k for k in FUNCTION_WORDS for w in FUNCTION_WORDS[k] if sum(w in v for v in FUNCTION_WORDS.values()) == 1}
 _SHARED = {w: [k for k, v in FUNCTION_WORDS.items() if w in v] for v in FUNCTION_WORDS.values() for w in v}
-# How somebody declines, by part of the sentence.
-_DECLINE = re.compile(
-    r"\b(?:sorry|unfortunately|apolog\w+|as an? (?:ai|language) model|must be honest|thank you for asking)\b"
-    r"|\b(?:can ?not|can['’]?t|unable to|not able to|won['’]?t|will not|(?:have|need) to decline|decline to|rather not|refuse to|must refuse)\b[^.]{0,40}\b(?:help|assist|answer|solve|provide|work on|do|complete|comply|task|request|this)\b"
-    r"|\bnot something i can\b|\bagainst my (?:guidelines|rules|policy)\b|\bi hope you understand\b|\bask your teacher\b|\blook at a textbook\b|\bwould like to talk about\b"
-    r"|\b(?:kann|darf|möchte) (?:ich )?(?:\w+ ){0,4}nicht (?:helfen|beantworten|lösen)|\btut mir leid\b|\bes tut mir\b"
-    r"|\bje (?:ne (?:peux|pourrai)|suis désolé)\w*|\bdésolée?\b|\blo siento\b|\bno puedo (?:ayudar|responder|resolver)\w*|\bno me es posible\b"
-    r"|к сожалению|извините|не могу (?:помочь|ответить|решить)|抱歉|对不起|无法(?:回答|提供|帮助)|不能(?:回答|帮助)",
-    re.I,
-)
-# Parts of words without which nothing above can match: a cheap look first.
-_DECLINE_HINTS = ("sorry", "unfortunately", "apolog", "model", "honest", "thank", "cannot", "can not", "can't", "can’t", "cant", "able to", "won't", "won’t", "wont", "will not", "decline", "rather not", "refuse", "something i can", "guidelines", "against my", "understand", "teacher", "textbook", "talk about", "nicht", "tut mir", "je ", "désol", "siento", "puedo", "posible", "сожалению", "извините", "не могу", "抱歉", "对不起", "无法", "不能")
-
-
-def declines(clause: str) -> bool:
-    low = clause.lower()
-    return any(h in low for h in _DECLINE_HINTS) and bool(_DECLINE.search(clause))
-
-
-_FIRST_PERSON = re.compile(r"\b(?:i|i'm|my|ich|je|yo|no puedo|я)\b|我", re.I)
+# Refusals to begin with, in the commonest words of each language.
+SEED_REFUSALS = [
+    "I'm sorry, but I can't help with that.", "Sorry, I am not able to answer this.", "As an AI model, I cannot provide this.", "Unfortunately, I must decline.", "I apologize, but I will not do this for you.", "I would rather not do that.", "This is not something I can do for you.", "I am unable to assist with this request.", "I have to refuse.",
+    "Es tut mir leid, aber dabei kann ich nicht helfen.", "Leider kann ich diese Frage nicht beantworten.", "Je suis désolé, mais je ne peux pas vous aider.", "Malheureusement, je ne peux pas répondre.", "Lo siento, pero no puedo ayudar con esto.", "No me es posible responder.", "Извините, но я не могу помочь с этим.", "К сожалению, я не могу ответить.", "抱歉，我无法回答这个问题。", "对不起，我不能提供帮助。",
+]
+# Notices that more followed, and half a character.
+NOTICES = ["...", "…", " …", " [truncated]", " [more]", " (continued)", BROKEN, BROKEN]
 _CLAUSE = re.compile(r"(?<=[.!?。！？;；])\s*(?=\S)|\n+")
 _MATH = re.compile(r"\$[^$]*\$|\\\([^)]*\\\)|\\boxed\s*\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}|\\[a-zA-Z]+|\d+")
 _BOX_ONLY = r"^\s*\\boxed\{(?![\s\u200b-\u200d\u2060\ufeff\u00ad\u00a0]*\}\s*$)" + balanced(6) + r"\}\s*$"
@@ -142,121 +141,162 @@ def main_language(v: dict[str, float], least: float = 1.0) -> str:
     return k if v[k] >= least else ""
 
 
-N_FEATURES = 14
+N_FEATURES = 19
+_WORD_CODES: dict[str, int] = {}
 
 
-def clauses_of(text: str, q_words: frozenset[str], q_language: str, learned: dict[str, str] | None = None) -> tuple[np.ndarray, list[int], dict[str, float]]:
-    """Features of each clause, its number of words, and the votes of all clauses for languages."""
+def _code(feature: str) -> int:
+    c = _WORD_CODES.get(feature)
+    if c is None:
+        if len(_WORD_CODES) > 300_000:
+            _WORD_CODES.clear()
+        c = _WORD_CODES[feature] = zlib.crc32(feature.encode("utf-8", "surrogatepass")) % BUCKETS
+    return c
+
+
+class Clauses:
+    """The clauses of a text: dense features, hashed features of each, and numbers of words; votes of all for languages."""
+
+    __slots__ = ("x", "codes", "sizes", "total")
+
+    def __init__(self, x: np.ndarray, codes: list[list[int]], sizes: list[int], total: dict[str, float]):
+        self.x, self.codes, self.sizes, self.total = x, codes, sizes, total
+
+    def __len__(self) -> int:
+        return len(self.x)
+
+
+def clauses_of(text: str, q_words: frozenset[str], q_language: str, learned: dict[str, str] | None = None) -> Clauses:
     from marginalia.llm.wordfold import words
 
-    parts = [p for p in _CLAUSE.split(end_of(text)) if p and p.strip()]
-    closed = is_finished(end_of(text))
-    rows, sizes, total = [], [], {}
+    text = end_of(text)
     kept = []
-    for p in parts:
-        ws = words(p)
-        if ws or "\\boxed" in p:
-            kept.append((p, ws))
+    for p in _CLAUSE.split(text):
+        if p and p.strip():
+            ws = words(p)
+            if ws or "\\boxed" in p or BROKEN in p:
+                kept.append((p, ws))
     n = len(kept)
+    rows, codes, sizes, total = [], [], [], {}
     for k, (p, ws) in enumerate(kept):
         v = votes(p, learned)
         for lang, x in v.items():
             total[lang] = total.get(lang, 0.0) + x
         lang = main_language(v)
         shared = sum(w in q_words for w in ws) / len(ws) if ws and q_words else 0.0
-        box = "\\boxed" in p
-        decline = not box and declines(p)
         last = k == n - 1
-        rows.append(
-            [
-                1.0,
-                float(decline),
-                float(decline and bool(_FIRST_PERSON.search(p))),
-                shared,
-                float(shared >= 0.85),
-                float(shared >= 0.99),
-                float(bool(lang) and bool(q_language) and lang != q_language),
-                float(bool(lang) and lang == q_language),
-                float(last and not closed),
-                float(last and closed),
-                float(box),
-                float(k == 0),
-                float("=" in p or "$" in p),
-                min(len(ws), 30) / 30,
-            ]
-        )
+        row = [
+            1.0,
+            shared,
+            float(shared >= 0.7),
+            float(shared >= 0.85),
+            float(shared >= 0.99),
+            float(bool(lang) and bool(q_language) and lang != q_language),
+            float(bool(lang) and lang == q_language),
+            float("\\boxed" in p),
+            float(k == 0),
+            float("=" in p or "$" in p),
+            min(len(ws), 30) / 30,
+            *([0.0] * 8),
+        ]
+        own = [_code("0" if w[0].isdigit() else w) for w in set(ws)]
+        if last:
+            tail = p.rstrip()
+            c = tail[-1:]
+            row[11] = 1.0
+            row[12] = float(c in ".!?。！？…\"'”»")
+            row[13] = float(c in "})]|$")
+            row[14] = float(c.isalpha())
+            row[15] = float(c.isdigit())
+            row[16] = float(text.count("{") != text.count("}"))
+            row[17] = float(text.count("$") % 2 == 1)
+            row[18] = float(is_open(text) or has_notice(text))
+            own += [_code("\x02" + (ws[-1] if ws else "")), _code("\x03" + re.sub(r"\d", "0", tail[-3:].lower()))]
+        rows.append(row)
+        codes.append(own)
         sizes.append(max(1, len(ws)))
-    return np.array(rows, dtype=np.float64).reshape(-1, N_FEATURES), sizes, total
-
-
-def weak_tags(x: np.ndarray) -> np.ndarray:
-    """Labels to fit the field on: the most telling feature of each clause."""
-    y = np.full(len(x), ANSWER)
-    y[(x[:, 6] > 0) & (x[:, 4] < 1)] = FOREIGN
-    y[(x[:, 4] > 0) & (x[:, 10] < 1)] = ECHO
-    y[x[:, 1] > 0] = REFUSAL
-    y[(x[:, 8] > 0) & ~(y == ECHO).all()] = UNFINISHED
-    return y
+    return Clauses(np.array(rows, dtype=np.float64).reshape(-1, N_FEATURES), codes, sizes, total)
+
+
+class _Padded:
+    """Sequences of about the same length as padded arrays."""
+
+    def __init__(self, seqs: list[Clauses], tags: list[np.ndarray] | None = None):
+        n, longest = len(seqs), max(map(len, seqs))
+        self.lens = np.array([len(s) for s in seqs])
+        self.x = np.zeros((n, longest, N_FEATURES))
+        self.on = np.arange(longest)[None, :] < self.lens[:, None]
+        for i, s in enumerate(seqs):
+            self.x[i, : len(s)] = s.x
+        self.flat = np.array([c for s in seqs for cs in s.codes for c in cs], dtype=np.int64)
+        self.row = np.repeat(np.flatnonzero(self.on.ravel()), [len(cs) for s in seqs for cs in s.codes])
+        if tags is not None:
+            self.gold = np.zeros((n, longest, len(TAGS)))
+            self.gold[self.on, np.concatenate(tags)] = 1
+
+    def emissions(self, w: np.ndarray, v: np.ndarray) -> np.ndarray:
+        n, longest, _ = self.x.shape
+        e = (self.x @ w).reshape(-1, len(TAGS))
+        if len(self.flat):
+            for k in range(len(TAGS)):
+                e[:, k] += np.bincount(self.row, weights=v[self.flat, k], minlength=n * longest)
+        return e.reshape(n, longest, len(TAGS))
+
+
+def _padded(seqs: list[Clauses], tags: list[np.ndarray] | None = None, size: int = 256):
+    """Padded groups of sequences by length, and the indices of each."""
+    order = sorted((i for i in range(len(seqs)) if len(seqs[i])), key=lambda i: len(seqs[i]))
+    for a in range(0, len(order), size):
+        ids = order[a : a + size]
+        yield ids, _Padded([seqs[i] for i in ids], [tags[i] for i in ids] if tags is not None else None)
 
 
 class ClauseField:
     """A linear-chain conditional random field over clause features."""
 
     def __init__(self) -> None:
-        self.w = np.zeros((N_FEATURES, len(TAGS)))
-        self.t = np.zeros((len(TAGS), len(TAGS)))
-
-    def fit(self, xs: list[np.ndarray], ys: list[np.ndarray], steps: int = STEPS, penalty: float = 0.01) -> "ClauseField":
-        """Maximum likelihood with an L2 penalty, by Adam over padded batches of all sequences."""
-        n, longest, k = len(xs), max(map(len, xs)), len(TAGS)
-        x = np.zeros((n, longest, N_FEATURES))
-        y = np.full((n, longest), -1)
-        for i, (a, b) in enumerate(zip(xs, ys)):
-            x[i, : len(a)], y[i, : len(b)] = a, b
-        on = y >= 0
-        gold = np.zeros((n, longest, k))
-        gold[on, y[on]] = 1
-        # sequences of rare tags weigh more, so that each tag has its say
-        seen = np.stack([(y == c).any(axis=1) for c in range(k)], axis=1)
-        weight = (seen / np.maximum(1, seen.sum(axis=0))).max(axis=1) * n / k
-        gold_t = np.einsum("nli,nlj,n->ij", gold[:, :-1], gold[:, 1:], weight)
-        m = [np.zeros_like(self.w), np.zeros_like(self.t)]
-        v = [np.zeros_like(self.w), np.zeros_like(self.t)]
+        k = len(TAGS)
+        self.w, self.v, self.t = np.zeros((N_FEATURES, k)), np.zeros((BUCKETS, k)), np.zeros((k, k))
+
+    def fit(self, seqs: list[Clauses], ys: list[np.ndarray], steps: int = STEPS, penalty: float = 1.0) -> "ClauseField":
+        """Maximum likelihood with an L2 penalty, by Adam over all sequences."""
+        k, n = len(TAGS), len(seqs)
+        groups = [g for _, g in _padded(seqs, ys)]
+        params = [self.w, self.v, self.t]
+        m, r = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         for step in range(1, steps + 1):
-            e = x @ self.w
-            alpha, beta = np.full((n, longest, k), -1e30), np.zeros((n, longest, k))
-            alpha[:, 0] = e[:, 0]
-            for l in range(1, longest):
-                a = _lse(alpha[:, l - 1, :, None] + self.t, 1) + e[:, l]
-                alpha[:, l] = np.where(on[:, l, None], a, alpha[:, l - 1])
-            for l in range(longest - 2, -1, -1):
-                b = _lse(self.t[None] + (e[:, l + 1] + beta[:, l + 1])[:, None, :], 2)
-                beta[:, l] = np.where(on[:, l + 1, None], b, 0.0)
-            z = _lse(alpha[:, -1], 1)
-            marginal = np.exp(alpha + beta - z[:, None, None]) * on[:, :, None]
-            pair = np.zeros((k, k))
-            for l in range(longest - 1):
-                p = np.exp(alpha[:, l, :, None] + self.t + (e[:, l + 1] + beta[:, l + 1])[:, None, :] - z[:, None, None])
-                pair += (p * (on[:, l + 1] * weight)[:, None, None]).sum(axis=0)
-            grads = [np.einsum("nlf,nlk->fk", x, (gold - marginal) * weight[:, None, None]) / n - penalty * self.w, (gold_t - pair) / n - penalty * self.t]
-            for q, (param, g) in enumerate(zip((self.w, self.t), grads)):
-                m[q] = 0.9 * m[q] + 0.1 * g
-                v[q] = 0.99 * v[q] + 0.01 * g * g
-                param += 0.15 * (m[q] / (1 - 0.9**step)) / (np.sqrt(v[q] / (1 - 0.99**step)) + 1e-8)
+            grads = [-penalty * p for p in params]
+            for g in groups:
+                longest = g.x.shape[1]
+                e = g.emissions(self.w, self.v)
+                alpha, beta = np.empty_like(e), np.zeros_like(e)
+                alpha[:, 0] = e[:, 0]
+                for l in range(1, longest):
+                    alpha[:, l] = np.where(g.on[:, l, None], _lse(alpha[:, l - 1, :, None] + self.t, 1) + e[:, l], alpha[:, l - 1])
+                for l in range(longest - 2, -1, -1):
+                    beta[:, l] = np.where(g.on[:, l + 1, None], _lse(self.t[None] + (e[:, l + 1] + beta[:, l + 1])[:, None, :], 2), 0.0)
+                z = _lse(alpha[:, -1], 1)
+                gap = (g.gold - np.exp(alpha + beta - z[:, None, None])) * g.on[:, :, None]
+                for l in range(longest - 1):
+                    both = g.on[:, l + 1]
+                    p = np.exp(alpha[both, l, :, None] + self.t + (e[both, l + 1] + beta[both, l + 1])[:, None, :] - z[both, None, None])
+                    grads[2] += np.einsum("ni,nj->ij", g.gold[both, l], g.gold[both, l + 1]) - p.sum(axis=0)
+                grads[0] += np.einsum("nlf,nlk->fk", g.x, gap)
+                flat = gap.reshape(-1, k)
+                for c in range(k):
+                    grads[1][:, c] += np.bincount(g.flat, weights=flat[g.row, c], minlength=BUCKETS)
+            for q, (p, d) in enumerate(zip(params, grads)):
+                d = d / n
+                m[q] = 0.9 * m[q] + 0.1 * d
+                r[q] = 0.99 * r[q] + 0.01 * d * d
+                p += 0.15 * (m[q] / (1 - 0.9**step)) / (np.sqrt(r[q] / (1 - 0.99**step)) + 1e-6)
         return self
 
-    def tag(self, xs: list[np.ndarray]) -> list[np.ndarray]:
+    def tag(self, seqs: list[Clauses]) -> list[np.ndarray]:
         """The best tags of many sequences at once (Viterbi over padded arrays, grouped by length)."""
-        out: list[np.ndarray] = [np.zeros(0, dtype=int)] * len(xs)
-        order = sorted((i for i in range(len(xs)) if len(xs[i])), key=lambda i: len(xs[i]))
-        for a in range(0, len(order), 512):
-            ids = order[a : a + 512]
-            longest = len(xs[ids[-1]])
-            lens = np.array([len(xs[i]) for i in ids])
-            x = np.zeros((len(ids), longest, N_FEATURES))
-            for r, i in enumerate(ids):
-                x[r, : lens[r]] = xs[i]
-            e = x @ self.w
+        out: list[np.ndarray] = [np.zeros(0, dtype=int)] * len(seqs)
+        for ids, g in _padded(seqs, size=512):
+            e, lens, longest = g.emissions(self.w, self.v), g.lens, g.x.shape[1]
             score, back = e[:, 0], np.zeros((len(ids), longest, len(TAGS)), dtype=np.int8)
             for l in range(1, longest):
                 c = score[:, :, None] + self.t
@@ -277,18 +317,6 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(a - m).sum(axis=axis)) + m.squeeze(axis)
 
 
-# Seed answers that show every tag, whatever the sample holds.
-_SEEDS = [
-    ("How many apples are left for the school?", "I'm sorry, but I cannot help with this exercise. Please ask your teacher instead."),
-    ("How many apples are left for the school?", "Unfortunately, I am unable to provide an answer to that."),
-    ("How many apples are left for the school?", "How many apples are left for the school?"),
-    ("How many apples are left for the school?", "Zuerst addieren wir die Zahlen. Das Ergebnis ist daher \\boxed{3}."),
-    ("¿Cuántas manzanas quedan en la escuela?", "First we add the numbers. The answer is \\boxed{3}."),
-    ("How many apples are left for the school?", "First we add the numbers. Then we subt"),
-    ("How many apples are left for the school?", "First we add the numbers. The answer is \\boxed{3}."),
-]
-
-
 def _question_side(question: str | None, options, learned: dict[str, str] | None = None) -> tuple[frozenset[str], str, list[str]]:
     from marginalia.llm.unify import unified
     from marginalia.llm.wordfold import words
@@ -320,43 +348,135 @@ def is_empty(text: str | None) -> bool:
     return bool(boxes) and not boxes[-1].strip("​‌‍⁠﻿­ \t\r\n\u00a0")
 
 
-def decide(text: str, x: np.ndarray, tags: np.ndarray, sizes: list[int], q_words: frozenset[str], q_language: str, spoken: dict[str, float]) -> str | None:
-    """The defect of a pair that is not empty, by the words each tag covers, and the tag of the last clause. The exact check only takes back: a closed text is not truncated, and a text that speaks most in the question's language is not in another."""
-    if len(x):
-        cover = np.bincount(tags, weights=sizes, minlength=len(TAGS))
-        total = cover.sum()
-        solved = bool((x[:, 10] > 0).any())
-        rest = total - cover[ECHO]
-        if cover[REFUSAL] and not solved and cover[REFUSAL] >= COVER * max(1.0, rest):
-            return "refusal"
-        if cover[ECHO] and not solved and q_words and bool(((tags == ECHO) | (x[:, 3] >= 0.8)).all()):
-            return "copy"
+def decide(text: str, c: Clauses, tags: np.ndarray, q_words: frozenset[str], q_language: str) -> str | None:
+    """The defect of a pair that is not empty, by the words each tag covers, and the tag of the last clause. The exact check only takes back: an answer in a box is no refusal and no copy, a closed text is not truncated, and a text that speaks most in the question's language is not in another."""
     closed = is_finished(end_of(text))
-    if not len(x):  # no clause to tag: symbols only
+    if not len(c):  # no clause to tag: symbols only
         return None if closed else "truncated"
-    if tags[-1] == UNFINISHED and not closed:
+    if tags[-1] == UNFINISHED and closed:
+        tags = tags.copy()
+        tags[-1] = ECHO if c.x[-1, 1] >= ECHOED else ANSWER
+    cover = np.bincount(tags, weights=c.sizes, minlength=len(TAGS))
+    total = cover.sum()
+    solved = bool((c.x[:, 7] > 0).any())
+    rest = total - cover[ECHO]
+    if cover[REFUSAL] and not solved and cover[REFUSAL] >= COVER * max(1.0, rest):
+        return "refusal"
+    if q_words and not solved and cover[ECHO] >= WHOLE * total:
+        return "copy"
+    if tags[-1] == UNFINISHED:
         return "truncated"
     if cover[FOREIGN] and cover[FOREIGN] >= COVER * max(1.0, rest - cover[UNFINISHED]):
-        mostly = main_language(spoken)
-        if q_language and mostly and mostly != q_language and spoken[mostly] > spoken.get(q_language, 0.0):
+        mostly = main_language(c.total)
+        if q_language and mostly and mostly != q_language and c.total[mostly] > c.total.get(q_language, 0.0):
             return "other_language"
     return None
 
 
+def _cut(text: str, rng: random.Random) -> str | None:
+    """The text cut at a random place (each fourth in its box) where it is not finished, at times with a notice."""
+    for _ in range(8):
+        first = text.rfind("\\boxed") + 1 if rng.random() < 0.25 else min(12, len(text) - 1)
+        t = text[: rng.randrange(first, len(text))].rstrip() if len(text) > 13 else ""
+        if rng.random() < 0.15:
+            t += rng.choice(NOTICES)
+        if t and not is_finished(t):
+            return t
+    return None
+
+
+def _copied(question: str, options, rng: random.Random) -> str:
+    t = rng.choice(["", "", "Question: ", "Problem: "]) + question
+    if options is not None and len(options) and rng.random() < 0.5:
+        t += "\n" + "\n".join(f"({chr(65 + i % 26)}) {o}" for i, o in enumerate(options))
+    return rng.choice([t, t, t.lower(), t + "\n\n" + question])
+
+
+def planted(rows, learned: dict[str, str]) -> tuple[list[Clauses], list[np.ndarray]]:
+    """Sequences with labels, planted into the sound ones of rows: (question, options, text)."""
+    from marginalia.llm.unify import unified
+
+    rng = random.Random(7)
+    sound = []
+    for q, o, t in rows:
+        if q and t and not is_empty(t):
+            t = end_of(visible(unified(t)))
+            if is_finished(t) and "\\boxed" in t:
+                side = _question_side(q, o, learned)
+                sound.append((q, o, t, side, main_language(votes(t, learned))))
+    asked: dict[str, list] = {}
+    for _, _, _, side, _ in sound:
+        if side[1]:
+            asked.setdefault(side[1], []).append(side)
+    seqs, ys = [], []
+
+    def put(text: str, side, label) -> None:
+        c = clauses_of(text, side[0], side[1], learned)
+        if len(c):
+            seqs.append(c)
+            ys.append(label(c))
+
+    def answered(c: Clauses) -> np.ndarray:
+        y = np.full(len(c), ANSWER)
+        return y
+
+    def last(c: Clauses) -> np.ndarray:
+        y = answered(c)
+        y[-1] = UNFINISHED
+        return y
+
+    def spoken(c: Clauses) -> np.ndarray:
+        y = np.full(len(c), FOREIGN)
+        y[[i for i, n in enumerate(c.sizes) if n < 2]] = ANSWER
+        return y
+
+    every = lambda tag: lambda c: np.full(len(c), tag)
+    for q, o, t, side, lang in sound:
+        if lang and side[1] and lang != side[1]:
+            continue  # it may be in another language than its question
+        r = rng.randrange(10)
+        if r < 3:
+            put(t, side, answered)
+        elif r == 3:
+            echo = len(clauses_of(q, side[0], side[1], learned))
+            put(q + "\n" + t, side, lambda c: np.array([ECHO] * min(echo, len(c)) + [ANSWER] * max(0, len(c) - echo)))
+        elif r < 6:
+            if cut := _cut(t, rng):
+                put(cut, side, last)
+        elif r in (6, 9):
+            put(_copied(q, o, rng), side, every(ECHO))
+        elif r == 7:
+            others = [k for k in sorted(asked) if k != lang]
+            if lang and others:
+                put(t, rng.choice(asked[rng.choice(others)]), spoken)
+        else:
+            put(" ".join(rng.sample(SEED_REFUSALS[:9], rng.choice([1, 1, 2]))), side, every(REFUSAL))
+    sides = [s[3] for s in sound] or [_question_side("How many are left for the old school?", None, learned)]
+    for t in SEED_REFUSALS * 2:
+        put(t, rng.choice(sides), every(REFUSAL))
+    return seqs, ys
+
+
 def fit_field(rows, learned: dict[str, str]) -> ClauseField:
-    """rows: (question, options, text)."""
-    xs, ys = [], []
-    for q, o, t in [*rows, *[(q, None, t) for q, t in _SEEDS] * 3]:
-        if is_empty(t):
-            continue
-        qw, ql, _ = _question_side(q, o, learned)
-        x, _, _ = clauses_of(visible(t)[-FIT_CHARS:], qw, ql, learned)
-        if len(x):
-            if len(x) > 2 * FIT_CLAUSES:
-                x = np.concatenate([x[:FIT_CLAUSES], x[-FIT_CLAUSES:]])
-            xs.append(x)
-            ys.append(weak_tags(x))
-    return ClauseField().fit(xs, ys)
+    """rows: (question, options, text). Fits on planted labels, then again, in rounds, with the texts of the sample that refuse and solve nothing."""
+    from marginalia.llm.unify import unified
+
+    seqs, ys = planted(rows, learned)
+    field = ClauseField().fit(seqs, ys)
+    open_ = []
+    for q, o, t in rows:
+        if q and t and "\\boxed" not in t and not is_empty(t):
+            side = _question_side(q, o, learned)
+            c = clauses_of(visible(unified(t)), side[0], side[1], learned)
+            if len(c):
+                open_.append(c)
+    for _ in range(ROUNDS):
+        covers = (np.bincount(tags, weights=c.sizes, minlength=len(TAGS)) for c, tags in zip(open_, field.tag(open_)))
+        more = [c for c, cover in zip(open_, covers) if cover[REFUSAL] >= LEAD * cover.sum()]
+        if not more:
+            break
+        field.fit(seqs + more, ys + [np.full(len(c), REFUSAL) for c in more], steps=STEPS // 2)
+    return field
 
 
 def judged(outputs: DataFrame) -> DataFrame:
@@ -371,8 +491,11 @@ def pair_defects(questions: DataFrame, outputs: DataFrame) -> DataFrame:
     ship(spark)
     j = judged(outputs)
     q = questions.where("id is not null").groupBy("id").agg(F.min_by("question", F.struct(F.col("question").isNull(), "question")).alias("question"), F.min_by("options", F.struct(F.col("options").isNull(), F.size("options"))).alias("options"))
-    some = j.where("not sound and text is not null").orderBy(F.xxhash64("line_no"), "line_no").limit(FIT_LINES)
-    sample = [(r["question"], r["options"], r["text"][-2 * FIT_CHARS :]) for r in some.join(q, "id").select("question", "options", "text").collect()]
+    short = j.where(f"not sound and length(text) <= {FIT_LENGTH}")
+    first = lambda d: d.orderBy(F.xxhash64("line_no"), "line_no").limit(FIT_LINES)
+    box = F.col("text").contains("\\boxed")
+    some = first(short.where(box)).unionByName(first(short.where(~box)))
+    sample = [(r["question"], r["options"], r["text"]) for r in some.join(q.where(f"length(question) <= {FIT_LENGTH}"), "id").select("line_no", "question", "options", "text").orderBy("line_no").collect()]
     learned = learn_words(j.where("not sound").select("text").union(questions.select("question")))
     field = spark.sparkContext.broadcast((fit_field(sample, learned), learned))
 
@@ -392,10 +515,9 @@ def pair_defects(questions: DataFrame, outputs: DataFrame) -> DataFrame:
                 side = sides.get(i)
                 if side is None:
                     side = sides[i] = _question_side(question, options, learned)
-                x, sizes, spoken = clauses_of(visible(text), side[0], side[1], learned)
-                held.append((line, text, x, sizes, side[0], side[1], spoken))
-            for (line, text, x, sizes, qw, ql, spoken), tags in zip(held, f.tag([h[2] for h in held])):
-                d = decide(text, x, tags, sizes, qw, ql, spoken)
+                held.append((line, text, clauses_of(visible(text), side[0], side[1], learned), side[0], side[1]))
+            for (line, text, c, qw, ql), tags in zip(held, f.tag([h[2] for h in held])):
+                d = decide(text, c, tags, qw, ql)
                 if d:
                     found.append((line, d))
             yield pd.DataFrame(found, columns=["line_no", "defect"])
