@@ -1,15 +1,20 @@
 """The same or almost the same exercise in train and evaluation data.
 
-Evaluation texts are cut into passages of PASSAGE folded words. The automata over
-these passages are sharded by the exercise's quantities, as only texts with the same
-quantities in the same order can be the same exercise: a shard's Aho-Corasick
-automaton scans the training texts of its shard once, matched intervals are merged
-into the coverage of each evaluation record, and records covered enough are compared
-word by word (an exact check).
-
-Exact copies are one class: only one text of a class is scanned, and membership is
-joined back at the end. Quantities shared by very many different texts are split into
-blocks of both sides, so no task holds an unbounded group.
+Evaluation texts are cut into passages of folded words (PASSAGE words; PLAIN words
+where a text has no quantity to tell it from others). The passages are sharded by their
+heaviest word (a number, else the longest), so that neighbouring passages mostly stay
+together: a stretch of a text goes to the shard of its passages, and every part of a
+training text is scanned once, whatever the number of shards. A shard's Aho-Corasick
+automaton over its evaluation passages scans the training stretches; matched intervals
+of all shards are merged into the coverage of each evaluation record, and records
+covered enough are compared word by word (an exact check). A hit counts only between
+texts of the same quantities, which that check demands.
+
+Stretches of training texts none of whose passages stand in the evaluation data are
+dropped before the shuffle by a bit set of hashed passages, sized by their number; it
+loses none. Shards that many training stretches reach are split: their evaluation side
+is repeated, their training side is spread. Exact copies are one class: only one text
+of a class is scanned, and membership is joined back at the end.
 
 Defined results: null, blank and wordless questions have no partner; repeated
 questions come out each with its own id; extra columns are not read.
@@ -18,8 +23,9 @@ questions come out each with its own id; extra columns are not read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,17 +33,18 @@ from pyspark.sql import functions as F
 
 from marginalia.session import ship, spread
 
-PASSAGE = 3
+#: Words of a passage: three in texts with quantities (misspellings break longer ones), five in those without.
+PASSAGE, PLAIN = 3, 5
 #: Coverage of an evaluation record from which it is compared word by word.
 COVERED = 0.2
 #: Share of the shorter text's words that must stand in the longer one in order, and of the longer one's (a remark may be added).
 SAME, EXTRA = 0.72, 0.45
 #: A short exercise that stands whole in the other text may have this many words of remarks beside it.
 WHOLE, REMARK = 0.9, 16
-#: Different texts of one block of quantities, by side.
-EVAL_BLOCK, TRAIN_BLOCK = 2_000, 20_000
-#: Evaluation texts that one automaton is built for, about; it scans about five times as many training texts.
-SHARD = 4_000
+#: Evaluation passages of one automaton, about, and training passages that one task scans.
+EVAL_SHARD, TRAIN_SHARD = 60_000, 400_000
+#: The bit set has BITS_EACH bits for each evaluation passage, at most 2 to the power of MOST_BITS (32 MB); beyond that it drops less.
+BITS_EACH, MOST_BITS = 16, 28
 
 
 def questions_of(public: DataFrame, private: DataFrame) -> DataFrame:
@@ -89,7 +96,8 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for b in batches:
         ws = [exercise_words(t) for t in b["question"]]
-        yield pd.DataFrame({"id": b["id"], "train": b["train"], "folded": [" ".join(w) for w in ws], "key": [" ".join(quantities(w)) for w in ws]})
+        keys = [" ".join(quantities(w)) for w in ws]
+        yield pd.DataFrame({"id": b["id"], "train": b["train"], "folded": [" ".join(w) for w in ws], "key": keys, "n": [_count(len(w), _size(k)) for w, k in zip(ws, keys)]})
 
 
 def similar(a: list[str], b: list[str]) -> tuple[float, float]:
@@ -129,82 +137,157 @@ def same_exercise(a: list[str], b: list[str]) -> bool:
     return short >= SAME and (long >= EXTRA or short >= WHOLE and added <= REMARK) and same_quantities(a, b)
 
 
-def _passages(ws: list[str]) -> list[tuple[int, str]]:
-    n = min(PASSAGE, len(ws))
-    return [(i, f" {' '.join(ws[i : i + n])} ") for i in range(len(ws) - n + 1)]
+def _size(key: str) -> int:
+    return PASSAGE if key else PLAIN
+
+
+def _count(words: int, size: int) -> int:
+    """Passages of a text of so many words; a text shorter than a passage is one."""
+    return max(1, words - size + 1) if words else 0
+
+
+@lru_cache(maxsize=200_000)
+def _weight(word: str) -> tuple[bool, int, int]:
+    return word[0].isdigit(), len(word), zlib.crc32(word.encode("utf-8", "surrogatepass"))
+
+
+def _passages(ws: list[str], size: int) -> list[tuple[int, int]]:
+    """For each passage a hash of its words, and the hash of its heaviest word."""
+    ranks = [_weight(w) for w in ws]
+    out = []
+    for i in range(_count(len(ws), size)):
+        window, code = ranks[i : i + size], 0
+        for r in window:
+            code = (code * 1_000_003 + r[2]) & 0xFFFFFFFF
+        out.append((code, max(window)[2]))
+    return out
+
+
+def _stretches(ws: list[str], size: int, shards: int, seen=None) -> list[tuple[int, int, int]]:
+    """(shard, first passage, passages) of each run of passages of one shard; passages not in the bit set seen belong to none."""
+    out: list[tuple[int, int, int]] = []
+    mask = 8 * len(seen) - 1 if seen is not None else 0
+    shard, first, end = -1, 0, 0
+    for i, (code, heaviest) in enumerate(_passages(ws, size)):
+        if seen is not None and not seen[(code & mask) >> 3] >> (code & 7) & 1:
+            continue
+        k = heaviest % shards
+        if k != shard or i != end:
+            if end > first:
+                out.append((shard, first, end - first))
+            shard, first = k, i
+        end = i + 1
+    if end > first:
+        out.append((shard, first, end - first))
+    return out
+
+
+def _codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The hashed passages of evaluation texts."""
+    for b in batches:
+        codes = {c for t, k in zip(b["folded"], b["key"]) for c, _ in _passages(t.split(), _size(k))}
+        yield pd.DataFrame({"code": pd.array(list(codes), dtype="int64")})
+
+
+def _routed(shards: int, seen):
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = seen.value
+        for b in batches:
+            rows = []
+            for h, train, text, key in zip(b["h"], b["train"], b["folded"], b["key"]):
+                ws, size = text.split(), _size(key)
+                rows += [(s, h, train, key, i, n, " ".join(ws[i : i + n - 1 + size])) for s, i, n in _stretches(ws, size, shards, bits if train else None)]
+            if rows:
+                yield pd.DataFrame(rows, columns=["shard", "h", "train", "key", "first", "n", "stretch"])
+
+    return route
 
 
 def scan(shard: pd.DataFrame) -> pd.DataFrame:
-    """Class pairs (h_train, h_eval) of one shard."""
+    """h_train, h_eval, starts: the passages of evaluation texts that stand in training texts of the same quantities, in one shard."""
     import ahocorasick
 
     evals, trains = shard[~shard["train"]], shard[shard["train"]]
-    out_t: list[int] = []
-    out_e: list[int] = []
+    found: dict[tuple[str, str], set[int]] = {}
     if len(evals) and len(trains):
+        # passage: quantities: (evaluation text, place)
+        owners: dict[str, dict[str, list[tuple[str, int]]]] = {}
+        for h, key, first, text in zip(evals["h"], evals["key"], evals["first"], evals["stretch"]):
+            ws, size = text.split(), _size(key)
+            for i in range(_count(len(ws), size)):
+                owners.setdefault(f" {' '.join(ws[i : i + size])} ", {}).setdefault(key, []).append((h, first + i))
         auto = ahocorasick.Automaton()
-        texts = [t.split() for t in evals["folded"]]
-        owners: dict[str, dict[tuple, list[tuple[int, int]]]] = {}
-        for e, (ws, key) in enumerate(zip(texts, zip(evals["key"], evals["block"]))):
-            for i, p in _passages(ws):
-                owners.setdefault(p, {}).setdefault(key, []).append((e, i))
-        for n, (p, o) in enumerate(owners.items()):
-            auto.add_word(p, (n, o))
+        for p, o in owners.items():
+            auto.add_word(p, o)
         auto.make_automaton()
-        size = PASSAGE
-        hashes = evals["h"].tolist()
-        for h, text, key, block in zip(trains["h"], trains["folded"], trains["key"], trains["block"]):
-            spans: dict[int, set[int]] = {}
-            met: set[int] = set()
-            for _, (n, o) in auto.iter(f" {text} "):
-                if n in met:  # a passage again says nothing new
-                    continue
-                met.add(n)
-                for e, i in o.get((key, block), ()):
-                    spans.setdefault(e, set()).add(i)
-            ws = None
-            for e, starts in spans.items():
-                covered, last = 0, 0
-                for i in sorted(starts):  # merge the matched intervals
-                    end = min(i + size, len(texts[e]))
-                    covered += max(0, end - max(i, last))
-                    last = max(last, end)
-                if covered >= COVERED * len(texts[e]):
-                    ws = ws or text.split()
-                    if same_exercise(ws, texts[e]):
-                        out_t.append(h)
-                        out_e.append(hashes[e])
-    return pd.DataFrame({"h_train": pd.array(out_t, dtype="int64"), "h_eval": pd.array(out_e, dtype="int64")})
+        for h, key, text in zip(trains["h"], trains["key"], trains["stretch"]):
+            # a passage that stands again in a stretch says nothing new
+            for o in {id(o): o for _, o in auto.iter(f" {text} ")}.values():
+                for e, i in o.get(key, ()):
+                    found.setdefault((h, e), set()).add(i)
+    return pd.DataFrame([(t, e, sorted(s)) for (t, e), s in found.items()], columns=["h_train", "h_eval", "starts"])
+
+
+def covered_words(starts: list[int], size: int, words: int) -> int:
+    """Words of an evaluation text under the merged intervals of its matched passages."""
+    covered = last = 0
+    for i in sorted(starts):
+        end = min(i + size, words)
+        covered += max(0, end - max(i, last))
+        last = max(last, end)
+    return covered
+
+
+def _same(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        keep = []
+        for starts, t, e, key in zip(b["starts"], b["t"], b["e"], b["key"]):
+            ws = e.split()
+            keep.append(covered_words(set(starts), _size(key), len(ws)) >= COVERED * len(ws) and same_exercise(t.split(), ws))
+        yield b.loc[keep, ["h_train", "h_eval"]]
+
+
+def folded_classes(questions: DataFrame) -> DataFrame:
+    """id, train, folded, key, n, h of the questions that have words; h names the class of exact copies."""
+    ship(questions.sparkSession)
+    q = questions.where("split is not null and trim(coalesce(question, '')) <> ''").select("id", (F.col("split") == "train").alias("train"), "question")
+    return spread(q).mapInPandas(_fold, "id long, train boolean, folded string, key string, n long").where("folded <> ''").withColumn("h", F.md5("folded")).persist()
+
+
+def class_pairs(folded: DataFrame) -> DataFrame:
+    """h_train, h_eval of the classes that are the same exercise."""
+    spark = folded.sparkSession
+    sc = spark.sparkContext
+    classes = folded.groupBy("h", "train").agg(*(F.first(c).alias(c) for c in ("folded", "key", "n"))).persist()
+    ne, nt = classes.agg(F.coalesce(F.sum(F.when(~F.col("train"), F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("train"), F.col("n"))), F.lit(0))).first()
+    if not ne or not nt:
+        return spark.createDataFrame([], "h_train string, h_eval string")
+    size = 1 << min(MOST_BITS, max(16, (BITS_EACH * ne).bit_length()))
+    seen = bytearray(size // 8)
+    codes = classes.where("not train").mapInPandas(_codes, "code long").select((F.col("code") % size).alias("bit")).distinct()
+    by_byte = codes.groupBy(F.shiftright("bit", 3).alias("b")).agg(F.expr("bit_or(shiftleft(1, cast(bit % 8 AS int)))").alias("v"))
+    for r in by_byte.toLocalIterator():  # at most 2 ** MOST_BITS / 8 rows
+        seen[r[0]] = r[1] & 255
+    shards = max(sc.defaultParallelism, -(-ne // EVAL_SHARD), -(-nt // TRAIN_SHARD))
+    routed = classes.mapInPandas(_routed(shards, sc.broadcast(bytes(seen))), "shard long, h string, train boolean, key string, first int, n int, stretch string").persist()
+    parts = routed.where("train").groupBy("shard").agg(F.ceil(F.sum("n") / TRAIN_SHARD).cast("int").alias("parts"))
+    # shards without training stretches fall away; the others are split by the training side's size
+    own = F.pmod(F.xxhash64("h"), F.col("parts"))
+    split = F.when(F.col("train"), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))
+    both = routed.join(parts, "shard").withColumn("part", F.explode(split)).select("shard", "part", "h", "train", "key", "first", "stretch")
+    hits = both.groupBy("shard", "part").applyInPandas(scan, "h_train string, h_eval string, starts array<int>")
+    merged = hits.groupBy("h_train", "h_eval").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    t = classes.where("train").select(F.col("h").alias("h_train"), F.col("folded").alias("t"))
+    e = classes.where("not train").select(F.col("h").alias("h_eval"), F.col("folded").alias("e"), "key")
+    return merged.join(t, "h_train").join(e, "h_eval").select("h_train", "h_eval", "starts", "t", "e", "key").mapInPandas(_same, "h_train string, h_eval string")
 
 
 def overlaps(questions: DataFrame) -> DataFrame:
     """questions: id, split, question. Gives id_train, id_eval for each pair of the same exercise."""
-    spark = questions.sparkSession
-    ship(spark)
-    q = questions.where("split is not null and trim(coalesce(question, '')) <> ''").select("id", (F.col("split") == "train").alias("train"), "question")
-    folded = spread(q).mapInPandas(_fold, "id long, train boolean, folded string, key string").where("folded <> ''").withColumn("h", F.xxhash64("folded", F.lit(11))).persist()
-    sizes = (
-        folded.select("h", "train", "key")
-        .distinct()
-        .groupBy("key")
-        .agg(F.count_if("train").alias("nt"), F.count_if(~F.col("train")).alias("ne"))
-        .where("nt > 0 and ne > 0")
-        .select("key", F.ceil(F.col("ne") / EVAL_BLOCK).cast("int").alias("be"), F.ceil(F.col("nt") / TRAIN_BLOCK).cast("int").alias("bt"), "ne", "nt")
-        .persist()
-    )
-    ne, nt = sizes.agg(F.coalesce(F.sum("ne"), F.lit(0)), F.coalesce(F.sum("nt"), F.lit(0))).first()
-    shards = max(spark.sparkContext.defaultParallelism, -(-ne // SHARD), -(-nt // (5 * SHARD)))
-    # only texts whose quantities stand on both sides move on, one of each class
-    x = folded.join(sizes, "key").groupBy("h", "train", "key", "be", "bt").agg(F.first("folded").alias("folded"))
-    own_e, own_t = F.pmod(F.col("h"), F.col("be")), F.pmod(F.col("h"), F.col("bt"))
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    block = lambda e, t: F.struct(e.cast("int").alias("e"), t.cast("int").alias("t"))
-    both = x.withColumn("b", F.explode(F.when(F.col("train"), F.transform(every("be"), lambda e: block(e, own_t))).otherwise(F.transform(every("bt"), lambda t: block(own_e, t)))))
-    both = both.select("h", "train", "folded", "key", (F.col("b.e") * 100_000 + F.col("b.t")).cast("long").alias("block")).withColumn("shard", F.pmod(F.xxhash64("key", "block"), F.lit(shards)))
-    pairs = both.groupBy("shard").applyInPandas(scan, "h_train long, h_eval long")
+    folded = folded_classes(questions)
     t = folded.where("train").select(F.col("h").alias("h_train"), F.col("id").alias("id_train"))
     e = folded.where(~F.col("train")).select(F.col("h").alias("h_eval"), F.col("id").alias("id_eval"))
-    return pairs.join(t, "h_train").join(e, "h_eval").select("id_train", "id_eval")
+    return class_pairs(folded).join(t, "h_train").join(e, "h_eval").select("id_train", "id_eval")
 
 
 def overlap_pairs(public: DataFrame, private: DataFrame) -> DataFrame:
@@ -213,10 +296,12 @@ def overlap_pairs(public: DataFrame, private: DataFrame) -> DataFrame:
 
 
 def overlap_counts(public: DataFrame, private: DataFrame) -> DataFrame:
-    """Per evaluation split and source: its questions, those that stand in train, and the training questions they meet."""
+    """Per evaluation split and source: its questions, those that stand in train, and their pairs, counted from the sizes of classes."""
     q = questions_of(public, private)
-    o = overlaps(q)
-    hit = o.groupBy(F.col("id_eval").alias("id")).agg(F.count("*").alias("n"))
+    folded = folded_classes(q)
+    sizes = folded.where("train").groupBy(F.col("h").alias("h_train")).agg(F.count("*").alias("n"))
+    met = class_pairs(folded).join(sizes, "h_train").groupBy(F.col("h_eval").alias("h")).agg(F.sum("n").alias("n"))
+    hit = folded.where("not train").select("id", "h").join(met, "h").select("id", "n")
     return (
         q.where("split <> 'train'")
         .join(hit, "id", "left")

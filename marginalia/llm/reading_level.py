@@ -292,20 +292,12 @@ class LevelModel:
         return [BANDS[b] if e else None for b, e in zip(bands, enc.english(keep))]
 
 
-def _bucket_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    words, n = Words(), np.zeros(BUCKETS)
-    for b in batches:
-        e = words.encode(b["text"].tolist())
-        n += np.bincount(e.bucket, weights=e.props[:, WORD], minlength=BUCKETS)
-    at = np.flatnonzero(n)
-    yield pd.DataFrame({"b": at, "n": n[at].astype(np.int64)})
-
-
 def word_rarity(documents: DataFrame) -> np.ndarray:
-    """For each bucket of hashed words, minus the log of its share among all words of the corpus."""
+    """For each bucket of hashed words, minus the log of its share among all words of the corpus; counted in the JVM, by map-side combined buckets."""
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+(?:['’]\p{L}+)?"), F.lit(0)))
+    counts = documents.where("text is not null").select(word.alias("w")).groupBy((F.crc32("w") % BUCKETS).alias("b")).count()
     n = np.full(BUCKETS, 0.5)
-    counts = spread(documents.where("text is not null").select("text")).mapInPandas(_bucket_counts, "b long, n long")
-    for b, c in counts.groupBy("b").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
+    for b, c in counts.collect():  # at most BUCKETS rows
         n[b] += c
     return -np.log(n / n.sum())
 

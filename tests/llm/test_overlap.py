@@ -42,12 +42,44 @@ def test_edges(spark):
     assert overlap.overlaps(df.where("split = 'train'")).count() == 0
 
 
-def test_blocks_lose_nothing(spark, monkeypatch):
-    rows = [(i, "train" if i % 2 else "holdout", "s", f"Ann has 55 pears and word{i // 2} w{i // 2 % 7} x y z", None) for i in range(120)]
-    monkeypatch.setattr(overlap, "EVAL_BLOCK", 7)
-    monkeypatch.setattr(overlap, "TRAIN_BLOCK", 9)
+def test_many_shards_and_splits_lose_nothing(spark, monkeypatch):
+    rows = [(i, "train" if i % 2 else "holdout", "s", f"Ann has {'55 pears and' if i % 3 else 'pears and'} word{i // 2} w{i // 2 % 7} x y z", None) for i in range(120)]
+    monkeypatch.setattr(overlap, "EVAL_SHARD", 7)
+    monkeypatch.setattr(overlap, "TRAIN_SHARD", 5)
     got = {(r.id_train, r.id_eval) for r in overlap.overlaps(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == brute(rows)
+    assert got == brute(rows) and got
+
+
+def test_stretches_cover_every_passage_once():
+    rng = random.Random(3)
+    for size in (overlap.PASSAGE, overlap.PLAIN):
+        for n in (1, 2, 3, 5, 9, 60):
+            ws = [rng.choice(["a", "bb", "ccc", "17", "230", "dddd"]) for _ in range(n)]
+            for shards in (1, 3, 50):
+                at = [i for s, first, k in overlap._stretches(ws, size, shards) for i in range(first, first + k)]
+                assert at == list(range(overlap._count(n, size)))
+    assert overlap.covered_words([0, 1, 4], 3, 6) == 6 and overlap.covered_words([], 3, 6) == 0 and overlap.covered_words([0], 5, 2) == 2
+
+
+def test_the_automaton_and_coverage_decide(spark, monkeypatch):
+    a = "Rimo pays 31 coins for a large box of pears at the mill and 44 plums are stored there."
+    b = "Of 31 visitors on the ship who came by train from the coast some 44 were asked to leave."
+    rows = [(1, "train", "s", a, None), (2, "private", "s", a, None), (3, "private", "s", b, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    # the check alone would let all pairs of equal quantities pass
+    monkeypatch.setattr(overlap, "SAME", 0.0)
+    monkeypatch.setattr(overlap, "EXTRA", 0.0)
+    assert {(r.id_train, r.id_eval) for r in overlap.overlaps(df).collect()} == {(1, 2)}
+    monkeypatch.setattr(overlap, "scan", lambda shard: shard.iloc[:0].assign(h_train="", h_eval="", starts=None)[["h_train", "h_eval", "starts"]])
+    assert overlap.overlaps(df).count() == 0
+
+
+def test_counts_come_from_class_sizes(spark):
+    q = "In a row of boxes the first contains 337 screws and 153 nails. How many are there?"
+    public = spark.createDataFrame([(i, q, "train", "s") for i in range(7)] + [(10, q, "holdout", "a"), (11, "Other 15 words here", "holdout", None)], "id long, question string, split string, source string")
+    private = spark.createDataFrame([(20, q, "b"), (21, q, "b"), (22, None, "b")], "id long, question string, source string")
+    got = {(r.split, r.source): (r.n_questions, r.n_leaked, r.n_pairs) for r in overlap.overlap_counts(public, private).collect()}
+    assert got == {("holdout", "a"): (1, 1, 7), ("holdout", "(none)"): (1, 0, 0), ("private", "b"): (3, 2, 14)}
 
 
 def test_folding():
