@@ -50,3 +50,25 @@ def test_harmless_texts_are_no_cases():
 
     for t, _ in CHANGED:
         assert not re.match(HARMLESS.replace("一-鿿", "\u4e00-\u9fff"), t), t
+
+
+def test_table_covers_other_scripts(spark):
+    from marginalia.llm import unify as U
+
+    t = U.look_alike_table(spark)
+    assert len(t) > 300 and t["\u13aa"] == "A" and t["\u0585"] == "o" and t["\u2160"] == "I" and t["\ua4ee"] == "A" and t["\u2c9f"] == "o"
+    texts = [("\u13aanswer", "Answer"), ("\\boxed{\ua4ee}", "\\boxed{A}"), ("w\u0585rd", "word"), ("\u0562\u0561\u0580\u0587", None), ("\u0585 \u0562\u0561\u0580", None), ("2\u00b2 \u00bd", None)]
+    df = spark.createDataFrame([("answer", i, x) for i, (x, _) in enumerate(texts)], "field_name string, row_key long, content string")
+    assert sorted(r.row_key for r in changed_rows(df).collect()) == [0, 1, 2]
+    assert {r.row_key: r.unified for r in unify(df).collect()} == {i: w or x for i, (x, w) in enumerate(texts)}
+
+
+def test_groups_decide(spark, monkeypatch):
+    """A row comes out by the form of its groups: where the groups know no other form, the check alone brings none."""
+    from marginalia.llm import unify as U
+
+    rows = [("answer", 1, "cat"), ("answer", 2, "\u0441at"), ("answer", 3, "В конце B саду"), ("answer", 4, "с нами в саду"), ("answer", 5, "\uff11\uff12"), ("answer", 6, "\u03b1 = 5")]
+    df = spark.createDataFrame(rows, "field_name string, row_key long, content string")
+    assert sorted(r.row_key for r in changed_rows(df).collect()) == [2, 3, 5]
+    monkeypatch.setattr(U, "_words", lambda shared: lambda batches: (b.assign(h=0, around="L", form="x", skeleton="x", plain=True, changed=True)[["field_name", "row_key", "h", "around", "form", "skeleton", "plain", "changed"]] for b in batches))
+    assert changed_rows(df).count() == 0
