@@ -4,9 +4,11 @@ Sizes are tokens of byte_bpe_50k (a public byte-level BPE; its file is a paramet
 Documents fall into groups of about GROUP_DOCS by a hash of their id; a task packs
 one group for one capacity, longest documents first. Every open sequence has three
 residual capacities: tokens, documents, and attention cost (the sum of squared
-lengths). Among the open sequences that can take a document under all three, those
-of the smallest token residuals are compared by the weighted norm of what would
-remain, and the least wins; if none can take it, a new sequence is opened.
+lengths). Among all open sequences that can take a document under all three, the one
+with the least weighted norm of what would remain takes it; if none can, a new sequence
+is opened. All three bind: a sequence takes at most one document per TOKENS_PER_DOC
+tokens of capacity, and more than one only up to ATTENTION of the attention cost of a
+full document.
 
 A document larger than a sequence is split into full pieces and a rest; only it is
 ever split. A group leaves at most its last few sequences unfilled, so the groups
@@ -20,12 +22,11 @@ non-positive capacity give nothing; extra columns are not read.
 from __future__ import annotations
 
 import base64
-import heapq
 import os
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,12 +36,8 @@ from marginalia.session import ship, spread
 GROUP_DOCS = 25_000
 #: Weights of the residuals of tokens, documents and attention in the norm.
 WEIGHTS = (1.0, 0.02, 0.05)
-#: Token residuals compared, from the smallest that fits.
-LOOK = 4
-#: A sequence holds at most one document per so many tokens of capacity (and 8 at least), and at most ATTENTION times the attention cost of one full document (at 1.0 tokens always bind first, and the cost only steers the choice).
-TOKENS_PER_DOC, ATTENTION = 8, 1.0
-#: A stretch without white space beyond this many characters is encoded in parts of that length.
-STRETCH = 20_000
+#: A sequence holds at most one document per so many tokens of capacity (LEAST_DOCS at least), and several only up to this share of the attention cost of one full document.
+TOKENS_PER_DOC, LEAST_DOCS, ATTENTION = 64, 16, 0.9
 
 TOKENIZER = os.environ.get("MARGINALIA_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -56,15 +53,12 @@ def encoding(path: str):
 
 
 def count_tokens(text: str, path: str = TOKENIZER) -> int:
-    e = encoding(path)
-    if len(text) > STRETCH and max(map(len, text.split()), default=0) > STRETCH:
-        return sum(len(e.encode_ordinary(text[i : i + STRETCH])) for i in range(0, len(text), STRETCH))
-    return len(e.encode_ordinary(text))
+    return len(encoding(path).encode_ordinary(text))
 
 
 def pack(sizes: list[tuple[int, int]], capacity: int, docs: int | None = None, attention: float | None = None) -> list[tuple[int, int, int, int, int, int]]:
-    """sizes: (doc_id, tokens). Gives (sequence, doc_id, piece, first_token, n_tokens, position) for every piece."""
-    docs = docs or max(8, capacity // TOKENS_PER_DOC)
+    """sizes: (doc_id, tokens). Gives (sequence, doc_id, piece, first_token, n_tokens, position) for every piece. docs and attention: capacities of a sequence (infinite ones switch them off)."""
+    docs = docs or max(LEAST_DOCS, capacity // TOKENS_PER_DOC)
     attention = attention or ATTENTION * capacity * capacity
     wt, wd, wa = WEIGHTS
     out: list[tuple[int, int, int, int, int, int]] = []
@@ -72,65 +66,39 @@ def pack(sizes: list[tuple[int, int]], capacity: int, docs: int | None = None, a
     n_seq = 0
     for doc, n in sizes:
         k = start = 0
-        while n - start > capacity or n == capacity and start == 0 or 0 < n - start == capacity:
+        while n - start >= capacity:
             out.append((n_seq, doc, k, start, capacity, 0))
             n_seq, k, start = n_seq + 1, k + 1, start + capacity
         if n - start > 0:
             pieces.append((n - start, doc, k, start))
     pieces.sort(key=lambda p: (-p[0], p[1], p[2]))
-    left: dict[int, list] = {}  # sequence: residual tokens, documents, attention, position
-    heaps: dict[int, list[tuple[float, int]]] = {}  # by residual tokens: (norm of the other residuals, sequence)
-    open_: list[int] = []  # residuals that have a heap, in order
-
-    def put(s: int) -> None:
-        r, d, a, _ = left[s]
-        if r <= 0 or d <= 0:
-            del left[s]
-            return
-        if r not in heaps:
-            heaps[r] = []
-            insort(open_, r)
-        heapq.heappush(heaps[r], (wd * (d / docs) ** 2 + wa * (a / attention) ** 2, s))
-
+    least = pieces[-1][0] if pieces else 0
+    # residual tokens, documents and attention of the open sequences, and their numbers
+    room = np.zeros((3, max(16, len(pieces))))
+    seq = np.zeros(room.shape[1], dtype=np.int64)
+    n_open = closed = 0
+    weights, limits = np.array([[wt], [wd], [wa]]), np.array([[capacity], [docs if np.isfinite(docs) else 1e18], [attention if np.isfinite(attention) else 1e36]])
     for n, doc, k, start in pieces:
-        best, at = None, bisect_left(open_, n)
-        looked = 0
-        while at < len(open_) and looked < LOOK:
-            r = open_[at]
-            aside, found = [], None
-            while heaps[r]:
-                norm, s = heaps[r][0]
-                if left[s][2] >= n * n and left[s][1] >= 1:
-                    found = s
-                    break
-                aside.append(heapq.heappop(heaps[r]))  # no room for its attention cost
-            for x in aside:
-                heapq.heappush(heaps[r], x)
-            if found is not None:
-                _, d, a, _ = left[found]
-                score = wt * ((r - n) / capacity) ** 2 + wd * ((d - 1) / docs) ** 2 + wa * ((a - n * n) / attention) ** 2
-                if best is None or score < best[0]:
-                    best = (score, r, found)
-                looked += 1
-            at += 1
-        if best is None:
-            s = n_seq
-            n_seq += 1
-            left[s] = [capacity, docs, attention, 0]
+        r = room[:, :n_open]
+        need = np.array([[n], [1.0], [float(n) * n]])
+        fits = np.flatnonzero((r >= need).all(axis=0))
+        if len(fits):
+            left = (r[:, fits] - need) / limits
+            at = fits[np.argmin((weights * left * left).sum(axis=0))]
         else:
-            _, r, s = best
-            h = heaps[r]
-            i = next(i for i, x in enumerate(h) if x[1] == s)
-            h[i] = h[-1]
-            h.pop()
-            heapq.heapify(h) if i < len(h) else None
-            if not h:
-                del heaps[r]
-                open_.pop(bisect_left(open_, r))
-        x = left[s]
-        out.append((s, doc, k, start, n, x[3]))
-        x[0], x[1], x[2], x[3] = x[0] - n, x[1] - 1, x[2] - n * n, x[3] + n
-        put(s)
+            at = n_open
+            n_open += 1
+            room[:, at], seq[at] = (capacity, docs, max(attention, float(n) * n)), n_seq
+            n_seq += 1
+        out.append((int(seq[at]), doc, k, start, n, int(capacity - room[0, at])))
+        room[:, at] -= need[:, 0]
+        if room[0, at] < least or room[1, at] < 1 or room[2, at] < least * least:
+            room[0, at] = -1.0
+            closed += 1
+            if closed > 64 and closed * 4 > n_open:
+                keep = np.flatnonzero(room[0, :n_open] >= 0)
+                room[:, : len(keep)], seq[: len(keep)] = room[:, keep], seq[keep]
+                n_open, closed = len(keep), 0
     return out
 
 

@@ -67,3 +67,44 @@ def test_operator(spark):
 def test_tokens_round_trip(text):
     e = packing.encoding(packing.TOKENIZER)
     assert e.decode(e.encode_ordinary(text)) == text and packing.count_tokens(text) == len(e.encode_ordinary(text))
+
+
+def brute(sizes, capacity, docs, attention):
+    """Best fit over all open sequences, without arrays."""
+    wt, wd, wa = packing.WEIGHTS
+    open_, n_seq = [], 0
+    for n, _ in sorted(((n, d) for d, n in sizes if 0 < n < capacity), key=lambda x: (-x[0], x[1])):
+        fits = [(wt * ((r - n) / capacity) ** 2 + wd * ((d - 1) / docs) ** 2 + wa * ((a - n * n) / attention) ** 2, i) for i, (r, d, a) in enumerate(open_) if r >= n and d >= 1 and a >= n * n]
+        if fits:
+            i = min(fits)[1]
+        else:
+            open_.append((capacity, docs, max(attention, n * n)))
+            i = n_seq
+            n_seq += 1
+        r, d, a = open_[i]
+        open_[i] = (r - n, d - 1, a - n * n)
+    return n_seq
+
+
+def test_equals_best_fit_over_all_sequences_and_every_capacity_binds():
+    import random
+
+    rng = random.Random(2)
+    inf = float("inf")
+    sizes = [(i, rng.choice([rng.randint(1, 12), rng.randint(20, 60), rng.randint(90, 127)])) for i in range(900)]
+    docs, attention = 8, packing.ATTENTION * 128 * 128  # the default would be 16 documents
+    assert check(sizes, 128, packing.pack(sizes, 128, docs), docs, attention) == brute(sizes, 128, docs, attention)
+    groups = lambda **limits: {frozenset(r[1] for r in rows if r[0] == s) for rows in [packing.pack(sizes, 128, **limits)] for s in {r[0] for r in rows}}
+    every = groups(docs=docs, attention=attention)
+    assert every != groups(docs=inf, attention=attention) and every != groups(docs=docs, attention=inf)
+    free = packing.pack(sizes, 128, docs=inf, attention=inf)
+    with pytest.raises(AssertionError):
+        check(sizes, 128, free, docs, None)
+    with pytest.raises(AssertionError):
+        check(sizes, 128, free, None, attention)
+
+
+def test_long_stretches_are_encoded_whole():
+    e = packing.encoding(packing.TOKENIZER)
+    for t in ("x" * 50_000, "ab1!" * 20_000):
+        assert packing.count_tokens(t) == len(e.encode_ordinary(t)) and e.decode(e.encode_ordinary(t)) == t
