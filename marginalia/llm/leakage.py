@@ -1,15 +1,16 @@
 """Held-out items in a corpus: an FM-index per shard of documents.
 
 A task joins the folded words of its documents to shards of about SHARD_WORDS words,
-sorts their suffixes, and keeps the Burrows-Wheeler transform as a wavelet matrix.
-All five-word phrases of the items are searched backwards at once through its ranks;
-occurrences are located by sampled suffix positions. Hits of one item in one document
-are chained, and an exact check aligns item and passage word by word: the document
-holds the item if a run of at least half of its words, small changes and short
-interruptions allowed, stands there with its numbers.
+numbers the shard's own words, sorts its suffixes once, and keeps the Burrows-Wheeler
+transform as a wavelet matrix. All five-word phrases of all items are searched backwards
+at once through its ranks; occurrences are located by sampled suffix positions. Hits of
+one item in one document are chained, and an exact check aligns item and passage word by
+word: the document holds the item if a run of at least half of its words, small changes
+and short interruptions allowed, stands there with its numbers.
 
-The corpus is not shuffled, and no task holds more than a shard. Items go to the
-tasks in blocks of ITEM_BLOCK, a pass each, so their number is not bound either.
+The corpus is not shuffled, and no task holds more than a shard. Items go to the tasks
+together; only if they have more than ITEM_WORDS words, in several passes, so that what
+is broadcast has a bound.
 
 Defined results: null, blank and wordless texts hold nothing; repeated documents come
 out each; an item of fewer than five words is searched whole; extra columns are not
@@ -18,6 +19,8 @@ read; empty tables give no row.
 
 from __future__ import annotations
 
+import bisect
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +33,7 @@ from marginalia.session import ship, spread
 PHRASE = 5
 SHARD_WORDS = 300_000
 SAMPLE = 8
-ITEM_BLOCK = 2_000
+ITEM_WORDS = 4_000_000
 #: Share of an item's phrases that must be found before its words are aligned.
 CANDIDATE = 0.14
 #: Share of its words that the run must span (half, less what an edit may take off the ends), of the run and of the item that must be found, and of the run's numbers.
@@ -101,27 +104,40 @@ class FMIndex:
 
 
 def _suffixes(text: np.ndarray) -> np.ndarray:
-    """The suffix array, by prefix doubling."""
+    """The suffix array: sorted by as many symbols as fit into 64 bits, then by prefix doubling of the suffixes not yet told apart."""
     n = len(text)
-    rank = text.astype(np.int64)
-    k = 1
+    bits = max(1, int(text.max()).bit_length())
+    k = max(1, min(62 // bits, n))
+    key = np.zeros(n, dtype=np.int64)
+    for j in range(k):
+        key <<= bits
+        key[: n - j] |= text[j:].astype(np.int64)
+    sa = np.argsort(key)
+    place = np.arange(n)
+    s = key[sa]
+    new = np.concatenate([[True], s[1:] != s[:-1]])
+    rank = np.empty(n, dtype=np.int64)
+    rank[sa] = np.maximum.accumulate(np.where(new, place, 0))
     while True:
-        nxt = np.full(n, -1, dtype=np.int64)
-        nxt[:-k] = rank[k:] if k < n else nxt[:-k]
-        key = rank * (n + max(2, int(rank.max()) + 2)) + nxt + 1
-        sa = np.argsort(key, kind="stable")
-        s = key[sa]
-        r = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-        rank = np.empty(n, dtype=np.int64)
-        rank[sa] = r
-        if r[-1] == n - 1 or k >= n:
+        # the places of suffixes that share their first k symbols with a neighbour
+        todo = np.flatnonzero(~(new & np.append(new[1:], True)))
+        if not len(todo):
             return sa
+        at = sa[todo]
+        far = np.where(at + k < n, rank[np.minimum(at + k, n - 1)] + 1, 0)
+        key = rank[at] * (n + 1) + far
+        order = np.argsort(key)
+        at, key = at[order], key[order]
+        sa[todo] = at
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        new[todo] = fresh
+        rank[at] = todo[np.maximum.accumulate(np.where(fresh, np.arange(len(todo)), 0))]
         k *= 2
 
 
 def _phrases(items: list[tuple[int, list[str]]]):
-    """Vocabulary, phrase matrix, and for each phrase the (item, place) pairs."""
-    vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws in items for w in ws}), 3)}  # 0 end, 1 between documents, 2 any other word
+    """Words of the items, phrase matrix in them, and for each phrase the (item, place) pairs."""
+    vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws in items for w in ws}))}
     where: dict[tuple[int, ...], list[tuple[int, int]]] = {}
     for k, (_, ws) in enumerate(items):
         ids = [vocabulary[w] for w in ws]
@@ -133,7 +149,7 @@ def _phrases(items: list[tuple[int, list[str]]]):
     counts = np.array([len(o) for o in owners], dtype=np.int64)
     flat_item = np.array([k for o in owners for k, _ in o], dtype=np.int64)
     flat_pos = np.array([p for o in owners for _, p in o], dtype=np.int64)
-    return vocabulary, m, counts, np.concatenate([[0], np.cumsum(counts)]), flat_item, flat_pos
+    return list(vocabulary), m, np.concatenate([[0], np.cumsum(counts)]), flat_item, flat_pos
 
 
 def held_run(item: list[str], passage: list[str]) -> tuple[int, int, int, int] | None:
@@ -185,29 +201,58 @@ def held_runs(item: list[str], passage: list[str], hits: np.ndarray) -> list[tup
     return sorted(out, key=lambda r: r[2])
 
 
-def _search(items: list[tuple[int, list[str]]]):
+def char_span(text: str, ws: list[str], first: int, end: int) -> tuple[int, int]:
+    """Where in the text its folded words first to end (without) stand, in characters."""
+    from marginalia.llm.wordfold import words
+
+    def begin(t: str, n: int) -> int:
+        """Where word n of t begins: one before the shortest prefix that holds n + 1 words."""
+        return max(0, bisect.bisect_left(range(len(t) + 1), n + 1, key=lambda e: len(words(t[:e]))) - 1)
+
+    def stop(t: str, n: int) -> int:
+        """Where the first n words of t end: before the next one, without white space."""
+        return len(t[: begin(t, n) if n < len(words(t)) else len(t)].rstrip())
+
+    pieces = [m.span() for m in re.finditer(r"\S+", text)]
+    counts = [len(words(text[a:b])) for a, b in pieces]
+    if sum(counts) != len(ws):  # words of several pieces
+        return begin(text, first), stop(text, end)
+    upto = np.cumsum(counts)
+    i, j = int(np.searchsorted(upto, first, side="right")), int(np.searchsorted(upto, end, side="left"))
+    (a, b), (c, d) = pieces[i], pieces[j]
+    return a + begin(text[a:b], first - int(upto[i]) + counts[i]) if upto[i] - counts[i] < first else a, c + stop(text[c:d], end - int(upto[j]) + counts[j]) if upto[j] > end else d
+
+
+def _search(shared, chars: bool):
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from marginalia.llm.wordfold import words
 
-        vocabulary, phrases, _, offset, flat_item, flat_pos = _phrases(items)
+        items = shared.value
+        known, phrases, offset, flat_item, flat_pos = _phrases(items)
         lengths = np.array([len(ws) for _, ws in items])
         need = np.maximum(1, np.ceil(CANDIDATE * (lengths - min(PHRASE, 5) + 1)))
-        held: list[tuple[int, list[str]]] = []
+        held: list[tuple[int, list[str], str]] = []
         size = 0
 
         def shard() -> pd.DataFrame:
+            vocabulary: dict[str, int] = {}
+            number = vocabulary.setdefault
             ids, starts, at = [], [], 0
-            for _, ws in held:
+            for _, ws, _ in held:
                 starts.append(at)
-                ids += [vocabulary.get(w, 2) for w in ws]
+                ids += [number(w, len(vocabulary) + 2) for w in ws]  # 0 end, 1 between documents
                 ids.append(1)
                 at += len(ws) + 1
             ids.append(0)
-            index = FMIndex(np.array(ids, dtype=np.int32), len(vocabulary) + 3)
-            lo, hi = index.search(phrases)
+            index = FMIndex(np.array(ids, dtype=np.int32), len(vocabulary) + 2)
+            # phrases in the shard's own words; those with a word it lacks stand nowhere in it
+            own = np.array([*(vocabulary.get(w, -2) for w in known), -1], dtype=np.int64)
+            mine = own[phrases]
+            there = np.flatnonzero((mine != -2).all(axis=1))
+            lo, hi = index.search(mine[there])
             n = hi - lo
-            which = np.repeat(np.arange(len(n)), n)
-            rows = np.concatenate([np.arange(a, b) for a, b in zip(lo[n > 0], hi[n > 0])]) if n.any() else np.zeros(0, dtype=np.int64)
+            which = np.repeat(there, n)
+            rows = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             place = index.locate(rows)
             start = np.array(starts, dtype=np.int64)
             doc = np.searchsorted(start, place, side="right") - 1
@@ -215,31 +260,33 @@ def _search(items: list[tuple[int, list[str]]]):
             # one hit for each item that owns the phrase
             k = offset[which + 1] - offset[which]
             rep = np.repeat(np.arange(len(which)), k)
-            inner = np.arange(len(rep)) - np.repeat(np.cumsum(k) - k, k)
-            o = offset[which[rep]] + inner
-            hits = pd.DataFrame({"doc": doc[rep], "item": flat_item[o], "pos": flat_pos[o], "word": word[rep]})
+            o = offset[which[rep]] + np.arange(len(rep)) - np.repeat(np.cumsum(k) - k, k)
+            order = np.lexsort((flat_pos[o], flat_item[o], doc[rep]))
+            doc, word, item, pos = doc[rep][order], word[rep][order], flat_item[o][order], flat_pos[o][order]
+            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]) if len(doc) else np.zeros(0, dtype=bool)
+            different = np.concatenate([[True], pos[1:] != pos[:-1]])[: len(doc)] | new
+            first = np.flatnonzero(new)
+            found = np.add.reduceat(different, first) if len(first) else np.zeros(0)
             out = []
-            if len(hits):
-                different = hits.drop_duplicates(["doc", "item", "pos"]).groupby(["doc", "item"]).size()
-                different = different[different.to_numpy() >= need[different.index.get_level_values("item").to_numpy()]]
-                groups = hits.set_index(["doc", "item"]).sort_index()
-                for d, i in different.index:
-                    g = groups.loc[[(d, i)]]
-                    w = np.sort(g["word"].to_numpy())
-                    ws, item = held[d][1], items[i][1]
-                    # clusters of hits that lie close enough to be one passage
-                    for part in np.split(w, np.flatnonzero(np.diff(w) > len(item) + DOC_GAP) + 1):
-                        a, b = max(0, part[0] - len(item)), min(len(ws), part[-1] + len(item) + PHRASE)
-                        for r in held_runs(item, ws[a:b], part - a):
-                            out.append((held[d][0], items[i][0], int(a + r[2]), int(a + r[3]) + 1, r[1] - r[0] + 1, len(item)))
-            return pd.DataFrame(out, columns=["doc_id", "item_id", "first_word", "end_word", "n_run", "n_item"])
+            for g in np.flatnonzero(found >= need[item[first]]):
+                a = first[g]
+                d, i, w = doc[a], item[a], np.sort(word[a : first[g + 1] if g + 1 < len(first) else len(doc)])
+                doc_id, ws, text = held[d]
+                item_id, iw = items[i]
+                # clusters of hits that lie close enough to be one passage
+                for part in np.split(w, np.flatnonzero(np.diff(w) > len(iw) + DOC_GAP) + 1):
+                    a, b = max(0, part[0] - len(iw)), min(len(ws), part[-1] + len(iw) + PHRASE)
+                    for r in held_runs(iw, ws[a:b], part - a):
+                        span = (int(a + r[2]), int(a + r[3]) + 1)
+                        out.append((doc_id, item_id, *span, *(char_span(text, ws, *span) if chars else (None, None)), r[1] - r[0] + 1, len(iw)))
+            return pd.DataFrame(out, columns=["doc_id", "item_id", "first_word", "end_word", "first_char", "end_char", "n_run", "n_item"]).astype({"first_char": "Int32", "end_char": "Int32"})
 
         for b in batches:
             for doc_id, text in zip(b["doc_id"], b["text"]):
                 ws = words(text)
                 if not ws:
                     continue
-                held.append((doc_id, ws))
+                held.append((doc_id, ws, text if chars else ""))
                 size += len(ws)
                 if size >= SHARD_WORDS:
                     yield shard()
@@ -250,30 +297,30 @@ def _search(items: list[tuple[int, list[str]]]):
     return find
 
 
-def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, first_word, end_word (of the folded document), n_run, n_item for every passage that holds an item."""
+def leaks(documents: DataFrame, items: DataFrame, chars: bool = False) -> DataFrame:
+    """doc_id, item_id, first_word, end_word (of the folded document), first_char, end_char (of its text, if asked for), n_run, n_item for every passage that holds an item."""
     from marginalia.llm.wordfold import words
 
     spark = documents.sparkSession
     ship(spark)
-    schema = "doc_id long, item_id long, first_word int, end_word int, n_run int, n_item int"
+    schema = "doc_id long, item_id long, first_word int, end_word int, first_char int, end_char int, n_run int, n_item int"
     docs = spread(documents.where("trim(coalesce(text, '')) <> ''").select("doc_id", "text"))
-    out = None
-    block: list[tuple[int, list[str]]] = []
 
-    def passes():
-        nonlocal block
-        for r in items.where("item_text is not null").select("item_id", "item_text").orderBy("item_id").toLocalIterator():
+    def passes() -> Iterator[list[tuple[int, list[str]]]]:
+        block, size = [], 0
+        for r in items.where("item_text is not null").select("item_id", "item_text").orderBy("item_id", "item_text").toLocalIterator():
             if ws := words(r["item_text"]):
                 block.append((r["item_id"], ws))
-            if len(block) == ITEM_BLOCK:
+                size += len(ws)
+            if size >= ITEM_WORDS:
                 yield block
-                block = []
+                block, size = [], 0
         if block:
             yield block
 
+    out = None
     for part in passes():
-        found = docs.mapInPandas(_search(part), schema)
+        found = docs.mapInPandas(_search(spark.sparkContext.broadcast(part), chars), schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -283,11 +330,11 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def removal_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, first_word, end_word, n_items: the leaked passages of a document, those that overlap merged."""
+    """doc_id, first_char, end_char (of the text), n_items: the leaked passages of a document, those that overlap merged."""
     from pyspark.sql import Window
 
-    s = leaks(documents, items)
-    before = Window.partitionBy("doc_id").orderBy("first_word", "end_word", "item_id").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("doc_id").orderBy("first_word", "end_word", "item_id").rowsBetween(Window.unboundedPreceding, 0)
-    fresh = s.withColumn("new", F.when(F.col("first_word") <= F.max("end_word").over(before), 0).otherwise(1))
-    return fresh.withColumn("span", F.sum("new").over(upto)).groupBy("doc_id", "span").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.count_distinct("item_id").alias("n_items")).drop("span")
+    s = leaks(documents, items, chars=True)
+    before = Window.partitionBy("doc_id").orderBy("first_char", "end_char", "item_id").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("doc_id").orderBy("first_char", "end_char", "item_id").rowsBetween(Window.unboundedPreceding, 0)
+    fresh = s.withColumn("new", F.when(F.col("first_char") < F.max("end_char").over(before), 0).otherwise(1))
+    return fresh.withColumn("span", F.sum("new").over(upto)).groupBy("doc_id", "span").agg(F.min("first_char").alias("first_char"), F.max("end_char").alias("end_char"), F.count_distinct("item_id").alias("n_items")).drop("span")
