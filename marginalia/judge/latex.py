@@ -26,17 +26,13 @@ class Unreadable(ValueError):
     pass
 
 
-#: Deepest nesting that is read.
-DEPTH = 60
-
-
 class _Reader:
     def __init__(self, text: str):
         text = _DROP.sub(" ", text).replace("\\dfrac", "\\frac").replace("\\tfrac", "\\frac").replace("\\cdot", "*").replace("\\times", "*").replace("\\div", "/").replace("π", "\\pi ").replace("∞", "\\infty ").replace("−", "-").replace("θ", "\\theta ")
         self.t = _TOKEN.findall(text)
         if re.sub(r"\s", "", text) != "".join(self.t):
             raise Unreadable(text)
-        self.i, self.depth = 0, 0
+        self.i = 0
 
     def peek(self) -> str:
         return self.t[self.i] if self.i < len(self.t) else ""
@@ -57,27 +53,28 @@ class _Reader:
         return e
 
     def sum(self):
-        self.depth += 1
-        if self.depth > DEPTH:
-            raise Unreadable("depth")
-        e = self.product()
+        terms = [self.product()]
         while self.peek() in ("+", "-"):
             op = self.next()
-            e = (op, e, self.product())
-        self.depth -= 1
-        return e
+            e = self.product()
+            terms.append(e if op == "+" else ("neg", e))
+        if len(terms) == 2 and isinstance(terms[1], tuple) and terms[1][0] == "neg":
+            return ("-", terms[0], terms[1][1])
+        return _balanced("+", terms)
 
     def product(self):
-        e = self.signed()
+        over, under = [self.signed()], []
         while True:
             p = self.peek()
             if p in ("*", "/"):
                 self.next()
-                e = (p, e, self.signed())
+                (over if p == "*" else under).append(self.signed())
             elif p and (p[0].isalnum() or p[0] == "." or p in ("(", "{", "[") or p[0] == "\\" and p[1:] not in ("cup", "cap", "pm", "mp", "le", "leq", "ge", "geq", "ne", "neq", "in", "to", "text", "end")):
-                e = ("*", e, self.power())
+                over.append(self.power())
             else:
-                return e
+                break
+        e = _balanced("*", over)
+        return ("/", e, _balanced("*", under)) if under else e
 
     def signed(self):
         if self.peek() in ("+", "-"):
@@ -179,6 +176,13 @@ class _Reader:
         return e
 
 
+def _balanced(op: str, parts: list):
+    """One tree of many terms, of a depth that grows with the logarithm of their number."""
+    while len(parts) > 1:
+        parts = [(op, a, b) for a, b in zip(parts[::2], parts[1::2])] + ([parts[-1]] if len(parts) % 2 else [])
+    return parts[0]
+
+
 def read(text: str):
     return _Reader(text).all()
 
@@ -257,24 +261,50 @@ def close(a, b, precision: float) -> bool:
 POINTS = 12
 
 
-def same_value(a, b, precision: float) -> bool:
-    """Equal as numbers, or as functions of their symbols (at random points where both are defined)."""
-    names = symbols(a) | symbols(b)
-    if not names:
-        return close(evaluate(a), evaluate(b), precision)
-    if symbols(a) != symbols(b) and not (symbols(a) and symbols(b)):
-        return False
+def _values(a, b):
+    """Values of both at random points of either sign where both are real; at points where one is not, the other's domain ends."""
+    names = sorted(symbols(a) | symbols(b))
     rng = random.Random(zlib.crc32(repr((a, b)).encode()))
     seen = 0
-    for _ in range(4 * POINTS):
-        at = {n: complex(rng.uniform(0.3, 4.0)) for n in sorted(names)}
+    for k in range(8 * POINTS):
+        low = 0.3 if k % 2 else -4.0
+        at = {n: complex(rng.uniform(low, 4.0)) for n in names}
         try:
-            x, y = evaluate(a, at), evaluate(b, at)
+            x, y = complex(evaluate(a, at)), complex(evaluate(b, at))
         except (ZeroDivisionError, OverflowError):
             continue
-        if abs(complex(x) - complex(y)) > 1e-7 * max(1.0, abs(complex(x)), abs(complex(y))):
-            return False
+        if max(abs(x.imag), abs(y.imag)) > 1e-9 * max(1.0, abs(x), abs(y)) or x != x or y != y:
+            continue
+        yield x.real, y.real
         seen += 1
         if seen == POINTS:
-            return True
+            return
+
+
+def same_value(a, b, precision: float) -> bool:
+    """Equal as numbers, or as functions of their symbols where both are defined."""
+    if not symbols(a) and not symbols(b):
+        return close(evaluate(a), evaluate(b), precision)
+    if not symbols(a) or not symbols(b):
+        return False
+    seen = 0
+    for x, y in _values(a, b):
+        if abs(x - y) > 1e-7 * max(1.0, abs(x), abs(y)):
+            return False
+        seen += 1
     return seen > 0
+
+
+def steady_ratio(a, b) -> float | None:
+    """a / b if it is the same at all points, else None."""
+    ratio = None
+    for x, y in _values(a, b):
+        if abs(x) < 1e-9 and abs(y) < 1e-9:
+            continue
+        if abs(y) < 1e-12:
+            return None
+        if ratio is None:
+            ratio = x / y
+        elif abs(x - ratio * y) > 1e-7 * max(1.0, abs(x), abs(ratio * y)):
+            return None
+    return ratio

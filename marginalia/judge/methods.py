@@ -17,74 +17,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.functions.boxed import scan_boxes
-from marginalia.judge.latex import Unreadable, close, evaluate, read, same_value, symbols
+from marginalia.judge.latex import Unreadable, close, evaluate, read, same_value, steady_ratio, symbols
+from marginalia.judge.normal import clean, normal, normal_of_kind, round_brackets, split_top
 
 PRECISION = 1e-8
-#: Longer answers are compared as texts only.
-LONGEST = 400
-
-# Words for truth, weekdays and numbers, units, and what is cut from the ends of an answer.
-TRUE, FALSE = frozenset("true yes t y correct right".split()), frozenset("false no f n incorrect wrong".split())
-WEEKDAYS = {a: d for d, names in {"Monday": "monday mon", "Tuesday": "tuesday tue tues", "Wednesday": "wednesday wed", "Thursday": "thursday thu thur thurs", "Friday": "friday fri", "Saturday": "saturday sat", "Sunday": "sunday sun"}.items() for a in names.split()}
-NUMBERS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())} | {w: str(10 * i) for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)} | {"hundred": "100", "thousand": "1000", "million": "1000000", "half": "1/2", "third": "1/3", "quarter": "1/4", "fourth": "1/4"}
-UNITS = "seconds second sec s minutes minute min hours hour hr h days day weeks week years year m cm mm km ft in yd kg g mg lb grams gram litres litre liters metres metre coins".split()
-PRECEDING, TRAILING = ",.:;!?=+-×÷*/\\|", ",.:;!?=\\。，、；：！？"
-_UNIT = re.compile(r"(?<=[\d})])\s*(?:\\text\{\s*|\\mathrm\{\s*)?(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?:\s*\})?(?:\^\{?\d\}?|[²³])?$")
-_SPACES = re.compile(r"\\(?:[!,;: ]|quad|qquad|displaystyle|textstyle|medspace|thinspace|thickspace|enspace|negthinspace)|~")
-_STYLE = re.compile(r"\\(?:mathrm|mathbf|textbf|text|rm|bf|underline|overline|boldsymbol|bm)\s*\{([^{}]*)\}")
-_NAMED = re.compile(r"^(?:[a-zA-Z]|[A-Z]{2}|\\[a-z]+)(?:'|\^\{?\d\}?|_\{?\w\}?|\u0304)*(?:\([^()=]{1,6}\))?\s*=\s*([^=]+)$")
-
-
-def clean(s: str) -> str:
-    """Without punctuation at the ends; a backslash that opens a command and the sign of a number stay."""
-    s = s.strip()
-    while s and s[0] in PRECEDING and not (s[0] == "\\" and s[1:2].isalpha()) and not (s[0] in "+-" and len(s) > 1):
-        s = s[1:].strip()
-    while s and s[-1] in TRAILING:
-        s = s[:-1].strip()
-    return s
-
-
-def split_top(s: str) -> list[str]:
-    """Parts between commas outside brackets."""
-    out, depth, last = [], 0, 0
-    for i, c in enumerate(s):
-        if c in "([<" and not (c == "<" and s[i + 1 : i + 2] == "="):
-            depth += c != "<"
-        elif c in ")]":
-            depth -= 1
-        elif c == "," and depth <= 0:
-            if re.match(r"\d{3}(?!\d)", s[i + 1 :]) and i and s[i - 1].isdigit() and len(re.search(r"\d+$", s[:i])[0]) <= 3:
-                continue  # a thousands comma
-            out.append(s[last:i])
-            last = i + 1
-    return [x.strip() for x in [*out, s[last:]] if x.strip()]
+#: What a verdict may run into on texts that are no mathematics; such texts are unequal.
+FAILURES = (Unreadable, ValueError, ZeroDivisionError, OverflowError, RecursionError, IndexError, TypeError, KeyError)
 
 
 def normalize(s: str) -> str:
-    """One answer in a plain form."""
-    s = clean(s.replace("\n", " "))
-    if s.lower() in WEEKDAYS:
-        return WEEKDAYS[s.lower()]
-    if s.lower() in NUMBERS:
-        return NUMBERS[s.lower()]
-    s = _SPACES.sub("", s).replace("\\left", "").replace("\\right", "").replace("$", "").replace("\\dfrac", "\\frac").replace("\\tfrac", "\\frac").replace("\\%", "").replace("%", "")
-    s = re.sub(r"(?<=\d),(?=\d{3}(?!\d))", "", s)
-    s = _UNIT.sub("", s.strip()).strip()
-    for _ in range(4):
-        t = _STYLE.sub(r"\1", s)
-        if t == s:
-            break
-        s = t
-    s = re.sub(r"\^\{?\\circ\}?|°", "", s)
-    s = re.sub(r"^[a-zA-Z]\\in\b", "", s.replace(" \\in", "\\in"))
-    if (m := _NAMED.match(s)) and not symbols_of(m[1]):
-        s = m[1]
-    while len(s) > 1 and s[0] == "(" and s[-1] == ")" and "," not in s and _paired(s):
-        s = s[1:-1].strip()
-    s = re.sub(r"(\d)\.0+(?!\d)", r"\1", s)
-    s = re.sub(r"^0+(?=[1-9])", "", s)
-    return clean(s)
+    """One answer in a plain form; an equation of two sides with symbols stays one."""
+    return normal(s, keep=lambda right: bool(symbols_of(right)))
 
 
 def symbols_of(s: str) -> set[str]:
@@ -94,42 +37,38 @@ def symbols_of(s: str) -> set[str]:
         return set()
 
 
-def _paired(s: str) -> bool:
-    depth = 0
-    for i, c in enumerate(s):
-        depth += (c == "(") - (c == ")")
-        if depth == 0:
-            return i == len(s) - 1
-    return False
-
-
-def truth(s: str) -> str | None:
-    w = s.strip().lower()
-    return "True" if w in TRUE else "False" if w in FALSE else None
-
-
 def text_equal(a: str, b: str) -> bool:
     return a.lower() == b.lower()
 
 
 def truth_equal(a: str, b: str) -> bool:
-    return truth(b) is not None and truth(a) == truth(b)
+    return b in ("True", "False") and a == b
 
 
 def single_choice(a: str, b: str) -> bool:
+    if text_equal(a, b):
+        return True
     a = a.strip("[]") if a.startswith("[") and a.endswith("]") else a
-    return text_equal(a, b) or (len(a) > 1 and a[1] == ":" and a[0].isupper() and a[0] == b)
+    return text_equal(a, b) or len(a) > 1 and a[1] == ":" and "A" <= a[0] <= "Z" and a[0] == b
 
 
 def multiple_choice(a: str, b: str) -> bool:
-    letters = sorted(c for c in a.upper() if "A" <= c <= "Z")
-    return bool(b) and all(c.isalpha() for c in b) and len(b) <= 26 and b.isupper() and not re.search(r"[a-z0-9]", a) and letters == sorted(b.upper())
+    """The capital letters of a are the signs of b, in any order."""
+    return bool(b) and sorted(c.lower() for c in a if "A" <= c <= "Z") == sorted(c.lower() for c in b)
+
+
+_FLOAT = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?")
 
 
 def number_equal(a: str, b: str, precision: float = PRECISION) -> bool:
+    """Equal up to a relative error, a plain gold number rounded to six places too; of two numbers of which one is scientific, equal to three digits."""
     if a == b:
         return True
-    x, y = read(a), read(b)
+    if _FLOAT.fullmatch(a) and _FLOAT.fullmatch(b):
+        gold = round(float(b), 6)
+        if gold and abs((float(a) - gold) / gold) <= precision * 1.01:
+            return True
+    x, y = (Fraction(s) if _FLOAT.fullmatch(s) else read(s) for s in (a, b))
     if symbols(x) or symbols(y):
         return False
     u, v = evaluate(x), evaluate(y)
@@ -160,13 +99,17 @@ def expression_equal(a: str, b: str, precision: float = PRECISION) -> bool:
 
 
 def equation_equal(a: str, b: str, precision: float = PRECISION) -> bool:
-    """Both sides' difference the same, or a whole multiple of the other's."""
+    """The differences of both sides are the same, or one is a whole multiple of the other."""
     if a.count("=") != 1 or b.count("=") != 1:
         return False
     f, g = (("-", read(x), read(y)) for x, y in (a.split("="), b.split("=")))
     if not symbols(f) or symbols(f) != symbols(g):
         return False
-    return any(same_value(("*", Fraction(k), f), g, precision) or same_value(f, ("*", Fraction(k), g), precision) for k in (1, -1, 2, -2, 3, -3, 4, -4, 5, -5, 6, 7, 8, 9, 10))
+    ratio = steady_ratio(f, g)
+    if ratio is None or abs(ratio) < 1e-9:
+        return False
+    r = ratio if abs(ratio) >= 1 else 1 / ratio
+    return abs(r - round(r)) <= 1e-6 * max(1.0, abs(r))
 
 
 def interval_equal(a: str, b: str, precision: float = PRECISION) -> bool:
@@ -237,62 +180,92 @@ def register(code: str, judge: Callable[..., bool]) -> None:
 def equal(a: str, b: str, precision: float = PRECISION, nested: bool = False) -> bool:
     if a == b or text_equal(a, b):
         return True
-    if max(len(a), len(b)) > LONGEST:
-        return False
     for code, f in JUDGES.items():
         if nested and code in ("OL", "UOL"):
             continue
         try:
             if f(a, b, precision=precision):
                 return True
-        except (Unreadable, ValueError, ZeroDivisionError, OverflowError, RecursionError, IndexError, TypeError):
+        except FAILURES:
             continue
     return False
 
 
-_EXPLICIT = [re.compile(p, re.I | re.S) for p in (r"answer is(.*)$", r"answer\s?:(.*)$")]
+# What comes before an answer, and the phrases that name one.
+AFTER = ("herefore", "#### ", "# Answer\n\n")
+BEFORE_PHRASE, AFTER_PHRASE = ("is the ans", "is our ans"), ("answer is", "answer:", "answer :")
+_JOINED = re.compile(r"^[\s,\$\.\;\:\-\&\\]*$")
 
 
 def extract(text: str) -> str:
-    """The answer that a text gives: its last boxes, else what follows the usual phrases, else its last formula or number."""
-    t = text.rsplit("herefore", 1)[-1].rsplit("#### ", 1)[-1]
+    """The answer that a text gives: its last boxes, else what the usual phrases name, else its last formula or number."""
+    t = text.strip()
+    for x in AFTER:
+        t = t.rsplit(x, 1)[-1].strip()
     if "oxed{" in t:
         shown = t.rsplit("</think>", 1)[-1]
-        spans = [x for x in scan_boxes(shown) if x[2].strip()] or [x for x in scan_boxes(t) if x[2].strip()]
+        spans = [x for x in scan_boxes(shown) if x[2].strip()]
+        src = shown if spans else t
+        spans = spans or [x for x in scan_boxes(t) if x[2].strip()]
         k = len(spans) - 1
-        src = shown if scan_boxes(shown) else t
-        while k > 0 and re.match(r"^[\s,\$\.\;\:\-\&\\]*$", src[spans[k - 1][1] : spans[k][0]]):
+        while k > 0 and _JOINED.match(src[spans[k - 1][1] : spans[k][0]]):
             k -= 1
         return ", ".join(x.strip() for _, _, x in spans[max(0, k) :])
-    for p in _EXPLICIT:
-        if m := p.search(t):
-            return clean(m[1]).strip("$")
+    for x in BEFORE_PHRASE:
+        if x in t:
+            return re.split(r"[,.!]", t.split(x)[-2].strip())[-1].strip()
+    for x in AFTER_PHRASE:
+        if x in t:
+            found = clean(t.split(x)[-1])
+            return found[1:-1] if len(found) > 1 and found[0] == found[-1] == "$" else found
     if m := re.findall(r"(?:\$|\\\(|\\\[)([^\$]+?)(?:\$|\\\)|\\\])", t, re.S):
         return m[-1]
     m = re.findall(r"-?\d*\.?\d+", t.replace(",", ""))
     return m[-1] if m else ""
 
 
-def judge(pred: str | None, gold: list[str] | None, kinds: list[str] | None = None, precision: float = PRECISION) -> bool:
-    """Whether a text answers a question of one or more slots. Without a box nothing is right."""
+def judge(pred: str | None, gold: list[str] | None, kinds: list[str] | None = None, precision: float | list[float] = PRECISION) -> bool:
+    """Whether a text answers a question of one or more slots, of given kinds or of any; precision: one, or one for each slot. Without a box nothing is right."""
     if not pred or not gold or "\\boxed" not in pred or any(g is None for g in gold):
         return False
     found = extract(pred)
     if not found:
         return False
-    a, b = [normalize(x) for x in split_top(found)], [normalize(x) for x in gold]
-    if len(b) == 1 and len(a) > 1:
-        b = [normalize(x) for x in split_top(gold[0])]
+    parts = split_top(found)
+    gold = [round_brackets(g) for g in gold]
+    if len(gold) == 1 and len(parts) > 1 and kinds is None:
+        gold = split_top(gold[0])
+    exact = precision if isinstance(precision, list) else [precision] * len(gold)
+    if kinds is None:
+        return len(parts) == len(gold) and all(equal(normalize(x), normalize(y), p) for x, y, p in zip(parts, gold, exact))
+    keep = lambda right: bool(symbols_of(right))
+    a, b = ([normal_of_kind(x, k, keep) for x, k in zip(xs, kinds)] for xs in (parts, gold))  # more predictions than kinds are not looked at
     if len(a) != len(b):
         return False
-    if kinds is None:
-        return all(equal(x, y, precision) for x, y in zip(a, b))
     try:
-        return all(JUDGES[k](x, y, precision=precision) for x, y, k in zip(a, b, kinds))
-    except (Unreadable, ValueError, ZeroDivisionError, OverflowError, RecursionError, IndexError, TypeError, KeyError):
+        return all(JUDGES[k](x, y, precision=p) for x, y, k, p in zip(a, b, kinds, exact))
+    except FAILURES:
         return False
 
 
+def verdicts(code: str):
+    """The judge of one kind as a column function of two texts; null where either is."""
+
+    @F.pandas_udf(T.BooleanType())
+    def of_kind(pred: pd.Series, gold: pd.Series) -> pd.Series:
+        def one(a, b):
+            if a is None or b is None:
+                return None
+            try:
+                return JUDGES[code](a, b)
+            except FAILURES:
+                return False
+
+        return pd.Series([one(a, b) for a, b in zip(pred, gold)], dtype=object)
+
+    return of_kind
+
+
 @F.pandas_udf(T.BooleanType())
 def judge_udf(pred: pd.Series, gold: pd.Series) -> pd.Series:
     return pd.Series([judge(p, None if g is None else list(g)) for p, g in zip(pred, gold)])
