@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,8 +13,10 @@ from marginalia.functions import letters as L
 from marginalia.functions.boxed import scan_boxes
 from marginalia.functions.text import let, strip
 from marginalia.functions.think import visible_answer
+from marginalia.judge.methods import option_match
+from marginalia.session import ship
 
-BOX, PHRASE, NO_TIER = "boxed_high", "answer_phrase_medium", "none"
+BOX, PHRASE, OPTION, NO_TIER = "boxed_high", "answer_phrase_medium", "option_match_medium", "none"
 
 
 def best_guess(primary: Column, before: Column, final: Column, valid: Column) -> Column:
@@ -48,6 +50,17 @@ def best_guess(primary: Column, before: Column, final: Column, valid: Column) ->
     return F.coalesce(*first, *rest, F.struct(F.lit("").alias("letter"), F.lit("mcq_abstain_no_signal").alias("path"), F.lit(NO_TIER).alias("tier")))
 
 
+def guessed(df: DataFrame, primary: str, before: str, final: str, valid: str, options: str, name: str = "guess") -> DataFrame:
+    """Adds the first signal found, with the last resort: the first option whose text equals, as the judge sees it, the answer that primary and final text together give. Only rows without any other signal meet Python."""
+    ship(df.sparkSession)
+    x = df.withColumn(name, best_guess(F.col(primary), F.col(before), F.col(final), F.col(valid)))
+    open_ = (F.col(f"{name}.letter") == "") & ~L.has_training_echo(F.col(primary))
+    y = x.withColumn("__option", option_match(F.when(open_, F.concat(primary, F.lit("\n\n"), final)), F.when(open_, F.col(options))))
+    found = F.coalesce(F.col("__option"), F.lit("")) != ""
+    matched = F.struct(F.col("__option").alias("letter"), F.lit("mcq_option_match_judger").alias("path"), F.lit(OPTION).alias("tier"))
+    return y.withColumn(name, F.when(found, matched).otherwise(F.col(name))).drop("__option")
+
+
 # Tokens that must precede a box that ends a text, the cue of a final answer and how far before the box it may stand.
 LEAST_TOKENS, CUE_CHARS = 128, 600
 CUE = re.compile(r"final\s+answer|therefore|thus|hence|the\s+answer\s+is|correct\s+(?:answer|option|choice)", re.I)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from marginalia.functions.boxed import extract_boxed
 from marginalia.functions.letters import labels, simple_letter
 from marginalia.functions.text import strip
-from marginalia.judge.methods import FALSE, TRUE, WEEKDAYS, option_match
+from marginalia.judge.methods import option_match, verdicts
+from marginalia.judge.normal import FALSE, PLUS_MINUS, TRUE, WEEKDAYS
 from marginalia.judge.plan import judged
 from marginalia.operators.curate import answer_to_letter
 from marginalia.plans import duck
@@ -31,34 +32,40 @@ def q_judge_exact(spark, d):
     return answered(spark, d).select("id", (F.lower("box") == F.lower("answer")).alias("ok"))
 
 
+def _by_kind(spark, d, code, rows="true"):
+    """The judge of a kind over boxes and answers."""
+    ship(spark)
+    return answered(spark, d).where(rows).select("id", verdicts(code)("box", "answer").alias("ok"))
+
+
+_NUMBER = r"^-?[0-9]+(\.[0-9]+)?$"
+
+
 def q_judge_nv(spark, d):
-    """Numbers in plain notation, equal up to a relative error; a gold value of zero never is."""
-    p, g = F.col("box").try_cast("double"), F.round(F.col("answer").try_cast("double"), 6)
-    plain = r"^-?[0-9]+(\.[0-9]+)?$"
-    ok = F.when(F.col("box").rlike(plain) & F.col("answer").rlike(plain), F.coalesce(F.abs(F.try_divide(p - g, g)) <= 1.01e-8, F.lit(False)))
-    return answered(spark, d).select("id", ok.alias("ok"))
+    """Numbers in plain notation."""
+    return _by_kind(spark, d, "NV", F.col("box").rlike(_NUMBER) & F.col("answer").rlike(_NUMBER))
 
 
 def q_judge_mcm(spark, d):
     """Letters chosen together, as multisets."""
-    bag = lambda c: F.array_join(F.array_sort(F.regexp_extract_all(F.upper(c), F.lit("([A-Z])"), F.lit(1))), "")
-    return answered(spark, d).where("mcq").select("id", (bag(F.col("box")) == bag(F.col("answer"))).alias("ok"))
+    return _by_kind(spark, d, "MCM", F.col("mcq"))
 
 
 def q_judge_mcs(spark, d):
     """One letter, perhaps before a colon."""
-    b = F.regexp_replace("box", r"^\[+|\]+$", "")
-    lead = F.regexp_extract("box", "^([A-Z]):", 1)
-    return answered(spark, d).where("mcq").select("id", ((F.lower(b) == F.lower("answer")) | ((lead != "") & (lead == F.col("answer")))).alias("ok"))
+    return _by_kind(spark, d, "MCS", F.col("mcq"))
 
 
 def _truth(c):
     w = strip(F.lower(c))
-    return F.when(w.isin(*sorted(TRUE | {"1"})), "True").when(w.isin(*sorted(FALSE | {"0"})), "False")
+    return F.when(w.isin(*sorted(TRUE)), "True").when(w.isin(*sorted(FALSE)), "False")
 
 
 def q_judge_tf(spark, d):
-    return answered(spark, d).select("id", _truth("box").alias("pred"), _truth("answer").alias("gold"), F.coalesce(_truth("box") == _truth("answer"), F.lit(False)).alias("ok"))
+    """Truths in words, judged once both are True or False."""
+    ship(spark)
+    x = answered(spark, d).select("id", _truth("box").alias("pred"), _truth("answer").alias("gold"))
+    return x.withColumn("ok", verdicts("TF")(F.coalesce("pred", F.lit("")), F.coalesce("gold", F.lit(""))))
 
 
 def q_weekdays(spark, d):
@@ -77,7 +84,7 @@ def q_clean_answer(spark, d):
 def q_plus_minus(spark, d):
     """a ± b as both of its values, over formulas made from the answers."""
     p = F.concat(F.col("answer"), F.lit("\\pm"), F.col("id").cast("string"))
-    return table(spark, d, "public_questions").where("answer is not null").select("id", F.regexp_replace(p, r"(?s)^(.*?)\\pm(.+)$", "$1-$2,$1+$2").alias("text"))
+    return table(spark, d, "public_questions").where("answer is not null").select("id", F.regexp_replace(p, PLUS_MINUS.pattern, "$1-$2,$1+$2").alias("text"))
 
 
 def q_score_mcq(spark, d):
@@ -108,20 +115,19 @@ def q_map_answer(spark, d):
     return x.select("id", m["letter"].alias("letter"), m["reason"].alias("reason"))
 
 
-_TRUE, _FALSE = (", ".join(lit(w) for w in sorted(s)) for s in (TRUE | {"1"}, FALSE | {"0"}))
+_TRUE, _FALSE = (", ".join(lit(w) for w in sorted(s)) for s in (TRUE, FALSE))
 _T = lambda c: f"CASE WHEN {duck.strip(f'lower({c})')} IN ({_TRUE}) THEN 'True' WHEN {duck.strip(f'lower({c})')} IN ({_FALSE}) THEN 'False' END"
-_BAG = lambda c: f"array_to_string(list_sort(regexp_extract_all(upper({c}), '[A-Z]')), '')"
 _NUM = "'^-?[0-9]+(\\.[0-9]+)?$'"
 _LABELS = duck.labels("options")
 _COMPACT = f"upper({duck.strip('answer', '()' + chr(92) + '[' + chr(92) + ']{}')})"
 SQL = {
     "q_judge_exact": f"SELECT id, lower(box) = lower(answer) AS ok FROM {_ANSWERED}",
-    "q_judge_nv": f"SELECT id, CASE WHEN regexp_matches(box, {_NUM}) AND regexp_matches(answer, {_NUM}) THEN coalesce(abs((try_cast(box AS DOUBLE) - round(try_cast(answer AS DOUBLE), 6)) / nullif(round(try_cast(answer AS DOUBLE), 6), 0)) <= 1.01e-8, false) END AS ok FROM {_ANSWERED}",
-    "q_judge_mcm": f"SELECT id, {_BAG('box')} = {_BAG('answer')} AS ok FROM {_ANSWERED} WHERE mcq",
-    "q_judge_mcs": f"SELECT id, lower(regexp_replace(box, '^\\[+|\\]+$', '', 'g')) = lower(answer) OR (regexp_extract(box, '^([A-Z]):', 1) <> '' AND regexp_extract(box, '^([A-Z]):', 1) = answer) AS ok FROM {_ANSWERED} WHERE mcq",
+    "q_judge_nv": f"WITH x AS (SELECT id, box, answer, try_cast(box AS DOUBLE) AS p, try_cast(answer AS DOUBLE) AS g FROM {_ANSWERED} WHERE regexp_matches(box, {_NUM}) AND regexp_matches(answer, {_NUM})) SELECT id, box = answer OR p = g OR coalesce(abs((p - round(g, 6)) / nullif(round(g, 6), 0)) <= 1.01e-8, false) OR coalesce(abs((p - g) / nullif(g, 0)) <= 1.01e-8, false) AS ok FROM x",
+    "q_judge_mcm": f"SELECT id, answer <> '' AND array_to_string(list_sort(regexp_extract_all(box, '[A-Z]')), '') = array_to_string(list_sort(string_split(upper(answer), '')), '') AS ok FROM {_ANSWERED} WHERE mcq",
+    "q_judge_mcs": f"WITH x AS (SELECT id, box, answer, CASE WHEN box LIKE '[%' AND box LIKE '%]' THEN trim(box, '[]') ELSE box END AS b FROM {_ANSWERED} WHERE mcq) SELECT id, lower(box) = lower(answer) OR lower(b) = lower(answer) OR (regexp_extract(b, '^([A-Z]):', 1) <> '' AND regexp_extract(b, '^([A-Z]):', 1) = answer) AS ok FROM x",
     "q_judge_tf": f"SELECT id, {_T('box')} AS pred, {_T('answer')} AS gold, coalesce({_T('box')} = {_T('answer')}, false) AS ok FROM {_ANSWERED}",
     "q_weekdays": f"WITH m AS (SELECT unnest([{', '.join(lit(k) for k in sorted(WEEKDAYS))}]) AS word, unnest([{', '.join(lit(WEEKDAYS[k]) for k in sorted(WEEKDAYS))}]) AS weekday), w AS (SELECT id, unnest(regexp_extract_all(lower(question), '[a-z]+')) AS word FROM {QUESTIONS}) SELECT weekday, count(*) AS n_words, count(DISTINCT id) AS n_questions FROM w JOIN m USING (word) GROUP BY weekday",
-    "q_plus_minus": "SELECT id, regexp_replace(answer || '\\pm' || id, '(?s)^(.*?)\\\\pm(.+)$', '\\1-\\2,\\1+\\2') AS text FROM public_questions WHERE answer IS NOT NULL",
+    "q_plus_minus": f"SELECT id, regexp_replace(answer || '\\pm' || id, {lit(PLUS_MINUS.pattern)}, '\\1-\\2,\\1+\\2', 'g') AS text FROM public_questions WHERE answer IS NOT NULL",
     "q_score_mcq": f"SELECT id, coalesce(nullif(upper(regexp_extract(response, '\\\\boxed\\{{([A-Za-z])\\}}', 1)), ''), (regexp_extract_all(upper(response), '\\b([A-Z])\\b', 1))[-1], '') = upper({duck.strip('answer')}) AS ok FROM {_ANSWERED} WHERE mcq AND NOT regexp_matches(response, '[^\\x00-\\x7f]')",
     "q_map_answer": (
         f"WITH x AS (SELECT id, answer, options, {_LABELS} AS valid, {duck.strip('answer')} AS t, {_COMPACT} AS c FROM public_questions WHERE len(options) > 0), y AS (SELECT *, {duck.valid_letter('t', 'valid')} AS l, list_filter(range(len(options)), lambda i: lower({duck.strip('options[i + 1]')}) = lower(t)) AS hits FROM x) "

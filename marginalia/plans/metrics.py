@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import free, letters, quality
-from marginalia.functions.boxed import extract_all_boxed, extract_boxed_inner
+from marginalia.functions.boxed import extract_all_boxed, extract_boxed, extract_boxed_inner
 from marginalia.functions.text import strip
+from marginalia.judge.plan import judged
 from marginalia.plans import duck
 from marginalia.plans.duck import LAST, QUESTIONS, lit
 from marginalia.plans.judging import _ANSWERED, answered, with_verdict
@@ -19,6 +22,11 @@ TOP_PATHS, TOP_RECOVERY, TOP_REASONS = 12, 8, 5
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
+    """Answered questions with the judge's verdict."""
+    return with_verdict(answered(spark, d))
+
+
+def exact(spark: SparkSession, d: str) -> DataFrame:
     """Answered questions with an exact verdict: the last box against the answer, case aside."""
     return answered(spark, d).withColumn("ok", F.lower("box") == F.lower("answer"))
 
@@ -27,10 +35,20 @@ def _rate(n, of):
     return F.round(F.coalesce(F.try_divide(n, of) * 100, F.lit(0.0)), 6)
 
 
+def accuracy(x: DataFrame) -> DataFrame:
+    """Per kind and over all, in one pass. x: mcq, ok."""
+    y = x.groupingSets([["mcq"], []], "mcq").agg(F.count("*").alias("n_total"), F.count_if("ok").alias("n_correct"))
+    return y.select(F.when(F.col("mcq").isNull(), "overall").when(F.col("mcq"), "mcq").otherwise("free").alias("kind"), "n_total", "n_correct", _rate(F.col("n_correct"), F.col("n_total")).alias("accuracy"))
+
+
 def q_accuracy(spark, d):
-    """Per kind and over all, in one pass."""
-    x = scored(spark, d).groupingSets([["mcq"], []], "mcq").agg(F.count("*").alias("n_total"), F.count_if("ok").alias("n_correct"))
-    return x.select(F.when(F.col("mcq").isNull(), "overall").when(F.col("mcq"), "mcq").otherwise("free").alias("kind"), "n_total", "n_correct", _rate(F.col("n_correct"), F.col("n_total")).alias("accuracy"))
+    """Judged accuracy."""
+    return accuracy(scored(spark, d).select("mcq", "ok"))
+
+
+def q_exact_accuracy(spark, d):
+    """Accuracy by exact texts."""
+    return accuracy(exact(spark, d))
 
 
 def _report_columns(valid):
@@ -43,9 +61,14 @@ def _report_columns(valid):
     yes = lambda c: F.coalesce(m[c], F.lit(False))
     signals = quality.reasoning_signals(F.when(raw != "", raw).otherwise(F.col("response")))
     mcq = F.col("mcq")
+    diag = quality.diagnostics(raw, F.col("response"), mcq, valid, m["generation_hit_max"])
+    low = yes("verify_triggered") & ~F.coalesce(m["verify_reason"].contains("no_primary_letter"), F.lit(False))
+    one = extract_boxed_inner(F.col("response"))
+    one_valid = (F.size(one) == 1) & (F.coalesce(letters.letter_of_inner(F.try_element_at(one, F.lit(1)), valid), F.lit("")) != "")
     flags = {
         "total": F.lit(True),
-        "correct": F.col("ok"),
+        "mcq_total": mcq,
+        "free_total": ~mcq,
         "malformed_missing_box": F.size(b) == 0,
         "malformed_multiple_box": F.size(b) > 1,
         "malformed_invalid_mcq_letter": mcq & (F.size(b) > 0) & ~letter,
@@ -55,6 +78,10 @@ def _report_columns(valid):
         "mcq_raw_strict_valid": mcq & strict,
         "mcq_recovered_valid": mcq & letter,
         "mcq_empty_boxed": mcq & F.exists(b, lambda x: x == ""),
+        "mcq_invalid_boxed": mcq & (F.size(b) > 0) & ~one_valid,
+        "mcq_repetition_loop": mcq & ((diag["repeats"] >= 2) | (diag["phrases"] >= 2)),
+        "mcq_raw_boxed_gt1": mcq & (F.coalesce(m["boxed_count_in_raw"], F.lit(0)) > 1),
+        "mcq_verify_low_confidence": mcq & low,
         "mcq_generation_hit_max": mcq & yes("generation_hit_max"),
         "mcq_finalizer_used": mcq & yes("finalizer_used"),
         "mcq_post_truncated": mcq & yes("raw_was_post_truncated"),
@@ -71,12 +98,21 @@ def _report_columns(valid):
 
 def q_metric_report(spark, d):
     """All counters in one aggregation, then one row per metric."""
-    x = scored(spark, d).withColumn("valid", letters.labels(F.col("options")))
+    x = answered(spark, d).withColumn("valid", letters.labels(F.col("options")))
     flags = _report_columns(F.col("valid"))
     wide = x.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in flags.items()])
     return wide.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("n")) for k in flags])).alias("m")).select("m.metric", "m.n")
 
 
+def q_verify_averages(spark, d):
+    """Averages of tokens and of verification scores over judged multiple-choice lines, with their sums and counts."""
+    m = F.col("meta")
+    tokens, score = F.coalesce(m["n_tokens"], F.lit(0)), F.when(m["verify_triggered"], F.coalesce(m["verify_score"], F.lit(0)))
+    x = answered(spark, d).where("mcq").agg(F.count("*").alias("n_lines"), F.coalesce(F.sum(tokens), F.lit(0)).alias("sum_tokens"), F.count(score).alias("n_verified"), F.coalesce(F.sum(score), F.lit(0)).alias("sum_score"))
+    mean = lambda a, n: F.round(F.coalesce(F.try_divide(F.col(a), F.col(n)), F.lit(0.0)), 6)
+    return x.select("*", mean("sum_tokens", "n_lines").alias("avg_tokens"), mean("sum_score", "n_verified").alias("avg_score"))
+
+
 def _top(df, column, k):
     """The k most frequent values; of equal counts, the one seen first."""
     return df.where(F.coalesce(F.col(column), F.lit("")) != "").groupBy(column).agg(F.count("*").alias("n_lines"), F.min("line_no").alias("first_line")).orderBy(F.desc("n_lines"), "first_line").limit(k)
@@ -90,9 +126,18 @@ def q_recovery_paths(spark, d):
     return _top(outputs(spark, d).select("line_no", F.col("meta.raw_letter_recovery_path").alias("path")), "path", TOP_RECOVERY)
 
 
+def path_accuracy(x: DataFrame) -> DataFrame:
+    y = x.where("mcq").groupBy(F.coalesce(F.nullif("meta.extractor_path", F.lit("")), F.lit("unknown")).alias("path"))
+    return y.agg(F.count("*").alias("n_total"), F.count_if("ok").alias("n_correct")).withColumn("accuracy", _rate(F.col("n_correct"), F.col("n_total")))
+
+
 def q_path_accuracy(spark, d):
-    x = scored(spark, d).where("mcq").groupBy(F.coalesce(F.nullif("meta.extractor_path", F.lit("")), F.lit("unknown")).alias("path"))
-    return x.agg(F.count("*").alias("n_total"), F.count_if("ok").alias("n_correct")).withColumn("accuracy", _rate(F.col("n_correct"), F.col("n_total")))
+    """Judged accuracy per extractor path."""
+    return path_accuracy(scored(spark, d))
+
+
+def q_exact_path_accuracy(spark, d):
+    return path_accuracy(exact(spark, d))
 
 
 def q_token_stats(spark, d):
@@ -139,18 +184,34 @@ q_deploy_gate = _gate(False)
 q_deploy_gate_strict = _gate(True)
 
 
-def q_truth_winner(spark, d):
-    """Which of two runs is right, by the gold answer: four outcomes."""
-    q = table(spark, d, "public_questions").where("answer is not null").select("id", "answer")
-    o = outputs(spark, d).where("id is not null")
-    ok = lambda stem, p: o.where(F.col("run_stem") == stem).groupBy("id").agg(F.max_by(F.coalesce("response", F.lit("")), "line_no").alias(p))
-    x = q.join(ok("public_full_seed0", "a"), "id").join(ok("public_lora_seed7", "b"), "id")
-    from marginalia.functions.boxed import extract_boxed
+def exact_verdict(df: DataFrame, pred: str, gold: str, name: str) -> DataFrame:
+    return df.withColumn(name, F.lower(extract_boxed(F.col(pred))) == F.lower(F.get(F.col(gold), F.lit(0))))
 
-    a, b = (F.lower(extract_boxed(F.col(c))) == F.lower("answer") for c in ("a", "b"))
+
+def truth_winner(pairs: DataFrame, judge: Callable[[DataFrame, str, str, str], DataFrame] = judged) -> DataFrame:
+    """pairs: id, gold (array), a, b. Which of two responses is right by the judge given: four outcomes."""
+    x = judge(judge(pairs, "a", "gold", "ok_a"), "b", "gold", "ok_b")
+    a, b = F.col("ok_a"), F.col("ok_b")
     return x.select("id", F.when(a & b, "tie_correct").when(a, "base").when(b, "lora").otherwise("tie_wrong").alias("truth_winner"))
 
 
+def _two_runs(spark, d):
+    q = table(spark, d, "public_questions").where("answer is not null").select("id", F.array("answer").alias("gold"))
+    o = outputs(spark, d).where("id is not null")
+    last = lambda stem, p: o.where(F.col("run_stem") == stem).groupBy("id").agg(F.max_by(F.coalesce("response", F.lit("")), "line_no").alias(p))
+    return q.join(last("public_full_seed0", "a"), "id").join(last("public_lora_seed7", "b"), "id")
+
+
+def q_truth_winner(spark, d):
+    """Which of two runs is right, judged against the gold answer."""
+    return truth_winner(_two_runs(spark, d))
+
+
+def q_exact_winner(spark, d):
+    """The same with exact texts as the judge."""
+    return truth_winner(_two_runs(spark, d), exact_verdict)
+
+
 def q_recanon_delta(spark, d):
     """Free answers judged as stored and as read again from the raw text: repairs and regressions."""
     x = answered(spark, d).where("not mcq").join(table(spark, d, "public_questions").select("id", "question"), "id")
@@ -183,12 +244,17 @@ def _signal(e: str) -> dict[str, str]:
     return {"steps": f"({filled} AND {duck.count(e, quality.STEP)} >= 2)", "math": f"({filled} AND ({m} >= 2 OR {n} >= 3))", "surface_only": f"({filled} AND coalesce(regexp_matches({e}, {lit(quality.SURFACE)}), false) AND {m} < 2 AND {n} < 3)"}
 
 
+_HEAD = f"regexp_extract(r, {lit('(?s)^(.*?' + duck.ONE_BOX + ')')}, 1)"
+
+
 def _report_sql() -> str:
     s = _signal("shown")
     flags = {
-        "total": "true", "correct": "ok", "malformed_missing_box": "len(b) = 0", "malformed_multiple_box": "len(b) > 1", "malformed_invalid_mcq_letter": "mcq AND len(b) > 0 AND NOT l", "format_ok": "len(b) = 1 AND (NOT mcq OR l)",
+        "total": "true", "mcq_total": "mcq", "free_total": "NOT mcq", "malformed_missing_box": "len(b) = 0", "malformed_multiple_box": "len(b) > 1", "malformed_invalid_mcq_letter": "mcq AND len(b) > 0 AND NOT l", "format_ok": "len(b) = 1 AND (NOT mcq OR l)",
         "raw_multi_boxed": f"coalesce(meta.boxed_count_in_raw, len({duck.inners('coalesce(raw, ' + lit('') + ')')})) > 1", "meta_malformed": _fl("malformed_output"),
         "mcq_raw_strict_valid": f"mcq AND len({duck.inners('r')}) = 1 AND len({duck.box_letters('r', 'valid')}) = 1", "mcq_recovered_valid": "mcq AND l", "mcq_empty_boxed": "mcq AND list_contains(b, '')",
+        "mcq_invalid_boxed": f"mcq AND len(b) > 0 AND NOT (len({duck.inners('response')}) = 1 AND len({duck.box_letters('response', 'valid')}) = 1)", "mcq_repetition_loop": f"mcq AND (len(list_filter(ra, lambda x: x <> '')) - len(list_distinct(list_filter(ra, lambda x: x <> ''))) >= 2 OR CASE WHEN len(ra) > 0 THEN {duck.count(f'substring(r, length({_HEAD}) + 1)', quality.REPEAT)} ELSE 0 END >= 2)",
+        "mcq_raw_boxed_gt1": "mcq AND coalesce(meta.boxed_count_in_raw, 0) > 1", "mcq_verify_low_confidence": f"mcq AND {_fl('verify_triggered')} AND NOT coalesce(contains(meta.verify_reason, 'no_primary_letter'), false)",
         "mcq_generation_hit_max": f"mcq AND {_fl('generation_hit_max')}", "mcq_finalizer_used": f"mcq AND {_fl('finalizer_used')}", "mcq_post_truncated": f"mcq AND {_fl('raw_was_post_truncated')}", "mcq_training_echo": f"mcq AND {_fl('training_echo_detected')}",
         "mcq_letter_recovered": f"mcq AND {_fl('raw_letter_recovered')}", "mcq_guessed": f"mcq AND {_fl('guessed_letter_used')}", "mcq_verify_triggered": f"mcq AND {_fl('verify_triggered')}",
         "mcq_verify_no_primary": f"mcq AND {_fl('verify_triggered')} AND coalesce(contains(meta.verify_reason, 'no_primary_letter'), false)",
@@ -196,7 +262,7 @@ def _report_sql() -> str:
     for k in ("steps", "math", "surface_only"):
         flags[f"mcq_{k}"], flags[f"free_{k}"] = f"mcq AND {s[k]}", f"NOT mcq AND {s[k]}"
     cols = ", ".join(f"count(*) FILTER (coalesce({c}, false)) AS {k}" for k, c in flags.items())
-    return f"WITH a AS (SELECT *, {_VALID} AS valid, {_RAW} AS r, lower(box) = lower(answer) AS ok, {_B} AS b FROM {_ANSWERED}), x AS (SELECT *, {_LET} AS l, CASE WHEN r <> '' THEN r ELSE response END AS shown FROM a), w AS (SELECT {cols} FROM x) SELECT metric, n FROM w UNPIVOT (n FOR metric IN ({', '.join(flags)}))"
+    return f"WITH a AS (SELECT *, {_VALID} AS valid, {_RAW} AS r, {_B} AS b FROM {_ANSWERED}), ar AS (SELECT *, {duck.boxes("r")} AS ra FROM a), x AS (SELECT *, {_LET} AS l, CASE WHEN r <> '' THEN r ELSE response END AS shown FROM ar), w AS (SELECT {cols} FROM x) SELECT metric, n FROM w UNPIVOT (n FOR metric IN ({', '.join(flags)}))"
 
 
 _RATE = "round(coalesce(n_correct / nullif({}, 0) * 100, 0), 6)::DOUBLE"
@@ -233,17 +299,18 @@ def _winner(stem: str) -> str:
 
 
 SQL = {
-    "q_accuracy": f"WITH x AS (SELECT mcq, count(*) AS n_total, count(*) FILTER (lower(box) = lower(answer)) AS n_correct FROM {_ANSWERED} GROUP BY GROUPING SETS ((mcq), ())) SELECT CASE WHEN mcq IS NULL THEN 'overall' WHEN mcq THEN 'mcq' ELSE 'free' END AS kind, n_total, n_correct, {_RATE.format('n_total')} AS accuracy FROM x",
+    "q_exact_accuracy": f"WITH x AS (SELECT mcq, count(*) AS n_total, count(*) FILTER (lower(box) = lower(answer)) AS n_correct FROM {_ANSWERED} GROUP BY GROUPING SETS ((mcq), ())) SELECT CASE WHEN mcq IS NULL THEN 'overall' WHEN mcq THEN 'mcq' ELSE 'free' END AS kind, n_total, n_correct, {_RATE.format('n_total')} AS accuracy FROM x",
     "q_metric_report": _report_sql(),
     "q_extractor_paths": _TOP.format("meta.extractor_path", TOP_PATHS),
     "q_recovery_paths": _TOP.format("meta.raw_letter_recovery_path", TOP_RECOVERY),
-    "q_path_accuracy": f"SELECT *, {_RATE.format('n_total')} AS accuracy FROM (SELECT coalesce(nullif(meta.extractor_path, ''), 'unknown') AS path, count(*) AS n_total, count(*) FILTER (lower(box) = lower(answer)) AS n_correct FROM {_ANSWERED} WHERE mcq GROUP BY 1)",
+    "q_exact_path_accuracy": f"SELECT *, {_RATE.format('n_total')} AS accuracy FROM (SELECT coalesce(nullif(meta.extractor_path, ''), 'unknown') AS path, count(*) AS n_total, count(*) FILTER (lower(box) = lower(answer)) AS n_correct FROM {_ANSWERED} WHERE mcq GROUP BY 1)",
+    "q_verify_averages": f"SELECT *, round(coalesce(sum_tokens / nullif(n_lines, 0), 0), 6)::DOUBLE AS avg_tokens, round(coalesce(sum_score / nullif(n_verified, 0), 0), 6)::DOUBLE AS avg_score FROM (SELECT count(*) AS n_lines, coalesce(sum(coalesce(meta.n_tokens, 0)), 0)::BIGINT AS sum_tokens, count(*) FILTER (coalesce(meta.verify_triggered, false)) AS n_verified, coalesce(sum(CASE WHEN meta.verify_triggered THEN coalesce(meta.verify_score, 0) END), 0)::BIGINT AS sum_score FROM {_ANSWERED} WHERE mcq)",
     "q_token_stats": "SELECT is_mcq, count(*) AS n_lines, round(coalesce(avg(coalesce(meta.n_tokens, 0)), 0), 6) AS avg_tokens, round(coalesce(avg(CASE WHEN meta.verify_triggered THEN coalesce(meta.verify_score, 0) END), 0), 6) AS avg_verify_score FROM private_outputs GROUP BY is_mcq",
     "q_reasoning_signals": f"SELECT doc_id, {', '.join(f'{c} AS {k}' for k, c in _DOC.items())} FROM documents",
     "q_diagnostics": f"SELECT line_no, boxes_raw::INT AS boxes_raw, boxes_response::INT AS boxes_response, one_box, letter_valid, has_empty, repeats::INT AS repeats, phrases::INT AS phrases, confidence, reasons = '' AS passes, reasons FROM {_diag_sql()}",
     "q_deploy_gate": _gate_sql(False),
     "q_deploy_gate_strict": _gate_sql(True),
-    "q_truth_winner": f"SELECT q.id, CASE WHEN lower(a.box) = lower(answer) AND lower(b.box) = lower(answer) THEN 'tie_correct' WHEN lower(a.box) = lower(answer) THEN 'base' WHEN lower(b.box) = lower(answer) THEN 'lora' ELSE 'tie_wrong' END AS truth_winner FROM public_questions q JOIN {_winner('public_full_seed0')} a ON q.id = a.id JOIN {_winner('public_lora_seed7')} b ON q.id = b.id WHERE answer IS NOT NULL",
+    "q_exact_winner": f"SELECT q.id, CASE WHEN lower(a.box) = lower(answer) AND lower(b.box) = lower(answer) THEN 'tie_correct' WHEN lower(a.box) = lower(answer) THEN 'base' WHEN lower(b.box) = lower(answer) THEN 'lora' ELSE 'tie_wrong' END AS truth_winner FROM public_questions q JOIN {_winner('public_full_seed0')} a ON q.id = a.id JOIN {_winner('public_lora_seed7')} b ON q.id = b.id WHERE answer IS NOT NULL",
     "q_baseline_accuracy": f"SELECT *, {_RATE.format('n_judged')} AS accuracy FROM (SELECT is_mcq, count(*) AS n_rows, count(correct) AS n_judged, count(*) FILTER (coalesce(correct, false)) AS n_correct FROM (SELECT DISTINCT * FROM baseline_results) GROUP BY is_mcq)",
 }
 QUERIES = {k: f for k, f in globals().items() if k.startswith("q_")}

@@ -105,11 +105,21 @@ def q_primary_pass(spark, d):
     return x.select("line_no", p["letter"].alias("letter"), p["path"].alias("path"))
 
 
-def q_best_guess(spark, d):
-    """The fallback cascade over the response as second text and raw as first one."""
-    x = mcq_lines(spark, d).select("line_no", "valid", *[F.coalesce(c, F.lit("")).alias(n) for c, n in ((F.col("raw"), "primary"), (F.col("meta.raw"), "before"), (F.col("response"), "final"))])
+def _guess_lines(spark, d):
+    texts = ((F.col("raw"), "primary"), (F.col("meta.raw"), "before"), (F.col("response"), "final"))
+    return mcq_lines(spark, d).select("line_no", "id", "valid", *[F.coalesce(c, F.lit("")).alias(n) for c, n in texts])
+
+
+def q_signal_guess(spark, d):
+    """The fallback cascade over the response as second text and raw as first one, without the text of options."""
     g = guess.best_guess(F.col("primary"), F.col("before"), F.col("final"), F.col("valid"))
-    return x.select("line_no", g["letter"].alias("letter"), g["path"].alias("path"), g["tier"].alias("tier"))
+    return _guess_lines(spark, d).select("line_no", g["letter"].alias("letter"), g["path"].alias("path"), g["tier"].alias("tier"))
+
+
+def q_best_guess(spark, d):
+    """The whole fallback cascade: lines without a signal are matched with the text of an option."""
+    lines = _guess_lines(spark, d).join(questions(spark, d).select("id", "options"), "id")
+    return guess.guessed(lines, "primary", "before", "final", "valid", "options").select("line_no", "guess.letter", "guess.path", "guess.tier")
 
 
 def q_risk_score(spark, d):
@@ -328,7 +338,7 @@ def _sql() -> dict[str, str]:
     )
     out["q_option_phrase"] = f"SELECT line_no, {duck.option_phrase('raw', _V)} AS letter FROM {_MCQ_LINES} WHERE raw IS NOT NULL"
     out["q_primary_pass"] = f"SELECT line_no, letter, path FROM {primary_sql()}"
-    out["q_best_guess"] = best_guess_sql()
+    out["q_signal_guess"] = best_guess_sql()
     return out
 
 
