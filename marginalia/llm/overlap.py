@@ -10,11 +10,13 @@ of all shards are merged into the coverage of each evaluation record, and record
 covered enough are compared word by word (an exact check). A hit counts only between
 texts of the same quantities, which that check demands.
 
-Stretches of training texts none of whose passages stand in the evaluation data are
-dropped before the shuffle by a bit set of hashed passages, sized by their number; it
-loses none. Shards that many training stretches reach are split: their evaluation side
-is repeated, their training side is spread. Exact copies are one class: only one text
-of a class is scanned, and membership is joined back at the end.
+Only passages that stand on both sides in texts of the same quantities are sent to
+shards: a bit set of the evaluation side's hashed passages (with their quantities) thins
+the training side, and one of what is left thins the evaluation side. Both are sized by
+the number of passages and lose none. Shards that many training stretches reach are
+split: their evaluation side is repeated, their training side is spread. Exact copies
+are one class: only one text of a class is scanned, and membership is joined back at
+the end.
 
 Defined results: null, blank and wordless questions have no partner; repeated
 questions come out each with its own id; extra columns are not read.
@@ -31,6 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.llm.bitset import collect_bits, size_for
 from marginalia.session import ship, spread
 
 #: Words of a passage: three in texts with quantities (misspellings break longer ones), five in those without.
@@ -43,7 +46,7 @@ SAME, EXTRA = 0.72, 0.45
 WHOLE, REMARK = 0.9, 16
 #: Evaluation passages of one automaton, about, and training passages that one task scans.
 EVAL_SHARD, TRAIN_SHARD = 60_000, 400_000
-#: The bit set has BITS_EACH bits for each evaluation passage, at most 2 to the power of MOST_BITS (32 MB); beyond that it drops less.
+#: A bit set has BITS_EACH bits for each passage, at most 2 to the power of MOST_BITS (32 MB); beyond that it drops less.
 BITS_EACH, MOST_BITS = 16, 28
 
 
@@ -151,24 +154,25 @@ def _weight(word: str) -> tuple[bool, int, int]:
     return word[0].isdigit(), len(word), zlib.crc32(word.encode("utf-8", "surrogatepass"))
 
 
-def _passages(ws: list[str], size: int) -> list[tuple[int, int]]:
-    """For each passage a hash of its words, and the hash of its heaviest word."""
+def _passages(ws: list[str], key: str) -> list[tuple[int, int]]:
+    """For each passage a hash of its words and the text's quantities, and the hash of its heaviest word."""
+    size, salt = _size(key), zlib.crc32(key.encode())
     ranks = [_weight(w) for w in ws]
     out = []
     for i in range(_count(len(ws), size)):
-        window, code = ranks[i : i + size], 0
+        window, code = ranks[i : i + size], salt
         for r in window:
             code = (code * 1_000_003 + r[2]) & 0xFFFFFFFF
         out.append((code, max(window)[2]))
     return out
 
 
-def _stretches(ws: list[str], size: int, shards: int, seen=None) -> list[tuple[int, int, int]]:
+def _stretches(ws: list[str], key: str, shards: int, seen=None) -> list[tuple[int, int, int]]:
     """(shard, first passage, passages) of each run of passages of one shard; passages not in the bit set seen belong to none."""
     out: list[tuple[int, int, int]] = []
     mask = 8 * len(seen) - 1 if seen is not None else 0
     shard, first, end = -1, 0, 0
-    for i, (code, heaviest) in enumerate(_passages(ws, size)):
+    for i, (code, heaviest) in enumerate(_passages(ws, key)):
         if seen is not None and not seen[(code & mask) >> 3] >> (code & 7) & 1:
             continue
         k = heaviest % shards
@@ -183,9 +187,9 @@ def _stretches(ws: list[str], size: int, shards: int, seen=None) -> list[tuple[i
 
 
 def _codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The hashed passages of evaluation texts."""
+    """The hashed passages of texts."""
     for b in batches:
-        codes = {c for t, k in zip(b["folded"], b["key"]) for c, _ in _passages(t.split(), _size(k))}
+        codes = {c for t, k in zip(b["folded"], b["key"]) for c, _ in _passages(t.split(), k)}
         yield pd.DataFrame({"code": pd.array(list(codes), dtype="int64")})
 
 
@@ -195,14 +199,24 @@ def _routed(shards: int, seen):
         for b in batches:
             rows = []
             for h, train, text, key in zip(b["h"], b["train"], b["folded"], b["key"]):
-                ws, size = text.split(), _size(key)
-                rows += [(s, h, train, key, i, n, " ".join(ws[i : i + n - 1 + size])) for s, i, n in _stretches(ws, size, shards, bits if train else None)]
+                ws = text.split()
+                rows += [(s, h, train, key, i, n, " ".join(ws[i : i + n - 1 + _size(key)])) for s, i, n in _stretches(ws, key, shards, bits)]
             if rows:
-                yield pd.DataFrame(rows, columns=["shard", "h", "train", "key", "first", "n", "stretch"])
+                yield pd.DataFrame(rows, columns=["shard", "h", "train", "key", "first", "n", "folded"])
 
     return route
 
 
+_ROUTED = "shard long, h string, train boolean, key string, first int, n int, folded string"
+
+
+def _bits(texts: DataFrame, passages: int):
+    """A bit set of the hashed passages of texts, sent to all tasks."""
+    size = size_for(passages, BITS_EACH, MOST_BITS)
+    words = collect_bits(texts.mapInPandas(_codes, "code long"), F.col("code") % size, size)
+    return texts.sparkSession.sparkContext.broadcast(words.astype("<u8").tobytes())
+
+
 def scan(shard: pd.DataFrame) -> pd.DataFrame:
     """h_train, h_eval, starts: the passages of evaluation texts that stand in training texts of the same quantities, in one shard."""
     import ahocorasick
@@ -212,7 +226,7 @@ def scan(shard: pd.DataFrame) -> pd.DataFrame:
     if len(evals) and len(trains):
         # passage: quantities: (evaluation text, place)
         owners: dict[str, dict[str, list[tuple[str, int]]]] = {}
-        for h, key, first, text in zip(evals["h"], evals["key"], evals["first"], evals["stretch"]):
+        for h, key, first, text in zip(evals["h"], evals["key"], evals["first"], evals["folded"]):
             ws, size = text.split(), _size(key)
             for i in range(_count(len(ws), size)):
                 owners.setdefault(f" {' '.join(ws[i : i + size])} ", {}).setdefault(key, []).append((h, first + i))
@@ -220,7 +234,7 @@ def scan(shard: pd.DataFrame) -> pd.DataFrame:
         for p, o in owners.items():
             auto.add_word(p, o)
         auto.make_automaton()
-        for h, key, text in zip(trains["h"], trains["key"], trains["stretch"]):
+        for h, key, text in zip(trains["h"], trains["key"], trains["folded"]):
             # a passage that stands again in a stretch says nothing new
             for o in {id(o): o for _, o in auto.iter(f" {text} ")}.values():
                 for e, i in o.get(key, ()):
@@ -262,19 +276,17 @@ def class_pairs(folded: DataFrame) -> DataFrame:
     ne, nt = classes.agg(F.coalesce(F.sum(F.when(~F.col("train"), F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("train"), F.col("n"))), F.lit(0))).first()
     if not ne or not nt:
         return spark.createDataFrame([], "h_train string, h_eval string")
-    size = 1 << min(MOST_BITS, max(16, (BITS_EACH * ne).bit_length()))
-    seen = bytearray(size // 8)
-    codes = classes.where("not train").mapInPandas(_codes, "code long").select((F.col("code") % size).alias("bit")).distinct()
-    by_byte = codes.groupBy(F.shiftright("bit", 3).alias("b")).agg(F.expr("bit_or(shiftleft(1, cast(bit % 8 AS int)))").alias("v"))
-    for r in by_byte.toLocalIterator():  # at most 2 ** MOST_BITS / 8 rows
-        seen[r[0]] = r[1] & 255
     shards = max(sc.defaultParallelism, -(-ne // EVAL_SHARD), -(-nt // TRAIN_SHARD))
-    routed = classes.mapInPandas(_routed(shards, sc.broadcast(bytes(seen))), "shard long, h string, train boolean, key string, first int, n int, stretch string").persist()
-    parts = routed.where("train").groupBy("shard").agg(F.ceil(F.sum("n") / TRAIN_SHARD).cast("int").alias("parts"))
+    evals, trains = classes.where("not train"), classes.where("train")
+    t_routed = trains.mapInPandas(_routed(shards, _bits(evals.select("folded", "key"), ne)), _ROUTED).persist()
+    left = t_routed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    e_routed = evals.mapInPandas(_routed(shards, _bits(t_routed.select("folded", "key"), left)), _ROUTED)
+    routed = t_routed.unionByName(e_routed)
+    parts = t_routed.groupBy("shard").agg(F.ceil(F.sum("n") / TRAIN_SHARD).cast("int").alias("parts"))
     # shards without training stretches fall away; the others are split by the training side's size
     own = F.pmod(F.xxhash64("h"), F.col("parts"))
     split = F.when(F.col("train"), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))
-    both = routed.join(parts, "shard").withColumn("part", F.explode(split)).select("shard", "part", "h", "train", "key", "first", "stretch")
+    both = routed.join(parts, "shard").withColumn("part", F.explode(split)).select("shard", "part", "h", "train", "key", "first", "folded")
     hits = both.groupBy("shard", "part").applyInPandas(scan, "h_train string, h_eval string, starts array<int>")
     merged = hits.groupBy("h_train", "h_eval").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     t = classes.where("train").select(F.col("h").alias("h_train"), F.col("folded").alias("t"))

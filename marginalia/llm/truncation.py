@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.endings import BROKEN, body, ends_sentence, has_notice, is_open
+from marginalia.llm.bitset import collect_bits, size_for
 from marginalia.session import ship, spread
 
 #: Lengths of the contexts, each a multiple of the first.
@@ -210,12 +211,8 @@ def scores(texts: DataFrame, marks: DataFrame) -> DataFrame:
     """For each language, column and tail: score, the log-odds of the end against continuation."""
     tails = marks.groupBy("lang", "col", "tail").agg(F.count_distinct("h").alias("n_end"))
     ctx = tails.mapInPandas(_contexts, "lang string, col string, tail string, n_end long, ord int, h long, bit long").persist()
-    size = 1 << min(MOST_BITS, max(16, (BITS_EACH * ctx.count()).bit_length()))
-    bit = F.col("bit") % size
-    bits = ctx.select(bit.alias("bit")).distinct().groupBy(F.shiftright("bit", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("v"))
-    words = np.zeros(size // 64, dtype=np.uint64)
-    for part in bits.toLocalIterator():  # at most 2 ** MOST_BITS / 64 rows
-        words[part[0]] = np.uint64(part[1] & 0xFFFFFFFFFFFFFFFF)
+    size = size_for(ctx.count(), BITS_EACH, MOST_BITS)
+    words = collect_bits(ctx, F.col("bit") % size, size)
     once = texts.mapInPandas(_distinct, "lang string, col string, h long, s string").dropDuplicates(["lang", "col", "h"]).select("lang", "col", "s")
     go_on = once.mapInPandas(_counter(words), "lang string, col string, ord int, h long, n long").groupBy("lang", "col", "ord", "h").agg(F.sum("n").alias("n_go"))
     ends = ctx.groupBy("lang", "col", "ord", "h").agg(F.sum("n_end").alias("n_all"))

@@ -52,12 +52,12 @@ def test_many_shards_and_splits_lose_nothing(spark, monkeypatch):
 
 def test_stretches_cover_every_passage_once():
     rng = random.Random(3)
-    for size in (overlap.PASSAGE, overlap.PLAIN):
+    for key in ("17", ""):
         for n in (1, 2, 3, 5, 9, 60):
             ws = [rng.choice(["a", "bb", "ccc", "17", "230", "dddd"]) for _ in range(n)]
             for shards in (1, 3, 50):
-                at = [i for s, first, k in overlap._stretches(ws, size, shards) for i in range(first, first + k)]
-                assert at == list(range(overlap._count(n, size)))
+                at = [i for s, first, k in overlap._stretches(ws, key, shards) for i in range(first, first + k)]
+                assert at == list(range(overlap._count(n, overlap._size(key))))
     assert overlap.covered_words([0, 1, 4], 3, 6) == 6 and overlap.covered_words([], 3, 6) == 0 and overlap.covered_words([0], 5, 2) == 2
 
 
