@@ -23,19 +23,18 @@ def remaining(questions: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def capped_by_kind(df: DataFrame, kind: str, caps: dict[bool, int | None], seed: int, key: str = "id") -> DataFrame:
-    """At most so many rows of each kind, by hash order; no cap (or none at all) keeps all."""
-    if all(v is None for v in caps.values()):
+    """At most so many rows of each kind, by hash order; a kind without a cap keeps all its rows and is not sorted."""
+    capped = {k: v for k, v in caps.items() if v is not None}
+    if not capped:
         return df
     limit = F.lit(None).cast("int")
-    for k, v in caps.items():
-        if v is not None:
-            limit = F.when(F.col(kind) == k, v).otherwise(limit)
+    for k, v in capped.items():
+        limit = F.when(F.col(kind) == k, v).otherwise(limit)
+    some = F.coalesce(F.col(kind).isin(*capped), F.lit(False))
     rn = F.row_number().over(Window.partitionBy(kind).orderBy(hash_key(seed, key), key))
-    most = max(v for v in caps.values() if v is not None)
-    kept = df.withColumn("__h", hash_key(seed, key)).withColumn("__rn", rn)
-    if all(v is not None for v in caps.values()):
-        kept = kept.where(F.col("__rn") <= most)  # lets the engine cut groups before the shuffle
-    return kept.where(limit.isNull() | (F.col("__rn") <= limit)).drop("__rn", "__h")
+    # the plain bound lets the engine cut groups before the shuffle
+    kept = df.where(some).withColumn("__rn", rn).where(F.col("__rn") <= max(capped.values())).where(F.col("__rn") <= limit).drop("__rn")
+    return kept if all(v is not None for v in caps.values()) else kept.unionByName(df.where(~some))
 
 
 def holdout_size(n: int, fraction: float) -> int:
@@ -56,10 +55,11 @@ def with_holdout(df: DataFrame, fraction: float, seed: int, key: str = "id") ->
 def weighted(df: DataFrame, group: str, weight: Column, seed: int, key: str) -> DataFrame:
     """Rows by the weight of their group: whole parts are copies, the fraction is a sample of the group (halves to the even number). Adds copy, from 1.
 
-    A weight must be positive; 1 changes nothing.
+    A weight must be positive, else the query fails; 1 changes nothing.
     """
     counts = df.groupBy(group).agg(F.count("*").alias("__n"))
     rn = numbered(df.withColumn("__h", hash_key(seed, key)), "__h", [key], by=[group], name="__rn")
+    weight = F.when(weight > 0, weight).otherwise(F.raise_error(F.lit("weights must be positive")).cast("double"))
     whole = F.floor(weight)
     extra = F.bround(F.col("__n") * (weight - whole))
     x = rn.join(counts, rn[group].eqNullSafe(counts[group])).drop(counts[group])

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from marginalia.functions.letters import labels, primary_letter, risk_signal
 from marginalia.functions.text import first_filled, normal_newlines, strip
 from marginalia.operators import selection
-from marginalia.operators.numbering import hash_key, numbered
+from marginalia.operators.numbering import RANGE_ROWS, hash_key, numbered, with_cells
 from marginalia.plans import duck
-from marginalia.plans.duck import LAST, QUESTIONS
+from marginalia.plans.duck import LAST, QUESTIONS, lit
 from marginalia.session import table
 
 SEED = 17
@@ -99,10 +99,15 @@ def q_verify_budget(spark, d):
     return selection.verify_budget(x, "id", "letter", "score").select("id", "batch_id", "letter", "score", "forced")
 
 
-def q_sorted_check(spark, d):
-    """Whether the ids of each run stand in order, by its lines."""
-    back = F.lag("id").over(Window.partitionBy("run_stem").orderBy("line_no"))
-    return outputs(spark, d).select("run_stem", (F.coalesce(back, F.col("id")) <= F.col("id")).alias("ok")).groupBy("run_stem").agg(F.count_if(~F.col("ok")).alias("n_out_of_order"), F.every(F.coalesce("ok", F.lit(True))).alias("is_sorted"))
+def q_sorted_check(spark, d, rows=RANGE_ROWS):
+    """Whether the ids of each run stand in order, by its lines: within ranges of lines, and between the last and the first id of neighbouring ranges."""
+    x = with_cells(outputs(spark, d).select("run_stem", "line_no", "id"), "line_no", rows)
+    within = Window.partitionBy("run_stem", "__range").orderBy("line_no")
+    behind = lambda back, own: F.count_if(F.coalesce(back, own) > own)
+    cells = x.withColumn("back", F.lag("id").over(within)).groupBy("run_stem", "__range").agg(behind(F.col("back"), F.col("id")).alias("n"), F.min_by("id", "line_no").alias("first"), F.max_by("id", "line_no").alias("last"))
+    edge = F.lag("last").over(Window.partitionBy("run_stem").orderBy("__range"))
+    y = cells.withColumn("back", edge).groupBy("run_stem").agg((F.sum("n") + behind(F.col("back"), F.col("first"))).alias("n_out_of_order"))
+    return y.select("run_stem", "n_out_of_order", (F.col("n_out_of_order") == 0).alias("is_sorted"))
 
 
 def q_type_cap(spark, d):
@@ -153,10 +158,13 @@ def q_id_diff(spark, d):
     return q.join(o, "id", "left_anti").select("id", F.lit("question").alias("side")).unionByName(o.join(q, "id", "left_anti").select("id", F.lit("line").alias("side")))
 
 
+_OR = r"(^|[^a-zA-Z])or([^a-zA-Z]|$)"
+
+
 def q_set_normalise(spark, d):
-    """Answers as sorted sets of their parts (split at commas and at "or")."""
-    parts = F.split(F.regexp_replace("answer", "or", ","), ",", -1)
-    return table(spark, d, "public_questions").where("answer is not null").select("id", F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(parts, lambda x: strip(x)), lambda x: x != ""))), " | ").alias("parts"))
+    """Answers as the different parts of a set, in order (split at commas and at the word "or")."""
+    parts = F.split(F.regexp_replace("answer", _OR, "$1,$2"), ",", -1)
+    return table(spark, d, "public_questions").where("answer is not null").select("id", F.array_join(F.array_distinct(F.filter(F.transform(parts, lambda x: strip(x)), lambda x: x != "")), " | ").alias("parts"))
 
 
 def q_id_stats(spark, d):
@@ -255,7 +263,7 @@ SQL = {
     "q_weighted_mix": f"WITH w AS (SELECT id, coalesce(source, '(none)') AS source, CASE source WHEN 'north-exams' THEN 1.75 WHEN 'riddle-corner' THEN 3.0 WHEN 'quarry-sheets' THEN 0.4 ELSE 1.0 END::DOUBLE AS w FROM public_questions), n AS (SELECT *, floor(w) + CASE WHEN row_number() OVER (PARTITION BY source ORDER BY {_DUCK_HASH}, id) <= round_even(count(*) OVER (PARTITION BY source) * (w - floor(w)), 0) THEN 1 ELSE 0 END AS k FROM w) SELECT id, source, c::INT AS copy FROM (SELECT id, source, unnest(range(1, k::BIGINT + 1)) AS c FROM n)",
     "q_union_sources": f"SELECT origin, coalesce(source, '(none)') AS source, count(*) AS n_loaded, count(answer) AS n_accepted, count(*) - count(answer) AS n_skipped FROM {QUESTIONS} GROUP BY ALL",
     "q_id_diff": f"WITH q AS (SELECT DISTINCT id FROM {QUESTIONS}), o AS (SELECT DISTINCT id FROM private_outputs WHERE id IS NOT NULL) SELECT id, 'question' AS side FROM q WHERE id NOT IN (SELECT id FROM o) UNION ALL SELECT id, 'line' FROM o WHERE id NOT IN (SELECT id FROM q)",
-    "q_set_normalise": f"SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(replace(answer, 'or', ','), ','), lambda x: {duck.strip('x')}), lambda x: x <> ''))), ' | ') AS parts FROM public_questions WHERE answer IS NOT NULL",
+    "q_set_normalise": f"SELECT id, array_to_string(list_filter(parts, lambda x, i: list_position(parts, x) = i), ' | ') AS parts FROM (SELECT id, list_filter(list_transform(string_split(regexp_replace(answer, {lit(_OR)}, '\\1,\\2', 'g'), ','), lambda x: {duck.strip('x')}), lambda x: x <> '') AS parts FROM public_questions WHERE answer IS NOT NULL)",
     "q_id_stats": "SELECT run_stem, min(id) AS min_id, max(id) AS max_id, count(*) AS n_lines, count(DISTINCT id) AS n_ids, count(id) - count(DISTINCT id) AS n_repeats, count(*) FILTER (id IS NULL) AS n_null FROM private_outputs GROUP BY run_stem",
     "q_prefix_limit": "SELECT id, question FROM public_questions ORDER BY id LIMIT 500",
     "q_restore_order": f"SELECT q.id, q.pos, r.line_no FROM (SELECT id, row_number() OVER (ORDER BY id) AS pos FROM {QUESTIONS}) q JOIN {LAST} r ON q.id = r.id",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,12 +11,19 @@ from marginalia.streaming.resume import append_batches, read_stream, shared_fold
 from marginalia.session import table
 
 
+FILES = 4
+
+
 def q_stream_resume(spark: SparkSession, d: str) -> DataFrame:
-    """Events appended by micro-batches, stopped and resumed; the last event of each user wins."""
-    base = shared_folder(spark)
-    stream = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    for _ in range(2):  # the second run finds nothing left to do
-        append_batches(stream, f"{base}/sink", f"{base}/checkpoint").awaitTermination()
+    """Events in several files, appended by micro-batches of a file each; the run breaks off with its second batch written but not committed, and goes on; the last event of each user wins."""
+    base, events = shared_folder(spark), table(spark, d, "events")
+    events.repartition(FILES, "event_id").write.parquet(f"{base}/in")
+    stream = read_stream(spark, f"{base}/in", events.schema)
+    try:
+        append_batches(stream, f"{base}/sink", f"{base}/checkpoint", stop_after=1).awaitTermination()
+    except StreamingQueryException:
+        pass
+    append_batches(stream, f"{base}/sink", f"{base}/checkpoint").awaitTermination()
     done = spark.read.parquet(f"{base}/sink")
     return done.groupBy("user_id").agg(F.count("*").alias("n_events"), F.max_by("event_type", "event_id").alias("last_type"), F.max("event_id").alias("last_event"))
 

@@ -8,16 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marginalia.session import checkpoint_folder
 
-def append_batches(stream: DataFrame, sink: str, checkpoint: str, transform=None, files: int = 1):
+
+class Interrupted(RuntimeError):
+    """A run that was told to stop after a batch."""
+
+
+def append_batches(stream: DataFrame, sink: str, checkpoint: str, transform=None, stop_after: int | None = None):
     """Starts a query that appends each micro-batch to `sink`, with its number; a batch run again replaces itself.
 
     Delivery is at least once per file and exactly once per batch number, as a batch writes its own folder.
+    stop_after: breaks off once that batch is written but not yet committed, as a lost driver would.
     """
 
     def write(batch: DataFrame, n: int) -> None:
         out = transform(batch) if transform else batch
         out.write.mode("overwrite").parquet(f"{sink}/batch={n}")
+        if stop_after is not None and n >= stop_after:
+            raise Interrupted(f"batch {n}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -27,13 +36,8 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files: int
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder in the cluster's shared checkpoint folder; a local one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="marginalia-stream-")
-    return f"{base.rstrip('/')}/marginalia-{uuid.uuid4().hex}"
+    """A fresh folder in the cluster's shared checkpoint folder."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/marginalia-{uuid.uuid4().hex}"
 
 
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:

@@ -60,3 +60,36 @@ def test_hash_key_is_an_md5_prefix(spark):
 
     r = spark.range(1, 2).select(hash_key(17, "id").alias("h")).first().h
     assert r == int(hashlib.md5(b"17:1").hexdigest()[:15], 16)
+
+
+def test_outlying_keys_do_not_fill_one_cell(spark):
+    from marginalia.operators.numbering import with_cells
+
+    df = spark.range(1000).select(F.when(F.col("id") == 7, F.lit(2**62)).otherwise(F.col("id")).alias("k"))
+    cells = with_cells(df, "k", 100).groupBy("__range").count().collect()
+    assert len(cells) >= 9 and max(r["count"] for r in cells) <= 250
+    got = [r.k for r in numbered(df, "k", rows=100).orderBy("rn").collect()]
+    assert got == sorted(got)
+
+
+def test_sorted_check_by_ranges_is_that_of_one_window(spark, tmp_path):
+    import random
+
+    from marginalia.plans.relational import SQL, q_sorted_check
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice([None, i, i + rng.randint(0, 3)]), f"r{i % 3}") for i in range(400)]
+    spark.createDataFrame(rows, "line_no long, id long, run_stem string").write.parquet(str(tmp_path / "private_outputs.parquet"))
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW private_outputs AS SELECT * FROM '{tmp_path}/private_outputs.parquet/*.parquet'")
+    want = sorted(c.execute(SQL["q_sorted_check"]).fetchall())
+    for n in (7, 50, 10_000):
+        assert sorted((r.run_stem, r.n_out_of_order, r.is_sorted) for r in q_sorted_check(spark, str(tmp_path), n).collect()) == want
+
+
+def test_weights_must_be_positive(spark):
+    df = spark.range(3).select("id", F.lit("a").alias("s"))
+    with pytest.raises(Exception, match="positive"):
+        selection.weighted(df, "s", F.lit(0.0), 1, "id").collect()

@@ -67,3 +67,29 @@ def test_stream_resumes(spark, sf, tmp_path):
     resume.append_batches(stream(), str(tmp_path / "sink"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "sink"))
     assert got.count() == got.select("event_id").distinct().count() == ev.count()
+
+
+def test_a_broken_run_goes_on_where_it_stopped(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+
+    from marginalia.streaming.resume import append_batches, read_stream
+
+    df = spark.range(40).selectExpr("id", "id % 7 AS v")
+    df.repartition(4).write.parquet(str(tmp_path / "in"))
+    run = lambda **k: append_batches(read_stream(spark, str(tmp_path / "in"), df.schema), str(tmp_path / "sink"), str(tmp_path / "check"), **k).awaitTermination()
+    with pytest.raises(StreamingQueryException):
+        run(stop_after=1)
+    assert sorted(p.name for p in (tmp_path / "sink").iterdir() if p.is_dir()) == ["batch=0", "batch=1"]
+    before = spark.read.parquet(str(tmp_path / "sink")).count()
+    assert 0 < before < 40
+    run()
+    run()
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "sink")).collect()) == list(range(40))
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from marginalia import session
+
+    fake = type("S", (), {"conf": type("C", (), {"get": staticmethod(lambda k, d=None: d)})(), "sparkContext": type("X", (), {"master": "spark://x"})()})()
+    with pytest.raises(RuntimeError):
+        session.checkpoint_folder(fake)
