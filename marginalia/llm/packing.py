@@ -1,6 +1,7 @@
 """Documents into sequences of fixed capacity: vector best fit.
 
-Sizes are tokens of byte_bpe_50k (a public byte-level BPE; its file is a parameter).
+Sizes are tokens of the public byte-level BPE of 50,257 tokens known as gpt2 (here from
+byte_bpe_50k.tiktoken, whose path on the driver is a parameter).
 Documents fall into groups of about GROUP_DOCS by a hash of their id; a task packs
 one group for one capacity, longest documents first. Every open sequence has three
 residual capacities: tokens, documents, and attention cost (the sum of squared
@@ -44,14 +45,19 @@ _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 
 
 @lru_cache(maxsize=2)
-def encoding(path: str):
+def from_ranks(content: bytes):
+    """The encoding that a file of ranks describes; a worker builds it once."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
     return tiktoken.Encoding("byte_bpe_50k", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def encoding(path: str = TOKENIZER):
+    with open(path, "rb") as f:
+        return from_ranks(f.read())
+
+
 def count_tokens(text: str, path: str = TOKENIZER) -> int:
     return len(encoding(path).encode_ordinary(text))
 
@@ -105,11 +111,16 @@ def pack(sizes: list[tuple[int, int]], capacity: int, docs: int | None = None, a
 def token_counts(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """doc_id, n_tokens of the texts that have any."""
 
+    spark = documents.sparkSession
+    ship(spark)
+    with open(path, "rb") as f:  # on the driver only: the tasks get its content (under 1 MB)
+        ranks = spark.sparkContext.broadcast(f.read())
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        e = from_ranks(ranks.value)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [count_tokens(t, path) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [len(e.encode_ordinary(t)) for t in b["text"]]})
 
-    ship(documents.sparkSession)
     return spread(documents.where("text <> ''").select("doc_id", "text")).mapInPandas(count, "doc_id long, n_tokens long")
 
 
