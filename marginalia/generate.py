@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from marginalia.functions.boxed import scan_boxes
 from marginalia.session import checkpoint, ship
 
 
@@ -18,6 +20,24 @@ class Generator(Protocol):
     def __call__(self, prompts: list[str]) -> list[str]: ...
 
 
+#: Whether a growing text may end here.
+Stop = Callable[[str], bool]
+
+
+def stop_rule(multiple_choice: bool, most: int | None = None) -> Stop:
+    """When a growing text may end: once it names a letter, or has a closed box behind its first thought; or at a length."""
+    letter = re.compile(r"FINAL\s*:\s*[A-J]\b|\\boxed\{\s*[A-J]\s*\}", re.I)
+
+    def stop(text: str) -> bool:
+        if most is not None and len(text) >= most:
+            return True
+        if multiple_choice and letter.search(text):
+            return True
+        return "</think>" in text and bool(scan_boxes(text.split("</think>", 1)[1]))
+
+    return stop
+
+
 def stub() -> Generator:
     """A deterministic stand-in: a letter or a number that follows from the prompt."""
 

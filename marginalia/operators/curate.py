@@ -14,6 +14,8 @@ SYSTEM_REASONING = "You are an expert competition mathematician. Provide concise
 SYSTEM_REPLAY = "You are solving competition math questions. Preserve stable behavior and finish with exactly one final \\boxed{...}."
 SYSTEM_REJECTION = "You are solving competition math questions. Provide concise reasoning and end with exactly one final \\boxed{...}."
 SYSTEM_ADAPT = "You are solving competition math questions. Follow the required output format and end with exactly one final \\boxed{...}."
+SYSTEM_ADAPT_STYLE = "You are solving competition math questions. Keep reasoning style stable and avoid copying training-template wording. End with exactly one final \\boxed{...}."
+LEAD_MCQ, LEAD_FREE = "Compute the answer and compare to options carefully.\nFinal answer: ", "Solve the problem concisely and report only one final boxed answer.\n"
 LEAST_TARGET, LEAST_TRACE, LEAST_TOKENS = 60, 40, 32
 
 
@@ -117,14 +119,21 @@ def rejection_replay(df: DataFrame) -> DataFrame:
     return df.withColumn("kind", F.when(mcq, "mcq").otherwise("frq")).withColumn("reason", reason).withColumn("target", F.when(F.col("reason").isNull(), free.single_final_box(canon, F.lit("")))).drop("__raw", "__canon", "__b", "__flag")
 
 
-def adapt_examples(df: DataFrame) -> DataFrame:
-    """df: id, question, options, answer. Questions with their final answer only; those without a usable one have a null target."""
+def adapt_examples(df: DataFrame, full_texts: bool = False, final_answer_only: bool = True, keep_style: bool = False) -> DataFrame:
+    """df: id, question, options, answer. Questions with their final answer (led in by a sentence, where whole texts are asked for); those without a usable one have a null target. keep_style: tells the model to keep its way of reasoning."""
     mcq = F.coalesce(F.size("options"), F.lit(0)) > 0
     letter = gold_letter(F.col("answer"), F.col("options"), letters.labels(F.col("options")))
     free_ = strip(F.coalesce("answer", F.lit("")))
     value = F.when(mcq, letter).otherwise(free_)
     prompt = F.when(mcq, prompts.mcq_prompt(F.col("question"), F.col("options"), prompts.MCQ_TRAIN_TASK)).otherwise(prompts.free_train_prompt(F.col("question")))
-    return df.where("answer is not null").select("id", F.when(mcq, "mcq").otherwise("frq").alias("kind"), F.when(value != "", prompt).alias("prompt"), F.when(value != "", free.box(value)).alias("target"))
+    target, kind = free.box(value), F.lit("final_answer_only")
+    if not final_answer_only:
+        kind = F.when(mcq, "letter_only").otherwise("real_reasoning")
+        if full_texts:
+            target = F.concat(F.when(mcq, LEAD_MCQ).otherwise(LEAD_FREE), target)
+    ok = value != ""
+    system = F.lit(SYSTEM_ADAPT_STYLE if keep_style else SYSTEM_ADAPT)
+    return df.where("answer is not null").select("id", F.when(mcq, "mcq").otherwise("frq").alias("kind"), F.when(ok, prompt).alias("prompt"), F.when(ok, target).alias("target"), system.alias("system_prompt"), F.when(ok, kind).alias("target_kind"))
 
 
 def skip_reasons(examples: DataFrame, by: str) -> DataFrame:

@@ -33,8 +33,7 @@ def answer(questions: DataFrame, done: DataFrame | None, config: RunConfig = Run
     x = checkpoint(selection.verify_budget(selection.batched(x, "id", config.batch_mcq), "id", "letter", "score", config.verify_share, config.verify_least))
     again = x.where("forced")
     second = generate(again.select("id", finalizer_prompt().alias("prompt")), make).select("id", F.col("raw").alias("final"))
-    g = guess.best_guess(F.col("raw"), F.col("raw"), F.col("final"), F.col("valid"))
-    late = again.join(second, "id").select("id", "is_mcq", "raw", g["letter"].alias("letter"), g["path"].alias("path"))
+    late = guess.guessed(again.join(second, "id"), "raw", "raw", "final", "valid", "options").select("id", "is_mcq", "raw", "guess.letter", "guess.path")
     choice = x.where("not forced").select("id", "is_mcq", "raw", "letter", "path").unionByName(late).select("id", "is_mcq", free.box(F.col("letter")).alias("response"), "raw", "path")
     text = generate(frq.select("id", prompts.free_prompt(F.col("question")).alias("prompt")), make)
     c = free.canonical_free(F.col("raw"), F.col("question"))

@@ -30,6 +30,16 @@ def verify(rows: DataFrame, questions: DataFrame) -> None:
         raise SubmissionError("; ".join(faults))
 
 
+def is_sorted(rows: DataFrame) -> bool:
+    """Whether a written table's rows stand by ascending id, part by part in the order of file names: within each file and between neighbours."""
+    from pyspark.sql import Window
+
+    x = rows.select("id", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"))
+    back = F.lag("id").over(Window.partitionBy("file").orderBy("place"))
+    per = x.withColumn("back", back).groupBy("file").agg(F.count_if(F.col("back") > F.col("id")).alias("n"), F.min_by("id", "place").alias("first"), F.max_by("id", "place").alias("last")).orderBy("file").collect()  # files
+    return all(r["n"] == 0 for r in per) and all(a["last"] <= b["first"] for a, b in zip(per, per[1:]))
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """id,response in the order of ids, quotes doubled as CSV readers expect."""
     (
