@@ -80,7 +80,7 @@ SQL = {
     "q_top_reasons": f"WITH x AS (SELECT *, {_FLAG} AS flag FROM {_REASON}) SELECT flag AS reason, count(*) AS n_rows FROM x WHERE flag IS NOT NULL GROUP BY flag ORDER BY n_rows DESC, reason LIMIT 5",
     "q_adapt_examples": (
         f"WITH x AS (SELECT id, question, options, coalesce(len(options), 0) > 0 AS mcq, {duck.strip('answer')} AS t, {duck.labels('options')} AS valid FROM public_questions WHERE answer IS NOT NULL), y AS (SELECT *, {duck.valid_letter('t', 'valid')} AS l, list_filter(range(coalesce(len(options), 0)), lambda i: lower({duck.strip('options[i + 1]')}) = lower(t)) AS hits FROM x), "
-        "z AS (SELECT *, CASE WHEN NOT mcq THEN t WHEN t = '' THEN '' WHEN l <> '' THEN l WHEN len(hits) > 0 THEN chr(65 + hits[1]::INT) WHEN list_contains(valid, upper(t)) THEN upper(t) ELSE '' END AS v FROM y) SELECT id, CASE WHEN mcq THEN 'mcq' ELSE 'frq' END AS kind, CASE WHEN v <> '' THEN CASE WHEN mcq THEN {mcq} ELSE {frq} END END AS prompt, CASE WHEN v <> '' THEN '\\boxed{{' || v || '}}' END AS target FROM z"
+        "z AS (SELECT *, CASE WHEN NOT mcq THEN t WHEN t = '' THEN '' WHEN l <> '' THEN l WHEN len(hits) > 0 THEN chr(65 + hits[1]::INT) WHEN list_contains(valid, upper(t)) THEN upper(t) ELSE '' END AS v FROM y) SELECT id, CASE WHEN mcq THEN 'mcq' ELSE 'frq' END AS kind, CASE WHEN v <> '' THEN CASE WHEN mcq THEN {mcq} ELSE {frq} END END AS prompt, CASE WHEN v <> '' THEN '\\boxed{{' || v || '}}' END AS target, '{system}' AS system_prompt, CASE WHEN v <> '' THEN 'final_answer_only' END AS target_kind FROM z"
     ),
 }
 
@@ -90,7 +90,7 @@ def _adapt() -> str:
     from marginalia.plans import texts
 
     frq = f"question || {texts._NL2} || CASE WHEN {texts._SLOTS} >= 2 THEN {texts._SLOT_TASK} ELSE {lit(prompts.FREE_TRAIN_TASK)} END"
-    return SQL["q_adapt_examples"].replace("{mcq}", texts._mcq(prompts.MCQ_TRAIN_TASK)).replace("{frq}", frq).replace("{{", "{").replace("}}", "}")
+    return SQL["q_adapt_examples"].replace("{mcq}", texts._mcq(prompts.MCQ_TRAIN_TASK)).replace("{frq}", frq).replace("{system}", curate.SYSTEM_ADAPT).replace("{{", "{").replace("}}", "}")
 
 
 def _more() -> dict[str, str]:

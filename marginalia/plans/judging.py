@@ -15,6 +15,7 @@ from marginalia.operators.curate import answer_to_letter
 from marginalia.plans import duck
 from marginalia.plans.duck import LAST, QUESTIONS, lit
 from marginalia.plans.relational import is_mcq, questions, records
+from marginalia.plans.texts import simple_letter_sql
 from marginalia.session import ship, table
 
 
@@ -128,7 +129,7 @@ SQL = {
     "q_judge_tf": f"SELECT id, {_T('box')} AS pred, {_T('answer')} AS gold, coalesce({_T('box')} = {_T('answer')}, false) AS ok FROM {_ANSWERED}",
     "q_weekdays": f"WITH m AS (SELECT unnest([{', '.join(lit(k) for k in sorted(WEEKDAYS))}]) AS word, unnest([{', '.join(lit(WEEKDAYS[k]) for k in sorted(WEEKDAYS))}]) AS weekday), w AS (SELECT id, unnest(regexp_extract_all(lower(question), '[a-z]+')) AS word FROM {QUESTIONS}) SELECT weekday, count(*) AS n_words, count(DISTINCT id) AS n_questions FROM w JOIN m USING (word) GROUP BY weekday",
     "q_plus_minus": f"SELECT id, regexp_replace(answer || '\\pm' || id, {lit(PLUS_MINUS.pattern)}, '\\1-\\2,\\1+\\2', 'g') AS text FROM public_questions WHERE answer IS NOT NULL",
-    "q_score_mcq": f"SELECT id, coalesce(nullif(upper(regexp_extract(response, '\\\\boxed\\{{([A-Za-z])\\}}', 1)), ''), (regexp_extract_all(upper(response), '\\b([A-Z])\\b', 1))[-1], '') = upper({duck.strip('answer')}) AS ok FROM {_ANSWERED} WHERE mcq AND NOT regexp_matches(response, '[^\\x00-\\x7f]')",
+    "q_score_mcq": f"SELECT id, {simple_letter_sql('response')} = upper({duck.strip('answer')}) AS ok FROM {_ANSWERED} WHERE mcq",
     "q_map_answer": (
         f"WITH x AS (SELECT id, answer, options, {_LABELS} AS valid, {duck.strip('answer')} AS t, {_COMPACT} AS c FROM public_questions WHERE len(options) > 0), y AS (SELECT *, {duck.valid_letter('t', 'valid')} AS l, list_filter(range(len(options)), lambda i: lower({duck.strip('options[i + 1]')}) = lower(t)) AS hits FROM x) "
         "SELECT id, CASE WHEN answer IS NULL OR t = '' THEN '' WHEN length(c) = 1 AND list_contains(valid, c) THEN c WHEN regexp_matches(t, '^[0-9]+$') THEN CASE WHEN try_cast(t AS BIGINT) < len(options) THEN chr(65 + try_cast(t AS INT)) ELSE '' END WHEN l <> '' THEN l WHEN len(hits) = 1 THEN chr(65 + hits[1]::INT) ELSE '' END AS letter, "

@@ -224,6 +224,21 @@ def _rx(e: str, p: str, to: str = "", flags: str = "g") -> str:
     return f"regexp_replace({e}, {lit(p)}, {lit(to)}, '{flags}')"
 
 
+def simple_letter_sql(e: str) -> str:
+    """The box of one letter, else the last letter that stands alone: the greedy start leaves the last place."""
+    last = rf"(?s)^.*(?:^|[^{letters.WORD}])([A-Z])(?:[^{letters.WORD}]|$)"
+    return f"coalesce(nullif(upper(regexp_extract({e}, {lit(BOX_OF_ONE)}, 1)), ''), regexp_extract(upper({e}), {lit(last)}, 1), '')"
+
+
+def marked_letter_sql(e: str) -> str:
+    final = rf"(?i)FINAL[{letters.SPACE}]*:[{letters.SPACE}]*([A-J])(?:[^{letters.WORD}]|$)"
+    box = rf"(?i)\\boxed\{{[{letters.SPACE}]*([A-J])[{letters.SPACE}]*\}}"
+    first = rf"(?:^|[^{letters.WORD}])([A-J])(?:[^{letters.WORD}]|$)"
+    found = ", ".join(f"nullif(upper(regexp_extract({e}, {lit(p)}, 1)), '')" for p in (final, box))
+    return f"coalesce({found}, regexp_extract(upper({e}), {lit(first)}, 1))"
+
+
+BOX_OF_ONE = r"\\boxed\{([A-Za-z])\}"
 _V = "valid"
 _POINTS = ".,:; \\t"
 _LATEX = [f"{duck.strip(f'(regexp_extract_all(T, {lit(p)}, 1))[-1]')}" for p in free.LATEX_BLOCKS]
@@ -268,7 +283,7 @@ def _sql() -> dict[str, str]:
     out = {
         "q_all_boxed": f"SELECT line_no, len({duck.boxes('raw')}) AS n_boxes, array_to_string({duck.boxes('raw')}, '{SEP}') AS boxes FROM {R}",
         "q_last_boxed": f"SELECT line_no, coalesce(({duck.boxes('response')})[-1], '') AS box, len({duck.inners('response')}) > 0 AS has_box FROM {P}",
-        "q_baseline_letter": f"SELECT line_no, coalesce(nullif(upper(regexp_extract(response, {lit(chr(92) * 2 + 'boxed' + chr(92) + '{([A-Za-z])' + chr(92) + '}')}, 1)), ''), (regexp_extract_all(upper(response), '\\b([A-Z])\\b', 1))[-1], '') AS letter, coalesce(nullif(upper(regexp_extract(response, '(?i)FINAL\\s*:\\s*([A-J])\\b', 1)), ''), nullif(upper(regexp_extract(response, '(?i)\\\\boxed\\{{\\s*([A-J])\\s*\\}}', 1)), ''), regexp_extract(upper(response), '\\b([A-J])\\b', 1)) AS marked_letter, coalesce({duck.strip('(regexp_extract_all(response, ' + lit(chr(92) * 2 + 'boxed' + chr(92) + '{([^{}]+)' + chr(92) + '}') + ', 1))[-1]')}, '') AS flat_box FROM {P} AND NOT regexp_matches(response, '[^\\x00-\\x7f]')",
+        "q_baseline_letter": f"SELECT line_no, {simple_letter_sql('response')} AS letter, {marked_letter_sql('response')} AS marked_letter, coalesce({duck.strip('(regexp_extract_all(response, ' + lit(chr(92) * 2 + 'boxed' + chr(92) + '{([^{}]+)' + chr(92) + '}') + ', 1))[-1]')}, '') AS flat_box FROM {P}",
         "q_visible_answer": f"SELECT line_no, CASE WHEN contains(raw, '</think>') OR contains(raw, '</redacted_reasoning>') THEN {duck.strip(_rx('raw', '(?s)^.*(?:</think>|</redacted_reasoning>)'))} ELSE raw END AS visible FROM {R}",
         "q_strip_thinking_v2": f"SELECT line_no, CASE WHEN contains(raw, '</think>') THEN {duck.strip('(string_split(raw, ' + lit('</think>') + '))[-1]')} WHEN contains(raw, '<think>') THEN '' ELSE {duck.strip('raw')} END AS text FROM {R}",
         "q_clean_tokens": f"SELECT line_no, {duck.strip(_rx(_rx('raw', chr(60) + chr(92) + '|[^|>]+' + chr(92) + '|>'), '</?think>'))} AS text FROM {R}",
