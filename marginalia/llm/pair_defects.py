@@ -30,6 +30,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -60,7 +61,6 @@ FUNCTION_WORDS = {
     "fr": "le les des est une dans pour et du il la en par un que qui ce ainsi donc reste combien quelle quel on au aux à sont ensuite enfin avec cette puis".split(),
     "es": "el los las que por una para del se con la en es un y lo cuántos cuántas cada entre hay cuál queda quedan así después entonces primero también como al solución respuesta".split(),
 }
-_LANGUAGE = {w: k for k in FUNCTION_WORDS for w in FUNCTION_WORDS[k] if sum(w in v for v in FUNCTION_WORDS.values()) == 1}
 _SHARED = {w: [k for k, v in FUNCTION_WORDS.items() if w in v] for v in FUNCTION_WORDS.values() for w in v}
 # Refusals to begin with, in the commonest words of each language.
 SEED_REFUSALS = [
@@ -86,20 +86,33 @@ def script_language(text: str) -> str:
     return "ru" if cyr >= 3 else ""
 
 
+@lru_cache(maxsize=1)
+def _signs() -> dict[str, list[tuple[str, float]]]:
+    """The languages that a function word shows, and how much."""
+    return {w: [(ks[0], 1.0)] if len(ks) == 1 else [(k, 0.4) for k in ks] for w, ks in _SHARED.items()}
+
+
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
 def votes(text: str, learned: dict[str, str] | None = None) -> dict[str, float]:
     """How much each language shows in a text without its formulas: by script, function words, and learned words."""
-    plain = _MATH.sub(" ", text)
+    plain = _MATH.sub(" ", text) if "$" in text or "\\" in text else text
     s = "" if plain.isascii() else script_language(plain)
     out: dict[str, float] = {}
     if s:
         out[s] = len(plain) / 6 if s == "ru" else float(len(plain))
-    for w in re.findall(r"[^\W\d_]+", plain.lower()):
-        k = _LANGUAGE.get(w) or (learned.get(w) if learned else None)
-        if k:
+    signs = _signs()
+    for w in _LETTERS.findall(plain.lower()):
+        found = signs.get(w)
+        if found is not None and len(found) == 1:
+            k = found[0][0]
+            out[k] = out.get(k, 0) + 1
+        elif learned and (k := learned.get(w)):
             out[k] = out.get(k, 0) + 1
-        elif w in _SHARED:
-            for k in _SHARED[w]:
-                out[k] = out.get(k, 0) + 0.4
+        elif found:
+            for k, x in found:
+                out[k] = out.get(k, 0) + x
     return out
 
 
@@ -114,7 +127,7 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in b["text"]:
             v = sorted(votes(t).items(), key=lambda x: -x[1])
             if v and v[0][0] not in ("zh", "ru") and v[0][1] >= 4 and (len(v) == 1 or v[0][1] >= 2 * v[1][1]):
-                seen.update((w, v[0][0]) for w in set(re.findall(r"[^\W\d_]{2,}", _MATH.sub(" ", t).lower())))
+                seen.update((w, v[0][0]) for w in set(_LETTERS.findall(_MATH.sub(" ", t).lower())) if len(w) > 1)
         if seen:
             yield pd.DataFrame([(w, k, n) for (w, k), n in seen.items()], columns=["word", "lang", "n"])
 

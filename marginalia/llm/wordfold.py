@@ -39,6 +39,8 @@ def words(text: str) -> list[str]:
 
 
 def _numbers(tokens: list[str]) -> list[str]:
+    if _UNITS.keys().isdisjoint(tokens) and _TENS.keys().isdisjoint(tokens):  # no numbers in words
+        return [t if t[0].isalpha() else (t.replace(",", "").lstrip("0") or "0") if t[0].isdigit() else t for t in tokens]
     out, i, n = [], 0, len(tokens)
     while i < n:
         t = tokens[i]
