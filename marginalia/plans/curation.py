@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import quality
-from marginalia.functions.text import first_filled, strip
+from marginalia.functions.text import strip
 from marginalia.operators import curate
 from marginalia.plans import duck, relational
 from marginalia.plans.duck import LAST, QUESTIONS, lit
 from marginalia.plans.relational import outputs, questions, records
 from marginalia.session import table
+from marginalia.sources.adapters import Adapter, adapt
 
 
 def q_solution_normalise(spark, d):
@@ -64,9 +65,10 @@ def q_adapt_examples(spark, d):
 
 
 def q_source_columns(spark, d):
-    """One question text and one answer from columns that differ by source."""
+    """One question text and one answer from columns that differ by source, by an adapter that names them."""
     q = table(spark, d, "public_questions").select("id", "question", "answer").join(table(spark, d, "baseline_results").groupBy("id").agg(F.min("gold").alias("gold"), F.min("response").alias("target")), "id", "left")
-    return q.select("id", first_filled(F.col("question")).alias("problem"), first_filled(F.col("gold"), F.col("answer"), F.col("target")).alias("final_answer"))
+    a = Adapter("mixed", ("question",), (), ("gold", "answer", "target"))
+    return adapt(q, a, ("id",)).select("id", F.col("question").alias("problem"), "final_answer")
 
 
 _SOL = lambda e: duck.strip(f"regexp_replace(regexp_replace(regexp_replace({duck.strip(f'coalesce({e}, {lit(str())})')}, '(?i)</?think>', '', 'g'), '```[\\s\\S]*?```', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marginalia.config import STAGE_KINDS
 from marginalia.functions.letters import labels, primary_letter, risk_signal
 from marginalia.functions.text import first_filled, normal_newlines, strip
 from marginalia.operators import selection
@@ -12,6 +15,7 @@ from marginalia.operators.numbering import RANGE_ROWS, hash_key, numbered, with_
 from marginalia.plans import duck
 from marginalia.plans.duck import LAST, QUESTIONS, lit
 from marginalia.session import table
+from marginalia.sources.adapters import ADAPTERS, kept, options_of
 
 SEED = 17
 
@@ -57,6 +61,11 @@ def q_resume_remaining(spark, d):
 
 
 def q_missing(spark, d):
+    """Questions that no line answers."""
+    return selection.remaining(questions(spark, d).select("id", "origin"), outputs(spark, d))
+
+
+def q_orphan_lines(spark, d):
     """Ids of outputs that no question has, with their lines."""
     return outputs(spark, d).join(questions(spark, d).select("id"), "id", "left_anti").groupBy("id").agg(F.count("*").alias("n_lines"))
 
@@ -186,16 +195,21 @@ def q_supervised(spark, d):
     return table(spark, d, "public_questions").groupBy("split").agg(F.count("*").alias("n_rows"), F.count("answer").alias("n_supervised"), (F.count("answer") > 0).alias("has_answers"))
 
 
+TASKS = replace(ADAPTERS["ultrainteract"], keep={"source": ("openbench-a", "openbench-b")})
+
+
 def q_task_filter(spark, d):
-    """Rows of two named sources (trimmed first), counted before and after."""
-    src = strip(F.coalesce("source", F.lit("")))
-    return table(spark, d, "public_questions").groupBy("split").agg(F.count("*").alias("n_loaded"), F.count_if(src.isin("openbench-a", "openbench-b")).alias("n_kept"))
+    """Rows that an adapter keeps by a column's value (trimmed first; here of two named sources), counted before and after."""
+    q = table(spark, d, "public_questions").select("id", "split", "source")
+    some = kept(q, TASKS).groupBy("split").agg(F.count("*").alias("n_kept"))
+    per = q.groupBy("split").agg(F.count("*").alias("n_loaded"))
+    return per.join(some, per["split"].eqNullSafe(some["split"]), "left").select(per["split"], "n_loaded", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
 
 
 def q_stage_filter(spark, d):
-    """What each stage of training would keep."""
-    q = table(spark, d, "public_questions").where("answer is not null").select(F.when(is_mcq(), "mcq").otherwise("frq").alias("kind"), "source")
-    stages = F.array(F.when(F.col("kind") == "frq", F.lit("reasoning")), F.when(F.col("kind") == "mcq", F.lit("mcq")), F.when(F.col("source") == "openbench-a", F.lit("rejection_sft")))
+    """What each stage of training keeps, by the kinds of its settings."""
+    q = table(spark, d, "public_questions").where("answer is not null").select(F.when(is_mcq(), "mcq").otherwise("frq").alias("kind"))
+    stages = F.array(*[F.when(F.col("kind").isin(*kinds), F.lit(s)) for s, kinds in STAGE_KINDS.items()])
     return q.select(F.explode(F.filter(stages, lambda s: s.isNotNull())).alias("stage"), "kind").groupBy("stage", "kind").agg(F.count("*").alias("n_rows"))
 
 
@@ -213,9 +227,8 @@ def q_coalesce_fields(spark, d):
 
 def q_option_columns(spark, d):
     """Options from one column per letter where there are two at least; else the array."""
-    at = lambda i: F.get("options", F.lit(i))
-    letters = F.filter(F.array(*[strip(at(i)) for i in range(10)]), lambda o: o.isNotNull() & (o != ""))
-    return questions(spark, d).where(is_mcq()).select("id", F.array_join(F.when(F.size(letters) >= 2, letters).otherwise(F.col("options")), "|").alias("options_text"))
+    q = questions(spark, d).where(is_mcq()).select("id", F.col("options").alias("choices"), *[F.get("options", F.lit(i)).alias(chr(65 + i)) for i in range(10)])
+    return q.select("id", F.array_join(options_of(q, ADAPTERS["math_mc"]), "|").alias("options_text"))
 
 
 def q_newline_normalise(spark, d):
@@ -249,7 +262,8 @@ SQL = {
     "q_done_ids": "SELECT DISTINCT id FROM private_outputs WHERE id IS NOT NULL",
     "q_last_wins": f"SELECT id, line_no, run_stem, response FROM {LAST}",
     "q_resume_remaining": f"SELECT id, origin FROM {QUESTIONS} WHERE id NOT IN (SELECT id FROM private_outputs WHERE id IS NOT NULL)",
-    "q_missing": f"SELECT id, count(*) AS n_lines FROM private_outputs WHERE id NOT IN (SELECT id FROM {QUESTIONS}) OR id IS NULL GROUP BY id",
+    "q_missing": f"SELECT id, origin FROM {QUESTIONS} WHERE id NOT IN (SELECT id FROM private_outputs WHERE id IS NOT NULL)",
+    "q_orphan_lines": f"SELECT id, count(*) AS n_lines FROM private_outputs WHERE id NOT IN (SELECT id FROM {QUESTIONS}) OR id IS NULL GROUP BY id",
     "q_eval_join": f"SELECT q.id, q.answer, {_DUCK_MCQ} AS mcq, r.line_no, r.response FROM public_questions q JOIN {LAST} r ON q.id = r.id WHERE q.answer IS NOT NULL",
     "q_reference_lookup": f"SELECT id, question, origin FROM {QUESTIONS} QUALIFY row_number() OVER (PARTITION BY id ORDER BY origin = 'private' DESC) = 1",
     "q_replay_left_join": f"SELECT r.id, r.line_no, nullif({duck.strip('q.question')}, '') AS question, coalesce(len(q.options), -1)::INT AS n_options, q.question IS NOT NULL AS has_reference FROM {LAST} r LEFT JOIN {QUESTIONS} q ON q.id = r.id",
@@ -269,10 +283,10 @@ SQL = {
     "q_restore_order": f"SELECT q.id, q.pos, r.line_no FROM (SELECT id, row_number() OVER (ORDER BY id) AS pos FROM {QUESTIONS}) q JOIN {LAST} r ON q.id = r.id",
     "q_supervised": "SELECT split, count(*) AS n_rows, count(answer) AS n_supervised, count(answer) > 0 AS has_answers FROM public_questions GROUP BY split",
     "q_task_filter": f"SELECT split, count(*) AS n_loaded, count(*) FILTER ({duck.strip(chr(99) + 'oalesce(source, ' + chr(39) * 2 + ')')} IN ('openbench-a', 'openbench-b')) AS n_kept FROM public_questions GROUP BY split",
-    "q_stage_filter": f"WITH q AS (SELECT CASE WHEN {_DUCK_MCQ} THEN 'mcq' ELSE 'frq' END AS kind, source FROM public_questions WHERE answer IS NOT NULL) SELECT stage, kind, count(*) AS n_rows FROM (SELECT 'reasoning' AS stage, kind FROM q WHERE kind = 'frq' UNION ALL SELECT 'mcq', kind FROM q WHERE kind = 'mcq' UNION ALL SELECT 'rejection_sft', kind FROM q WHERE source = 'openbench-a') GROUP BY ALL",
+    "q_stage_filter": f"WITH q AS (SELECT CASE WHEN {_DUCK_MCQ} THEN 'mcq' ELSE 'frq' END AS kind FROM public_questions WHERE answer IS NOT NULL), s AS (SELECT * FROM (VALUES {', '.join(f'({lit(k)}, {lit(v)})' for k, vs in STAGE_KINDS.items() for v in vs)}) t(stage, kind)) SELECT stage, kind, count(*) AS n_rows FROM q JOIN s USING (kind) GROUP BY ALL",
     "q_option_checks": f"WITH o AS (SELECT id, list_filter(list_transform(options, lambda x: {duck.strip('x')}), lambda x: x <> '') AS c FROM {QUESTIONS} WHERE {_DUCK_MCQ}) SELECT id, len(c) AS n_options, len(c) >= 2 AS enough, len(list_distinct(list_transform(c, lambda x: lower(x)))) < len(c) AS repeats FROM o",
     "q_coalesce_fields": "SELECT line_no, coalesce(" + ", ".join(f"nullif({duck.strip(c)}, '')" for c in ("response", "meta.cleaned_response", "meta.boxed", "raw", "meta.raw")) + ") AS text FROM private_outputs",
-    "q_option_columns": f"WITH o AS (SELECT id, options, list_filter(list_transform(options[1:10], lambda x: {duck.strip('x')}), lambda x: x IS NOT NULL AND x <> '') AS c FROM {QUESTIONS} WHERE {_DUCK_MCQ}) SELECT id, array_to_string(CASE WHEN len(c) >= 2 THEN c ELSE options END, '|') AS options_text FROM o",
+    "q_option_columns": f"WITH o AS (SELECT id, list_filter(list_transform(options, lambda x: {duck.strip('x')}), lambda x: x IS NOT NULL AND x <> '') AS a, list_filter(list_transform(options[1:10], lambda x: {duck.strip('x')}), lambda x: x IS NOT NULL AND x <> '') AS c FROM {QUESTIONS} WHERE {_DUCK_MCQ}) SELECT id, array_to_string(CASE WHEN len(c) >= 2 THEN c WHEN len(a) > 0 THEN a END, '|') AS options_text FROM o",
     "q_newline_normalise": "WITH t AS (SELECT doc_id, regexp_replace(text, '\r\n?', '\n', 'g') AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, length(t) AS n_chars, length(t) - length(replace(t, '\n', '')) AS n_newlines, md5(t) AS digest FROM t",
     "q_multiset_match": f"WITH b AS (SELECT DISTINCT * FROM baseline_results WHERE gold IS NOT NULL AND response IS NOT NULL), p AS (SELECT *, coalesce(({duck.boxes('response')})[-1], '') AS v FROM b) SELECT id, gold, response, list_sort(list_filter(list_transform(regexp_split_to_array(gold, '[,;|]'), lambda x: {duck.strip('x')}), lambda x: x <> '')) = list_sort(list_filter(list_transform(regexp_split_to_array(v, '[,;|]'), lambda x: {duck.strip('x')}), lambda x: x <> '')) AS same FROM p",
     "q_zip_options": f"SELECT id, chr(64 + i::INT) AS label, options[i] AS option FROM (SELECT id, options, unnest(range(1, len(options) + 1)) AS i FROM {QUESTIONS} WHERE {_DUCK_MCQ})",

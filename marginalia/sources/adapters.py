@@ -24,6 +24,7 @@ class Adapter:
     final: tuple[str, ...] = FINAL
     options: tuple[str, ...] = OPTIONS
     keep: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    letters_first: bool = False  # a column for each letter goes before an array
 
 
 ADAPTERS = {
@@ -35,7 +36,7 @@ ADAPTERS = {
         Adapter("hendrycks", ("problem",), ("solution",), ()),
         Adapter("orca", ("question",), ("answer",), ()),
         Adapter("ultrainteract", ("instruction",), ("response",), (), keep={"task": ("Math_Cot", "Math_PoT")}),
-        Adapter("math_mc"),
+        Adapter("math_mc", options=("choices", *OPTIONS), letters_first=True),
         Adapter("compmath", ("question",), (), ("correct_label",), ("options",)),
     )
 }
@@ -50,23 +51,31 @@ def _text(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("string")
 
 
-def _options(df: DataFrame, names: tuple[str, ...]) -> Column:
-    empty = F.lit(None).cast("array<string>")
-    found = []
-    for n in names:
+def options_of(df: DataFrame, a: Adapter) -> Column:
+    """The options without blank ones: of columns by letter if two are filled, or of the first array that has any, in the adapter's order; null where there are none."""
+    arrays = []
+    for n in a.options:
         if dict(df.dtypes).get(n, "").startswith("array"):
-            a = F.filter(F.transform(F.col(n).cast("array<string>"), lambda x: strip(x)), lambda x: x != "")
-            found.append(F.when(F.size(a) > 0, a))
+            x = F.filter(F.transform(F.col(n).cast("array<string>"), lambda x: strip(x)), lambda x: x != "")
+            arrays.append(F.when(F.size(x) > 0, x))
     by_letter = [strip(F.col(c).cast("string")) for c in "ABCDEFGHIJ" if c in df.columns]
+    lettered = []
     if by_letter:
-        a = F.filter(F.array(*by_letter), lambda x: x.isNotNull() & (x != ""))
-        found.append(F.when(F.size(a) >= 2, a))
-    return F.coalesce(*found, empty) if found else empty
+        x = F.filter(F.array(*by_letter), lambda x: x.isNotNull() & (x != ""))
+        lettered.append(F.when(F.size(x) >= 2, x))
+    found = lettered + arrays if a.letters_first else arrays + lettered
+    return F.coalesce(*found, F.lit(None).cast("array<string>"))
 
 
-def adapt(df: DataFrame, a: Adapter) -> DataFrame:
-    """source, question, solution, final_answer, options of any source. Rows outside `keep` go first, so caps count the rest."""
+def kept(df: DataFrame, a: Adapter) -> DataFrame:
+    """The rows whose columns hold one of the values that the adapter keeps."""
     for c, values in a.keep.items():
         df = df.where(strip(F.col(c)).isin(*values))
+    return df
+
+
+def adapt(df: DataFrame, a: Adapter, more: tuple[str, ...] = ()) -> DataFrame:
+    """source, question, solution, final_answer, options of any source. Rows outside `keep` go first, so caps count the rest."""
+    df = kept(df, a)
     pick = lambda names: first_filled(*[_text(df, n) for n in names]) if names else F.lit(None).cast("string")
-    return df.select(F.lit(a.name).alias("source"), pick(a.question).alias("question"), pick(a.solution).alias("solution"), pick(a.final).alias("final_answer"), _options(df, a.options).alias("options"))
+    return df.select(*more, F.lit(a.name).alias("source"), pick(a.question).alias("question"), pick(a.solution).alias("solution"), pick(a.final).alias("final_answer"), options_of(df, a).alias("options"))
