@@ -37,7 +37,7 @@ from marginalia.session import ship, spread
 
 BANDS = ("primary", "secondary", "university")
 #: The regression is fitted on at most so many labelled documents, those first by a hash of their id.
-LABELLED = 12_000
+LABELLED = 6_000
 #: Hashed words: two tables of 64-bit numbers, 1 MB each.
 BUCKETS = 1 << 17
 #: A stretch without a mark is cut into segments of at most so many words; a word is new if it didn't stand among so many before it.
