@@ -48,6 +48,8 @@ WHOLE, REMARK = 0.9, 16
 EVAL_SHARD, TRAIN_SHARD = 60_000, 400_000
 #: A bit set has BITS_EACH bits for each passage, at most 2 to the power of MOST_BITS (32 MB); beyond that it drops less.
 BITS_EACH, MOST_BITS = 16, 28
+#: Up to so many pairs of classes (two hashes and some places each, a few MB) are broadcast to find their texts.
+FEW_PAIRS = 50_000
 
 
 def questions_of(public: DataFrame, private: DataFrame) -> DataFrame:
@@ -288,10 +290,12 @@ def class_pairs(folded: DataFrame) -> DataFrame:
     split = F.when(F.col("train"), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))
     both = routed.join(parts, "shard").withColumn("part", F.explode(split)).select("shard", "part", "h", "train", "key", "first", "folded")
     hits = both.groupBy("shard", "part").applyInPandas(scan, "h_train string, h_eval string, starts array<int>")
-    merged = hits.groupBy("h_train", "h_eval").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    t = classes.where("train").select(F.col("h").alias("h_train"), F.col("folded").alias("t"))
-    e = classes.where("not train").select(F.col("h").alias("h_eval"), F.col("folded").alias("e"), "key")
-    return merged.join(t, "h_train").join(e, "h_eval").select("h_train", "h_eval", "starts", "t", "e", "key").mapInPandas(_same, "h_train string, h_eval string")
+    merged = hits.groupBy("h_train", "h_eval").agg(F.flatten(F.collect_list("starts")).alias("starts")).persist()
+    # few pairs go to the texts; many make the texts go to them
+    small = F.broadcast if merged.count() <= FEW_PAIRS else lambda df: df
+    t = trains.select(F.col("h").alias("h_train"), F.col("folded").alias("t")).join(small(merged), "h_train")
+    e = evals.select(F.col("h").alias("h_eval"), F.col("folded").alias("e"), "key").join(small(merged.select("h_eval").distinct()), "h_eval")
+    return t.join(e, "h_eval").select("h_train", "h_eval", "starts", "t", "e", "key").mapInPandas(_same, "h_train string, h_eval string")
 
 
 def overlaps(questions: DataFrame) -> DataFrame:

@@ -46,6 +46,7 @@ def test_many_shards_and_splits_lose_nothing(spark, monkeypatch):
     rows = [(i, "train" if i % 2 else "holdout", "s", f"Ann has {'55 pears and' if i % 3 else 'pears and'} word{i // 2} w{i // 2 % 7} x y z", None) for i in range(120)]
     monkeypatch.setattr(overlap, "EVAL_SHARD", 7)
     monkeypatch.setattr(overlap, "TRAIN_SHARD", 5)
+    monkeypatch.setattr(overlap, "FEW_PAIRS", 3)
     got = {(r.id_train, r.id_eval) for r in overlap.overlaps(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == brute(rows) and got
 
