@@ -1,12 +1,13 @@
 """Reading level of documents: regularised ordinal regression over text features.
 
-Features of a document, from its segments: word rarity (in the whole corpus, and one
-bounded rarity against graded text: how far a word stands in demanding rather than in
-easy graded documents), lengths of words and segments, connectives, a proxy of clause
-depth (subordinators per word), each as mean and quartiles over the segments, and
-lexical diversity. A proportional-odds model with an L2 penalty, fitted on the driver
-from a bounded sample of labelled documents, weighs them; the rarity against graded
-text is cross-fitted, so that the regression sees honest values.
+Features of a document: word rarity in the whole corpus, lengths of words and segments,
+connectives, and a proxy of clause depth (subordinators per word), each as mean and
+quartiles over the segments; shares of words by length, by rarity, and by the connective
+they are; lexical diversity; and one bounded rarity against graded text (how far a word
+stands in demanding rather than in easy graded documents). A proportional-odds model
+with an L2 penalty, fitted on the driver from a bounded sample of labelled documents,
+weighs them; the rarity against graded text is cross-fitted, so that the regression
+sees honest values.
 
 Segments that stand in the held-out items (half of their word triples) carry no
 weight, unless the whole text is made of them, and quartiles bear a few odd segments:
@@ -44,7 +45,7 @@ BUCKETS = 1 << 17
 SEGMENT, RECENT = 24, 40
 #: Share of a segment's word triples that stand in held-out items from which it counts as an exercise.
 EXERCISE = 0.5
-FOLDS, PENALTY, ROUNDS = 5, 1.0, 300
+FOLDS, PENALTY, ROUNDS = 5, 15.0, 300
 #: A worker forgets its words beyond so many (they are looked up anew; results don't change).
 REMEMBERED = 400_000
 
@@ -61,7 +62,8 @@ _SETS = [frozenset(v.split()) for v in _LANGUAGES.values()]
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|[.!?;:]+(?=\s|$)|[。！？；\n]+")
 _FOREIGN = re.compile("[Ѐ-ӿ一-鿿]")
 #: Columns of a word's properties.
-LETTERS, WORD, LONG, JOINS, SUBORDINATES, EN, DE, FR, ES, FOREIGN = range(10)
+LETTERS, WORD, LONG, JOINS, SUBORDINATES, EN, DE, FR, ES, FOREIGN, JOIN = range(11)
+_JOIN = {w: k for k, w in enumerate(sorted(CONNECTIVES | SUBORDINATORS), 1)}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,7 +75,7 @@ class Words:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {"\n": 0, "0": 1}
-        self._rows, self._codes = [[0.0] * 10, [0.0] * 10], [0, zlib.crc32(b"0")]
+        self._rows, self._codes = [[0.0] * 11, [0.0] * 11], [0, zlib.crc32(b"0")]
         self._seen = 0
 
     def _add(self, t: str) -> int:
@@ -83,7 +85,7 @@ class Words:
             k = 0
         else:
             k = len(self._rows)
-            self._rows.append([len(t), 1.0, len(t) > 8, t in CONNECTIVES, t in SUBORDINATORS, *(t in v for v in _SETS), bool(_FOREIGN.search(t))])
+            self._rows.append([len(t), 1.0, len(t) > 8, t in CONNECTIVES, t in SUBORDINATORS, *(t in v for v in _SETS), bool(_FOREIGN.search(t)), _JOIN.get(t, 0)])
             self._codes.append(zlib.crc32(t.encode("utf-8", "surrogatepass")))
         self.index[t] = k
         return k
@@ -199,11 +201,24 @@ class Encoded:
         order = np.lexsort((place, ids, d))
         near = (np.diff(ids[order]) == 0) & (np.diff(d[order]) == 0) & (np.diff(place[order]) <= RECENT)
         again = np.bincount(d[order][1:][near], minlength=self.n_docs)
+        # shares of words by length, by rarity and by the connective they are
+        p = self.props[words]
+        real, rare = p[:, WORD] > 0, rarity[self.bucket[words]]
+        n_words = np.maximum(1, np.bincount(d, weights=p[:, WORD], minlength=self.n_docs))[:, None]
+        at = 4 * len(cols)
+        for k, values in ((LENGTHS, p[:, LETTERS].astype(np.int64) - 1), (RARITIES, (rare - RAREST_FROM).astype(np.int64)), (len(_JOIN) + 1, p[:, JOIN].astype(np.int64))):
+            cell = np.clip(values, 0, k - 1)
+            out[:, at : at + k] = np.bincount((d * k + cell)[real], minlength=self.n_docs * k).reshape(self.n_docs, k) / n_words
+            at += k
+        out[~some] = 0
         out[some, -1] = (1 - again / np.maximum(1, np.bincount(d, minlength=self.n_docs)))[some]
         return out
 
 
-N_FEATURES = 37
+#: Cells of word length, and of rarity from RAREST_FROM on (natural logarithms, one wide).
+LENGTHS, RARITIES, RAREST_FROM = 12, 10, 3.0
+N_FEATURES = 36 + LENGTHS + RARITIES + len(_JOIN) + 1 + 1
+GRADED = slice(32, 36)
 
 
 def graded_rarity(pairs: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -216,7 +231,7 @@ def graded_rarity(pairs: np.ndarray, weights: np.ndarray) -> np.ndarray:
 class OrdinalRegression:
     """Proportional odds: P(band <= k) = logistic(cut_k - w x), fitted with an L2 penalty by gradient steps (Adam)."""
 
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> "OrdinalRegression":
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = PENALTY) -> "OrdinalRegression":
         on = weight > 0
         self.mean, self.scale = x[on].mean(axis=0), x[on].std(axis=0) + 1e-6
         z = (x - self.mean) / self.scale
@@ -234,7 +249,7 @@ class OrdinalRegression:
             a = np.choose(y, [d1, -d1, 0 * d1]) / prob * weight
             b = np.choose(y, [0 * d2, d2, -d2]) / prob * weight
             grad = np.concatenate([-(z.T @ (a + b)), [(a + b).sum(), step * b.sum()]])
-            grad[:k] -= PENALTY * w
+            grad[:k] -= penalty * w
             grad /= n
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             p = p + 0.08 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)

@@ -47,7 +47,7 @@ def test_regression_recovers_an_order():
     x = rng.normal(size=(600, 3))
     s = x @ np.array([1.5, -1.0, 0.0])
     y = (s > -0.7).astype(int) + (s > 0.9).astype(int)
-    m = R.OrdinalRegression().fit(x, y, np.ones(600))
+    m = R.OrdinalRegression().fit(x, y, np.ones(600), penalty=1.0)
     assert np.mean(m.predict(x) == y) > 0.95
     p = m.probability(x)
     assert np.allclose(p.sum(axis=1), 1) and (p > -1e-9).all() and m.cuts[0] < m.cuts[1]
@@ -92,6 +92,12 @@ def test_features_match_plain_loops():
         for k, v in enumerate(want):
             assert np.allclose(x[i, 4 * k : 4 * k + 4], [np.mean(v), *np.quantile(v, [0.25, 0.5, 0.75])])
         flat = ["0" if w.isdigit() else w for s in segs for w in s]
+        words = [w for s in only for w in s]
+        at = 36
+        assert np.allclose(x[i, at : at + R.LENGTHS], [np.mean([min(len(w), R.LENGTHS) == k + 1 for w in words]) for k in range(R.LENGTHS)])
+        assert np.allclose(x[i, at + R.LENGTHS : at + R.LENGTHS + R.RARITIES].sum(), 1)
+        joins = x[i, at + R.LENGTHS + R.RARITIES : -1]
+        assert np.allclose(joins, [np.mean([R._JOIN.get(w, 0) == k for w in words]) for k in range(len(R._JOIN) + 1)])
         assert np.isclose(x[i, -1], np.mean([w not in flat[max(0, j - R.RECENT) : j] for j, w in enumerate(flat)]))
 
 
