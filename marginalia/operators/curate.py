@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.artifacts import check_replay_schema
 from marginalia.functions import free, letters, prompts, quality
 from marginalia.functions.boxed import extract_all_boxed
 from marginalia.functions.text import first_filled, last_of, strip
@@ -98,7 +99,8 @@ def base_replay(df: DataFrame) -> DataFrame:
 
 
 def rejection_replay(df: DataFrame) -> DataFrame:
-    """df: filter_passed, question, options, and the trace as accepted_raw, raw or response. Adds kind, reason, target."""
+    """df: filter_passed, question, options, and the trace as accepted_raw, raw or response. Adds kind, reason, target. Rows of another schema are refused as a whole."""
+    check_replay_schema(df)
     df = df.withColumn("__raw", first_filled(F.col("accepted_raw"), F.col("raw"), F.col("response"))).withColumn("__canon", quality.normalize_solution(F.col("__raw")))
     raw, canon = F.col("__raw"), F.col("__canon")
     df = df.withColumn("__b", extract_all_boxed(canon)).withColumn("__flag", quality.quality_flag(F.col("question"), canon))

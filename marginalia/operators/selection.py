@@ -22,6 +22,14 @@ def remaining(questions: DataFrame, done: DataFrame) -> DataFrame:
     return questions.join(done.select("id").where("id is not null").distinct(), "id", "left_anti")
 
 
+def with_reference(rows: DataFrame, reference: DataFrame, key: str = "id") -> DataFrame:
+    """Rows with what their reference question supplies where they lack it: a question if theirs is null or blank, options if theirs are null; a row may have no reference. Adds has_reference."""
+    r = reference.select(key, F.col("question").alias("__q"), F.col("options").alias("__o"), F.lit(True).alias("has_reference"))
+    own = F.nullif(F.trim("question"), F.lit(""))
+    x = rows.join(r, key, "left")
+    return x.withColumn("question", F.when(own.isNotNull(), F.col("question")).otherwise(F.col("__q"))).withColumn("options", F.coalesce("options", "__o")).withColumn("has_reference", F.coalesce("has_reference", F.lit(False))).drop("__q", "__o")
+
+
 def capped_by_kind(df: DataFrame, kind: str, caps: dict[bool, int | None], seed: int, key: str = "id") -> DataFrame:
     """At most so many rows of each kind, by hash order; a kind without a cap keeps all its rows and is not sorted."""
     capped = {k: v for k, v in caps.items() if v is not None}

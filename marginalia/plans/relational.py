@@ -83,9 +83,9 @@ def q_reference_lookup(spark, d):
 
 def q_replay_left_join(spark, d):
     """Lines with what their reference question supplies; a line may lack one."""
-    q = questions(spark, d).select("id", "question", "options")
-    r = records(spark, d).select("id", "line_no")
-    return r.join(q, "id", "left").select("id", "line_no", first_filled(F.col("question")).alias("question"), F.coalesce(F.size("options"), F.lit(-1)).alias("n_options"), F.col("question").isNotNull().alias("has_reference"))
+    r = records(spark, d).select("id", "line_no", F.lit(None).cast("string").alias("question"), F.lit(None).cast("array<string>").alias("options"))
+    x = selection.with_reference(r, questions(spark, d).select("id", "question", "options"))
+    return x.select("id", "line_no", first_filled(F.col("question")).alias("question"), F.coalesce(F.size("options"), F.lit(-1)).alias("n_options"), "has_reference")
 
 
 def q_pair_runs(spark, d):
@@ -266,7 +266,7 @@ SQL = {
     "q_orphan_lines": f"SELECT id, count(*) AS n_lines FROM private_outputs WHERE id NOT IN (SELECT id FROM {QUESTIONS}) OR id IS NULL GROUP BY id",
     "q_eval_join": f"SELECT q.id, q.answer, {_DUCK_MCQ} AS mcq, r.line_no, r.response FROM public_questions q JOIN {LAST} r ON q.id = r.id WHERE q.answer IS NOT NULL",
     "q_reference_lookup": f"SELECT id, question, origin FROM {QUESTIONS} QUALIFY row_number() OVER (PARTITION BY id ORDER BY origin = 'private' DESC) = 1",
-    "q_replay_left_join": f"SELECT r.id, r.line_no, nullif({duck.strip('q.question')}, '') AS question, coalesce(len(q.options), -1)::INT AS n_options, q.question IS NOT NULL AS has_reference FROM {LAST} r LEFT JOIN {QUESTIONS} q ON q.id = r.id",
+    "q_replay_left_join": f"SELECT r.id, r.line_no, nullif({duck.strip('q.question')}, '') AS question, coalesce(len(q.options), -1)::INT AS n_options, q.id IS NOT NULL AS has_reference FROM {LAST} r LEFT JOIN {QUESTIONS} q ON q.id = r.id",
     "q_pair_runs": "WITH r AS (SELECT id, run_stem, line_no, response FROM private_outputs WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, run_stem ORDER BY line_no DESC) = 1) SELECT a.id, a.line_no AS base_line, a.response AS base_response, b.line_no AS lora_line, b.response AS lora_response FROM r a JOIN r b ON a.id = b.id WHERE a.run_stem = 'private_full_seed0' AND b.run_stem = 'private_lora_seed7'",
     "q_batches": f"SELECT id, ((row_number() OVER (ORDER BY id) - 1) // 12)::BIGINT AS batch_id FROM {QUESTIONS} WHERE {_DUCK_MCQ}",
     "q_sorted_check": "SELECT run_stem, count(*) FILTER (NOT ok) AS n_out_of_order, bool_and(coalesce(ok, true)) AS is_sorted FROM (SELECT run_stem, coalesce(lag(id) OVER (PARTITION BY run_stem ORDER BY line_no), id) <= id AS ok FROM private_outputs) GROUP BY run_stem",

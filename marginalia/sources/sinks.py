@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.free import submission_format
@@ -40,6 +40,14 @@ def is_sorted(rows: DataFrame) -> bool:
     return all(r["n"] == 0 for r in per) and all(a["last"] <= b["first"] for a, b in zip(per, per[1:]))
 
 
+def verify_written(spark: SparkSession, path: str, questions: DataFrame) -> None:
+    """Reads a written submission and raises unless it is sound and its ids stand in order."""
+    rows = spark.read.schema("id long, response string").option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+    verify(rows, questions)
+    if not is_sorted(rows):
+        raise SubmissionError("ids are not in order")
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """id,response in the order of ids, quotes doubled as CSV readers expect."""
     (

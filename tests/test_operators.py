@@ -93,3 +93,10 @@ def test_weights_must_be_positive(spark):
     df = spark.range(3).select("id", F.lit("a").alias("s"))
     with pytest.raises(Exception, match="positive"):
         selection.weighted(df, "s", F.lit(0.0), 1, "id").collect()
+
+
+def test_references_fill_what_rows_lack(spark):
+    rows = spark.createDataFrame([(1, "own", None), (2, " ", ["x"]), (3, None, None), (9, None, None)], "id long, question string, options array<string>")
+    ref = spark.createDataFrame([(1, "r1", ["a"]), (2, "r2", ["b"]), (3, None, None)], "id long, question string, options array<string>")
+    got = {r.id: (r.question, r.options, r.has_reference) for r in selection.with_reference(rows, ref).collect()}
+    assert got == {1: ("own", ["a"], True), 2: ("r2", ["x"], True), 3: (None, None, True), 9: (None, None, False)}

@@ -93,3 +93,15 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     fake = type("S", (), {"conf": type("C", (), {"get": staticmethod(lambda k, d=None: d)})(), "sparkContext": type("X", (), {"master": "spark://x"})()})()
     with pytest.raises(RuntimeError):
         session.checkpoint_folder(fake)
+
+
+def test_written_submissions_are_read_again(spark, tmp_path):
+    q = spark.range(40)
+    rows = q.select("id", F.concat(F.lit('a "quoted"\nline \\boxed{'), F.col("id"), F.lit("}")).alias("response"))
+    sinks.write_csv(rows.repartition(5), str(tmp_path / "ok"))
+    sinks.verify_written(spark, str(tmp_path / "ok"), q)
+    rows.orderBy(F.desc("id")).coalesce(1).write.option("header", True).option("quote", '"').option("escape", '"').csv(str(tmp_path / "back"))
+    with pytest.raises(sinks.SubmissionError, match="order"):
+        sinks.verify_written(spark, str(tmp_path / "back"), q)
+    with pytest.raises(sinks.SubmissionError, match="missing"):
+        sinks.verify_written(spark, str(tmp_path / "ok"), spark.range(41))
