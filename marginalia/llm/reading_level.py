@@ -101,12 +101,12 @@ class Words:
             parts += ids
             lens.append(len(ids))
         if self._seen != len(self._rows):
-            self.rows, self.codes, self._seen = np.array(self._rows, dtype=np.float64), np.array(self._codes, dtype=np.uint64), len(self._rows)
+            self.rows, self.codes, self._seen = np.array(self._rows, dtype=np.float64).T.copy(), np.array(self._codes, dtype=np.uint64), len(self._rows)
         return Encoded(np.array(parts, dtype=np.int64), np.array(lens, dtype=np.int64), self)
 
 
 class Encoded:
-    """The words of many documents in segments: flat arrays, and the place of each segment and document in them."""
+    """The words of many documents in segments: flat arrays (props by column), and the place of each segment and document in them."""
 
     def __init__(self, ids: np.ndarray, lens: np.ndarray, words: Words):
         self.n_docs = len(lens)
@@ -123,10 +123,10 @@ class Encoded:
             part = place * np.repeat(parts, size) // np.repeat(size, size)
             new = np.concatenate([[True], (seg[1:] != seg[:-1]) | (part[1:] != part[:-1])])
             seg = np.cumsum(new) - 1
-            letters = np.bincount(seg, weights=words.rows[ids, WORD])
+            letters = np.bincount(seg, weights=words.rows[WORD][ids])
             keep = letters[seg] > 0  # segments of numbers only say nothing
             ids, doc, seg = ids[keep], doc[keep], seg[keep]
-        self.props, code = words.rows[ids], words.codes[ids]
+        self.props, code = words.rows[:, ids], words.codes[ids]
         self.ids, self.doc, self.code, self.bucket = ids, doc, code, (code % BUCKETS).astype(np.int64)
         self.start = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]])) if len(ids) else np.zeros(0, dtype=np.int64)
         self.size = np.diff(np.append(self.start, len(ids)))
@@ -155,7 +155,7 @@ class Encoded:
 
     def english(self, keep: np.ndarray) -> np.ndarray:
         """By script and function words, whatever the language column says; words of no language count as English."""
-        of = lambda k: np.add.reduceat(self.props[:, k], self.start) if len(self.start) else np.zeros(0)
+        of = lambda k: np.add.reduceat(self.props[k], self.start) if len(self.start) else np.zeros(0)
         per_doc = lambda v: np.bincount(self.seg_doc[keep], weights=v[keep], minlength=self.n_docs)
         n, foreign = per_doc(np.ones(len(keep))), per_doc((of(FOREIGN) > 0).astype(float))
         en, de, fr, es = (per_doc(of(k)) for k in (EN, DE, FR, ES))
@@ -166,18 +166,18 @@ class Encoded:
         out = np.zeros((self.n_docs, N_FEATURES))
         if not keep.any():
             return out
-        word = self.props[:, WORD]
+        word = self.props[WORD]
         add = lambda v: np.add.reduceat(v, self.start)
         n = add(word)
-        rare, letters = rarity[self.bucket] * word, self.props[:, LETTERS]
+        rare, letters = rarity[self.bucket] * word, self.props[LETTERS]
         cols = [
             add(rare) / n,
             np.maximum.reduceat(rare, self.start),
             add(letters) / n,
             np.maximum.reduceat(letters, self.start),
-            add(self.props[:, LONG]) / n,
-            add(self.props[:, JOINS]) / self.size,
-            add(self.props[:, SUBORDINATES]) / self.size,
+            add(self.props[LONG]) / n,
+            add(self.props[JOINS]) / self.size,
+            add(self.props[SUBORDINATES]) / self.size,
             np.log(self.size),
             add(grade[self.bucket] * word) / n,
         ]
@@ -202,11 +202,11 @@ class Encoded:
         near = (np.diff(ids[order]) == 0) & (np.diff(d[order]) == 0) & (np.diff(place[order]) <= RECENT)
         again = np.bincount(d[order][1:][near], minlength=self.n_docs)
         # shares of words by length, by rarity and by the connective they are
-        p = self.props[words]
-        real, rare = p[:, WORD] > 0, rarity[self.bucket[words]]
-        n_words = np.maximum(1, np.bincount(d, weights=p[:, WORD], minlength=self.n_docs))[:, None]
+        of = lambda k: self.props[k][words]
+        real, rare = of(WORD) > 0, rarity[self.bucket[words]]
+        n_words = np.maximum(1, np.bincount(d, weights=real, minlength=self.n_docs))[:, None]
         at = 4 * len(cols)
-        for k, values in ((LENGTHS, p[:, LETTERS].astype(np.int64) - 1), (RARITIES, (rare - RAREST_FROM).astype(np.int64)), (len(_JOIN) + 1, p[:, JOIN].astype(np.int64))):
+        for k, values in ((LENGTHS, of(LETTERS).astype(np.int64) - 1), (RARITIES, (rare - RAREST_FROM).astype(np.int64)), (len(_JOIN) + 1, of(JOIN).astype(np.int64))):
             cell = np.clip(values, 0, k - 1)
             out[:, at : at + k] = np.bincount((d * k + cell)[real], minlength=self.n_docs * k).reshape(self.n_docs, k) / n_words
             at += k
