@@ -6,6 +6,8 @@ empty string stands for "no letter".
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,6 +55,16 @@ TAIL_PHRASES = [
 LETTER_LINE = r"(?m)^\s*[\(\[]?\s*([A-Z])\s*[\)\]]?\s*$"
 TAIL = 2000
 
+#: Words without any of which a phrase cannot match: looking for them costs a fraction of a pattern.
+NEEDS = dict(zip(PHRASES, [["\\BOXED"], ["OPTION"], ["CHOICE"], ["CORRECT"], ["CORRECT"], ["ANSWER"], ["ANSWER"], ["CHOICE"], ["OPTION"], ["FINAL"], ["CORRESPONDS"], ["MATCH"], ["SELECT", "PICK", "CHOOSE"], ["THEREFORE"], ["HENCE"]]))
+NEEDS |= dict(zip(OPTION_PHRASES, [["OPTION"], ["OPTION"], ["OPTION"], ["ANSWER"], ["ANSWER"], ["FINAL"], ["CHOICE"], ["CHOOSE"], ["PICK"], ["CORRECT"], ["CORRECT"]]))
+NEEDS |= dict(zip(TAIL_PHRASES, [["ANS"], ["OPTION", "CHOICE"], ["CHOOSE", "CHOICE"]]))
+
+
+def _may_match(up: Column, pattern: str) -> Column:
+    return reduce(Column.__or__, [up.contains(w) for w in NEEDS[pattern]]) if pattern in NEEDS else F.lit(True)
+
+
 def labels(options: Column) -> Column:
     """A, B, ... for each option; empty without options."""
     n = F.coalesce(F.size(options), F.lit(0))
@@ -68,7 +80,8 @@ def letter_of_inner(inner: Column, valid: Column) -> Column:
 
 
 def _valid_hits(text: Column, pattern: str, valid: Column) -> Column:
-    return F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.array_contains(valid, x))
+    """The valid letters that a phrase names in an upper-case text; null where it cannot match."""
+    return F.when(_may_match(text, pattern), F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.array_contains(valid, x)))
 
 
 def boxed_letters(text: Column, valid: Column) -> Column:
@@ -104,7 +117,8 @@ def option_phrase_letter(text: Column, valid: Column) -> Column:
     def latest(up: Column) -> Column:
         best = []
         for k, p in enumerate(OPTION_PHRASES):
-            best.append(let(_last_hit(up, p, valid), lambda s, k=k: F.when(s["letter"] != "", F.struct(s["best"].alias("at"), F.lit(k).alias("k"), s["letter"].alias("letter")))))
+            hit = let(_last_hit(up, p, valid), lambda s, k=k: F.when(s["letter"] != "", F.struct(s["best"].alias("at"), F.lit(k).alias("k"), s["letter"].alias("letter"))))
+            best.append(F.when(_may_match(up, p), hit))
         return F.when(up.rlike("OPTION|ANSWER|CHOICE|CHOOSE|PICK|CORRECT"), F.coalesce(F.greatest(*best)["letter"], F.lit(""))).otherwise("")
 
     return let(F.upper(text), latest)
