@@ -29,6 +29,7 @@ import zlib
 from collections.abc import Iterator
 from functools import cache, lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -152,59 +153,65 @@ def _count(words: int, size: int) -> int:
 
 
 @lru_cache(maxsize=200_000)
-def _weight(word: str) -> tuple[bool, int, int]:
-    return word[0].isdigit(), len(word), zlib.crc32(word.encode("utf-8", "surrogatepass"))
-
-
-def _passages(ws: list[str], key: str) -> list[tuple[int, int]]:
-    """For each passage a hash of its words and the text's quantities, and the hash of its heaviest word."""
-    size, salt = _size(key), zlib.crc32(key.encode())
-    ranks = [_weight(w) for w in ws]
-    out = []
-    for i in range(_count(len(ws), size)):
-        window, code = ranks[i : i + size], salt
-        for r in window:
-            code = (code * 1_000_003 + r[2]) & 0xFFFFFFFF
-        out.append((code, max(window)[2]))
-    return out
-
-
-def _stretches(ws: list[str], key: str, shards: int, seen=None) -> list[tuple[int, int, int]]:
-    """(shard, first passage, passages) of each run of passages of one shard; passages not in the bit set seen belong to none."""
-    out: list[tuple[int, int, int]] = []
-    mask = 8 * len(seen) - 1 if seen is not None else 0
-    shard, first, end = -1, 0, 0
-    for i, (code, heaviest) in enumerate(_passages(ws, key)):
-        if seen is not None and not seen[(code & mask) >> 3] >> (code & 7) & 1:
-            continue
-        k = heaviest % shards
-        if k != shard or i != end:
-            if end > first:
-                out.append((shard, first, end - first))
-            shard, first = k, i
-        end = i + 1
-    if end > first:
-        out.append((shard, first, end - first))
-    return out
+def _weight(word: str) -> int:
+    """How heavy a word is: numbers before words, long ones before short ones; the low half is its hash."""
+    return int(word[0].isdigit()) << 48 | min(len(word), 255) << 32 | zlib.crc32(word.encode("utf-8", "surrogatepass"))
+
+
+_MIX, _LOW = np.uint64(1_000_003), np.uint64(0xFFFFFFFF)
+
+
+def _passages(texts: list[list[str]], keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each passage of all texts its text and place, a hash of its words and the text's quantities, and the hash of its heaviest word."""
+    lens = np.array([len(ws) for ws in texts], dtype=np.int64)
+    sizes = np.minimum(np.array([_size(k) for k in keys], dtype=np.int64), lens)
+    ranks = np.array([_weight(w) for ws in texts for w in ws], dtype=np.uint64)
+    start = np.concatenate([[0], np.cumsum(lens)])[:-1]
+    count = np.where(lens > 0, lens - sizes + 1, 0)
+    row = np.repeat(np.arange(len(texts)), count)
+    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at, size = start[row] + place, sizes[row]
+    code = np.array([zlib.crc32(k.encode()) for k in keys], dtype=np.uint64)[row] if len(keys) else np.zeros(0, dtype=np.uint64)
+    heaviest = np.zeros(len(row), dtype=np.uint64)
+    for j in range(int(sizes.max()) if len(sizes) else 0):
+        on = np.flatnonzero(size > j)
+        r = ranks[at[on] + j]
+        code[on] = (code[on] * _MIX + (r & _LOW)) & _LOW
+        heaviest[on] = np.maximum(heaviest[on], r)
+    return row, place, code, heaviest & _LOW
+
+
+def _stretches(texts: list[list[str]], keys: list[str], shards: int, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, shard, first passage and number of passages of each run of passages of one shard; passages not in the bit set seen belong to none."""
+    row, place, code, heaviest = _passages(texts, keys)
+    if seen is not None:
+        bit = code & np.uint64(64 * len(seen) - 1)
+        on = (seen[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+        row, place, heaviest = row[on], place[on], heaviest[on]
+    shard = (heaviest % np.uint64(shards)).astype(np.int64)
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1) | (shard[1:] != shard[:-1])])[: len(row)]
+    first = np.flatnonzero(new)
+    return row[first], shard[first], place[first], np.diff(np.append(first, len(row)))
 
 
 def _codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The hashed passages of texts."""
     for b in batches:
-        codes = {c for t, k in zip(b["folded"], b["key"]) for c, _ in _passages(t.split(), k)}
-        yield pd.DataFrame({"code": pd.array(list(codes), dtype="int64")})
+        code = _passages([t.split() for t in b["folded"]], b["key"].tolist())[2]
+        yield pd.DataFrame({"code": np.unique(code).astype(np.int64)})
 
 
-def _routed(shards: int, seen):
+def _routed(shards: int, shared):
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = seen.value
+        seen = np.frombuffer(shared.value, dtype="<u8")
         for b in batches:
-            rows = []
-            for h, train, text, key in zip(b["h"], b["train"], b["folded"], b["key"]):
-                ws = text.split()
-                rows += [(s, h, train, key, i, n, " ".join(ws[i : i + n - 1 + _size(key)])) for s, i, n in _stretches(ws, key, shards, bits)]
-            if rows:
-                yield pd.DataFrame(rows, columns=["shard", "h", "train", "key", "first", "n", "folded"])
+            texts, keys = [t.split() for t in b["folded"]], b["key"].tolist()
+            row, shard, first, n = _stretches(texts, keys, shards, seen)
+            cut = [" ".join(texts[r][i : i + k - 1 + _size(keys[r])]) for r, i, k in zip(row.tolist(), first.tolist(), n.tolist())]
+            if not len(row):
+                continue
+            of = lambda c: b[c].to_numpy()[row]  # noqa: B023, E731
+            yield pd.DataFrame({"shard": shard, "h": of("h"), "train": of("train"), "key": of("key"), "first": first.astype(np.int32), "n": n.astype(np.int32), "folded": cut})
 
     return route
 

@@ -53,12 +53,17 @@ def test_many_shards_and_splits_lose_nothing(spark, monkeypatch):
 
 def test_stretches_cover_every_passage_once():
     rng = random.Random(3)
-    for key in ("17", ""):
-        for n in (1, 2, 3, 5, 9, 60):
-            ws = [rng.choice(["a", "bb", "ccc", "17", "230", "dddd"]) for _ in range(n)]
-            for shards in (1, 3, 50):
-                at = [i for s, first, k in overlap._stretches(ws, key, shards) for i in range(first, first + k)]
-                assert at == list(range(overlap._count(n, overlap._size(key))))
+    texts = [[rng.choice(["a", "bb", "ccc", "17", "230", "dddd"]) for _ in range(n)] for n in (1, 2, 3, 5, 9, 60, 0, 4)]
+    keys = [rng.choice(["17", "", "230 17"]) for _ in texts]
+    row, place, code, heaviest = overlap._passages(texts, keys)
+    want = [(r, i, tuple(t[i : i + overlap._size(k)]), k) for r, (t, k) in enumerate(zip(texts, keys)) for i in range(overlap._count(len(t), overlap._size(k)))]
+    assert list(zip(row.tolist(), place.tolist())) == [(r, i) for r, i, _, _ in want]
+    assert len(set(zip(code.tolist(), [w[2:] for w in want]))) == len({w[2:] for w in want}) == len(set(code.tolist()))
+    assert heaviest.tolist() == [max(map(overlap._weight, w[2])) & 0xFFFFFFFF for w in want]
+    for shards in (1, 3, 50):
+        got = [(r, i) for r, s, first, n in zip(*(x.tolist() for x in overlap._stretches(texts, keys, shards))) for i in range(first, first + n)]
+        assert got == [(r, i) for r, i, _, _ in want]
+    assert [len(x) for x in overlap._stretches([], [], 3)] == [0, 0, 0, 0]
     assert overlap.covered_words([0, 1, 4], 3, 6) == 6 and overlap.covered_words([], 3, 6) == 0 and overlap.covered_words([0], 5, 2) == 2
 
 
