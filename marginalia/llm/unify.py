@@ -298,9 +298,9 @@ def changed_rows(fields: DataFrame) -> DataFrame:
     words = spread(fields.where(c.isNotNull() & ~c.rlike(HARMLESS)).select("field_name", "row_key", "content")).mapInPandas(_words(shared), schema)
     seen = words.groupBy("field_name", "row_key", "h", "around", "form", "skeleton", "plain", "changed").agg(F.count("*").alias("copies")).persist()
     wanted = seen.groupBy("skeleton", "around", "form", "plain").agg(F.sum("copies").alias("n"))
-    # plain ASCII words are their own skeletons: only those of a wanted group are counted
+    # plain ASCII words are their own skeletons; they are combined before the shuffle, and those of a wanted group kept
     ascii_ = fields.where(c.isNotNull()).select(F.explode(F.split(F.translate(c, "123456789", "000000000"), "[ \\t\\n\\r]+")).alias("form")).where(F.col("form").rlike(r"^[\x21-\x7e]+$"))
-    known = ascii_.join(wanted.select(F.col("skeleton").alias("form")).distinct(), "form", "left_semi").groupBy("form").agg(F.count("*").alias("n"))
+    known = ascii_.groupBy("form").agg(F.count("*").alias("n")).join(wanted.select(F.col("skeleton").alias("form")).distinct(), "form", "left_semi")
     members = wanted.where("plain").select("skeleton", "around", "form", "n").unionByName(known.select(F.col("form").alias("skeleton"), F.lit("L").alias("around"), "form", "n"))
     home = members.groupBy("skeleton", "around", "form").agg(F.sum("n").alias("n")).groupBy("skeleton", "around").agg(F.max_by("form", F.struct("n", "form")).alias("home"))
     odd = seen.join(home, ["skeleton", "around"], "left").where("form <> coalesce(home, skeleton) and changed")
