@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.bitset import collect_bits, size_for
+from marginalia.operators.bitset import collect_bits, size_for
 from marginalia.session import ship, spread
 
 #: Words of a passage: three in texts with quantities (misspellings break longer ones), five in those without.

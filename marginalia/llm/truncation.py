@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.endings import BROKEN, body, ends_sentence, has_notice, is_open
-from marginalia.llm.bitset import collect_bits, size_for
+from marginalia.operators.bitset import collect_bits, size_for
 from marginalia.session import ship, spread
 
 #: Lengths of the contexts, each a multiple of the first.

@@ -16,6 +16,9 @@ it is whole:
 - it stands in quotes, and not all its parts stand elsewhere;
 - it stands in different fields, and none of its parts ever stands without the others.
 
+The best supported masks go to the tasks as the automaton; if the dictionary is larger,
+the fields meet the rest of it by a join (`_known_runs`), with the same result.
+
 SEEDS are the masks known before anything is counted: numbers with thousands commas,
 which no count can tell from lists of numbers.
 
@@ -32,16 +35,21 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
+from zlib import crc32
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.boxed import last_box, last_box_deep, too_deep
+from marginalia.operators.bitset import collect_bits, size_for
 from marginalia.session import ship
 
-#: The masks sent to every task are held to so many characters in all (16 MB), the best supported first; beyond it the rarest masks are covered as unknown pieces, so no field is left out.
+#: The masks sent to every task are held to so many characters in all (16 MB), the best supported first; the fields meet the rest by a join.
 DICTIONARY_CHARS = 16_000_000
+#: The bit set of the rest's masks and their beginnings: bits for each of them, and 2 ** 28 bits (32 MB) at most.
+BITS_EACH, MOST_BITS = 16, 28
 #: A mask with delimiters may be whole if it stands so often: in quotes, between stronger delimiters, or as a field.
 SUPPORT = 2
 #: Masks known whole before counting: numbers with thousands commas.
@@ -94,9 +102,9 @@ def automaton(masks):
     return None
 
 
-def segment(text: str, known=None) -> list[str]:
-    """The values of a field, in order; one value gives a list of one, a blank field an empty one. known: an automaton over masks of whole values."""
-    return [item for item, *_ in _pieces(text, known)[1]]
+def segment(text: str, known=None, runs=()) -> list[str]:
+    """The values of a field, in order; one value gives a list of one, a blank field an empty one. known: an automaton over masks of whole values; runs: the first and last stretch of more values known whole."""
+    return [item for item, *_ in _pieces(text, known, runs)[1]]
 
 
 _OPEN, _CLOSE = "([{", ")]}"
@@ -126,8 +134,8 @@ def _boundaries(body: str) -> tuple[list[int], list[int], list[int], list[int]]:
     return begins, ends, depths, parity
 
 
-def _pieces(text: str, known=None) -> tuple[str, list[tuple[str, int, int, bool]]]:
-    """The plain field without its brackets, and for each value the text, its place there and whether it is quoted."""
+def _body(text: str) -> tuple[str, list[int]]:
+    """The plain field without its brackets, and for each of its characters the place in the original."""
     s, at = plain(text)
     lo, hi = 0, len(s)
     while lo < hi and s[lo].isspace():
@@ -136,9 +144,14 @@ def _pieces(text: str, known=None) -> tuple[str, list[tuple[str, int, int, bool]
         hi -= 1
     if hi - lo >= 2 and s[lo] == "[" and s[hi - 1] == "]" and _closes(s, lo, hi):
         lo, hi = lo + 1, hi - 1
-    if lo >= hi:
+    return s[lo:hi], at[lo:hi]
+
+
+def _pieces(text: str, known=None, runs=()) -> tuple[str, list[tuple[str, int, int, bool]]]:
+    """The plain field without its brackets, and for each value the text, its place there and whether it is quoted."""
+    body, at = _body(text)
+    if not body:
         return "", []
-    body = s[lo:hi]
     begins, ends, depths, parity = _boundaries(body)
     n = len(begins)
     # A graph over the stretches: an edge (i, j) covers the stretches i to j as one value. Its shortest path is the best cover.
@@ -154,12 +167,16 @@ def _pieces(text: str, known=None) -> tuple[str, list[tuple[str, int, int, bool]
             edges[i][j] = UNKNOWN + LETTER * (ends[j] - begins[i])
         if broken and (j := _single_quoted(body, begins, ends, i)) is not None:
             edges[i][j] = UNKNOWN + LETTER * (ends[j] - begins[i])
+    whole = [(j, i) for i, j in runs]
     if known is not None:
         start_at, end_at = {b: i for i, b in enumerate(begins)}, {e: i for i, e in enumerate(ends)}
         for end, length in known.iter(_DIGIT.sub("0", body)):
             i, j = start_at.get(end - length + 1), end_at.get(end + 1)
             if i is not None and j is not None and i <= j:
-                edges[i][j] = min(KNOWN, edges[i].get(j, KNOWN))
+                whole.append((j, i))
+    # in the order of their ends, whichever way they were found: the first of equal covers is taken
+    for j, i in sorted(whole):
+        edges[i][j] = min(KNOWN, edges[i].get(j, KNOWN))
     best, back = [math.inf] * n + [0.0], [0] * n
     for i in range(n - 1, -1, -1):
         for j, c in edges[i].items():
@@ -180,7 +197,7 @@ def _pieces(text: str, known=None) -> tuple[str, list[tuple[str, int, int, bool]
         start, end = a, b
         if quoted:
             a, b = a + 1, b - 1
-        item = text[at[lo + a] : at[lo + b - 1] + 1].strip() if b > a else ""
+        item = text[at[a] : at[b - 1] + 1].strip() if b > a else ""
         if plain(item)[0].strip():
             out.append((item, start, end, quoted))
     return body, out
@@ -289,12 +306,58 @@ def _closes(s: str, lo: int, hi: int) -> bool:
     return False
 
 
+def _runs(text: str, bits: np.ndarray, longest: int) -> Iterator[tuple[int, int, str]]:
+    """The runs of stretches of a field (first, last, mask) that may be a mask of the bit set: it holds the beginnings of masks of 1, 2, 4, 8, ... characters, and whole masks by the hash with a zero at the end."""
+    body, _ = _body(text)
+    begins, ends, *_ = _boundaries(body)
+    masked, room = _DIGIT.sub("0", body), 64 * len(bits) - 1
+
+    def missing(crc: int) -> bool:
+        crc &= room
+        return not int(bits[crc >> 6]) >> (crc & 63) & 1
+
+    for i, a in enumerate(begins):
+        crc, at, step, j = 0, a, 1, i
+        while j < len(ends) and ends[j] - a <= longest:
+            # the next place to look at: the end of the beginning, or of the run
+            to = min(a + step, ends[j])
+            crc, at = crc32(masked[at:to].encode(), crc), to
+            if to == a + step:
+                if missing(crc):
+                    break
+                step *= 2
+            if to == ends[j]:
+                if to > a and not missing(crc32(b"\0", crc)):
+                    yield i, j, masked[a:to]
+                j += 1
+
+
+def _known_runs(contents: DataFrame, masks: DataFrame) -> DataFrame:
+    """key (of a content), runs: where one of the masks stands as a run of stretches, each as first * 2 ** 32 + last. Masks and runs meet by a shuffled join; a bit set of bounded size only spares it runs that meet nothing."""
+    masks = masks.select("mask").persist()
+    hashes = F.expr("concat(array(crc32(concat(mask, '\\0'))), transform(sequence(0, length(bin(length(mask))) - 1), k -> crc32(substring(mask, 1, shiftleft(1, k)))))")
+    n, longest = masks.agg(F.coalesce(F.sum(F.size(hashes)), F.lit(0)), F.coalesce(F.max(F.length("mask")), F.lit(0))).first()
+    size = size_for(n, BITS_EACH, MOST_BITS)
+    shared = contents.sparkSession.sparkContext.broadcast(collect_bits(masks.select(F.explode(hashes).alias("h")), F.col("h") % size, size))
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(key, i << 32 | j, m) for key, text in zip(b["key"], b["content"]) for i, j, m in _runs(text, shared.value, longest)]
+            if rows:
+                yield pd.DataFrame(rows, columns=["key", "run", "mask"])
+
+    found = contents.select("key", "content").distinct().mapInPandas(look, "key string, run long, mask string")
+    return found.join(masks, "mask", "left_semi").groupBy("key").agg(F.collect_list("run").alias("runs"))
+
+
 def packed_values(fields: DataFrame) -> DataFrame:
     """fields: field_name, row_key, content. Gives field_name, row_key, pos, item for every field of two or more values.
 
     Fields without any delimiter character stay in the JVM, where ASCII: they only feed
     the dictionary (one map-side combined count). Candidates go to Python twice: once each
     different one, for the values that hold delimiters and are whole, and once to be cut.
+    A dictionary beyond DICTIONARY_CHARS takes them there once more, each different one, to
+    be looked up in what the tasks were not sent.
     """
     spark = fields.sparkSession
     ship(spark)
@@ -308,20 +371,26 @@ def packed_values(fields: DataFrame) -> DataFrame:
         .select("mask", "count", F.lit(0).alias("spans"))
         .unionByName(spanning_masks(f, candidate).withColumn("spans", F.lit(1)))
     )
-    known, room = list(SEEDS), DICTIONARY_CHARS
-    for r in masks.orderBy(F.desc("spans"), F.desc("count"), "mask").select("mask").toLocalIterator():
-        room -= len(r[0])
+    known, room, rest = list(SEEDS), DICTIONARY_CHARS, None
+    for r in masks.orderBy(F.desc("spans"), F.desc("count"), "mask").toLocalIterator():
+        room -= len(r["mask"])
         if room < 0:
+            spans, count = F.col("spans"), F.col("count")
+            rest = masks.where((spans < r["spans"]) | ((spans == r["spans"]) & ((count < r["count"]) | ((count == r["count"]) & (F.col("mask") >= F.lit(r["mask"]))))))
             break
-        known.append(r[0])
+        known.append(r["mask"])
     shared = spark.sparkContext.broadcast(known)
+    packed = f.where(candidate)
+    if rest is not None:
+        keyed = packed.withColumn("key", F.sha2("content", 256))
+        packed = keyed.join(_known_runs(keyed, rest), "key", "left").select("field_name", "row_key", "content", "runs")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a = automaton(shared.value)
         for b in batches:
             names, keys, pos, items = [], [], [], []
-            for name, key, text in zip(b["field_name"], b["row_key"], b["content"]):
-                values = segment(text, a)
+            for name, key, text, runs in zip(b["field_name"], b["row_key"], b["content"], b.get("runs", [None] * len(b))):
+                values = segment(text, a, () if runs is None else [(r >> 32, r & 0xFFFFFFFF) for r in map(int, runs)])
                 if len(values) > 1:
                     names += [name] * len(values)
                     keys += [key] * len(values)
@@ -330,7 +399,7 @@ def packed_values(fields: DataFrame) -> DataFrame:
             if names:
                 yield pd.DataFrame({"field_name": names, "row_key": pd.array(keys, dtype="Int64"), "pos": pd.array(pos, dtype="Int32"), "item": items})
 
-    return f.where(candidate).mapInPandas(cut, "field_name string, row_key long, pos int, item string")
+    return packed.mapInPandas(cut, "field_name string, row_key long, pos int, item string")
 
 
 def answer_fields(questions: DataFrame, outputs: DataFrame) -> DataFrame:

@@ -1,3 +1,6 @@
+from zlib import crc32
+
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -106,3 +109,30 @@ def test_values_that_stand_whole_are_not_cut(spark):
         "if so, go on; 12": ["if so, go on", "12"], "plum, pear": ["plum", "pear"],
         "red, blue": ["red", "blue"], "blue, green": ["blue", "green"],
     }
+
+
+def test_masks_beyond_the_bound_of_the_dictionary_count_too(spark, monkeypatch):
+    fields = ["odd, prime", '"odd, prime"', '"odd, prime"', "odd, prime; 3", "[odd, prime; 4]", "é, ö", '"é, ö"', '"é, ö"', "7; é, ö;; 12,345", ";odd, prime"]
+    fields += ["x", "x", "y", "x, y, z", "5 km", "6 km", "5 km; 7 km; odd, prime", "[odd, prime]", "\\{1, 2\\}; \\{7, 8\\}", None, "", ";", "; ".join(["odd, prime"] * 40)]
+    rows = spark.createDataFrame(list(enumerate(fields)), "row_key long, content string").selectExpr("'answer' AS field_name", "*")
+    run = lambda: sorted((r.row_key, r.pos, r["item"]) for r in packed_values(rows).collect())
+    whole = run()
+    assert (3, 1, "odd, prime") in whole and (8, 2, "é, ö") in whole and not [r for r in whole if r[0] == 0]
+    for room in (0, 5, 12, 30):
+        monkeypatch.setattr(S, "DICTIONARY_CHARS", room)
+        assert run() == whole, room
+    monkeypatch.setattr(S, "size_for", lambda *_: 64)  # a full bit set rules out nothing
+    assert run() == whole
+
+
+def test_the_same_cover_is_taken_whichever_way_values_are_known():
+    masks = ["p", "p, q", "q, r", "r", "é; 0"]
+    for text in ("p, q, r", "[p, q, r, p]", "é; 5; p, q", "p,, q; r", "q, r, q, r"):
+        size = 1 << 12
+        bits = np.zeros(size // 64, dtype=np.uint64)
+        for m in masks:
+            for h in [crc32(m.encode() + b"\0")] + [crc32(m[: 1 << k].encode()) for k in range(len(m).bit_length())]:
+                bits[h % size // 64] |= np.uint64(1 << h % 64)
+        runs = [(i, j) for i, j, m in S._runs(text, bits, max(map(len, masks))) if m in masks]
+        assert segment(text, None, runs) == segment(text, automaton(masks))
+        assert segment(text, automaton(masks[1:3]), runs[::-1]) == segment(text, automaton(masks))
